@@ -60,6 +60,12 @@ BOUNDARY = f"""{EDGES},
         group by borough, least(x1, x2), greatest(x1, x2), least(y1, y2), greatest(y1, y2),
                  (x2 > x1) = (y2 > y1)
         having count(*) = 1
+    ),
+    borders as (
+        select borough,
+               case when y1 <= y2 then x1 else x2 end as low_x, least(y1, y2) as low_y,
+               case when y1 <= y2 then x2 else x1 end as high_x, greatest(y1, y2) as high_y
+        from boundary
     )"""
 
 
@@ -68,16 +74,15 @@ def located(points: str, key: str, x: str, y: str, name: str) -> str:
     return f"""
     {name} as (
         select {key}, borough
-        from {points}, boundary
+        from (
+            select {key}, borough, {y} >= low_y and {y} <= high_y as level, {y} < high_y as below_top,
+                   {x} between least(low_x, high_x) and greatest(low_x, high_x) as beside,
+                   (high_x - low_x) * ({y} - low_y) - ({x} - low_x) * (high_y - low_y) as side
+            from {points}, borders
+        )
         group by {key}, borough
-        having count(*) filter (
-                   (y1 > {y}) <> (y2 > {y}) and {x} < (x2 - x1) * ({y} - y1) / (y2 - y1) + x1
-               ) % 2 = 1
-           and not bool_or(
-                   (x2 - x1) * ({y} - y1) = (y2 - y1) * ({x} - x1)
-                   and {x} between least(x1, x2) and greatest(x1, x2)
-                   and {y} between least(y1, y2) and greatest(y1, y2)
-               )
+        having count(*) filter (level and below_top and side > 0) % 2 = 1
+           and not bool_or(level and beside and side = 0)
     )"""
 
 
@@ -281,8 +286,8 @@ ALL = {
                count(*) filter (gap is null) as last_trips,
                count(*) filter (gap > 0) as positive_gaps,
                sum(gap)::bigint as seconds,
-               round(sum(x), 6) as next_longitudes,
-               round(sum(y * dropoff_longitude), 6) as next_latitudes
+               sum(round(x * 10000)::bigint * round(dropoff_latitude * 10000)::bigint)::bigint as next_longitudes,
+               sum(round(y * 10000)::bigint * round(dropoff_longitude * 10000)::bigint)::bigint as next_latitudes
         from paired group by hack_license""",
     "od_gaps": f"""with {OD}
         select trip_id, hack_license, {STAMPS}, minutes as next_fare_duration,

@@ -272,13 +272,17 @@ def next_fare_hot_driver(spark, folder):
     skewed = rows.withColumns({"hack_license": shared, "pickup_datetime": hour})
     gaps = next_fare.next_fare(skewed, hot_rows=max(50, rows.count() // 20))
     gap = F.col("next_fare_duration")
+
+    def steps(name):
+        return F.round(F.col(name) * 10000).cast("bigint")
+
     return gaps.groupBy("hack_license").agg(
         F.count("*").alias("trips"),
         F.count_if(gap.isNull()).alias("last_trips"),
         F.count_if(gap > 0).alias("positive_gaps"),
         F.sum(gap).alias("seconds"),
-        F.round(F.sum("lead_pickup_longitude"), 6).alias("next_longitudes"),
-        F.round(F.sum(F.col("lead_pickup_latitude") * F.col("dropoff_longitude")), 6).alias("next_latitudes"),
+        F.sum(steps("lead_pickup_longitude") * steps("dropoff_latitude")).alias("next_longitudes"),
+        F.sum(steps("lead_pickup_latitude") * steps("dropoff_longitude")).alias("next_latitudes"),
     )
 
 
