@@ -8,66 +8,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbwait.functions.times import epoch_seconds
-from curbwait.schemas import TRIP_SCHEMA
+from curbwait.schemas import DROPOFF, PICKUP
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _place(step: int, around: int):
-    return ((F.col("event_id") * step) % around + F.lit(0.5)) / 1000
-
-
 def trips(spark: SparkSession, folder: str) -> DataFrame:
-    pickup = epoch_seconds(F.col("ts"))
-    length = F.round(F.col("value") * 100).cast("bigint") - 120
-    return table(spark, folder, "events").select(
-        F.col("event_id").alias("trip_id"),
-        F.col("user_id").alias("hack_license"),
-        pickup.alias("pickup_datetime"),
-        (pickup + length).alias("dropoff_datetime"),
-        _place(7919, 5600).alias("pickup_longitude"),
-        _place(10473, 5300).alias("pickup_latitude"),
-        _place(6007, 5600).alias("dropoff_longitude"),
-        _place(3571, 5300).alias("dropoff_latitude"),
+    pickup = epoch_seconds("ts")
+
+    def place(step, around):
+        return f"((event_id * {step}) % {around} + 0.5D) / 1000"
+
+    return table(spark, folder, "events").selectExpr(
+        "event_id as trip_id",
+        "user_id as hack_license",
+        f"{pickup} as pickup_datetime",
+        f"{pickup} + cast(round(value * 100) as bigint) - 120 as dropoff_datetime",
+        f"{place(7919, 5600)} as pickup_longitude",
+        f"{place(10473, 5300)} as pickup_latitude",
+        f"{place(6007, 5600)} as dropoff_longitude",
+        f"{place(3571, 5300)} as dropoff_latitude",
     )
 
 
 def trips_raw(spark: SparkSession, folder: str) -> DataFrame:
     """The trips as timestamps, with gaps: null and NaN in some rows."""
-
-    def but_every(n, column, gap=None):
-        return F.when(F.col("trip_id") % n == 0, F.lit(gap)).otherwise(column)
-
-    def moment(name):
-        return F.col(name).cast("timestamp")
-
-    return trips(spark, folder).withColumns(
-        {
-            "pickup_datetime": moment("pickup_datetime"),
-            "pickup_longitude": but_every(97, F.col("pickup_longitude")),
-            "dropoff_datetime": but_every(101, moment("dropoff_datetime")),
-            "dropoff_latitude": but_every(103, F.col("dropoff_latitude"), float("nan")),
-        }
+    return trips(spark, folder).selectExpr(
+        "trip_id",
+        "hack_license",
+        "cast(pickup_datetime as timestamp) as pickup_datetime",
+        "if(trip_id % 101 = 0, null, cast(dropoff_datetime as timestamp)) as dropoff_datetime",
+        "if(trip_id % 97 = 0, null, pickup_longitude) as pickup_longitude",
+        "pickup_latitude",
+        "dropoff_longitude",
+        "if(trip_id % 103 = 0, double('NaN'), dropoff_latitude) as dropoff_latitude",
     )
 
 
 def trip_file_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The trips with all columns of a trip file."""
-    made = {
-        "medallion": F.col("trip_id").cast("string"),
-        "hack_license": F.col("hack_license").cast("string"),
-        "vendor_id": F.lit("V"),
-        "rate_code": F.lit("1"),
-        "store_and_fwd_flag": F.lit("N"),
-        "passenger_count": F.lit("1"),
-        "trip_time_in_secs": (F.col("dropoff_datetime") - F.col("pickup_datetime")).cast("string"),
-        "trip_distance": F.col("pickup_longitude"),
-        "pickup_datetime": F.col("pickup_datetime").cast("timestamp"),
-        "dropoff_datetime": F.col("dropoff_datetime").cast("timestamp"),
-    }
-    return trips(spark, folder).withColumns(made).select(TRIP_SCHEMA.names)
+    return trips(spark, folder).selectExpr(
+        "string(trip_id) as medallion",
+        "string(hack_license) as hack_license",
+        "'V' as vendor_id",
+        "'1' as rate_code",
+        "'N' as store_and_fwd_flag",
+        "cast(pickup_datetime as timestamp) as pickup_datetime",
+        "cast(dropoff_datetime as timestamp) as dropoff_datetime",
+        "'1' as passenger_count",
+        "string(dropoff_datetime - pickup_datetime) as trip_time_in_secs",
+        "pickup_longitude as trip_distance",
+        *PICKUP,
+        *DROPOFF,
+    )
 
 
 def zones(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,23 +70,20 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 
     Corners are moved by a function of their own place, so neighbours share them.
     """
-    c, r = F.col("n_regionkey"), F.floor(F.col("n_nationkey") / 5).cast("int")
-
-    def corner(i, j):
-        x = i + ((i * 3 + j * 5) % 3 - 1) * 0.125
-        y = j + ((i * 5 + j * 2) % 3 - 1) * 0.125
-        return F.concat_ws(" ", x.cast("string"), y.cast("string"))
-
-    ring = F.concat_ws(
-        ", ", corner(c, r), corner(c + 1, r), corner(c + 1, r + 1), corner(c, r + 1), corner(c, r)
-    )
     region = table(spark, folder, "region")
-    return (
+    cells = (
         table(spark, folder, "nation")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("n_name").alias("zone"),
-            F.col("r_name").alias("borough"),
-            F.concat(F.lit("MULTIPOLYGON ((("), ring, F.lit(")))")).alias("the_geom"),
-        )
+        .selectExpr("n_name as zone", "r_name as borough", "n_regionkey as c", "n_nationkey div 5 as r")
+    )
+
+    def corner(i, j):
+        x = f"c + {i} + (((c + {i}) * 3 + (r + {j}) * 5) % 3 - 1) * 0.125D"
+        y = f"r + {j} + (((c + {i}) * 5 + (r + {j}) * 2) % 3 - 1) * 0.125D"
+        return f"concat_ws(' ', string({x}), string({y}))"
+
+    corners = [corner(i, j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]
+    ring = f"concat_ws(', ', {', '.join(corners)})"
+    return cells.selectExpr(
+        "zone", "borough", f"concat('MULTIPOLYGON (((', {ring}, ')))') as the_geom"
     )

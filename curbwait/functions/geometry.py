@@ -1,115 +1,94 @@
-"""Planar geometry as column expressions over plain Spark types.
+"""Planar geometry as SQL expressions over plain Spark types.
+
+The functions take and return expression text, for ``expr`` and ``selectExpr``.
 
 A point is two doubles. A polygon value is an array of polygons, each an array
 of rings, each an array of vertices, each an array of two doubles. For lookups
 an edge is a struct with its lower end first: ``(x1, y1, x2, y2)``, y1 <= y2.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-POLYGONS = r"(?is)^\s*MULTIPOLYGON\s*\(\s*\(\s*\((.*)\)\s*\)\s*\)\s*$"
-POLYGON = r"(?is)^\s*POLYGON\s*\(\s*\((.*)\)\s*\)\s*$"
-MORE_DIMENSIONS = r"(?i)^\s*(MULTI)?POLYGON\s*(Z|M|ZM)\b"
-EMPTY = r"(?i)^\s*(MULTI)?POLYGON\s+EMPTY\s*$"
-BETWEEN_POLYGONS = r"\)\s*\)\s*,\s*\(\s*\("
-BETWEEN_RINGS = r"\)\s*,\s*\("
+POLYGONS = r"(?is)^\\s*MULTIPOLYGON\\s*\\(\\s*\\(\\s*\\((.*)\\)\\s*\\)\\s*\\)\\s*$"
+POLYGON = r"(?is)^\\s*POLYGON\\s*\\(\\s*\\((.*)\\)\\s*\\)\\s*$"
+MORE_DIMENSIONS = r"(?i)^\\s*(MULTI)?POLYGON\\s*(Z|M|ZM)\\b"
+EMPTY = r"(?i)^\\s*(MULTI)?POLYGON\\s+EMPTY\\s*$"
+BETWEEN_POLYGONS = r"\\)\\s*\\)\\s*,\\s*\\(\\s*\\("
+BETWEEN_RINGS = r"\\)\\s*,\\s*\\("
 
 
-def point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def point(x: str, y: str) -> str:
+    return f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"
 
 
-def polygons_from_wkt(text: Column) -> Column:
+def polygons_from_wkt(text: str) -> str:
     """Polygon text to the nested array; null if it is no (multi)polygon text.
 
     Numbers that do not parse come out as nulls, for ``polygon_fault`` to name.
     """
-    body = F.when(text.rlike(POLYGONS), F.regexp_extract(text, POLYGONS, 1)).when(
-        text.rlike(POLYGON), F.regexp_extract(text, POLYGON, 1)
-    )
-
-    def vertex(pair):
-        return F.transform(F.split(F.trim(pair), r"\s+"), lambda c: c.try_cast("double"))
-
-    def ring(vertices):
-        return F.transform(F.split(vertices, ","), vertex)
+    body = f"""case when {text} rlike '{POLYGONS}' then regexp_extract({text}, '{POLYGONS}', 1)
+                    when {text} rlike '{POLYGON}' then regexp_extract({text}, '{POLYGON}', 1) end"""
+    vertex = r"transform(split(trim(pair), '\\s+'), number -> try_cast(number as double))"
+    ring = f"transform(split(vertices, ','), pair -> {vertex})"
+    polygon = f"transform(split(rings, '{BETWEEN_RINGS}'), vertices -> {ring})"
+    return f"""case when {text} rlike '{EMPTY}' then cast(array() as array<array<array<array<double>>>>)
+                    else transform(split({body}, '{BETWEEN_POLYGONS}'), rings -> {polygon}) end"""
 
-    def polygon(rings):
-        return F.transform(F.split(rings, BETWEEN_RINGS), ring)
 
-    parsed = F.transform(F.split(body, BETWEEN_POLYGONS), polygon)
-    nothing = F.array().cast("array<array<array<array<double>>>>")
-    return F.when(text.rlike(EMPTY), nothing).otherwise(parsed)
-
-
-def polygon_fault(text: Column, polygons: Column) -> Column:
+def polygon_fault(text: str, polygons: str) -> str:
     """Why polygon text, parsed as given, cannot be used; null if it can."""
 
     def every_ring(test):
-        return F.forall(polygons, lambda p: F.forall(p, test))
-
-    def every_vertex(test):
-        return every_ring(lambda r: F.forall(r, test))
+        return f"forall({polygons}, p -> forall(p, r -> {test}))"
 
-    def finite(number):
-        return number.isNotNull() & (F.abs(number) < float("inf"))
+    number = "n is not null and abs(n) < double('infinity')"
+    numbers = every_ring(f"forall(r, v -> forall(v, n -> {number}))")
+    pairs = every_ring("forall(r, v -> size(v) = 2)")
+    closed = every_ring("size(r) >= 4 and element_at(r, 1) = element_at(r, -1)")
+    return f"""case when {text} rlike '{MORE_DIMENSIONS}' then 'not two coordinates'
+                    when {polygons} is null then 'not a polygon'
+                    when not {numbers} then 'bad number'
+                    when not {pairs} then 'not two coordinates'
+                    when not {closed} then 'ring not closed' end"""
 
-    two_numbers = every_vertex(lambda v: F.size(v) == 2)
-    numbers = every_vertex(lambda v: F.forall(v, finite))
-    closed = every_ring(
-        lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1))
-    )
-    return (
-        F.when(text.rlike(MORE_DIMENSIONS), "not two coordinates")
-        .when(polygons.isNull(), "not a polygon")
-        .when(~numbers, "bad number")
-        .when(~two_numbers, "not two coordinates")
-        .when(~closed, "ring not closed")
-    )
 
-
-def ring_area(ring: Column) -> Column:
+def ring_area(ring: str) -> str:
     """Signed area of a closed ring, positive if it runs counter-clockwise.
 
     Measured from the first vertex, so far-off coordinates cost no digits.
     """
+    x, y = f"{ring}[0][0]", f"{ring}[0][1]"
+    cross = f"(a[0] - {x}) * (b[1] - {y}) - (b[0] - {x}) * (a[1] - {y})"
+    turns = f"zip_with({ring_starts(ring)}, {ring_ends(ring)}, (a, b) -> {cross})"
+    return f"aggregate({turns}, 0D, (total, t) -> total + t) / 2"
+
+
+def ring_starts(ring: str) -> str:
+    return f"slice({ring}, 1, size({ring}) - 1)"
 
-    def cross(a, b):
-        x0, y0 = ring[0][0], ring[0][1]
-        return (a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0)
 
-    starts = F.slice(ring, F.lit(1), F.size(ring) - 1)
-    ends = F.slice(ring, F.lit(2), F.size(ring) - 1)
-    turns = F.zip_with(starts, ends, cross)
-    return F.aggregate(turns, F.lit(0.0), lambda total, t: total + t) / 2
+def ring_ends(ring: str) -> str:
+    return f"slice({ring}, 2, size({ring}) - 1)"
 
 
-def oriented(ring: Column, is_shell: Column) -> Column:
+def oriented(ring: str, is_shell: str) -> str:
     """The ring with its inside on the left: shells one way, holes the other."""
-    return F.when((ring_area(ring) < 0) == is_shell, F.reverse(ring)).otherwise(ring)
+    return f"case when ({ring_area(ring)} < 0) = ({is_shell}) then reverse({ring}) else {ring} end"
 
 
-def turn(e: Column, x: Column, y: Column) -> Column:
-    """Positive left of the edge, negative right of it, zero in line with it."""
-    return (e.x2 - e.x1) * (y - e.y1) - (x - e.x1) * (e.y2 - e.y1)
+def turn(e: str, x: str, y: str) -> str:
+    """Positive left of an upward edge, negative right of it, zero in line."""
+    return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({x} - {e}.x1) * ({e}.y2 - {e}.y1))"
 
 
-def contains(edges: Column, x: Column, y: Column) -> Column:
+def contains(edges: str, x: str, y: str) -> str:
     """Is the point inside the edges' shape? The boundary does not count.
 
-    Even-odd rule: a ray to the right crosses an odd number of edges. Comparing
-    without tolerance or division, and with every edge taken lower end first, a
-    point near a border shared by two shapes is never in both or in neither.
+    Even-odd rule: a ray to the right crosses an odd number of edges. With no
+    tolerance, no division, and every edge taken lower end first, a point beside
+    a border shared by two shapes is on the same side of it for both.
     """
-
-    def crosses(e):
-        return (e.y1 <= y) & (y < e.y2) & (turn(e, x, y) > 0)
-
-    def passes_through(e):
-        level = (e.y1 <= y) & (y <= e.y2)
-        beside = (F.least(e.x1, e.x2) <= x) & (x <= F.greatest(e.x1, e.x2))
-        return level & beside & (turn(e, x, y) == 0)
-
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, passes_through)
+    side = turn("e", x, y)
+    crosses = f"e.y1 <= {y} and {y} < e.y2 and {side} > 0"
+    passes = f"""e.y1 <= {y} and {y} <= e.y2 and {side} = 0
+                 and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2)"""
+    return f"""(size(filter({edges}, e -> {crosses})) % 2 = 1
+                and not exists({edges}, e -> {passes}))"""

@@ -1,23 +1,20 @@
-"""Time arithmetic on columns."""
+"""Time arithmetic as SQL expressions."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def epoch_seconds(moment: Column) -> Column:
+def epoch_seconds(moment: str) -> str:
     """Whole seconds since 1970, sub-seconds floored.
 
     The cast through timestamp admits timestamps without time zone, which have
     no direct cast to a number.
     """
-    return moment.cast("timestamp").cast("bigint")
+    return f"cast(cast({moment} as timestamp) as bigint)"
 
 
-def whole_hours(start: Column, stop: Column) -> Column:
+def whole_hours(start: str, stop: str) -> str:
     """Hours from start to stop in epoch seconds, rounded toward minus infinity."""
-    return F.floor((stop - start) / 3600).cast("int")
+    return f"cast(floor(({stop} - {start}) / 3600) as int)"
 
 
-def whole_minutes(seconds: Column) -> Column:
+def whole_minutes(seconds: str) -> str:
     """Seconds to minutes, truncated toward zero."""
-    return F.call_function("div", seconds, F.lit(60))
+    return f"({seconds} div 60)"

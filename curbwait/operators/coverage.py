@@ -17,47 +17,46 @@ def overlaps(zone_edges: DataFrame, grid: Grid, by: str = "borough") -> DataFram
     repeated = repeated_edges(zone_edges, by)
     crossing = crossing_edges(zone_edges, grid, by)
     nested = nested_vertices(zone_edges, grid, by)
-    return repeated.unionByName(crossing).unionByName(nested).distinct()
+    return repeated.union(crossing).union(nested).distinct()
 
 
 def repeated_edges(zone_edges: DataFrame, by: str) -> DataFrame:
     repeated = segments(zone_edges, by).where("n > 2 or abs(net) > 1")
-    return repeated.select(by, F.lit("repeated edge").alias("reason"))
+    return repeated.selectExpr(by, "'repeated edge' as reason")
 
 
 def crossing_edges(zone_edges: DataFrame, grid: Grid, by: str) -> DataFrame:
     """Edges of different zones that cross, looked for within each grid cell."""
-    placed = (
-        edges_by_band(upward(zone_edges, by, "zone"), grid)
-        .withColumn("column", F.explode_outer(F.sequence("c0", "c1")))
-        .select(by, "zone", "band", "column", F.struct("x1", "y1", "x2", "y2").alias("e"))
+    placed = edges_by_band(upward(zone_edges, by, "zone"), grid).selectExpr(
+        by,
+        "zone",
+        "band",
+        "explode_outer(sequence(c0, c1)) as column",
+        "struct(x1, y1, x2, y2) as e",
     )
-    a, b = placed.alias("a"), placed.alias("b")
-    same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (by, "band", "column")]
-    e, f = F.col("a.e"), F.col("b.e")
-    crossing = (turn(e, f.x1, f.y1) * turn(e, f.x2, f.y2) < 0) & (
-        turn(f, e.x1, e.y1) * turn(f, e.x2, e.y2) < 0
-    )
-    pairs = a.join(b, [*same_cell, F.col("a.zone") < F.col("b.zone"), crossing], "left_semi")
-    return pairs.select(by, F.lit("crossing edges").alias("reason"))
+
+    def apart(edge, other):
+        ends = [turn(edge, f"{other}.x{i}", f"{other}.y{i}") for i in (1, 2)]
+        return f"{ends[0]} * {ends[1]} < 0"
+
+    same_cell = " and ".join(f"a.{c} = b.{c}" for c in (by, "band", "column"))
+    crossing = f"{same_cell} and a.zone < b.zone and {apart('a.e', 'b.e')} and {apart('b.e', 'a.e')}"
+    pairs = placed.alias("a").join(placed.alias("b"), F.expr(crossing), "left_semi")
+    return pairs.selectExpr(by, "'crossing edges' as reason")
 
 
 def nested_vertices(zone_edges: DataFrame, grid: Grid, by: str) -> DataFrame:
     """Zone vertices inside another zone of the region, looked for in the bands."""
-    vertices = zone_edges.select(
-        by, "zone", "x1", "y1", grid.band(F.col("y1")).alias("at")
-    )
+    vertices = zone_edges.selectExpr(by, "zone", "x1 as x", "y1 as y", f"{grid.band('y1')} as at")
     others = parts_by_band(
-        zone_edges.withColumns({"region": F.col(by), "part": F.col("zone")}), grid
+        zone_edges.selectExpr("*", f"{by} as region", "zone as part"), grid
     )
-    x, y = F.col("x1"), F.col("y1")
     nested = vertices.join(
         others,
-        (F.col(by) == F.col("region"))
-        & (F.col("at") == F.col("band"))
-        & (F.col("zone") != F.col("part"))
-        & x.between(F.col("x_min"), F.col("x_max"))
-        & contains(F.col("edges"), x, y),
+        F.expr(
+            f"""{by} = region and at = band and zone <> part
+                and x between x_min and x_max and {contains('edges', 'x', 'y')}"""
+        ),
         "left_semi",
     )
-    return nested.select(by, F.lit("nested vertex").alias("reason"))
+    return nested.selectExpr(by, "'nested vertex' as reason")

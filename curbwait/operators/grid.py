@@ -1,9 +1,12 @@
-"""A grid over region borders, and the borders by its bands and cells."""
+"""A grid over region borders, and the borders by its bands and cells.
+
+Cells and bands are computed for edges and points by the same monotonic floor.
+"""
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARGIN = 0.01  # of a cell; rounding in clipping an edge to a band is far below it
@@ -28,68 +31,67 @@ class Grid:
     def height(self) -> float:
         return (self.y1 - self.y0) / self.bands or 1.0
 
-    def column(self, x: Column) -> Column:
-        n = F.floor((x - self.x0) / self.width)
-        return F.greatest(F.lit(0), F.least(n, F.lit(self.columns - 1)))
+    def column(self, x: str) -> str:
+        return _step(x, self.x0, self.width, self.columns)
 
-    def band(self, y: Column) -> Column:
-        n = F.floor((y - self.y0) / self.height)
-        return F.greatest(F.lit(0), F.least(n, F.lit(self.bands - 1)))
+    def band(self, y: str) -> str:
+        return _step(y, self.y0, self.height, self.bands)
 
-    def cell(self, column: Column, band: Column) -> Column:
-        return band * self.columns + column
+    def cell(self, column: str, band: str) -> str:
+        return f"({band} * {self.columns} + {column})"
 
-    def covers(self, x: Column, y: Column) -> Column:
-        """False for points beyond the grid, and for null and NaN."""
-        return x.between(self.x0, self.x1) & y.between(self.y0, self.y1)
+    def covers(self, x: str, y: str) -> str:
+        """False for points beyond the grid and for NaN."""
+        return (
+            f"({x} between {self.x0!r}D and {self.x1!r}D"
+            f" and {y} between {self.y0!r}D and {self.y1!r}D)"
+        )
 
 
-def upward(edges: DataFrame, *keys: str) -> DataFrame:
-    """Edges with their lower end first, as lookups compare them."""
-    flip = (F.col("y1") > F.col("y2")) | ((F.col("y1") == F.col("y2")) & (F.col("x1") > F.col("x2")))
-    return edges.select(
-        *keys,
-        *[
-            F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a)
-            for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))
-        ],
-    )
+def _step(value: str, start: float, size: float, steps: int) -> str:
+    return f"greatest(0, least(floor(({value} - ({start!r}D)) / {size!r}D), {steps - 1}))"
+
+
+def _power_of_two(wanted: float, least: int, most: int) -> int:
+    return min(max(least, 2 ** math.ceil(math.log2(wanted))), most)
 
 
 def fit_grid(
-    zone_edges: DataFrame, by: str, columns: int = 128, bands: int | None = None
+    zone_edges: DataFrame, by: str, columns: int | None = None, bands: int | None = None
 ) -> tuple[Grid, float]:
     """A grid over the edges, and a bound on the bytes of an index on it.
 
+    By default it is as fine as the edges are many: bands to hold about sixteen
+    edges that start there, and columns to leave a border few of the cells.
+
     The bound follows from extents alone: an edge enters the bands its height
     reaches, and a region's cells lie in the boxes around its zones. Rings are
     closed, so the starts of their edges span the box.
     """
-    x, y = F.col("x1"), F.col("y1")
     boxes = zone_edges.groupBy(by, "zone").agg(
-        F.count("*").alias("n"),
-        F.sum(F.abs(F.col("y2") - y)).alias("climb"),
-        *[f(c).alias(name) for f, c, name in (
-            (F.min, x, "left"), (F.min, y, "low"), (F.max, x, "right"), (F.max, y, "high")
-        )],
+        F.expr("count(*) as n"),
+        F.expr("sum(abs(y2 - y1)) as climb"),
+        F.expr("min(x1) as left"),
+        F.expr("min(y1) as low"),
+        F.expr("max(x1) as right"),
+        F.expr("max(y1) as high"),
     )
-    across, up = F.col("right") - F.col("left"), F.col("high") - F.col("low")
-    total = boxes.agg(
-        F.count("*").alias("zones"),
-        F.sum("n").alias("n"),
-        F.sum("climb").alias("climb"),
-        F.min("left").alias("left"),
-        F.min("low").alias("low"),
-        F.max("right").alias("right"),
-        F.max("high").alias("high"),
-        F.sum(across).alias("across"),
-        F.sum(up).alias("up"),
-        F.sum(across * up).alias("boxes"),
+    total = boxes.selectExpr(
+        "count(*) as zones",
+        "sum(n) as n",
+        "sum(climb) as climb",
+        "min(left) as left",
+        "min(low) as low",
+        "max(right) as right",
+        "max(high) as high",
+        "sum(right - left) as across",
+        "sum(high - low) as up",
+        "sum((right - left) * (high - low)) as boxes",
     ).first()
     if not total.n:
         return Grid(0.0, 0.0, 0.0, 0.0, 1, 1), 0.0
-    if bands is None:
-        bands = min(max(128, 2 ** math.ceil(math.log2(total.n / 16))), 8192)
+    bands = bands or _power_of_two(total.n / 16, 64, 4096)
+    columns = columns or _power_of_two(2 * math.sqrt(total.n), 64, 256)
     grid = Grid(total.left, total.low, total.right, total.high, columns, bands)
     entries = 2 * total.n + total.climb / grid.height
     cells = (
@@ -100,24 +102,40 @@ def fit_grid(
     return grid, entries * EDGE_BYTES + cells * CELL_BYTES
 
 
+def upward(edges: DataFrame, *keys: str) -> DataFrame:
+    """Edges with their lower end first, as lookups compare them."""
+    falls = "(y1 > y2 or (y1 = y2 and x1 > x2))"
+    return edges.selectExpr(
+        *keys,
+        f"if({falls}, x2, x1) as x1",
+        f"if({falls}, y2, y1) as y1",
+        f"if({falls}, x1, x2) as x2",
+        f"if({falls}, y1, y2) as y2",
+    )
+
+
 def edges_by_band(edges: DataFrame, grid: Grid) -> DataFrame:
     """Upward edges once per band they reach, with the columns ``c0`` to ``c1``
-    they pass through there."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    they pass through there, a margin to each side."""
     slack_x, slack_y = grid.width * MARGIN, grid.height * MARGIN
-    floor_y = grid.y0 + F.col("band") * grid.height
-    run = F.when(y2 > y1, (x2 - x1) / (y2 - y1))
-    enter = F.greatest(y1, floor_y - slack_y)
-    leave = F.least(y2, floor_y + grid.height + slack_y)
-    xa = F.coalesce(x1 + run * (enter - y1), x1)
-    xb = F.coalesce(x1 + run * (leave - y1), x2)
-    return edges.withColumn(
-        "band", F.explode_outer(F.sequence(grid.band(y1), grid.band(y2)))
-    ).withColumns(
-        {
-            "c0": grid.column(F.least(xa, xb) - slack_x),
-            "c1": grid.column(F.greatest(xa, xb) + slack_x),
-        }
+    floor_y = f"{grid.y0!r}D + band * {grid.height!r}D"
+    enter = f"greatest(y1, {floor_y} - {slack_y!r}D)"
+    leave = f"least(y2, {floor_y} + {grid.height + slack_y!r}D)"
+    return (
+        edges.selectExpr(
+            "*", f"explode_outer(sequence({grid.band('y1')}, {grid.band('y2')})) as band"
+        )
+        .selectExpr(
+            "*",
+            f"if(y2 > y1, x1 + (x2 - x1) / (y2 - y1) * ({enter} - y1), x1) as xa",
+            f"if(y2 > y1, x1 + (x2 - x1) / (y2 - y1) * ({leave} - y1), x2) as xb",
+        )
+        .selectExpr(
+            *edges.columns,
+            "band",
+            f"{grid.column(f'(least(xa, xb) - {slack_x!r}D)')} as c0",
+            f"{grid.column(f'(greatest(xa, xb) + {slack_x!r}D)')} as c1",
+        )
     )
 
 
@@ -128,9 +146,9 @@ def parts_by_band(edges: DataFrame, grid: Grid) -> DataFrame:
         edges_by_band(upward(edges, "region", "part"), grid)
         .groupBy("region", "part", "band")
         .agg(
-            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-            F.min(F.least("x1", "x2")).alias("x_min"),
-            F.max(F.greatest("x1", "x2")).alias("x_max"),
-            F.collect_list(F.struct("c0", "c1")).alias("spans"),
+            F.expr("collect_list(struct(x1, y1, x2, y2)) as edges"),
+            F.expr("min(least(x1, x2)) as x_min"),
+            F.expr("max(greatest(x1, x2)) as x_max"),
+            F.expr("collect_list(struct(c0, c1)) as spans"),
         )
     )

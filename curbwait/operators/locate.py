@@ -46,7 +46,7 @@ def build_index(
     zone_edges: DataFrame,
     by: str = "borough",
     coverage: bool | None = None,
-    columns: int = 128,
+    columns: int | None = None,
     bands: int | None = None,
     broadcast_limit: int = 256 << 20,
 ) -> RegionIndex:
@@ -64,10 +64,10 @@ def build_index(
     if coverage is None:
         coverage = overlaps(zone_edges, grid, by).isEmpty()
     if coverage:
-        edges = dissolve(zone_edges, by).withColumn("part", F.col(by))
+        edges = dissolve(zone_edges, by).selectExpr("*", f"{by} as region", f"{by} as part")
     else:
-        edges = zone_edges.withColumn("part", F.col("zone"))
-    parts = parts_by_band(edges.withColumn("region", F.col(by)), grid)
+        edges = zone_edges.selectExpr("*", f"{by} as region", "zone as part")
+    parts = parts_by_band(edges, grid)
     return RegionIndex(
         by,
         grid,
@@ -80,66 +80,54 @@ def build_index(
 
 def _bands(parts: DataFrame) -> DataFrame:
     return parts.groupBy("band").agg(
-        F.collect_list(F.struct("region", "x_min", "x_max", "edges")).alias("parts")
+        F.expr("collect_list(struct(region, x_min, x_max, edges)) as parts")
     )
 
 
 def _cells(parts: DataFrame, grid: Grid) -> DataFrame:
     """Between two border columns of a band all cells are alike, so the first
     cell's centre decides for the run; beyond the outermost there is nothing."""
-    border = F.array_sort(
-        F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.c0, s.c1))))
-    )
-    y = grid.y0 + (F.col("band") + 0.5) * grid.height
-
-    def run_after(column, i):
-        until = F.get("border", i + 1)
-        x = grid.x0 + (column + 1.5) * grid.width
-        inside = (until > column + 1) & contains(F.col("edges"), x, y)
-        return F.when(inside, F.sequence(column + 1, until - 1))
-
-    runs = F.filter(F.transform("border", run_after), lambda run: run.isNotNull())
-    rows = parts.withColumn("border", border).select(
-        "region",
-        "band",
-        F.explode_outer(
-            F.concat(
-                F.transform("border", lambda c: F.struct(c.alias("column"), F.lit(True).alias("mixed"))),
-                F.transform(F.flatten(runs), lambda c: F.struct(c.alias("column"), F.lit(False).alias("mixed"))),
-            )
-        ).alias("c"),
-    )
+    x = f"({grid.x0!r}D + (c + 1.5D) * {grid.width!r}D)"
+    y = f"({grid.y0!r}D + (band + 0.5D) * {grid.height!r}D)"
+    inner_run = f"""case when get(border, i + 1) > c + 1 and {contains('edges', x, y)}
+                         then sequence(c + 1, get(border, i + 1) - 1) end"""
+    border = "array_sort(array_distinct(flatten(transform(spans, s -> sequence(s.c0, s.c1)))))"
+    runs = f"filter(transform(border, (c, i) -> {inner_run}), run -> run is not null)"
     return (
-        rows.groupBy(grid.cell(F.col("c.column"), F.col("band")).alias("cell"))
-        .agg(F.max("c.mixed").alias("mixed"), F.collect_set("region").alias("regions"))
-        .select("cell", F.when(~F.col("mixed"), F.col("regions")).alias("sure"), F.lit(True).alias("known"))
+        parts.selectExpr("region", "band", "edges", f"explode_outer(array({border})) as border")
+        .selectExpr(
+            "region",
+            "band",
+            f"""inline_outer(concat(
+                    transform(border, c -> struct(c as column, true as mixed)),
+                    transform(flatten({runs}), c -> struct(c as column, false as mixed))))""",
+        )
+        .groupBy(F.expr(f"{grid.cell('column', 'band')} as cell"))
+        .agg(F.expr("if(max(mixed), null, collect_set(region)) as sure"), F.expr("true as known"))
     )
 
 
-def regions_at(points: DataFrame, x: str, y: str, index: RegionIndex, found: str = "regions") -> DataFrame:
+def regions_at(
+    points: DataFrame, x: str, y: str, index: RegionIndex, found: str = "regions"
+) -> DataFrame:
     """The points with an array of the regions each lies in, empty if none or if
     a coordinate is missing."""
-    grid, px, py = index.grid, F.col(x), F.col(y)
-    column, band = grid.column(px), grid.band(py)
-    keyed = points.withColumn("_cell", F.when(grid.covers(px, py), grid.cell(column, band)))
-
+    grid = index.grid
+    cell = grid.cell(grid.column(x), grid.band(y))
+    keyed = points.selectExpr("*", f"if({grid.covers(x, y)}, {cell}, null) as _cell")
     at_cell = _lookup(keyed, index, index.cells, "_cell", "cell")
-    at_border = at_cell.withColumn(
-        "_band", F.when(F.col("known") & F.col("sure").isNull(), band)
-    )
-    tested = F.filter(
-        "parts", lambda p: px.between(p.x_min, p.x_max) & contains(p.edges, px, py)
-    )
-    hits = F.when(
-        F.col("parts").isNotNull(),
-        F.array_distinct(F.transform(tested, lambda p: p.region)),
-    ).otherwise(F.coalesce("sure", F.array().cast("array<string>")))
-    return _lookup(at_border, index, index.bands, "_band", "band").select(
-        *points.columns, hits.alias(found)
+    at_border = at_cell.selectExpr("*", f"if(known and sure is null, {grid.band(y)}, null) as _band")
+    tested = f"filter(parts, p -> {x} between p.x_min and p.x_max and {contains('p.edges', x, y)})"
+    hits = f"""case when parts is not null then array_distinct(transform({tested}, p -> p.region))
+                    else coalesce(sure, array()) end"""
+    return _lookup(at_border, index, index.bands, "_band", "band").selectExpr(
+        *[f"`{c}`" for c in points.columns], f"{hits} as {found}"
     )
 
 
-def _lookup(points: DataFrame, index: RegionIndex, table: DataFrame, key: str, table_key: str) -> DataFrame:
+def _lookup(
+    points: DataFrame, index: RegionIndex, table: DataFrame, key: str, table_key: str
+) -> DataFrame:
     """Left join on a unique key.
 
     Where the table is too large to broadcast, each of its rows is sent to
@@ -150,13 +138,14 @@ def _lookup(points: DataFrame, index: RegionIndex, table: DataFrame, key: str, t
     """
     if index.small:
         return points.join(F.broadcast(table), points[key] == table[table_key], "left").drop(table_key)
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns])
-    nowhere = -1 - F.pmod(content, F.lit(1 << 20))
-    copies = F.explode_outer(F.sequence(F.lit(0), F.lit(index.replicas - 1)).cast("array<bigint>"))
+    content = f"xxhash64({', '.join(f'`{c}`' for c in points.columns)})"
     salted = points.withColumns(
-        {"_salt": F.pmod(content, F.lit(index.replicas)), key: F.coalesce(key, nowhere)}
+        {
+            "_salt": F.expr(f"pmod({content}, {index.replicas})"),
+            key: F.expr(f"coalesce({key}, -1 - pmod({content}, {1 << 20}))"),
+        }
     )
-    replicated = table.withColumn("_replica", copies)
+    replicated = table.selectExpr("*", f"explode_outer(sequence(0L, {index.replicas - 1}L)) as _replica")
     return salted.join(
         replicated,
         (salted[key] == replicated[table_key]) & (salted["_salt"] == replicated["_replica"]),

@@ -15,15 +15,10 @@ def clean_trips(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The columns the analysis needs, rows with any of them missing dropped,
     times as epoch seconds. ``keep`` names further columns to carry along.
     """
-    return (
-        raw.select(*keep, *TRIP_COLUMNS)
-        .dropna("any", subset=TRIP_COLUMNS)
-        .withColumns(
-            {
-                "pickup_datetime": epoch_seconds(F.col("pickup_datetime")),
-                "dropoff_datetime": epoch_seconds(F.col("dropoff_datetime")),
-            }
-        )
+    times = ("pickup_datetime", "dropoff_datetime")
+    complete = raw.select(*keep, *TRIP_COLUMNS).dropna("any", subset=TRIP_COLUMNS)
+    return complete.selectExpr(
+        *[f"{epoch_seconds(c)} as {c}" if c in times else c for c in complete.columns]
     )
 
 
@@ -32,16 +27,14 @@ def with_points(trips: DataFrame) -> DataFrame:
     narrower to shuffle; this is for whoever wants the points in a table.
     """
     others = [c for c in trips.columns if c not in (*PICKUP, *DROPOFF)]
-    return trips.select(
-        *others,
-        point(*map(F.col, PICKUP)).alias("pickup_point"),
-        point(*map(F.col, DROPOFF)).alias("dropoff_point"),
+    return trips.selectExpr(
+        *others, f"{point(*PICKUP)} as pickup_point", f"{point(*DROPOFF)} as dropoff_point"
     )
 
 
 def with_hours(trips: DataFrame) -> DataFrame:
-    hours = whole_hours(F.col("pickup_datetime"), F.col("dropoff_datetime"))
-    return trips.withColumn("trip_in_hours", hours)
+    hours = whole_hours("pickup_datetime", "dropoff_datetime")
+    return trips.selectExpr("*", f"{hours} as trip_in_hours")
 
 
 def plausible(trips: DataFrame, lo: int = 0, hi: int = 4) -> DataFrame:
@@ -122,21 +115,14 @@ def summary(df: DataFrame) -> DataFrame:
         for f in df.schema.fields
         if isinstance(f.dataType, (T.NumericType, T.StringType))
     ]
-    aggregates = []
-    for name in described:
-        column = F.col(f"`{name}`")
-        number = column.try_cast("double")
-        aggregates.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.count(column).alias("count"),
-                F.avg(number).alias("mean"),
-                F.stddev(number).alias("stddev"),
-                F.min(column).cast("string").alias("min"),
-                F.max(column).cast("string").alias("max"),
-            )
-        )
-    return df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows"))
+    rows = [
+        f"""struct('{name}' as column_name, count(`{name}`) as count,
+                   avg(try_cast(`{name}` as double)) as mean,
+                   stddev(try_cast(`{name}` as double)) as stddev,
+                   string(min(`{name}`)) as min, string(max(`{name}`)) as max)"""
+        for name in described
+    ]
+    return df.selectExpr(f"array({', '.join(rows)}) as rows").selectExpr("inline(rows)")
 
 
 def preview(df: DataFrame, by: Sequence[str], n: int = 10) -> DataFrame:

@@ -1,21 +1,26 @@
-"""Zone polygons as edge tables: parsing, area, dissolving, coverage check."""
+"""Zone polygons as edge tables: parsing, area, dissolving."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbwait.functions.geometry import oriented, point, polygon_fault, polygons_from_wkt
-
-
-def _once(value: Column) -> Column:
-    """Computes the value one time: filters on it are not pushed below a
-    generator, where they would compute it again."""
-    return F.explode_outer(F.array(value))
+from curbwait.functions.geometry import (
+    oriented,
+    point,
+    polygon_fault,
+    polygons_from_wkt,
+    ring_ends,
+    ring_starts,
+)
 
 
 def parse_zones(zones: DataFrame) -> DataFrame:
-    """Zones with their polygons as nested arrays, and ``fault``, null if usable."""
-    parsed = zones.select("*", _once(polygons_from_wkt(F.col("the_geom"))).alias("polygons"))
-    return parsed.withColumn("fault", polygon_fault(F.col("the_geom"), F.col("polygons")))
+    """Zones with their polygons as nested arrays, and ``fault``, null if usable.
+
+    The generator has the text parsed once: filters are not pushed below it.
+    """
+    return zones.selectExpr(
+        "*", f"explode_outer(array({polygons_from_wkt('the_geom')})) as polygons"
+    ).selectExpr("*", f"{polygon_fault('the_geom', 'polygons')} as fault")
 
 
 def rejected_zones(zones: DataFrame) -> DataFrame:
@@ -26,9 +31,7 @@ def rejected_zones(zones: DataFrame) -> DataFrame:
 def zone_polygons(zones: DataFrame) -> DataFrame:
     """One row per usable zone, repeats of a zone dropped."""
     return (
-        zones.select("zone", "borough", "the_geom")
-        .distinct()
-        .transform(parse_zones)
+        parse_zones(zones.select("zone", "borough", "the_geom").distinct())
         .where("fault is null")
         .select("zone", "borough", "polygons")
     )
@@ -36,59 +39,51 @@ def zone_polygons(zones: DataFrame) -> DataFrame:
 
 def zones_to_edges(zones: DataFrame) -> DataFrame:
     """One row per polygon segment, with the zone's inside on its left."""
-    polygon = F.posexplode_outer("polygons").alias("poly_idx", "polygon")
-    ring = F.posexplode_outer("polygon").alias("ring_idx", "ring")
-    rings = (
-        zone_polygons(zones)
-        .select("zone", "borough", polygon)
-        .select("zone", "borough", "poly_idx", ring)
-        .where("ring is not null")
-        .withColumn("ring", oriented(F.col("ring"), F.col("ring_idx") == 0))
-    )
-    starts = F.slice("ring", F.lit(1), F.size("ring") - 1)
-    ends = F.slice("ring", F.lit(2), F.size("ring") - 1)
-    segment = F.explode_outer(F.arrays_zip(starts.alias("a"), ends.alias("b")))
+    pair = "(a, b) -> struct(a as a, b as b)"
+    steps = f"zip_with({ring_starts('ring')}, {ring_ends('ring')}, {pair})"
     return (
-        rings.select("zone", "borough", "poly_idx", "ring_idx", segment.alias("s"))
-        .where("s.a <> s.b")
-        .select(
+        zone_polygons(zones)
+        .selectExpr("zone", "borough", "posexplode_outer(polygons) as (poly_idx, polygon)")
+        .selectExpr("zone", "borough", "poly_idx", "posexplode_outer(polygon) as (ring_idx, raw)")
+        .where("raw is not null")
+        .selectExpr("*", f"{oriented('raw', 'ring_idx = 0')} as ring")
+        .selectExpr("zone", "borough", "poly_idx", "ring_idx", f"inline_outer({steps})")
+        .where("a <> b")
+        .selectExpr(
             "zone",
             "borough",
             "poly_idx",
             "ring_idx",
-            F.expr("s.a[0]").alias("x1"),
-            F.expr("s.a[1]").alias("y1"),
-            F.expr("s.b[0]").alias("x2"),
-            F.expr("s.b[1]").alias("y2"),
+            "a[0] as x1",
+            "a[1] as y1",
+            "b[0] as x2",
+            "b[1] as y2",
         )
     )
 
 
 def area(edges: DataFrame, by: str) -> DataFrame:
     """Planar area per ``by``, largest first."""
-    strip = (F.col("x1") + F.col("x2")) * (F.col("y2") - F.col("y1")) / 2
     return (
         edges.groupBy(by)
-        .agg(F.abs(F.sum(strip)).alias("location_area"))
+        .agg(F.expr("abs(sum((x1 + x2) * (y2 - y1) / 2)) as location_area"))
         .orderBy(F.desc("location_area"), by)
     )
 
 
 def segments(edges: DataFrame, by: str) -> DataFrame:
     """Coinciding edges of a region as one row: ``n`` of them, ``net`` of which
-    run from the lesser to the greater end."""
-    start, stop = point(F.col("x1"), F.col("y1")), point(F.col("x2"), F.col("y2"))
-    forward = start <= stop
+    run from the lesser end ``p`` to the greater end ``q``."""
+    start, stop = point("x1", "y1"), point("x2", "y2")
     return (
-        edges.withColumns(
-            {
-                "p": F.when(forward, start).otherwise(stop),
-                "q": F.when(forward, stop).otherwise(start),
-                "way": F.when(forward, 1).otherwise(-1),
-            }
+        edges.selectExpr(
+            by,
+            f"least({start}, {stop}) as p",
+            f"greatest({start}, {stop}) as q",
+            f"if({start} <= {stop}, 1, -1) as way",
         )
-        .groupBy(by, "p.x", "p.y", F.col("q.x").alias("qx"), F.col("q.y").alias("qy"))
-        .agg(F.count("*").alias("n"), F.sum("way").alias("net"))
+        .groupBy(by, "p.x", "p.y", F.expr("q.x as qx"), F.expr("q.y as qy"))
+        .agg(F.expr("count(*) as n"), F.expr("sum(way) as net"))
     )
 
 
@@ -99,19 +94,14 @@ def dissolve(edges: DataFrame, by: str = "borough") -> DataFrame:
     their border vertex for vertex. Where only vertices fail to match, area and
     containment are still right. ``overlaps`` finds the other cases.
     """
-    forward = F.col("net") > 0
-
-    def pick(first, second):
-        return F.when(forward, F.col(first)).otherwise(F.col(second))
-
     return (
         segments(edges, by)
         .where("net <> 0")
-        .select(
+        .selectExpr(
             by,
-            pick("x", "qx").alias("x1"),
-            pick("y", "qy").alias("y1"),
-            pick("qx", "x").alias("x2"),
-            pick("qy", "y").alias("y2"),
+            "if(net > 0, x, qx) as x1",
+            "if(net > 0, y, qy) as y1",
+            "if(net > 0, qx, x) as x2",
+            "if(net > 0, qy, y) as y2",
         )
     )

@@ -33,9 +33,8 @@ def od_gaps(gaps: DataFrame, index: RegionIndex) -> DataFrame:
     the next pick-up; only where both lie in a region."""
     picked_up = locate(gaps, *NEXT_PICKUP, index, "next_pickup_borough")
     both = locate(picked_up, *DROPOFF, index, "dropoff_borough")
-    return both.withColumn(
-        "next_fare_duration", whole_minutes(F.col("next_fare_duration"))
-    )
+    minutes = F.expr(whole_minutes("next_fare_duration"))
+    return both.withColumn("next_fare_duration", minutes)
 
 
 def idle_report(trip_table: DataFrame, index: RegionIndex, **options) -> DataFrame:

@@ -23,8 +23,15 @@ def _clean(spark, folder, keep=("trip_id",)):
     return trips.clean_trips(fixtures.trips_raw(spark, folder), keep)
 
 
+_indexes = {}
+
+
 def _index(spark, folder):
-    return jobs.region_index(fixtures.zones(spark, folder))
+    """The region index, built once per session and folder."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _indexes:
+        _indexes[key] = jobs.region_index(fixtures.zones(spark, folder))
+    return _indexes[key]
 
 
 def _edges(spark, folder):
