@@ -79,16 +79,18 @@ def turn(e: str, x: str, y: str) -> str:
     return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({x} - {e}.x1) * ({e}.y2 - {e}.y1))"
 
 
-def contains(edges: str, x: str, y: str) -> str:
+def contains(edges: str, x: str, y: str, beyond: str = "false") -> str:
     """Is the point inside the edges' shape? The boundary does not count.
 
-    Even-odd rule: a ray to the right crosses an odd number of edges. With no
-    tolerance, no division, and every edge taken lower end first, a point beside
-    a border shared by two shapes is on the same side of it for both.
+    Even-odd rule: a ray to the right crosses an odd number of edges. ``beyond``
+    is whether the ray ends inside the shape, for edges that are only those near
+    the point. With no tolerance, no division, and every edge taken lower end
+    first, a point beside a border shared by two shapes is on the same side of it
+    for both.
     """
     side = turn("e", x, y)
     crosses = f"e.y1 <= {y} and {y} < e.y2 and {side} > 0"
     passes = f"""e.y1 <= {y} and {y} <= e.y2 and {side} = 0
                  and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2)"""
-    return f"""(size(filter({edges}, e -> {crosses})) % 2 = 1
+    return f"""((size(filter({edges}, e -> {crosses})) % 2 = 1) <> {beyond}
                 and not exists({edges}, e -> {passes}))"""

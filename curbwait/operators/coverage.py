@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbwait.functions.geometry import contains, turn
-from curbwait.operators.grid import Grid, edges_by_band, parts_by_band, upward
+from curbwait.operators.grid import Grid, edges_by_band, upward
 from curbwait.operators.zones import segments
 
 
@@ -48,13 +48,19 @@ def crossing_edges(zone_edges: DataFrame, grid: Grid, by: str) -> DataFrame:
 def nested_vertices(zone_edges: DataFrame, grid: Grid, by: str) -> DataFrame:
     """Zone vertices inside another zone of the region, looked for in the bands."""
     vertices = zone_edges.selectExpr(by, "zone", "x1 as x", "y1 as y", f"{grid.band('y1')} as at")
-    others = parts_by_band(
-        zone_edges.selectExpr("*", f"{by} as region", "zone as part"), grid
+    others = (
+        edges_by_band(upward(zone_edges, f"{by} as region", "zone as other"), grid)
+        .groupBy("region", "other", "band")
+        .agg(
+            F.expr("collect_list(struct(x1, y1, x2, y2)) as edges"),
+            F.expr("min(least(x1, x2)) as x_min"),
+            F.expr("max(greatest(x1, x2)) as x_max"),
+        )
     )
     nested = vertices.join(
         others,
         F.expr(
-            f"""{by} = region and at = band and zone <> part
+            f"""{by} = region and at = band and zone <> other
                 and x between x_min and x_max and {contains('edges', 'x', 'y')}"""
         ),
         "left_semi",

@@ -139,16 +139,39 @@ def edges_by_band(edges: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def parts_by_band(edges: DataFrame, grid: Grid) -> DataFrame:
-    """One row per region, part and band: the edges there, their reach, and the
-    columns they pass through."""
+def border_runs(edges: DataFrame, grid: Grid) -> DataFrame:
+    """One row per region, part and run: a run of a band is a stretch of columns
+    from ``run`` to ``run_end`` that borders of any part pass through. Holds the
+    part's edges there, whether the part is inside ``beyond`` its right end, and
+    ``next_run``, where the part's border is met again.
+
+    No border passes between two runs, so a part is inside there if an odd number
+    of its edges cross the band's middle line up to the run's end.
+    """
+    in_order = "partition by band order by c0, c1 rows between unbounded preceding"
+    middle = f"{grid.y0!r}D + (band + 0.5D) * {grid.height!r}D"
+    along = "(partition by region, part, band order by run)"
     return (
         edges_by_band(upward(edges, "region", "part"), grid)
-        .groupBy("region", "part", "band")
+        .selectExpr("*", f"max(c1) over ({in_order} and 1 preceding) as reached")
+        .selectExpr(
+            "*",
+            f"""max(if(reached is null or c0 > reached + 1, c0, null))
+                over ({in_order} and current row) as run""",
+        )
+        .selectExpr("*", "max(c1) over (partition by band, run) as run_end")
+        .groupBy("region", "part", "band", "run", "run_end")
         .agg(
             F.expr("collect_list(struct(x1, y1, x2, y2)) as edges"),
-            F.expr("min(least(x1, x2)) as x_min"),
-            F.expr("max(greatest(x1, x2)) as x_max"),
-            F.expr("collect_list(struct(c0, c1)) as spans"),
+            F.expr(f"count_if(y1 <= {middle} and {middle} < y2) as crossings"),
+        )
+        .selectExpr(
+            "region",
+            "band",
+            "run",
+            "run_end",
+            "edges",
+            f"sum(crossings) over {along} % 2 = 1 as beyond",
+            f"lead(run) over {along} as next_run",
         )
     )

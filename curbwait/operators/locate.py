@@ -1,11 +1,12 @@
 """Which regions a point lies in: an exact spatial join on equi-keys.
 
 A grid is laid over the regions. A cell no border passes through lies as a whole
-inside or outside each region, so its points need one hash lookup. For points in
-the other cells the region is decided by the edges of their horizontal band, the
-only ones a ray to the right can meet. Cells and bands are computed for edges
-and points by the same monotonic floor, and borders claim cells with a margin,
-so the shortcut never changes an answer.
+inside or outside each region, so its points need one hash lookup. Along a band
+of the grid, cells with borders form runs. A point in a run is decided by the
+edges of that run, the only ones a ray to the right can meet before it reaches
+the cell beyond, and by which regions hold that cell. Cells and runs are found
+for edges and points by the same monotonic floor, and borders claim cells with a
+margin, so the shortcut never changes an answer.
 """
 
 from dataclasses import dataclass, replace
@@ -15,20 +16,21 @@ from pyspark.sql import functions as F
 
 from curbwait.functions.geometry import contains
 from curbwait.operators.coverage import overlaps
-from curbwait.operators.grid import Grid, fit_grid, parts_by_band
+from curbwait.operators.grid import Grid, border_runs, fit_grid
 from curbwait.operators.zones import dissolve
 
 
 @dataclass(frozen=True)
 class RegionIndex:
-    """``cells``: cell and ``sure``, the regions it lies in, null if a border
-    passes through. ``bands``: band and ``parts``, the edges of each region.
-    ``small``: both are proven to fit a broadcast."""
+    """``cells``: cell, ``sure``, the regions it lies in as a whole, and ``at``,
+    its run, null if no border passes through. ``runs``: run and ``parts``, each
+    with region, edges and beyond. ``small``: both are proven to fit a broadcast.
+    """
 
     by: str
     grid: Grid
     cells: DataFrame
-    bands: DataFrame
+    runs: DataFrame
     small: bool
     edges: DataFrame
     replicas: int = 32
@@ -38,7 +40,7 @@ class RegionIndex:
         return replace(self, small=False, replicas=replicas)
 
     def release(self) -> None:
-        for kept in (self.cells, self.bands, self.edges):
+        for kept in (self.cells, self.runs, self.edges):
             kept.unpersist()
 
 
@@ -67,43 +69,41 @@ def build_index(
         edges = dissolve(zone_edges, by).selectExpr("*", f"{by} as region", f"{by} as part")
     else:
         edges = zone_edges.selectExpr("*", f"{by} as region", "zone as part")
-    parts = parts_by_band(edges, grid)
+    borders = border_runs(edges, grid)
     return RegionIndex(
         by,
         grid,
-        _cells(parts, grid).persist(),
-        _bands(parts).persist(),
+        _cells(borders, grid).persist(),
+        _runs(borders, grid).persist(),
         size <= broadcast_limit,
         zone_edges,
     )
 
 
-def _bands(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("band").agg(
-        F.expr("collect_list(struct(region, x_min, x_max, edges)) as parts")
+def _runs(borders: DataFrame, grid: Grid) -> DataFrame:
+    return borders.groupBy(F.expr(f"{grid.cell('run', 'band')} as run")).agg(
+        F.expr("collect_list(struct(region, beyond, edges)) as parts")
     )
 
 
-def _cells(parts: DataFrame, grid: Grid) -> DataFrame:
-    """Between two border columns of a band all cells are alike, so the first
-    cell's centre decides for the run; beyond the outermost there is nothing."""
-    x = f"({grid.x0!r}D + (c + 1.5D) * {grid.width!r}D)"
-    y = f"({grid.y0!r}D + (band + 0.5D) * {grid.height!r}D)"
-    inner_run = f"""case when get(border, i + 1) > c + 1 and {contains('edges', x, y)}
-                         then sequence(c + 1, get(border, i + 1) - 1) end"""
-    border = "array_sort(array_distinct(flatten(transform(spans, s -> sequence(s.c0, s.c1)))))"
-    runs = f"filter(transform(border, (c, i) -> {inner_run}), run -> run is not null)"
+def _cells(borders: DataFrame, grid: Grid) -> DataFrame:
+    cell = grid.cell("column", "band")
+    on_border = borders.select("band", "run", "run_end").distinct().selectExpr(
+        f"{grid.cell('run', 'band')} as at",
+        "cast(null as string) as region",
+        "band",
+        "explode_outer(sequence(run, run_end)) as column",
+    )
+    between = borders.where("beyond and next_run > run_end + 1").selectExpr(
+        "cast(null as bigint) as at",
+        "region",
+        "band",
+        "explode_outer(sequence(run_end + 1, next_run - 1)) as column",
+    )
     return (
-        parts.selectExpr("region", "band", "edges", f"explode_outer(array({border})) as border")
-        .selectExpr(
-            "region",
-            "band",
-            f"""inline_outer(concat(
-                    transform(border, c -> struct(c as column, true as mixed)),
-                    transform(flatten({runs}), c -> struct(c as column, false as mixed))))""",
-        )
-        .groupBy(F.expr(f"{grid.cell('column', 'band')} as cell"))
-        .agg(F.expr("if(max(mixed), null, collect_set(region)) as sure"), F.expr("true as known"))
+        on_border.union(between)
+        .groupBy(F.expr(f"{cell} as cell"))
+        .agg(F.expr("max(at) as at"), F.expr("collect_set(region) as sure"))
     )
 
 
@@ -115,14 +115,13 @@ def regions_at(
     grid = index.grid
     cell = grid.cell(grid.column(x), grid.band(y))
     keyed = points.selectExpr("*", f"if({grid.covers(x, y)}, {cell}, null) as _cell")
-    at_cell = _lookup(keyed, index, index.cells, "_cell", "cell")
-    at_border = at_cell.selectExpr("*", f"if(known and sure is null, {grid.band(y)}, null) as _band")
-    tested = f"filter(parts, p -> {x} between p.x_min and p.x_max and {contains('p.edges', x, y)})"
-    hits = f"""case when parts is not null then array_distinct(transform({tested}, p -> p.region))
+    in_cell = _lookup(keyed, index, index.cells, "_cell", "cell")
+    in_run = _lookup(in_cell, index, index.runs, "at", "run")
+    tested = f"filter(parts, p -> {contains('p.edges', x, y, 'p.beyond')})"
+    hits = f"""case when parts is not null
+                    then array_distinct(concat(sure, transform({tested}, p -> p.region)))
                     else coalesce(sure, array()) end"""
-    return _lookup(at_border, index, index.bands, "_band", "band").selectExpr(
-        *[f"`{c}`" for c in points.columns], f"{hits} as {found}"
-    )
+    return in_run.selectExpr(*[f"`{c}`" for c in points.columns], f"{hits} as {found}")
 
 
 def _lookup(
@@ -155,8 +154,13 @@ def _lookup(
 
 def locate(points: DataFrame, x: str, y: str, index: RegionIndex, name: str | None = None) -> DataFrame:
     """Inner join of points with the regions that contain them."""
+    name = name or index.by
     found = regions_at(points, x, y, index, "_found")
-    return found.select(*points.columns, F.explode("_found").alias(name or index.by))
+    # an outer generator: a plain one would have the lookup computed twice, once
+    # to filter out the empty arrays
+    return found.select(*points.columns, F.explode_outer("_found").alias(name)).where(
+        f"{name} is not null"
+    )
 
 
 def inside(points: DataFrame, x: str, y: str, index: RegionIndex) -> DataFrame:
