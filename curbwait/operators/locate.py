@@ -18,6 +18,7 @@ from curbwait.functions.geometry import contains
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import Grid, border_runs, fit_grid
 from curbwait.operators.zones import dissolve
+from curbwait.session import use_checkpoints
 
 
 @dataclass(frozen=True)
@@ -39,10 +40,6 @@ class RegionIndex:
         """The same index, joined by shuffle instead of broadcast."""
         return replace(self, small=False, replicas=replicas)
 
-    def release(self) -> None:
-        for kept in (self.cells, self.runs, self.edges):
-            kept.unpersist()
-
 
 def build_index(
     zone_edges: DataFrame,
@@ -58,10 +55,11 @@ def build_index(
     for zones that overlap, it is wherever any of its zones is. By default the
     edges are looked over to tell which.
 
-    Edges and index are kept in memory, or on disk, as several jobs read them;
-    ``release`` frees them.
+    Edges and index are checkpointed, as several jobs read them: those jobs then
+    plan on bare tables, and a job that looks up twice broadcasts once.
     """
-    zone_edges = zone_edges.persist()
+    use_checkpoints(zone_edges.sparkSession)
+    zone_edges = zone_edges.checkpoint()
     grid, size = fit_grid(zone_edges, by, columns, bands)
     if coverage is None:
         coverage = overlaps(zone_edges, grid, by).isEmpty()
@@ -73,8 +71,8 @@ def build_index(
     return RegionIndex(
         by,
         grid,
-        _cells(borders, grid).persist(),
-        _runs(borders, grid).persist(),
+        _cells(borders, grid).checkpoint(),
+        _runs(borders, grid).checkpoint(),
         size <= broadcast_limit,
         zone_edges,
     )

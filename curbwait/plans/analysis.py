@@ -49,5 +49,4 @@ def analyse(
     od = kept(jobs.od_gaps(next_fare.positive_gaps(paired), index), "idle_trips")
     idle = kept(regions.idle_by_region(od), "idle_by_region")
     sinks.write_features(jobs.choropleth(idle, zone_table), f"{out}/map")
-    index.release()
     return idle

@@ -15,15 +15,12 @@ def index(spark):
 
 
 def plan(df):
-    """The physical plan, without the plans of cached tables below it."""
-    kept, cached = [], None
-    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
-        depth = len(line) - len(line.lstrip(" :+-"))
-        if cached is not None and depth > cached:
-            continue
-        cached = depth if "InMemoryTableScan" in line else None
-        kept.append(line)
-    return "\n".join(kept)
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
 
 
 def test_locate_broadcasts_the_index_and_moves_no_points(spark, index):
@@ -44,6 +41,12 @@ def test_the_report_shuffles_trips_once_and_rows_of_regions(spark, index):
         assert bad not in text
 
 
+def test_the_report_broadcasts_the_index_once(spark, index):
+    text = final_plan(jobs.idle_report(fixtures.trips(spark, FOLDER), index))
+    assert text.count("BroadcastHashJoin") == 4
+    assert text.count("ReusedExchange") == 2
+
+
 def test_a_large_index_is_joined_by_shuffle(spark, index):
     points = fixtures.trips(spark, FOLDER).select("trip_id", *DROPOFF)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
