@@ -146,7 +146,8 @@ def border_runs(edges: DataFrame, grid: Grid) -> DataFrame:
     ``next_run``, where the part's border is met again.
 
     No border passes between two runs, so a part is inside there if an odd number
-    of its edges cross the band's middle line up to the run's end.
+    of its edges cross the band's middle line up to the run's end. One shuffle by
+    band serves all the windows and groups.
     """
     in_order = "partition by band order by c0, c1 rows between unbounded preceding"
     middle = f"{grid.y0!r}D + (band + 0.5D) * {grid.height!r}D"

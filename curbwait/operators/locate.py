@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 from curbwait.functions.geometry import contains
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import Grid, border_runs, fit_grid
+from curbwait.operators.skew import HOT_ROWS, spread_join
 from curbwait.operators.zones import dissolve
 from curbwait.session import use_checkpoints
 
 
 @dataclass(frozen=True)
 class RegionIndex:
-    """``cells``: cell, ``sure``, the regions it lies in as a whole, and ``at``,
-    its run, null if no border passes through. ``runs``: run and ``parts``, each
-    with region, edges and beyond. ``small``: both are proven to fit a broadcast.
+    """``cells``: cell, the regions it surely lies in, and its run, null if no
+    border passes through. ``runs``: run and its parts, each with region, edges
+    and beyond. ``small``: both are proven to fit a broadcast.
     """
 
     by: str
@@ -34,11 +35,11 @@ class RegionIndex:
     runs: DataFrame
     small: bool
     edges: DataFrame
-    replicas: int = 32
+    hot_rows: int = HOT_ROWS
 
-    def shuffled(self, replicas: int = 32) -> "RegionIndex":
+    def shuffled(self, hot_rows: int = HOT_ROWS) -> "RegionIndex":
         """The same index, joined by shuffle instead of broadcast."""
-        return replace(self, small=False, replicas=replicas)
+        return replace(self, small=False, hot_rows=hot_rows)
 
 
 def build_index(
@@ -79,29 +80,27 @@ def build_index(
 
 
 def _runs(borders: DataFrame, grid: Grid) -> DataFrame:
-    return borders.groupBy(F.expr(f"{grid.cell('run', 'band')} as run")).agg(
-        F.expr("collect_list(struct(region, beyond, edges)) as parts")
+    return (
+        borders.groupBy("band", "run")
+        .agg(F.expr("collect_list(struct(region, beyond, edges)) as parts"))
+        .selectExpr(f"{grid.cell('run', 'band')} as _run", "parts as _parts")
     )
 
 
 def _cells(borders: DataFrame, grid: Grid) -> DataFrame:
-    cell = grid.cell("column", "band")
-    on_border = borders.select("band", "run", "run_end").distinct().selectExpr(
-        f"{grid.cell('run', 'band')} as at",
-        "cast(null as string) as region",
-        "band",
-        "explode_outer(sequence(run, run_end)) as column",
-    )
-    between = borders.where("beyond and next_run > run_end + 1").selectExpr(
-        "cast(null as bigint) as at",
-        "region",
-        "band",
-        "explode_outer(sequence(run_end + 1, next_run - 1)) as column",
-    )
+    key = grid.cell("run", "band")
+    on_border = f"""transform(sequence(run, run_end),
+        c -> named_struct('column', c, 'at', {key}, 'region', cast(null as string)))"""
+    between = f"""transform(sequence(run_end + 1, next_run - 1),
+        c -> named_struct('column', c, 'at', cast(null as bigint), 'region', region))"""
+    wide = "beyond and next_run > run_end + 1"
     return (
-        on_border.union(between)
-        .groupBy(F.expr(f"{cell} as cell"))
+        borders.selectExpr(
+            "band", f"inline_outer(concat({on_border}, if({wide}, {between}, array())))"
+        )
+        .groupBy("band", "column")
         .agg(F.expr("max(at) as at"), F.expr("collect_set(region) as sure"))
+        .selectExpr(f"{grid.cell('column', 'band')} as _cell", "at as _run", "sure as _sure")
     )
 
 
@@ -113,41 +112,20 @@ def regions_at(
     grid = index.grid
     cell = grid.cell(grid.column(x), grid.band(y))
     keyed = points.selectExpr("*", f"if({grid.covers(x, y)}, {cell}, null) as _cell")
-    in_cell = _lookup(keyed, index, index.cells, "_cell", "cell")
-    in_run = _lookup(in_cell, index, index.runs, "at", "run")
-    tested = f"filter(parts, p -> {contains('p.edges', x, y, 'p.beyond')})"
-    hits = f"""case when parts is not null
-                    then array_distinct(concat(sure, transform({tested}, p -> p.region)))
-                    else coalesce(sure, array()) end"""
+    in_cell = _lookup(keyed, index, index.cells, "_cell")
+    in_run = _lookup(in_cell, index, index.runs, "_run")
+    tested = f"filter(_parts, p -> {contains('p.edges', x, y, 'p.beyond')})"
+    hits = f"""case when _parts is not null
+                    then array_distinct(concat(_sure, transform({tested}, p -> p.region)))
+                    else coalesce(_sure, array()) end"""
     return in_run.selectExpr(*[f"`{c}`" for c in points.columns], f"{hits} as {found}")
 
 
-def _lookup(
-    points: DataFrame, index: RegionIndex, table: DataFrame, key: str, table_key: str
-) -> DataFrame:
-    """Left join on a unique key.
-
-    Where the table is too large to broadcast, each of its rows is sent to
-    ``replicas`` places and the points of one key are spread over them by their
-    whole content, so a crowded cell is no single task. Rows equal throughout
-    stay together there; they are split by adaptive skew joins. Points without a
-    key get one that matches nothing, so that they spread too.
-    """
+def _lookup(points: DataFrame, index: RegionIndex, table: DataFrame, key: str) -> DataFrame:
+    """Left join with one of the index's tables on its key."""
     if index.small:
-        return points.join(F.broadcast(table), points[key] == table[table_key], "left").drop(table_key)
-    content = f"xxhash64({', '.join(f'`{c}`' for c in points.columns)})"
-    salted = points.withColumns(
-        {
-            "_salt": F.expr(f"pmod({content}, {index.replicas})"),
-            key: F.expr(f"coalesce({key}, -1 - pmod({content}, {1 << 20}))"),
-        }
-    )
-    replicated = table.selectExpr("*", f"explode_outer(sequence(0L, {index.replicas - 1}L)) as _replica")
-    return salted.join(
-        replicated,
-        (salted[key] == replicated[table_key]) & (salted["_salt"] == replicated["_replica"]),
-        "left",
-    ).drop(table_key, "_salt", "_replica")
+        return points.join(F.broadcast(table), key, "left")
+    return spread_join(points, table, [key], "left", hot_rows=index.hot_rows)
 
 
 def locate(points: DataFrame, x: str, y: str, index: RegionIndex, name: str | None = None) -> DataFrame:

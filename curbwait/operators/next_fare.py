@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbwait.operators.skew import HOT_ROWS, frequent_keys
 from curbwait.schemas import DRIVER, NEXT_PICKUP, PICKUP, TRIP_ORDER
 from curbwait.session import use_checkpoints
 
@@ -24,7 +25,7 @@ def sessions_layout(trips: DataFrame) -> DataFrame:
 
 
 def next_fare(
-    trips: DataFrame, hot_rows: int | None = 2_000_000, order: Sequence[str] = TRIP_ORDER
+    trips: DataFrame, hot_rows: int | None = HOT_ROWS, order: Sequence[str] = TRIP_ORDER
 ) -> DataFrame:
     """Every trip with ``lead_pickup_datetime``, ``lead_pickup_longitude`` and
     ``lead_pickup_latitude`` of the driver's next trip, and the seconds between
@@ -34,8 +35,10 @@ def next_fare(
     A driver is one window partition up to ``hot_rows`` trips. Drivers with more,
     such as a placeholder licence, are cut into slices of the sort order that run
     side by side. Counting trips per driver is a job of its own; ``None`` skips it.
+    At most HOT_DRIVERS names come to the driver program; any further hot drivers
+    have fewer trips than these and stay whole windows.
     """
-    hot = _hot_drivers(trips, hot_rows) if hot_rows else []
+    hot = frequent_keys(trips, DRIVER, hot_rows, HOT_DRIVERS) if hot_rows else []
     if not hot:
         return _gap(_lead(trips, [DRIVER], order))
     spark = trips.sparkSession
@@ -44,25 +47,11 @@ def next_fare(
     is_hot = F.col(DRIVER).eqNullSafe(F.col("_hot"))
     rest = _lead(trips.join(names, is_hot, "left_anti"), [DRIVER], order)
     sliced = _lead_by_slices(
-        trips.join(names, is_hot, "left_semi"), sum(r["count"] for r in hot), hot_rows, order
+        trips.join(names, is_hot, "left_semi"), sum(r.rows for r in hot), hot_rows, order
     )
     return _gap(rest.unionByName(sliced))
 
 
-def _hot_drivers(trips: DataFrame, hot_rows: int) -> list:
-    """The drivers with most trips beyond ``hot_rows``. However many rows there
-    are, at most HOT_DRIVERS come to the driver program; any further ones are
-    smaller than these and stay whole windows."""
-    return (
-        trips.groupBy(DRIVER)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"))
-        .limit(HOT_DRIVERS)
-        .collect()
-    )
-
-
 def _lead(trips: DataFrame, partition: Sequence[str], order: Sequence[str]) -> DataFrame:
     window = Window.partitionBy(*partition).orderBy(*order)
     return trips.withColumns(

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbwait.operators.skew import HOT_ROWS, spread_join
+
 
 def distribution(located: DataFrame, by: str = "borough") -> DataFrame:
     """Rows per region, most first."""
@@ -22,31 +24,31 @@ def rows_of_regions(located: DataFrame, names: Sequence[str], by: str = "borough
     return located.where(F.col(by).isin(list(names)))
 
 
-def not_in(rows: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:
+def not_in(
+    rows: DataFrame, listed: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Rows whose value in ``on`` is not among the listed ones, by the rules of
     SQL's NOT IN: a missing value in the list leaves no rows, and a row with a
     missing value stays only beside an empty list. A value of several columns
     counts as missing if any of them is.
 
-    NOT IN itself would need the whole list on every executor. Here the list is
-    reduced to its distinct values and joined on equality, and what it holds is
-    asked once by a subquery.
+    NOT IN itself would need the whole list on every executor. Here what the list
+    holds is asked once by a subquery, and its distinct values are joined on
+    equality, frequent values of the rows apart.
     """
-    listed = listed.select(*on)
-
-    def missing(columns):
-        return F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))
-
-    held = listed.agg(
-        F.struct(
-            F.count("*").alias("rows"),
-            F.count_if(missing(on)).alias("missing"),
-        ).alias("held")
+    missing = " or ".join(f"{c} is null" for c in on)
+    held = listed.selectExpr(
+        f"struct(count(*) as rows, count_if({missing}) as missing)"
     ).scalar()
-    kept = rows.join(listed.distinct(), list(on), "left_anti")
-    return kept.where(
-        (held["rows"] == 0) | ((held["missing"] == 0) & ~missing(on))
-    ).select(rows.columns)
+    hashed = f"xxhash64({', '.join(on)}) as _key"
+    present = rows.where(f"not ({missing})").selectExpr("*", hashed)
+    values = listed.select(*on).distinct().selectExpr("*", hashed)
+    kept = spread_join(present, values, [*on, "_key"], "left_anti", "_key", hot_rows)
+    return (
+        kept.where(held["missing"] == 0)
+        .select(rows.columns)
+        .unionByName(rows.where(missing).where(held["rows"] == 0))
+    )
 
 
 def idle_by_region(od: DataFrame) -> DataFrame:

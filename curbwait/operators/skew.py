@@ -1,0 +1,44 @@
+"""Equi-joins that no frequent key can crowd into one task."""
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 2_000_000
+MOST_KEYS = 1_000
+
+
+def frequent_keys(rows: DataFrame, key: str, hot_rows: int, most: int) -> list:
+    """Keys of more than ``hot_rows`` rows with their counts, the ``most``
+    frequent of them at most. Counts are combined before they are shuffled."""
+    return (
+        rows.groupBy(key)
+        .agg(F.expr("count(*) as rows"))
+        .where(F.col("rows") > hot_rows)
+        .orderBy(F.desc("rows"))
+        .limit(most)
+        .collect()
+    )
+
+
+def spread_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str,
+    key: str | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join, ``left`` or ``left_anti``, with a table whose rows differ in ``on``.
+
+    Rows of the most frequent keys, and rows without a key, do not shuffle: they
+    meet the table's rows of those keys, as few as the keys, by broadcast. All
+    others are joined by shuffle. ``key`` is the one of ``on`` that is counted.
+    """
+    key = key or on[0]
+    hot = [r[key] for r in frequent_keys(rows.where(F.col(key).isNotNull()), key, hot_rows, MOST_KEYS)]
+    apart = F.col(key).isNull() | F.col(key).isin(hot)
+    few = F.broadcast(table.where(F.col(key).isin(hot)))
+    shuffled = rows.where(~apart).join(table, list(on), how)
+    return shuffled.unionByName(rows.where(apart).join(few, list(on), how))

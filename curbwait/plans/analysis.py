@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curbwait.operators import next_fare, regions, trips, zones
 from curbwait.operators.locate import build_index, inside
+from curbwait.operators.skew import HOT_ROWS
 from curbwait.plans import jobs
 from curbwait.schemas import DROPOFF
 from curbwait.sources import csv, sinks
@@ -15,7 +16,7 @@ def analyse(
     zones_path: str,
     out: str,
     service_area_only: bool = False,
-    hot_rows: int | None = 2_000_000,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Write all results below ``out`` and return the idle time by region.
 

@@ -192,7 +192,7 @@ def dropoff_located(spark, folder):
 def dropoff_located_shuffled(spark, folder):
     """The same without broadcasts, as for an index too large for them."""
     points = _trips(spark, folder).select("trip_id", "hack_license", *DROPOFF)
-    index = _index(spark, folder).shuffled(replicas=4)
+    index = _index(spark, folder).shuffled(hot_rows=20)
     return jobs.dropoff_located(points, index).drop(*DROPOFF)
 
 

@@ -93,7 +93,7 @@ def test_missing_and_far_coordinates_are_outside(spark):
     rows = [(0, None, 0.5), (1, 0.5, None), (2, float("nan"), 0.5), (3, 0.5, float("nan")),
             (4, float("inf"), 0.5), (5, 1e300, -1e300), (6, 0.5, 0.5)]
     points = spark.createDataFrame(rows, "i int, x double, y double")
-    for way in (index, index.shuffled(3)):
+    for way in (index, index.shuffled(2)):
         assert [r.i for r in inside(points, "x", "y", way).collect()] == [6]
         assert sorted(r.i for r in outside(points, "x", "y", way).collect()) == [0, 1, 2, 3, 4, 5]
 
@@ -218,7 +218,7 @@ def test_a_ragged_shape_with_many_edges(spark):
     wanted = [exactly_inside(ring, x, y) for x, y in points]
     index = build_index(edges)
     assert [bool(r) for r in where(spark, index, *points)] == wanted
-    assert [bool(r) for r in where(spark, index.shuffled(3), *points)] == wanted
+    assert [bool(r) for r in where(spark, index.shuffled(2), *points)] == wanted
 
 
 def test_a_large_index_is_not_broadcast(spark):
