@@ -73,17 +73,20 @@ def area(edges: DataFrame, by: str) -> DataFrame:
 
 def segments(edges: DataFrame, by: str) -> DataFrame:
     """Coinciding edges of a region as one row: ``n`` of them, ``net`` of which
-    run from the lesser end ``p`` to the greater end ``q``."""
+    run from the lesser end (x, y) to the greater end (qx, qy). ``zone`` is whose
+    the edge is, or one of those."""
     start, stop = point("x1", "y1"), point("x2", "y2")
     return (
         edges.selectExpr(
-            by,
+            f"{by} as _by",
+            "zone",
             f"least({start}, {stop}) as p",
             f"greatest({start}, {stop}) as q",
             f"if({start} <= {stop}, 1, -1) as way",
         )
-        .groupBy(by, "p.x", "p.y", F.expr("q.x as qx"), F.expr("q.y as qy"))
-        .agg(F.expr("count(*) as n"), F.expr("sum(way) as net"))
+        .groupBy("_by", "p.x", "p.y", F.expr("q.x as qx"), F.expr("q.y as qy"))
+        .agg(F.expr("min(zone) as zone"), F.expr("count(*) as n"), F.expr("sum(way) as net"))
+        .withColumnRenamed("_by", "region")
     )
 
 
@@ -98,7 +101,7 @@ def dissolve(edges: DataFrame, by: str = "borough") -> DataFrame:
         segments(edges, by)
         .where("net <> 0")
         .selectExpr(
-            by,
+            f"region as {by}",
             "if(net > 0, x, qx) as x1",
             "if(net > 0, y, qy) as y1",
             "if(net > 0, qx, x) as x2",

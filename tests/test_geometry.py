@@ -1,5 +1,6 @@
 """Hand-computed shapes, and the lookup against exact arithmetic."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -36,7 +37,7 @@ def where(spark, index, *points):
 
 def is_in(spark, shape, *points):
     edges = zones.zones_to_edges(zone_table(spark, shape))
-    return [bool(r) for r in where(spark, build_index(edges), *points)]
+    return [bool(r) for r in where(spark, build_index(edges, coverage=True), *points)]
 
 
 @pytest.mark.parametrize(
@@ -126,6 +127,7 @@ SEAM = ("POLYGON ((0 0, 1 0, 1 2, 0 2, 0 0))", "POLYGON ((1 0, 2 0, 2 2, 1 2, 1
 SHIFTED = ("POLYGON ((0 0, 1 0, 1 2, 0 2, 0 0))", "POLYGON ((1 0, 2 0, 2 1, 1 1, 1 0))")
 CROSSED = ("POLYGON ((0 1, 3 1, 3 2, 0 2, 0 1))", "POLYGON ((1 0, 2 0, 2 3, 1 3, 1 0))")
 NESTED = ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON ((1 1, 2 1, 2 2, 1 2, 1 1))")
+INSCRIBED = ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON ((2 0, 4 2, 2 4, 0 2, 2 0))")
 TWICE = (SQUARE, BACKWARD)
 
 
@@ -147,12 +149,13 @@ def test_overlaps_are_found(spark):
     assert faults(spark, SEAM) == set()
     assert faults(spark, SHIFTED) == set()
     assert "crossing edges" in faults(spark, CROSSED)
-    assert faults(spark, NESTED) == {"nested vertex"}
+    assert faults(spark, NESTED) == {"nested point"}
+    assert faults(spark, INSCRIBED) == {"nested point"}
     assert faults(spark, TWICE) == {"repeated edge"}
 
 
 def test_overlapping_zones_count_a_point_once(spark):
-    for shapes, point in ((CROSSED, (1.5, 1.5)), (NESTED, (1.5, 1.5)), (TWICE, (0.5, 0.5))):
+    for shapes, point in ((CROSSED, (1.5, 1.5)), (INSCRIBED, (2, 2)), (TWICE, (0.5, 0.5))):
         index = build_index(zones.zones_to_edges(zone_table(spark, *shapes)))
         assert where(spark, index, point, (9, 9)) == [["B"], []]
 
@@ -204,19 +207,17 @@ def test_any_grid_gives_the_exact_answer(spark, corners, columns, bands):
 
 def test_a_ragged_shape_with_many_edges(spark):
     random.seed(7)
-    import math
-
     ring = [
         (round(r * math.cos(a), 6), round(r * math.sin(a), 6))
-        for a, r in ((i * math.tau / 700, random.uniform(3, 5)) for i in range(700))
+        for a, r in ((i * math.tau / 500, random.uniform(3, 5)) for i in range(500))
     ]
     ring.append(ring[0])
     text = ", ".join(f"{x!r} {y!r}" for x, y in ring)
     edges = zones.zones_to_edges(zone_table(spark, f"POLYGON (({text}))"))
-    points = [(random.uniform(-5, 5), random.uniform(-5, 5)) for _ in range(1500)]
+    points = [(random.uniform(-5, 5), random.uniform(-5, 5)) for _ in range(800)]
     points += [ring[3], ring[100], (ring[5][0], 0.0), (0.0, ring[9][1])]
     wanted = [exactly_inside(ring, x, y) for x, y in points]
-    index = build_index(edges)
+    index = build_index(edges, coverage=True)
     assert [bool(r) for r in where(spark, index, *points)] == wanted
     assert [bool(r) for r in where(spark, index.shuffled(2), *points)] == wanted
 
