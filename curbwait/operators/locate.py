@@ -135,7 +135,7 @@ def locate(points: DataFrame, x: str, y: str, index: RegionIndex, name: str | No
     # an outer generator: a plain one would have the lookup computed twice, once
     # to filter out the empty arrays
     return found.select(*points.columns, F.explode_outer("_found").alias(name)).where(
-        f"{name} is not null"
+        f"`{name}` is not null"
     )
 
 

@@ -68,8 +68,9 @@ def _lead_by_slices(
 ) -> DataFrame:
     """``_lead`` with each driver's trips cut into consecutive slices.
 
-    The slices are ranges of (driver, order), the row's position in the input
-    last, so that equal rows part as well. Within a slice the window does it. The
+    The slices are ranges of (driver, order), the row's position in its sorted
+    input partition last, so that equal rows part as well; sorted, as a task that
+    is run again must number them alike. Within a slice the window does it. The
     last trip of a slice is followed by the first one of the driver's next slice;
     those trips, one per slice, are paired by a window of their own. The sliced
     rows are checkpointed, as the two readings must see the same slices.
@@ -77,7 +78,8 @@ def _lead_by_slices(
     slices = max(2, min(SLICES, math.ceil(2 * rows / hot_rows)))
     use_checkpoints(trips.sparkSession)
     sliced = (
-        trips.withColumn("_position", F.monotonically_increasing_id())
+        trips.sortWithinPartitions(*trips.columns)
+        .withColumn("_position", F.monotonically_increasing_id())
         .repartitionByRange(slices, DRIVER, *order, "_position")
         .withColumn("_slice", F.spark_partition_id())
     )

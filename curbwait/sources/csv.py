@@ -56,7 +56,8 @@ def read_zones(spark: SparkSession, path: str, infer: bool = False) -> DataFrame
 def read_boroughs(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """Read the borough table, shaped like zones: one zone per borough."""
     rows = _read_polygons(spark, path, BOROUGH_SCHEMA, infer)
-    return rows.drop("BoroCode").dropna("any").withColumnRenamed("BoroName", "borough")
+    whole = rows.drop("BoroCode").dropna("any").withColumnRenamed("BoroName", "borough")
+    return whole.withColumn("zone", F.col("borough"))
 
 
 def _read_polygons(

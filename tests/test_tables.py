@@ -99,7 +99,8 @@ def test_borough_file(spark, tmp_path):
         '"MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)))",2,,0.5,0.25',
     )
     rows = csv.read_boroughs(spark, path)
-    assert set(rows.columns) == {"borough", "the_geom", "Shape_Leng", "Shape_Area"}
+    assert set(rows.columns) == {"borough", "zone", "the_geom", "Shape_Leng", "Shape_Area"}
+    assert zones.zones_to_edges(rows).count() == 3
     assert [r.borough for r in rows.collect()] == ["B"]
 
 
