@@ -1,31 +1,37 @@
-"""What the jobs need from the session: one shared folder."""
+"""What the jobs need from the session: one folder that every executor reaches."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="curbwait-"))
-    return context.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's
+    checkpoint folder, else one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place, files = _on_files(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path that nothing reads any more."""
+    place, files = _on_files(spark, path)
+    files.delete(place, True)
+
+
+def written(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as a table written below the shared folder, and its path."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -33,3 +39,8 @@ def use_checkpoints(spark: SparkSession) -> None:
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def _on_files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
