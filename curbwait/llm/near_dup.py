@@ -290,10 +290,11 @@ def _across(bags: DataFrame, settings: Settings) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document: ``doc_id``, ``node`` (the text's identity, null for a
-    null text) and ``class_id``, the smallest doc_id of its class.
+    null text), ``class`` (the smallest node of its class), ``class_id`` (its smallest
+    doc_id) and ``size`` (its rows).
 
-    Documents without a word, null and empty texts among them, are alone in their
-    class. Rows with one text are one node, however often they repeat; a class of
+    Documents without a word, null and empty texts among them, are alone, with a null
+    ``class``. Rows with one text are one node, however often they repeat; a class of
     rows without any doc_id has none. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -330,10 +331,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     held = groups.join(final, "node", "left").withColumn(
         "class", F.when(F.col("worded"), F.coalesce("component", "node"))
     )
-    lowest = held.where("worded").groupBy("class").agg(F.min("doc_id").alias("low"))
-    result = held.join(lowest, "class", "left").selectExpr(
-        "doc_id", "node", "if(worded, low, doc_id) as class_id"
+    whole = held.where("worded").groupBy("class").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size"))
+    result = held.join(whole, "class", "left").selectExpr(
+        "doc_id", "node", "class", "if(worded, low, doc_id) as class_id", "coalesce(size, 1L) as size"
     )
     for path in (shared_path, pairs_path, links_path, placed_path, open_path, rest_path):
         drop_scratch(spark, path)
     return result
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents without near duplicates: of each class the row with the lowest
+    doc_id stays, a row without one last; of rows with equal id and text any one."""
+    names = docs.columns
+    found = near_duplicates(docs, settings).where("size > 1").groupBy("node").agg(F.first("class").alias("class"))
+    held = docs.select(F.struct(*names).alias("row"), F.expr(node()).alias("node"), "doc_id")
+    held = held.join(found, "node", "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    firsts = held.where("class is not null").groupBy("class").agg(F.min_by("row", order).alias("row"))
+    return held.where("class is null").select("row.*").unionByName(firsts.select("row.*"))

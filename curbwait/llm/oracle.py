@@ -33,3 +33,35 @@ with recursive texts as (
 select doc_id, coalesce(min(doc_id) over (partition by root), doc_id) as class_id from placed where root is not null
 union all select doc_id, doc_id from placed where root is null
 """
+
+DECONTAMINATE = f"""
+with items as (
+    select cast(item_id as varchar) as item, {WORDS} as w from benchmark
+), grams as (
+    select distinct item, least(len(w), 10) as n,
+           unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+                                 lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as gram
+    from items where len(w) > 0
+), texts as (
+    select row_number() over () as r, doc_id, coalesce({WORDS}, []) as w from documents
+), places as (
+    select r, w, n, unnest(range(1, len(w) - n + 2)) as i from texts, (select distinct n from grams)
+), hits as (
+    select distinct r, i, n, item
+    from (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as gram from places) join grams using (n, gram)
+), words as (
+    select r, count(distinct k) as n_hit
+    from (select distinct r, unnest(range(i, i + n)) as k from hits) group by r
+), found as (
+    select r, count(distinct item) as n_items, sha256(array_to_string(list_sort(list(distinct item)), ',')) as items_sha256
+    from hits group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from texts left join words using (r) left join found using (r)
+"""
+
+ALL = {
+    "op1_near_duplicates": NEAR_DUP,
+    "op7_decontaminate": DECONTAMINATE,
+}
