@@ -3,7 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbwait.llm import decontaminate, near_dup, quality
+from pyspark.sql import types as T
+
+from curbwait.llm import decontaminate, near_dup, packing, quality, token_orc, tokens
+from curbwait.llm.arrow import appended
+from curbwait.session import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +19,32 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
+def _with_crc(pieces: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns kept, and the crc32 of ``ids``."""
+    crc = lambda batch: [tokens.crc32(batch.column(batch.schema.get_field_index("ids")))]
+    return appended(pieces, [T.StructField("ids_crc32", T.LongType())], crc, keep)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of the documents, and where they are in the sequences."""
+    digest = lambda rows: _with_crc(rows, [c for c in rows.columns if c != "ids"])
+    return packing.pack(docs, tokens.default_path(), derive=digest).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packed(_table(spark, folder, "documents"))
+
+
+def op10_token_orc(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, read back from the ORC files."""
+    path = scratch_path(spark, "token_orc")
+    token_orc.write_tokens(_table(spark, folder, "documents"), path, tokens.default_path())
+    return _with_crc(token_orc.read_tokens(spark, path), ["doc_id", "start", "n_tokens"])
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words and benchmark items hit in each document."""
     found = decontaminate.judged(
@@ -42,4 +72,4 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op7_decontaminate, op9_quality]
+ALL = [op1_near_duplicates, op4_pack, op7_decontaminate, op9_quality, op10_token_orc]
