@@ -1,8 +1,10 @@
 """Documents to training sequences: five stages, each over all the one before kept."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curbwait.llm import decontaminate, near_dup, quality
+from curbwait.llm import decontaminate, line_dedup, near_dup, quality
+from curbwait.llm.queries import packed
 from curbwait.session import written
 
 
@@ -12,6 +14,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs, rules).where("kept").select(*docs.columns)
 
 
+def similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines similar to earlier ones; those that have no word
+    left are dropped."""
+    found = line_dedup.deduped(docs)
+    worded = F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+    return found.where((F.size("removed") == 0) | worded).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return near_dup.one_of_each(docs)
@@ -23,10 +33,17 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.cleaned(found).select(*docs.columns)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, and where they are in the training sequences."""
+    return packed(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", similar_lines),
     ("near duplicates", near_duplicates),
     ("benchmark passages", benchmark_passages),
+    ("packing", pack),
 ]
 
 #: The learned rules and the packing have no SQL form.

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curbwait.llm.arrow import appended
+from curbwait.llm.bitmap import Bitmap
 from curbwait.llm.blocks import LOWER, WORD, Block, blocks, mix, runs, words
 from curbwait.llm.components import components
 from curbwait.session import drop_scratch, written
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -169,23 +169,11 @@ def _bag_table(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFra
     """``node`` and ``bag`` (its shingles with each repeat as one of its own, sorted
     64-bit values) for the given nodes. A bitmap of them, of fixed size, is sent to
     the tasks; what passes it is shingled and joined, so texts are not shuffled."""
-    spot = f"xxhash64(node) & {(1 << _BITS) - 1}"
-    marked = (
-        nodes.selectExpr(f"{spot} as spot")
-        .selectExpr("shiftright(spot, 6) as word", "shiftleft(1L, cast(spot & 63 as int)) as bit")
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()  # at most 2 ** (_BITS - 6) rows
-    )
-    bitmap = np.zeros(1 << (_BITS - 6), np.int64)
-    bitmap[marked["word"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    held = Bitmap(nodes, "xxhash64(node)")
 
     def run(batches):
         for batch in batches:
-            spots = batch.column("spot").to_numpy()
-            hit = (held.value[spots >> 6] >> (spots & 63)) & 1 == 1
-            some = batch.filter(pa.array(hit))
+            some = batch.filter(pa.array(held.has(batch.column("hash").to_numpy())))
             nodes_, bags = some.column("node").to_pylist(), []
             for block in blocks(some.column("text")):
                 rows, hashes, counts = shingles(block, settings.words)
@@ -201,7 +189,7 @@ def _bag_table(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFra
     found = (
         docs.where("text is not null")
         .selectExpr("text", f"{node()} as node")
-        .selectExpr("text", "node", f"{spot} as spot")
+        .selectExpr("text", "node", "xxhash64(node) as hash")
         .mapInArrow(run, "node binary, bag binary")
     )
     return found.dropDuplicates(["node"]).join(nodes, "node", "left_semi")

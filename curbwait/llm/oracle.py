@@ -61,7 +61,45 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from texts left join words using (r) left join found using (r)
 """
 
+LINE_DEDUP = f"""
+with split as (
+    select doc_id, md5(text) as t, unnest(string_split(text, chr(10))) as text,
+           unnest(range(len(string_split(text, chr(10))))) as line
+    from documents
+), worded as (
+    select doc_id, t, line, text, list_sort(list_distinct({WORDS})) as w from split
+), sets as (
+    select array_to_string(w, ' ') as s, any_value(w) as w, min(struct_pack(a := doc_id, b := line)) as first
+    from worded where len(w) >= 3 group by 1
+), tokens as (
+    select s, len(w) as size, unnest(w) as token from sets
+), links as (
+    select x.s as a, y.s as b
+    from tokens x join tokens y on x.token = y.token and x.s < y.s
+        and 5 * x.size >= 4 * y.size and 5 * y.size >= 4 * x.size
+    group by x.s, y.s, x.size, y.size
+    having 9 * count(*) >= 4 * (x.size + y.size)
+), later as (
+    select distinct x.s from (select a, b from links union all select b, a from links) l
+    join sets x on x.s = l.a join sets y on y.s = l.b where y.first < x.first
+), judged as (
+    select doc_id, t, line, text, len(worded.w) >= 3 and (later.s is not null
+           or struct_pack(a := doc_id, b := line) > sets.first) as gone
+    from worded left join sets on sets.s = array_to_string(worded.w, ' ') and len(worded.w) >= 3
+    left join later on later.s = sets.s
+), docs as (
+    select doc_id, t, count(*) filter (gone) as n_removed,
+           coalesce(string_agg(line::varchar, ',' order by line) filter (gone), '') as removed_lines,
+           sha256(coalesce(string_agg(text, chr(10) order by line) filter (not gone), '')) as kept_sha256
+    from judged group by doc_id, t
+)
+select doc_id, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed_lines, '') as removed_lines,
+       coalesce(kept_sha256, sha256('')) as kept_sha256
+from documents left join docs d using (doc_id) where d.t is not distinct from md5(documents.text)
+"""
+
 ALL = {
+    "op2_line_dedup": LINE_DEDUP,
     "op1_near_duplicates": NEAR_DUP,
     "op7_decontaminate": DECONTAMINATE,
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from curbwait.llm import decontaminate, near_dup, packing, quality, token_orc, tokens
+from curbwait.llm import decontaminate, line_dedup, near_dup, packing, quality, token_orc, tokens
 from curbwait.llm.arrow import appended
 from curbwait.session import scratch_path
 
@@ -19,6 +19,17 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines removed from each document, and what is left of its text."""
+    found = line_dedup.deduped(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.concat_ws(",", F.transform("removed", lambda k: k.cast("string"))).alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def _with_crc(pieces: DataFrame, keep: list[str]) -> DataFrame:
     """The columns kept, and the crc32 of ``ids``."""
     crc = lambda batch: [tokens.crc32(batch.column(batch.schema.get_field_index("ids")))]
@@ -72,4 +83,4 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op4_pack, op7_decontaminate, op9_quality, op10_token_orc]
+ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op7_decontaminate, op9_quality, op10_token_orc]
