@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from curbwait.llm import decontaminate, line_dedup, near_dup, packing, quality, token_orc, tokens
+from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, quality, token_orc, tokens
 from curbwait.llm.arrow import appended
 from curbwait.session import scratch_path
 
@@ -56,6 +56,15 @@ def op10_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     return _with_crc(token_orc.read_tokens(spark, path), ["doc_id", "start", "n_tokens"])
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document, learned on three quarters of them."""
+    docs = _table(spark, folder, "documents").withColumn(
+        "held_out", F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)")
+    )
+    model = language.train(docs.where("not held_out"))
+    return language.predicted(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words and benchmark items hit in each document."""
     found = decontaminate.judged(
@@ -83,4 +92,4 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op7_decontaminate, op9_quality, op10_token_orc]
+ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op5_language, op7_decontaminate, op9_quality, op10_token_orc]
