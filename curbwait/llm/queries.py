@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, quality, token_orc, tokens
+from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, token_orc, tokens
 from curbwait.llm.arrow import appended
 from curbwait.session import scratch_path
 
@@ -80,6 +80,20 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of plain identifiers in each document, and the spans of all."""
+    found = pii.scanned(_table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    listed = lambda spans: F.concat_ws(
+        ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    )
+    counts = [
+        F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint) as n_{kind}") for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of each document and whether the learned rules keep it."""
     docs = _table(spark, folder, "documents")
@@ -92,4 +106,4 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op5_language, op7_decontaminate, op9_quality, op10_token_orc]
+ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op5_language, op7_decontaminate, op8_personal_data, op9_quality, op10_token_orc]
