@@ -98,7 +98,21 @@ select doc_id, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed_lin
 from documents left join docs d using (doc_id) where d.t is not distinct from md5(documents.text)
 """
 
+WARC = """
+with rows as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+    from pages
+), many as (
+    select payload_digest, max(page_id) as top from rows where payload_bytes >= 1000 group by 1
+)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+       case when top is null or page_id is not distinct from top then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from top then top end as refers_to
+from rows left join many using (payload_digest)
+"""
+
 ALL = {
+    "op6_warc": WARC,
     "op2_line_dedup": LINE_DEDUP,
     "op1_near_duplicates": NEAR_DUP,
     "op7_decontaminate": DECONTAMINATE,

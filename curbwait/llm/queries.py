@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, token_orc, tokens
+from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, token_orc, tokens, warc
 from curbwait.llm.arrow import appended
 from curbwait.session import scratch_path
 
@@ -65,6 +65,12 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The record of each page, read back from normalised archives."""
+    found = warc.round_trip(_table(spark, folder, "pages"), scratch_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words and benchmark items hit in each document."""
     found = decontaminate.judged(
@@ -106,4 +112,4 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op5_language, op7_decontaminate, op8_personal_data, op9_quality, op10_token_orc]
+ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op5_language, op6_warc, op7_decontaminate, op8_personal_data, op9_quality, op10_token_orc]
