@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, token_orc, tokens, warc
+from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, suffix_dedup, token_orc, tokens, warc
 from curbwait.llm.arrow import appended
 from curbwait.session import scratch_path
 
@@ -30,6 +30,19 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes removed from each document, and a digest of those left."""
+    found = suffix_dedup.deduped(_table(spark, folder, "documents").select("doc_id", "text"))
+    size = "coalesce(octet_length(text), 0)"
+    return found.selectExpr(
+        "doc_id",
+        f"cast({size} as bigint) as n_bytes",
+        f"cast({size} - octet_length(kept) as bigint) as n_removed",
+        "cast(size(removed) as bigint) as n_spans",
+        "sha2(kept, 256) as kept_sha256",
+    )
+
+
 def _with_crc(pieces: DataFrame, keep: list[str]) -> DataFrame:
     """The columns kept, and the crc32 of ``ids``."""
     crc = lambda batch: [tokens.crc32(batch.column(batch.schema.get_field_index("ids")))]
@@ -112,4 +125,4 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op2_line_dedup, op4_pack, op5_language, op6_warc, op7_decontaminate, op8_personal_data, op9_quality, op10_token_orc]
+ALL = [op1_near_duplicates, op2_line_dedup, op3_suffix_dedup, op4_pack, op5_language, op6_warc, op7_decontaminate, op8_personal_data, op9_quality, op10_token_orc]
