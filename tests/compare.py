@@ -4,7 +4,7 @@ from pathlib import Path
 
 import duckdb
 
-TABLES = ["region", "nation", "events"]
+TABLES = ["region", "nation", "events", "documents", "pages", "benchmark", "labels"]
 
 
 def duck(folder):

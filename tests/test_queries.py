@@ -2,10 +2,11 @@ import pytest
 from compare import duck, duck_rows, spark_rows
 
 import __spark_entry__ as entry
+from curbwait.plans import oracle, queries
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {query.__name__: query for query in queries.ALL}
+ORACLE = oracle.ALL
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -19,6 +20,8 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_every_oracle_has_its_query():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
