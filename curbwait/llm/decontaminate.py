@@ -96,14 +96,16 @@ def key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def judged(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_limit: int = 64 << 20
+) -> DataFrame:
     """The documents with ``n_words``, ``spans`` and ``items`` (empty where clean).
 
     A null text has no words; rows that repeat each get the same answer; an empty
     benchmark hits nothing. Columns of these names give way to the new ones.
     """
     docs = docs.drop("n_words", "spans", "items", "_key")
-    found = hits(docs, benchmark, window).toDF("_id", "_hit", "spans", "items")
+    found = hits(docs, benchmark, window, broadcast_limit).toDF("_id", "_hit", "spans", "items")
     rows = docs.withColumn("_key", key()).withColumn("n_words", F.size(words_of("text")))
     same = rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_key"] == found["_hit"])
     return (

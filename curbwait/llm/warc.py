@@ -216,7 +216,10 @@ _RECORDS = (
 
 def index(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """The sidecar entries of the files named."""
-    return spark.read.schema(_INDEX).json(f"{folder}/*.idx").join(files, "file", "left_semi")
+    store, base = _open(folder)
+    store.create_dir(base, recursive=True)
+    entries = spark.read.schema(_INDEX).option("pathGlobFilter", "*.idx").json(folder)
+    return entries.join(files, "file", "left_semi")
 
 
 def read(entries: DataFrame, folder: str) -> DataFrame:
