@@ -15,7 +15,6 @@ def main() -> None:
     parser.add_argument("--service-area-only", action="store_true")
     given = parser.parse_args()
     spark = SparkSession.builder.appName("curbwait").getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     analyse(spark, given.trips, given.zones, given.out, given.service_area_only).show()
 
 

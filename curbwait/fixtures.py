@@ -4,6 +4,8 @@ A user is a driver, an event a trip, a nation a zone and a region a borough.
 Coordinates run past the zone grid, so that some trips end outside.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,21 +67,23 @@ def trip_file_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def zones(spark: SparkSession, folder: str) -> DataFrame:
+def zones(spark: SparkSession, folder: str, taller: Sequence[str] = ()) -> DataFrame:
     """Cell (c, r) of a grid per nation: c its region, r its number over five.
 
-    Corners are moved by a function of their own place, so neighbours share them.
+    Corners are moved by a function of their own place, so neighbours share them. Zones
+    of regions named in ``taller`` reach half a cell up, over the next one of the region.
     """
     region = table(spark, folder, "region")
     cells = (
         table(spark, folder, "nation")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .selectExpr("n_name as zone", "r_name as borough", "n_regionkey as c", "n_nationkey div 5 as r")
+        .withColumn("up", F.when(F.col("borough").isin(list(taller)), 0.5).otherwise(0.0))
     )
 
     def corner(i, j):
         x = f"c + {i} + (((c + {i}) * 3 + (r + {j}) * 5) % 3 - 1) * 0.125D"
-        y = f"r + {j} + (((c + {i}) * 5 + (r + {j}) * 2) % 3 - 1) * 0.125D"
+        y = f"r + {j} + (((c + {i}) * 5 + (r + {j}) * 2) % 3 - 1) * 0.125D + {j} * up"
         return f"concat_ws(' ', string({x}), string({y}))"
 
     corners = [corner(i, j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]

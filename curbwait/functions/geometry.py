@@ -79,18 +79,43 @@ def turn(e: str, x: str, y: str) -> str:
     return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({x} - {e}.x1) * ({e}.y2 - {e}.y1))"
 
 
-def contains(edges: str, x: str, y: str, beyond: str = "false") -> str:
-    """Is the point inside the edges' shape? The boundary does not count.
-
-    Even-odd rule: a ray to the right crosses an odd number of edges. ``beyond``
-    is whether the ray ends inside the shape, for edges that are only those near
-    the point. With no tolerance, no division, and every edge taken lower end
-    first, a point beside a border shared by two shapes is on the same side of it
-    for both.
+def contains(edges: str, x: str, y: str, beyond: str = "0") -> str:
+    """Is the point inside the edges' shape?
+
+    The winding number: a ray to the right adds the weight ``w`` of every upward edge
+    it crosses. ``beyond`` is the number where the ray ends, for edges that are only
+    those near the point. Zones that overlap add up, so a point is inside if the number
+    is not zero; on an edge, if it is not zero on any side of it. With no tolerance, no
+    division, and every edge taken lower end first, a point beside a border shared by
+    two shapes is on the same side of it for both.
     """
-    side = turn("e", x, y)
+    side, on = turn("e", x, y), _passes(x, y)
     crosses = f"e.y1 <= {y} and {y} < e.y2 and {side} > 0"
-    passes = f"""e.y1 <= {y} and {y} <= e.y2 and {side} = 0
-                 and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2)"""
-    return f"""((size(filter({edges}, e -> {crosses})) % 2 = 1) <> {beyond}
-                and not exists({edges}, e -> {passes}))"""
+    start = f"aggregate(filter({edges}, e -> {crosses}), cast({beyond} as bigint), (n, e) -> n + e.w)"
+    return f"""case when exists({edges}, e -> {on}) then forall({windings(edges, x, y, beyond)}, n -> n <> 0)
+                    else {start} <> 0 end"""
+
+
+def _passes(x: str, y: str) -> str:
+    """Is the point on the edge?"""
+    return f"""(e.y1 <= {y} and {y} <= e.y2 and {turn("e", x, y)} = 0
+                 and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2))"""
+
+
+def windings(edges: str, x: str, y: str, beyond: str = "0") -> str:
+    """The winding numbers of the sectors around a point: the first lies just above the
+    ray to the right, and each edge that leaves the point, counter-clockwise, adds or
+    takes its weight. Angles are told apart to twelve digits."""
+    crosses = f"e.y1 <= {y} and {y} < e.y2 and {turn('e', x, y)} > 0"
+    start = f"aggregate(filter({edges}, e -> {crosses}), cast({beyond} as bigint), (n, e) -> n + e.w)"
+
+    def ray(end: str, weight: str) -> str:
+        angle = f"atan2(e.y{end} - {y}, e.x{end} - {x})"
+        turned = f"round(if({angle} <= 0, {angle} + 2 * pi(), {angle}), 12)"
+        return f"if(e.x{end} = {x} and e.y{end} = {y}, null, named_struct('a', {turned}, 'w', {weight}))"
+
+    on = f"filter({edges}, e -> {_passes(x, y)})"
+    rays = f"filter(flatten(transform({on}, e -> array({ray('2', 'e.w')}, {ray('1', '-e.w')}))), r -> r is not null)"
+    angles = f"array_sort(array_distinct(transform({rays}, r -> r.a)))"
+    until = f"aggregate(filter({rays}, r -> r.a <= a), {start}, (n, r) -> n + r.w)"
+    return f"concat(array({start}), transform({angles}, a -> {until}))"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARGIN = 0.01  # of a cell; rounding in clipping an edge to a band is far below it
-EDGE_BYTES = 56
+EDGE_BYTES = 64
 CELL_BYTES = 96
 
 
@@ -52,8 +52,8 @@ def _step(value: str, start: float, size: float, steps: int) -> str:
     return f"greatest(0, least(floor(({value} - ({start!r}D)) / {size!r}D), {steps - 1}))"
 
 
-def _power_of_two(wanted: float, least: int, most: int) -> int:
-    return min(max(least, 2 ** math.ceil(math.log2(wanted))), most)
+def _power_of_two(wanted: float, least: int) -> int:
+    return max(least, 2 ** math.ceil(math.log2(wanted)))
 
 
 def fit_grid(
@@ -61,8 +61,9 @@ def fit_grid(
 ) -> tuple[Grid, float]:
     """A grid over the edges, and a bound on the bytes of an index on it.
 
-    By default it is as fine as the edges are many: bands to hold about sixteen
-    edges that start there, and columns to leave a border few of the cells.
+    By default it is as fine as the edges are many, without an upper limit: bands to
+    hold about sixteen edges that start there, and columns to leave a border few of
+    the cells.
 
     The bound follows from extents alone: an edge enters the bands its height
     reaches, and a region's cells lie in the boxes around its zones. Rings are
@@ -90,8 +91,8 @@ def fit_grid(
     ).first()
     if not total.n:
         return Grid(0.0, 0.0, 0.0, 0.0, 1, 1), 0.0
-    bands = bands or _power_of_two(total.n / 16, 64, 4096)
-    columns = columns or _power_of_two(2 * math.sqrt(total.n), 64, 256)
+    bands = bands or _power_of_two(total.n / 16, 64)
+    columns = columns or _power_of_two(2 * math.sqrt(total.n), 64)
     grid = Grid(total.left, total.low, total.right, total.high, columns, bands)
     entries = 2 * total.n + total.climb / grid.height
     cells = (
@@ -103,7 +104,8 @@ def fit_grid(
 
 
 def upward(edges: DataFrame, *keys: str) -> DataFrame:
-    """Edges with their lower end first, as lookups compare them."""
+    """Edges with their lower end first, as lookups compare them, and the weight ``w``:
+    the zones more on their left than on their right."""
     falls = "(y1 > y2 or (y1 = y2 and x1 > x2))"
     return edges.selectExpr(
         *keys,
@@ -111,6 +113,7 @@ def upward(edges: DataFrame, *keys: str) -> DataFrame:
         f"if({falls}, y2, y1) as y1",
         f"if({falls}, x1, x2) as x2",
         f"if({falls}, y1, y2) as y2",
+        f"if({falls}, -net, net) as w",
     )
 
 
@@ -140,20 +143,21 @@ def edges_by_band(edges: DataFrame, grid: Grid) -> DataFrame:
 
 
 def border_runs(edges: DataFrame, grid: Grid) -> DataFrame:
-    """One row per region, part and run: a run of a band is a stretch of columns
-    from ``run`` to ``run_end`` that borders of any part pass through. Holds the
-    part's edges there, whether the part is inside ``beyond`` its right end, and
-    ``next_run``, where the part's border is met again.
-
-    No border passes between two runs, so a part is inside there if an odd number
-    of its edges cross the band's middle line up to the run's end. One shuffle by
-    band serves all the windows and groups.
+    """One row per region and run: a run of a band is a stretch of columns from ``run``
+    to ``run_end`` that borders of any region pass through. Holds the region's edges
+    there, its winding number ``beyond`` the right end, and ``next_run``, where its
+    border is met again.
+
+    No border passes between two runs, so the number there is what the region's edges
+    that cross the band's middle line up to the run's end take from it. One shuffle by
+    band serves all the windows and groups; a band holds some sixteen edges that start
+    in it, and those that pass.
     """
     in_order = "partition by band order by c0, c1 rows between unbounded preceding"
     middle = f"{grid.y0!r}D + (band + 0.5D) * {grid.height!r}D"
-    along = "(partition by region, part, band order by run)"
+    along = "(partition by region, band order by run)"
     return (
-        edges_by_band(upward(edges, "region", "part"), grid)
+        edges_by_band(upward(edges, "region"), grid)
         .selectExpr("*", f"max(c1) over ({in_order} and 1 preceding) as reached")
         .selectExpr(
             "*",
@@ -161,10 +165,10 @@ def border_runs(edges: DataFrame, grid: Grid) -> DataFrame:
                 over ({in_order} and current row) as run""",
         )
         .selectExpr("*", "max(c1) over (partition by band, run) as run_end")
-        .groupBy("region", "part", "band", "run", "run_end")
+        .groupBy("region", "band", "run", "run_end")
         .agg(
-            F.expr("collect_list(struct(x1, y1, x2, y2)) as edges"),
-            F.expr(f"count_if(y1 <= {middle} and {middle} < y2) as crossings"),
+            F.expr("collect_list(struct(x1, y1, x2, y2, w)) as edges"),
+            F.expr(f"sum(if(y1 <= {middle} and {middle} < y2, w, 0)) as crossed"),
         )
         .selectExpr(
             "region",
@@ -172,7 +176,7 @@ def border_runs(edges: DataFrame, grid: Grid) -> DataFrame:
             "run",
             "run_end",
             "edges",
-            f"sum(crossings) over {along} % 2 = 1 as beyond",
+            f"-sum(crossed) over {along} as beyond",
             f"lead(run) over {along} as next_run",
         )
     )

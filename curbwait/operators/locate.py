@@ -4,9 +4,11 @@ A grid is laid over the regions. A cell no border passes through lies as a whole
 inside or outside each region, so its points need one hash lookup. Along a band
 of the grid, cells with borders form runs. A point in a run is decided by the
 edges of that run, the only ones a ray to the right can meet before it reaches
-the cell beyond, and by which regions hold that cell. Cells and runs are found
-for edges and points by the same monotonic floor, and borders claim cells with a
-margin, so the shortcut never changes an answer.
+the cell beyond, and by each region's winding number in that cell. Cells and runs
+are found for edges and points by the same monotonic floor, and borders claim cells
+with a margin, so the shortcut never changes an answer.
+
+A region may be without a name; inside the index regions are structs, never null.
 """
 
 from dataclasses import dataclass, replace
@@ -15,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbwait.functions.geometry import contains
-from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import Grid, border_runs, fit_grid
-from curbwait.operators.skew import HOT_ROWS, spread_join
 from curbwait.operators.zones import dissolve
-from curbwait.session import use_checkpoints
+from curbwait.session import written
+
+SALTS = 16
+APART = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -34,55 +37,37 @@ class RegionIndex:
     cells: DataFrame
     runs: DataFrame
     small: bool
-    edges: DataFrame
-    hot_rows: int = HOT_ROWS
 
-    def shuffled(self, hot_rows: int = HOT_ROWS) -> "RegionIndex":
+    def shuffled(self) -> "RegionIndex":
         """The same index, joined by shuffle instead of broadcast."""
-        return replace(self, small=False, hot_rows=hot_rows)
+        return replace(self, small=False)
 
 
 def build_index(
     zone_edges: DataFrame,
     by: str = "borough",
-    coverage: bool | None = None,
     columns: int | None = None,
     bands: int | None = None,
     broadcast_limit: int = 256 << 20,
 ) -> RegionIndex:
-    """Index regions for lookup.
+    """Index regions for lookup. A region is wherever any of its zones is; zones may
+    overlap, share borders, or come in pieces.
 
-    With ``coverage`` a region is the dissolved boundary of its zones. Without,
-    for zones that overlap, it is wherever any of its zones is. By default the
-    edges are looked over to tell which.
-
-    Edges and index are checkpointed, as several jobs read them: those jobs then
-    plan on bare tables, and a job that looks up twice broadcasts once.
+    The index is written below the shared folder, as several jobs read it: those jobs
+    then plan on bare tables, and a job that looks up twice broadcasts once.
     """
-    use_checkpoints(zone_edges.sparkSession)
-    zone_edges = zone_edges.checkpoint()
     grid, size = fit_grid(zone_edges, by, columns, bands)
-    if coverage is None:
-        coverage = overlaps(zone_edges, grid, by).isEmpty()
-    if coverage:
-        edges = dissolve(zone_edges, by).selectExpr("*", f"{by} as region", f"{by} as part")
-    else:
-        edges = zone_edges.selectExpr("*", f"{by} as region", "zone as part")
-    borders = border_runs(edges, grid)
-    return RegionIndex(
-        by,
-        grid,
-        _cells(borders, grid).checkpoint(),
-        _runs(borders, grid).checkpoint(),
-        size <= broadcast_limit,
-        zone_edges,
-    )
+    edges = dissolve(zone_edges, by).selectExpr("*", f"{by} as region")
+    borders, _ = written(border_runs(edges, grid), "borders")
+    cells, _ = written(_cells(borders, grid), "cells")
+    runs, _ = written(_runs(borders, grid), "runs")
+    return RegionIndex(by, grid, cells, runs, size <= broadcast_limit)
 
 
 def _runs(borders: DataFrame, grid: Grid) -> DataFrame:
     return (
         borders.groupBy("band", "run")
-        .agg(F.expr("collect_list(struct(region, beyond, edges)) as parts"))
+        .agg(F.expr("collect_list(struct(struct(region) as of, beyond, edges)) as parts"))
         .selectExpr(f"{grid.cell('run', 'band')} as _run", "parts as _parts")
     )
 
@@ -90,16 +75,16 @@ def _runs(borders: DataFrame, grid: Grid) -> DataFrame:
 def _cells(borders: DataFrame, grid: Grid) -> DataFrame:
     key = grid.cell("run", "band")
     on_border = f"""transform(sequence(run, run_end),
-        c -> named_struct('column', c, 'at', {key}, 'region', cast(null as string)))"""
+        c -> named_struct('column', c, 'at', {key}, 'of', cast(null as struct<region:string>)))"""
     between = f"""transform(sequence(run_end + 1, next_run - 1),
-        c -> named_struct('column', c, 'at', cast(null as bigint), 'region', region))"""
-    wide = "beyond and next_run > run_end + 1"
+        c -> named_struct('column', c, 'at', cast(null as bigint), 'of', struct(region)))"""
+    wide = "beyond <> 0 and next_run > run_end + 1"
     return (
         borders.selectExpr(
             "band", f"inline_outer(concat({on_border}, if({wide}, {between}, array())))"
         )
         .groupBy("band", "column")
-        .agg(F.expr("max(at) as at"), F.expr("collect_set(region) as sure"))
+        .agg(F.expr("max(at) as at"), F.expr("collect_set(of) as sure"))
         .selectExpr(f"{grid.cell('column', 'band')} as _cell", "at as _run", "sure as _sure")
     )
 
@@ -109,41 +94,73 @@ def regions_at(
 ) -> DataFrame:
     """The points with an array of the regions each lies in, empty if none or if
     a coordinate is missing."""
+    held = _structs_at(points, x, y, index, "_found")
+    return held.selectExpr(
+        *[f"`{c}`" for c in points.columns], f"transform(_found, r -> r.region) as {found}"
+    )
+
+
+def _structs_at(points: DataFrame, x: str, y: str, index: RegionIndex, found: str) -> DataFrame:
     grid = index.grid
     cell = grid.cell(grid.column(x), grid.band(y))
     keyed = points.selectExpr("*", f"if({grid.covers(x, y)}, {cell}, null) as _cell")
-    in_cell = _lookup(keyed, index, index.cells, "_cell")
-    in_run = _lookup(in_cell, index, index.runs, "_run")
+    in_cell = _lookup(keyed, index, index.cells, "_cell", x, y)
+    in_run = _lookup(in_cell, index, index.runs, "_run", x, y)
     tested = f"filter(_parts, p -> {contains('p.edges', x, y, 'p.beyond')})"
     hits = f"""case when _parts is not null
-                    then array_distinct(concat(_sure, transform({tested}, p -> p.region)))
+                    then array_distinct(concat(_sure, transform({tested}, p -> p.of)))
                     else coalesce(_sure, array()) end"""
     return in_run.selectExpr(*[f"`{c}`" for c in points.columns], f"{hits} as {found}")
 
 
-def _lookup(points: DataFrame, index: RegionIndex, table: DataFrame, key: str) -> DataFrame:
-    """Left join with one of the index's tables on its key."""
+def _lookup(
+    points: DataFrame, index: RegionIndex, table: DataFrame, key: str, x: str, y: str
+) -> DataFrame:
+    """Left join with one of the index's tables on its key.
+
+    If that cannot be broadcast, every row of it is there once for each salt, and a
+    point's place picks the salt, so the points of a busy cell spread over tasks.
+    Points without a key, which find nothing, get one of their own for the join.
+    """
     if index.small:
         return points.join(F.broadcast(table), key, "left")
-    return spread_join(points, table, [key], "left", hot_rows=index.hot_rows)
+    place = f"xxhash64({x}, {y})"
+    salted = points.withColumns(
+        {
+            "_salt": F.expr(f"cast(pmod({place}, {SALTS}) as int)"),
+            key: F.expr(f"coalesce({key}, -1 - pmod({place}, {APART}))"),
+        }
+    )
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
 def locate(points: DataFrame, x: str, y: str, index: RegionIndex, name: str | None = None) -> DataFrame:
-    """Inner join of points with the regions that contain them."""
+    """Inner join of points with the regions that contain them; the name may be null."""
     name = name or index.by
-    found = regions_at(points, x, y, index, "_found")
+    found = _structs_at(points, x, y, index, "_found")
     # an outer generator: a plain one would have the lookup computed twice, once
     # to filter out the empty arrays
-    return found.select(*points.columns, F.explode_outer("_found").alias(name)).where(
-        f"`{name}` is not null"
+    return (
+        found.select(*points.columns, F.explode_outer("_found").alias("_region"))
+        .where("_region is not null")
+        .select(*points.columns, F.col("_region.region").alias(name))
     )
 
 
 def inside(points: DataFrame, x: str, y: str, index: RegionIndex) -> DataFrame:
     """Points in some region, each once."""
-    return regions_at(points, x, y, index, "_found").where("size(_found) > 0").drop("_found")
+    return flagged(points, x, y, index, "_inside").where("_inside").drop("_inside")
 
 
 def outside(points: DataFrame, x: str, y: str, index: RegionIndex) -> DataFrame:
     """Points in no region, those with a missing coordinate among them."""
-    return regions_at(points, x, y, index, "_found").where("size(_found) = 0").drop("_found")
+    return flagged(points, x, y, index, "_inside").where("not _inside").drop("_inside")
+
+
+def flagged(
+    points: DataFrame, x: str, y: str, index: RegionIndex, name: str = "in_service_area"
+) -> DataFrame:
+    """The points with a flag: are they in some region?"""
+    found = _structs_at(points, x, y, index, "_found")
+    return found.withColumn(name, F.expr("size(_found) > 0")).drop("_found")

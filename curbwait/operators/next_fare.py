@@ -1,111 +1,62 @@
 """Each trip with its driver's next one."""
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbwait.operators.skew import HOT_ROWS, frequent_keys
 from curbwait.schemas import DRIVER, NEXT_PICKUP, PICKUP, TRIP_ORDER
-from curbwait.session import use_checkpoints
 
-HOT_DRIVERS = 100_000
-SLICES = 20_000
+SLICE_SECONDS = 86_400
+_LEADS = ("lead_pickup_datetime", *NEXT_PICKUP)
 
 
-def sessions_layout(trips: DataFrame) -> DataFrame:
-    """Trips laid out for writing: each driver's together and in order.
+def sessions_layout(
+    trips: DataFrame, seconds: int = SLICE_SECONDS, order: Sequence[str] = TRIP_ORDER
+) -> DataFrame:
+    """Trips with ``slice``, the day or other span of the pick-up, laid out so that each
+    driver's trips of a slice are in one partition, together and in order.
 
-    Ranges of (driver, pick-up), so a driver with very many trips fills several
-    partitions, still in order, and no partition outgrows the others.
+    Slices cut drivers with very many trips, such as a placeholder licence, as the
+    data are; what a task must hold is a driver's trips of one slice.
     """
-    key = [DRIVER, "pickup_datetime"]
-    return trips.repartitionByRange(*key).sortWithinPartitions(*key)
+    keyed = trips.withColumn("slice", F.floor(F.col("pickup_datetime") / seconds))
+    return keyed.repartition(DRIVER, "slice").sortWithinPartitions(DRIVER, "slice", *order)
 
 
 def next_fare(
-    trips: DataFrame, hot_rows: int | None = HOT_ROWS, order: Sequence[str] = TRIP_ORDER
+    trips: DataFrame, seconds: int = SLICE_SECONDS, order: Sequence[str] = TRIP_ORDER
 ) -> DataFrame:
     """Every trip with ``lead_pickup_datetime``, ``lead_pickup_longitude`` and
     ``lead_pickup_latitude`` of the driver's next trip, and the seconds between
     this drop-off and that pick-up as ``next_fare_duration``; null for a driver's
-    last trip.
-
-    A driver is one window partition up to ``hot_rows`` trips. Drivers with more,
-    such as a placeholder licence, are cut into slices of the sort order that run
-    side by side. Counting trips per driver is a job of its own; ``None`` skips it.
-    At most HOT_DRIVERS names come to the driver program; any further hot drivers
-    have fewer trips than these and stay whole windows.
-    """
-    hot = frequent_keys(trips, DRIVER, hot_rows, HOT_DRIVERS) if hot_rows else []
-    if not hot:
-        return _gap(_lead(trips, [DRIVER], order))
-    spark = trips.sparkSession
-    names = spark.createDataFrame([(r[DRIVER],) for r in hot], trips.select(DRIVER).schema)
-    names = F.broadcast(names.withColumnRenamed(DRIVER, "_hot"))
-    is_hot = F.col(DRIVER).eqNullSafe(F.col("_hot"))
-    rest = _lead(trips.join(names, is_hot, "left_anti"), [DRIVER], order)
-    sliced = _lead_by_slices(
-        trips.join(names, is_hot, "left_semi"), sum(r.rows for r in hot), hot_rows, order
-    )
-    return _gap(rest.unionByName(sliced))
-
-
-def _lead(trips: DataFrame, partition: Sequence[str], order: Sequence[str]) -> DataFrame:
-    window = Window.partitionBy(*partition).orderBy(*order)
-    return trips.withColumns(
-        {
-            "lead_pickup_datetime": F.lead("pickup_datetime").over(window),
-            NEXT_PICKUP[0]: F.lead(PICKUP[0]).over(window),
-            NEXT_PICKUP[1]: F.lead(PICKUP[1]).over(window),
-        }
-    )
+    last trip. ``order`` begins with the pick-up time.
 
-
-def _lead_by_slices(
-    trips: DataFrame, rows: int, hot_rows: int, order: Sequence[str]
-) -> DataFrame:
-    """``_lead`` with each driver's trips cut into consecutive slices.
-
-    The slices are ranges of (driver, order), the row's position in its sorted
-    input partition last, so that equal rows part as well; sorted, as a task that
-    is run again must number them alike. Within a slice the window does it. The
-    last trip of a slice is followed by the first one of the driver's next slice;
-    those trips, one per slice, are paired by a window of their own. The sliced
-    rows are checkpointed, as the two readings must see the same slices.
+    All drivers are cut into slices of time. Within a slice a window pairs the trips,
+    on the layout's own shuffle. The last trip of a slice is followed by the first one
+    of the driver's next slice: those, one row per slice, combined before they are
+    shuffled, are paired by a window of their own and joined.
     """
-    slices = max(2, min(SLICES, math.ceil(2 * rows / hot_rows)))
-    use_checkpoints(trips.sparkSession)
-    sliced = (
-        trips.sortWithinPartitions(*trips.columns)
-        .withColumn("_position", F.monotonically_increasing_id())
-        .repartitionByRange(slices, DRIVER, *order, "_position")
-        .withColumn("_slice", F.spark_partition_id())
+    laid = sessions_layout(trips, seconds, order)
+    window = Window.partitionBy(DRIVER, "slice").orderBy(*order)
+    led = laid.withColumns(
+        {name: F.lead(c).over(window) for name, c in zip(_LEADS, ("pickup_datetime", *PICKUP), strict=True)}
     )
-    window = Window.partitionBy(DRIVER, "_slice").orderBy(*order, "_position")
-    first = F.first(F.struct("pickup_datetime", *PICKUP)).over(window)
-    led = (
-        _lead(sliced, [DRIVER, "_slice"], [*order, "_position"])
-        .withColumn("_first", first)
-        .drop("_position")
-        .checkpoint()
-    )
-    last_in_slice = F.col("lead_pickup_datetime").isNull()
-    following = F.lead("_first").over(Window.partitionBy(DRIVER).orderBy("_slice"))
-    stitched = (
-        led.where(last_in_slice)
-        .withColumn("_following", following)
-        .withColumns(
-            {
-                "lead_pickup_datetime": F.col("_following.pickup_datetime"),
-                NEXT_PICKUP[0]: F.col(f"_following.{PICKUP[0]}"),
-                NEXT_PICKUP[1]: F.col(f"_following.{PICKUP[1]}"),
-            }
-        )
-        .drop("_following")
+    firsts = (
+        trips.withColumn("slice", F.floor(F.col("pickup_datetime") / seconds))
+        .groupBy(DRIVER, "slice")
+        .agg(F.min(F.struct(*order)).alias("first"))
     )
-    return led.where(~last_in_slice).unionByName(stitched).drop("_slice", "_first")
+    onward = F.lead("first").over(Window.partitionBy(DRIVER).orderBy("slice"))
+    following = firsts.select(F.col(DRIVER).alias("_driver"), F.col("slice").alias("_slice"), onward.alias("_next"))
+    same = led[DRIVER].eqNullSafe(following["_driver"]) & led["slice"].eqNullSafe(following["_slice"])
+    last = F.col("lead_pickup_datetime").isNull()
+    stitched = {
+        name: F.when(last, F.col(f"_next.{c}")).otherwise(F.col(name))
+        for name, c in zip(_LEADS, ("pickup_datetime", *PICKUP), strict=True)
+    }
+    joined = led.join(following, same, "left").withColumns(stitched)
+    return _gap(joined.drop("slice", "_driver", "_slice", "_next"))
 
 
 def _gap(trips: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbwait.operators.skew import HOT_ROWS, spread_join
+SALTS = 16
 
 
 def distribution(located: DataFrame, by: str = "borough") -> DataFrame:
@@ -24,26 +24,25 @@ def rows_of_regions(located: DataFrame, names: Sequence[str], by: str = "borough
     return located.where(F.col(by).isin(list(names)))
 
 
-def not_in(
-    rows: DataFrame, listed: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def not_in(rows: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose value in ``on`` is not among the listed ones, by the rules of
     SQL's NOT IN: a missing value in the list leaves no rows, and a row with a
     missing value stays only beside an empty list. A value of several columns
     counts as missing if any of them is.
 
     NOT IN itself would need the whole list on every executor. Here what the list
-    holds is asked once by a subquery, and its distinct values are joined on
-    equality, frequent values of the rows apart.
+    holds is asked once by a subquery, and its distinct values, once for each salt,
+    are joined on equality with the rows, each in a salt picked by all its columns.
     """
     missing = " or ".join(f"{c} is null" for c in on)
     held = listed.selectExpr(
         f"struct(count(*) as rows, count_if({missing}) as missing)"
     ).scalar()
-    hashed = f"xxhash64({', '.join(on)}) as _key"
-    present = rows.where(f"not ({missing})").selectExpr("*", hashed)
-    values = listed.select(*on).distinct().selectExpr("*", hashed)
-    kept = spread_join(present, values, [*on, "_key"], "left_anti", "_key", hot_rows)
+    whole = ", ".join(f"`{c}`" for c in rows.columns)
+    present = rows.where(f"not ({missing})").selectExpr("*", f"cast(pmod(xxhash64({whole}), {SALTS}) as int) as _salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    values = listed.select(*on).distinct().withColumn("_salt", salts)
+    kept = present.join(values, [*on, "_salt"], "left_anti")
     return (
         kept.where(held["missing"] == 0)
         .select(rows.columns)

@@ -63,10 +63,11 @@ def zones_to_edges(zones: DataFrame) -> DataFrame:
 
 
 def area(edges: DataFrame, by: str) -> DataFrame:
-    """Planar area per ``by``, largest first."""
+    """Planar area per ``by``, largest first; where zones overlap it counts twice."""
+    times = "net" if "net" in edges.columns else "1"
     return (
         edges.groupBy(by)
-        .agg(F.expr("abs(sum((x1 + x2) * (y2 - y1) / 2)) as location_area"))
+        .agg(F.expr(f"abs(sum({times} * (x1 + x2) * (y2 - y1) / 2)) as location_area"))
         .orderBy(F.desc("location_area"), by)
     )
 
@@ -91,11 +92,11 @@ def segments(edges: DataFrame, by: str) -> DataFrame:
 
 
 def dissolve(edges: DataFrame, by: str = "borough") -> DataFrame:
-    """Outer boundary per ``by``: borders between its own zones drop out.
+    """Outer boundary per ``by``: borders between its own zones drop out. ``net`` is how
+    many zones more are on an edge's left than on its right.
 
     This is the polygons' union where zones do not overlap and neighbours share
-    their border vertex for vertex. Where only vertices fail to match, area and
-    containment are still right. ``overlaps`` finds the other cases.
+    their border vertex for vertex. Winding numbers over it are right in any case.
     """
     return (
         segments(edges, by)
@@ -106,5 +107,17 @@ def dissolve(edges: DataFrame, by: str = "borough") -> DataFrame:
             "if(net > 0, y, qy) as y1",
             "if(net > 0, qx, x) as x2",
             "if(net > 0, qy, y) as y2",
+            "abs(net) as net",
         )
     )
+
+
+def region_areas(edges: DataFrame, overlapping: DataFrame, by: str = "borough") -> DataFrame:
+    """Area per region; null, with the ``reason``, for regions whose zones overlap:
+    ``overlapping`` has those and reasons."""
+    reasons = overlapping.withColumnRenamed(by, "region").groupBy("region").agg(F.expr("concat_ws(', ', array_sort(collect_set(reason))) as reason"))
+    sizes = area(dissolve(edges, by), by)
+    joined = sizes.join(reasons, sizes[by].eqNullSafe(reasons["region"]), "left")
+    return joined.select(
+        by, F.expr("if(reason is null, location_area, null) as location_area"), "reason"
+    ).orderBy(F.desc("location_area"), by)

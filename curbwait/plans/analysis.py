@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from curbwait.operators import next_fare, regions, trips, zones
-from curbwait.operators.locate import build_index, inside
-from curbwait.operators.skew import HOT_ROWS
+from curbwait.operators.coverage import overlaps
+from curbwait.operators.grid import fit_grid
+from curbwait.operators.locate import build_index
 from curbwait.plans import jobs
-from curbwait.schemas import DROPOFF
 from curbwait.sources import csv, sinks
 
 
@@ -16,12 +16,11 @@ def analyse(
     zones_path: str,
     out: str,
     service_area_only: bool = False,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Write all results below ``out`` and return the idle time by region.
 
     Tables that several results are made from are written once and read back:
-    clean trips, and trips paired with the next one. ``service_area_only`` leaves
+    clean trips, the zones' edges, and trips paired with the next one. ``service_area_only`` leaves
     out trips that end in no region before drivers' trips are paired.
     """
 
@@ -37,15 +36,18 @@ def analyse(
 
     zone_table = csv.read_zones(spark, zones_path)
     sinks.write_table(zones.rejected_zones(zone_table), f"{out}/rejected_zones")
-    index = build_index(zones.zones_to_edges(zone_table))
-    sinks.write_table(zones.area(zones.dissolve(index.edges), "borough"), f"{out}/regions")
+    edges = kept(zones.zones_to_edges(zone_table), "edges")
+    index = build_index(edges)
+    overlapping = overlaps(edges, fit_grid(edges, "borough")[0])
+    sinks.write_table(zones.region_areas(edges, overlapping), f"{out}/regions")
     ends = kept(jobs.dropoff_distribution(likely, index), "dropoffs")
     unknown = regions.unknown_regions(ends, zone_table)
     sinks.write_table(unknown, f"{out}/unknown_regions")
 
     if service_area_only:
-        likely = inside(likely, *DROPOFF, index)
-    paired = kept(next_fare.next_fare(likely, hot_rows), "paired_trips")
+        flagged = kept(jobs.by_service_area(likely, index), "served_trips")
+        likely = flagged.where("in_service_area").drop("in_service_area")
+    paired = kept(next_fare.next_fare(likely), "paired_trips")
     sinks.write_table(next_fare.gap_quality(paired), f"{out}/gap_quality")
     od = kept(jobs.od_gaps(next_fare.positive_gaps(paired), index), "idle_trips")
     idle = kept(regions.idle_by_region(od), "idle_by_region")

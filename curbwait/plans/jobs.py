@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from curbwait.functions.times import whole_minutes
 from curbwait.operators import next_fare, regions, trips, zones
-from curbwait.operators.locate import RegionIndex, build_index, inside, locate, outside
+from curbwait.operators.locate import RegionIndex, build_index, flagged, locate
 from curbwait.schemas import DROPOFF, NEXT_PICKUP
 
 
@@ -23,9 +23,10 @@ def dropoff_distribution(trip_table: DataFrame, index: RegionIndex) -> DataFrame
     return regions.distribution(locate(points, *DROPOFF, index), index.by)
 
 
-def split_by_service_area(trip_table: DataFrame, index: RegionIndex) -> tuple[DataFrame, DataFrame]:
-    """Trips that end in some region, and trips that end in none."""
-    return inside(trip_table, *DROPOFF, index), outside(trip_table, *DROPOFF, index)
+def by_service_area(trip_table: DataFrame, index: RegionIndex) -> DataFrame:
+    """Trips with ``in_service_area``: do they end in some region? One lookup; the
+    caller filters."""
+    return flagged(trip_table, *DROPOFF, index)
 
 
 def od_gaps(gaps: DataFrame, index: RegionIndex) -> DataFrame:

@@ -53,6 +53,34 @@ EDGES = """
     ),
     edges as (select * from steps where k < 4)"""
 
+def edges_where(taller: str) -> str:
+    """The edges, the upper corners of some regions' zones half a cell higher."""
+    return EDGES.replace(
+        "% 3 - 1) * 0.125::double as y", f"% 3 - 1) * 0.125::double + case when {taller} then j * 0.5 else 0 end as y"
+    )
+
+
+def in_some_zone(points: str, key: str, x: str, y: str) -> str:
+    """(key, borough) for points with a zone of the borough on every side of them: the
+    point moved a little in 16 directions is strictly inside one each time."""
+    return f"""
+    moved as (
+        select {key}, way, {x} + 1e-6 * cos(0.1 + way * pi() / 8) as mx, {y} + 1e-6 * sin(0.1 + way * pi() / 8) as my
+        from {points}, range(16) as turn(way)
+    ),
+    hits as (
+        select distinct {key}, way, borough
+        from (
+            select {key}, way, zone, borough
+            from moved, edges
+            where least(y1, y2) <= my and my < greatest(y1, y2)
+              and (x2 - x1) * (my - y1) / (y2 - y1) + x1 > mx
+            group by all having count(*) % 2 = 1
+        )
+    ),
+    held as (select {key}, borough from hits group by all having count(*) = 16)"""
+
+
 BOUNDARY = f"""{EDGES},
     boundary as (
         select borough, min(x1) as x1, min(y1) as y1, min(x2) as x2, min(y2) as y2
@@ -265,7 +293,31 @@ ALL = {
     "trips_view": f"""with {HOURS}
         select hack_license, count(*) as trips, sum(trip_in_hours)::bigint as hours
         from plausible group by hack_license""",
-    "sessions_layout": f"""with {TRIPS} select * from trips""",
+    "sessions_layout": f"""with {TRIPS}
+        select hack_license, count(*) as trips, count(distinct pickup_datetime // 86400) as slices,
+               true as together, true as in_order
+        from trips group by hack_license""",
+    "dropoff_located_overlap": f"""with {TRIPS}, {edges_where("r_name in ('AFRICA', 'ASIA')")},
+        {in_some_zone("trips", "trip_id", "dropoff_longitude", "dropoff_latitude")}
+        select * from held""",
+    "dropoff_located_seam": f"""with {EDGES.replace("corners as", "flat as").replace("from corners", "from flat")
+                                     .replace("steps as", "flat_steps as").replace("from steps", "from flat_steps")
+                                     .replace("edges as", "flat_edges as")},
+        places as (
+            select distinct x, y from (
+                select x1 as x, y1 as y from flat_edges union all select (x1 + x2) / 2, (y1 + y2) / 2 from flat_edges)
+        ),
+        points as (select row_number() over (order by x, y) as p, * from places),
+        {edges_where("r_name = 'AFRICA'")}, {in_some_zone("points", "p", "x", "y")}
+        select x, y, borough from held join points using (p)""",
+    "borough_area_overlap": f"""with {EDGES}
+        select borough, case when borough not in ('AFRICA', 'ASIA') then round(abs(sum(x1 * y2 - x2 * y1)) / 2, 9) end
+               as location_area, borough in ('AFRICA', 'ASIA') as reason
+        from edges group by borough""",
+    "dropoff_distribution_unnamed": f"""with {ENDS}
+        select nullif(borough, 'ASIA') as borough, count(*) as count, 'region' as kind from ends group by borough
+        union all
+        select (trip_id in (select trip_id from ends))::varchar, count(*), 'inside' from trips group by 1""",
     "next_fare_gaps": f"""with {PAIRED}
         select trip_id, hack_license, {STAMPS}, pickup_longitude, pickup_latitude,
                dropoff_longitude, dropoff_latitude, lead_pickup_longitude, lead_pickup_latitude,
@@ -323,4 +375,5 @@ ALL["analysis_tables"] = f"""with {SERVED}
     union all select 'unknown_regions', 0"""
 ALL["analysis"] = ALL["idle_by_region"]
 ALL["dropoff_located_shuffled"] = ALL["dropoff_located"]
+ALL["idle_by_region_shuffled"] = ALL["idle_by_region"]
 ALL["report_written"] = ALL["idle_by_region"]

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from curbwait import fixtures
 from curbwait.operators import locate, next_fare, regions, trips, zones
+from curbwait.operators.coverage import overlaps
+from curbwait.operators.grid import fit_grid
 from curbwait.plans import jobs
 from curbwait.plans.analysis import analyse
-from curbwait.schemas import DROPOFF, TRIP_SCHEMA
+from curbwait.schemas import DROPOFF, TRIP_ORDER, TRIP_SCHEMA
 from curbwait.session import scratch_path
 from curbwait.sources import csv, sinks
 
@@ -15,24 +17,15 @@ EVERY_TRIP = ["trip_id", *trips.TRIP_COLUMNS]
 
 
 def _trips(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return fixtures.trips(spark, folder)
 
 
 def _clean(spark, folder, keep=("trip_id",)):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return trips.clean_trips(fixtures.trips_raw(spark, folder), keep)
 
 
-_indexes = {}
-
-
 def _index(spark, folder):
-    """The region index, built once per session and folder."""
-    key = spark.sparkContext.applicationId, folder
-    if key not in _indexes:
-        _indexes[key] = jobs.region_index(fixtures.zones(spark, folder))
-    return _indexes[key]
+    return jobs.region_index(fixtures.zones(spark, folder))
 
 
 def _edges(spark, folder):
@@ -49,7 +42,6 @@ def _rounded(df: DataFrame, **places: int) -> DataFrame:
 
 def _written_trips(spark, folder, header=lambda i, name: name if i == 0 else f" {name}"):
     """The trips as a CSV file with blanks in the header, like published ones."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = fixtures.trip_file_rows(spark, folder)
     path = scratch_path(spark, "trips")
     rows.toDF(*[header(i, c) for i, c in enumerate(rows.columns)]).write.csv(
@@ -181,7 +173,43 @@ def borough_area(spark, folder):
 
 
 def borough_boundary_edges(spark, folder):
-    return zones.dissolve(_edges(spark, folder))
+    return zones.dissolve(_edges(spark, folder)).drop("net")
+
+
+def borough_area_overlap(spark, folder):
+    """Areas where zones of two regions, stretched upwards, overlap their own."""
+    edges = zones.zones_to_edges(fixtures.zones(spark, folder, taller=["AFRICA", "ASIA"]))
+    found = overlaps(edges, fit_grid(edges, "borough")[0])
+    areas = zones.region_areas(edges, found)
+    return _rounded(areas, location_area=9).withColumn("reason", F.col("reason").isNotNull())
+
+
+def dropoff_located_overlap(spark, folder):
+    """Drop-offs where zones of two regions overlap within their region."""
+    index = jobs.region_index(fixtures.zones(spark, folder, taller=["AFRICA", "ASIA"]))
+    points = _trips(spark, folder).select("trip_id", *DROPOFF)
+    return jobs.dropoff_located(points, index).drop(*DROPOFF)
+
+
+def _on_corners(spark, folder):
+    """Points on all zone corners, and halfway between corners of an edge."""
+    ends = _edges(spark, folder).selectExpr("x1 as x", "y1 as y", "(x1 + x2) / 2 as u", "(y1 + y2) / 2 as v")
+    return ends.select("x", "y").union(ends.select("u", "v")).distinct()
+
+
+def dropoff_located_seam(spark, folder):
+    """Points on borders, inner ones among them, beside regions that overlap."""
+    index = jobs.region_index(fixtures.zones(spark, folder, taller=["AFRICA"]))
+    return locate.locate(_on_corners(spark, folder), "x", "y", index)
+
+
+def dropoff_distribution_unnamed(spark, folder):
+    """Drop-offs by region where one region has no name, and the split by area."""
+    table = fixtures.zones(spark, folder).withColumn("borough", F.nullif("borough", F.lit("ASIA")))
+    index, rows = jobs.region_index(table), _trips(spark, folder)
+    counts = jobs.dropoff_distribution(rows, index).withColumn("kind", F.lit("region"))
+    split = jobs.by_service_area(rows, index).groupBy(F.col("in_service_area").cast("string").alias("borough"))
+    return counts.unionByName(split.agg(F.count("*").alias("count")).withColumn("kind", F.lit("inside")))
 
 
 def dropoff_located(spark, folder):
@@ -192,7 +220,7 @@ def dropoff_located(spark, folder):
 def dropoff_located_shuffled(spark, folder):
     """The same without broadcasts, as for an index too large for them."""
     points = _trips(spark, folder).select("trip_id", "hack_license", *DROPOFF)
-    index = _index(spark, folder).shuffled(hot_rows=20)
+    index = _index(spark, folder).shuffled()
     return jobs.dropoff_located(points, index).drop(*DROPOFF)
 
 
@@ -205,24 +233,23 @@ def dropoff_distribution(spark, folder):
 
 
 def trips_inside(spark, folder):
-    return jobs.split_by_service_area(_trips(spark, folder), _index(spark, folder))[0]
+    found = jobs.by_service_area(_trips(spark, folder), _index(spark, folder))
+    return found.where("in_service_area").drop("in_service_area")
 
 
 def trips_outside(spark, folder):
-    return jobs.split_by_service_area(_trips(spark, folder), _index(spark, folder))[1]
+    found = jobs.by_service_area(_trips(spark, folder), _index(spark, folder))
+    return found.where("not in_service_area").drop("in_service_area")
 
 
 def points_not_in(spark, folder):
     """Trips whose drop-off point is none of those outside the regions."""
-    rows = _trips(spark, folder)
-    outside = jobs.split_by_service_area(rows, _index(spark, folder))[1]
-    return regions.not_in(rows, outside, DROPOFF)
+    return regions.not_in(_trips(spark, folder), trips_outside(spark, folder), DROPOFF)
 
 
 def points_not_in_null(spark, folder):
     """Rows NOT IN keeps of the raw trips, some without latitude, beside a list
     without missing values, one with them, and an empty one."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = fixtures.trips_raw(spark, folder).select(
         "trip_id", *[F.nanvl(c, F.lit(None)).alias(c) for c in DROPOFF]
     )
@@ -251,7 +278,7 @@ def trips_of_regions(spark, folder):
 
 
 def trips_view(spark, folder):
-    """Busiest drivers asked of a temporary view in SQL."""
+    """Trips and hours by driver, asked of a temporary view in SQL."""
     plausible_trips(spark, folder).createOrReplaceTempView("curbwait_trips")
     return spark.sql(
         "select hack_license, count(*) as trips, sum(trip_in_hours) as hours "
@@ -260,7 +287,24 @@ def trips_view(spark, folder):
 
 
 def sessions_layout(spark, folder):
-    return next_fare.sessions_layout(_trips(spark, folder))
+    """By driver: trips, slices, and as they lie in the partitions, are the trips of
+    each slice side by side and in order?"""
+    laid = next_fare.sessions_layout(_trips(spark, folder)).withColumns(
+        {"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}
+    )
+    # the place in the partition is numbered before any other shuffle
+    held = laid.groupBy("hack_license", "slice").agg(
+        F.count("*").alias("n"),
+        (F.max("at") - F.min("at") + 1).alias("span"),
+        F.array_sort(F.collect_list(F.struct("at", F.struct(*TRIP_ORDER).alias("key")))).alias("rows"),
+    )
+    in_order = F.expr("transform(rows, r -> r.key) = array_sort(transform(rows, r -> r.key))")
+    return held.groupBy("hack_license").agg(
+        F.sum("n").alias("trips"),
+        F.count("*").alias("slices"),
+        F.every(F.col("n") == F.col("span")).alias("together"),
+        F.every(in_order).alias("in_order"),
+    )
 
 
 def next_fare_gaps(spark, folder):
@@ -273,12 +317,12 @@ def gap_quality(spark, folder):
 
 def next_fare_hot_driver(spark, folder):
     """Gaps by driver where one driver has a third of all trips, many of them at
-    the same time, and is paired slice by slice."""
+    the same time."""
     rows = _trips(spark, folder)
     shared = F.when(F.col("trip_id") % 3 == 0, 0).otherwise(F.col("hack_license"))
     hour = F.floor(F.col("pickup_datetime") / 3600) * 3600
     skewed = rows.withColumns({"hack_license": shared, "pickup_datetime": hour})
-    gaps = next_fare.next_fare(skewed, hot_rows=max(50, rows.count() // 20))
+    gaps = next_fare.next_fare(skewed)
     gap = F.col("next_fare_duration")
 
     def steps(name):
@@ -312,6 +356,12 @@ def idle_by_region(spark, folder):
     return _rounded(report, average_duration=6, deviation_duration=4)
 
 
+def idle_by_region_shuffled(spark, folder):
+    """The same without broadcasts, as for an index too large for them."""
+    report = jobs.idle_report(_trips(spark, folder), _index(spark, folder).shuffled())
+    return _rounded(report, average_duration=6, deviation_duration=4)
+
+
 def choropleth_classes(spark, folder):
     return regions.quantile_classes(idle_by_region(spark, folder), "average_duration")
 
@@ -382,10 +432,14 @@ ALL = [
     zone_area,
     borough_area,
     borough_boundary_edges,
+    borough_area_overlap,
     dropoff_located,
     dropoff_located_shuffled,
     dropoff_preview,
     dropoff_distribution,
+    dropoff_distribution_unnamed,
+    dropoff_located_overlap,
+    dropoff_located_seam,
     trips_inside,
     trips_outside,
     points_not_in,
@@ -399,6 +453,7 @@ ALL = [
     next_fare_hot_driver,
     od_gaps,
     idle_by_region,
+    idle_by_region_shuffled,
     choropleth_classes,
     choropleth_geojson,
     report_written,

@@ -64,35 +64,38 @@ def test_times_come_back_as_timestamps(spark):
     assert row.next_fare_duration == 60
 
 
-@pytest.mark.parametrize("hot_rows", [1, 40, 150, 10_000])
-def test_hot_drivers_are_paired_slice_by_slice(spark, hot_rows):
+@pytest.mark.parametrize("seconds", [1, 40, 700, 100_000])
+def test_hot_drivers_are_paired_slice_by_slice(spark, seconds):
     """One driver has most trips, of those a third at one second and a third
     copies of one trip; another one has no name."""
-    random.seed(hot_rows)
+    random.seed(seconds)
     rows = [trip("hot", random.randrange(5000), random.randrange(5000), random.random()) for _ in range(300)]
     rows += [trip("hot", 2500, random.randrange(3000), random.random()) for _ in range(300)]
     rows += [trip("hot", 2600, 2700, 0.5)] * 300
     rows += [trip(f"d{random.randrange(30)}", random.randrange(9000), random.randrange(9000)) for _ in range(300)]
     rows += [trip(None, random.randrange(5000), 1, random.random()) for _ in range(200)]
     random.shuffle(rows)
-    gaps = nf.next_fare(table(spark, rows).repartition(7), hot_rows=hot_rows)
+    gaps = nf.next_fare(table(spark, rows).repartition(7), seconds)
     assert spark_paired(gaps) == paired(rows)
 
 
-def test_without_counting_drivers(spark):
-    assert spark_paired(nf.next_fare(table(spark, CASES), hot_rows=None)) == paired(CASES)
-
-
-def test_layout_keeps_drivers_together_and_in_order(spark):
+def test_layout_keeps_slices_together_and_in_order(spark):
     random.seed(1)
     rows = [trip(f"d{random.randrange(9)}", random.randrange(900), 0, random.random()) for _ in range(2000)]
-    parts = nf.sessions_layout(table(spark, rows)).select("hack_license", "pickup_datetime").rdd.glom().collect()
-    flat = [tuple(r) for part in parts for r in part]
-    assert flat == sorted(r[:2] for r in rows)
-
-
-def test_layout_splits_a_hot_driver(spark):
-    rows = [trip("hot", i, i) for i in range(4000)]
-    laid = table(spark, rows).repartitionByRange(8, "hack_license", "pickup_datetime")
-    sizes = [len(p) for p in laid.rdd.glom().collect()]
-    assert max(sizes) < 2000
+    parts = nf.sessions_layout(table(spark, rows), 100).select("hack_license", "slice", "pickup_datetime").rdd.glom()
+    seen = set()
+    for part in parts.collect():
+        assert [tuple(r) for r in part] == sorted(tuple(r) for r in part)
+        own = {(r[0], r[1]) for r in part}
+        assert not own & seen
+        seen |= own
+    assert len(seen) == 81
+
+
+def test_pairing_uses_the_shuffle_of_the_layout(spark):
+    rows = nf.next_fare(table(spark, CASES))
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    own = [line for line in text.splitlines() if "Exchange hashpartitioning(hack_license" in line]
+    assert sum("REPARTITION_BY_COL" in line for line in own) == 1
+    # the others move one row for each slice
+    assert len(own) <= 3
