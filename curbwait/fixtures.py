@@ -91,3 +91,21 @@ def zones(spark: SparkSession, folder: str, taller: Sequence[str] = ()) -> DataF
     return cells.selectExpr(
         "zone", "borough", f"concat('MULTIPOLYGON (((', {ring}, ')))') as the_geom"
     )
+
+
+def jagged_edges(spark: SparkSession, folder: str, n: int = 4000) -> DataFrame:
+    """One ring of ``n`` jagged edges around a point for each region, as edges."""
+
+    def corner(k):
+        reach = f"(0.3D + ((({k}) * 7919 + r_regionkey * 1049) % 1000) / 5000.0D)"
+        turn = f"(2 * pi() * ({k}) / {n})"
+        return (
+            f"round(r_regionkey + 0.5D + {reach} * cos{turn}, 9)",
+            f"round(2.5D + 5 * {reach} * sin{turn}, 9)",
+        )
+
+    corners = table(spark, folder, "region").selectExpr(
+        "r_name as zone", "r_name as borough", "r_regionkey", f"explode(sequence(0, {n - 1})) as k"
+    )
+    (x1, y1), (x2, y2) = corner("k"), corner(f"(k + 1) % {n}")
+    return corners.selectExpr("zone", "borough", f"{x1} as x1", f"{y1} as y1", f"{x2} as x2", f"{y2} as y2")

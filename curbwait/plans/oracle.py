@@ -310,6 +310,28 @@ ALL = {
         points as (select row_number() over (order by x, y) as p, * from places),
         {edges_where("r_name = 'AFRICA'")}, {in_some_zone("points", "p", "x", "y")}
         select x, y, borough from held join points using (p)""",
+    "jagged_distribution": f"""with {TRIPS},
+        corners as (
+            select r_name as borough, k, 0.3::double + ((k * 7919 + r_regionkey * 1049) % 1000) / 5000.0::double as reach,
+                   r_regionkey
+            from region, range(4000) as turn(k)
+        ),
+        places as (
+            select borough, k, round(r_regionkey + 0.5::double + reach * cos(2 * pi() * k / 4000), 9) as x,
+                   round(2.5::double + 5 * reach * sin(2 * pi() * k / 4000), 9) as y
+            from corners
+        ),
+        jagged as (
+            select a.borough, a.x as x1, a.y as y1, b.x as x2, b.y as y2
+            from places a join places b on a.borough = b.borough and b.k = (a.k + 1) % 4000
+        ),
+        found as (
+            select trip_id, borough
+            from trips join jagged on least(y1, y2) <= dropoff_latitude and dropoff_latitude < greatest(y1, y2)
+                and (x2 - x1) * (dropoff_latitude - y1) / (y2 - y1) + x1 > dropoff_longitude
+            group by all having count(*) % 2 = 1
+        )
+        select borough, count(*) as count from found group by borough""",
     "borough_area_overlap": f"""with {EDGES}
         select borough, case when borough not in ('AFRICA', 'ASIA') then round(abs(sum(x1 * y2 - x2 * y1)) / 2, 9) end
                as location_area, borough in ('AFRICA', 'ASIA') as reason

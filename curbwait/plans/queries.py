@@ -232,6 +232,12 @@ def dropoff_distribution(spark, folder):
     return jobs.dropoff_distribution(_trips(spark, folder), _index(spark, folder))
 
 
+def jagged_distribution(spark, folder):
+    """Drop-offs by region where each region's border has thousands of edges."""
+    index = locate.build_index(fixtures.jagged_edges(spark, folder))
+    return jobs.dropoff_distribution(_trips(spark, folder), index)
+
+
 def trips_inside(spark, folder):
     found = jobs.by_service_area(_trips(spark, folder), _index(spark, folder))
     return found.where("in_service_area").drop("in_service_area")
@@ -440,6 +446,7 @@ ALL = [
     dropoff_distribution_unnamed,
     dropoff_located_overlap,
     dropoff_located_seam,
+    jagged_distribution,
     trips_inside,
     trips_outside,
     points_not_in,
