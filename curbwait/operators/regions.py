@@ -76,16 +76,9 @@ def quantile_classes(stats: DataFrame, value: str, k: int = 5) -> DataFrame:
 
 
 def features(classes: DataFrame, polygons: DataFrame, region: str, by: str = "borough") -> DataFrame:
-    """One GeoJSON feature per region: its zones' polygons as the geometry and
-    the columns of ``classes`` as properties."""
-    shapes = polygons.groupBy(by).agg(
-        F.flatten(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("zone", "polygons"))),
-                lambda z: z.polygons,
-            )
-        ).alias("_coordinates")
-    )
+    """One GeoJSON feature per region: its ``polygons`` as the geometry and the columns
+    of ``classes`` as properties."""
+    shapes = polygons.withColumnRenamed("polygons", "_coordinates")
     geometry = F.struct(
         F.lit("MultiPolygon").alias("type"), F.col("_coordinates").alias("coordinates")
     )
@@ -94,6 +87,6 @@ def features(classes: DataFrame, polygons: DataFrame, region: str, by: str = "bo
         F.struct(*classes.columns).alias("properties"),
         geometry.alias("geometry"),
     )
-    return classes.join(shapes, classes[region] == shapes[by]).select(
+    return classes.join(shapes, classes[region].eqNullSafe(shapes[by])).select(
         F.col(region), F.to_json(feature).alias("feature")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from curbwait.functions.times import whole_minutes
 from curbwait.operators import next_fare, regions, trips, zones
 from curbwait.operators.locate import RegionIndex, build_index, flagged, locate
+from curbwait.operators.rings import region_polygons
 from curbwait.schemas import DROPOFF, NEXT_PICKUP
 
 
@@ -45,6 +46,8 @@ def idle_report(trip_table: DataFrame, index: RegionIndex, **options) -> DataFra
 
 
 def choropleth(stats: DataFrame, zone_table: DataFrame, k: int = 5) -> DataFrame:
-    """The idle report as map features, coloured by classes of the mean."""
+    """The idle report as map features, coloured by classes of the mean: the outlines
+    of the regions, without the borders between their zones."""
     classes = regions.quantile_classes(stats, "average_duration", k)
-    return regions.features(classes, zones.zone_polygons(zone_table), "dropoff_borough")
+    outlines = region_polygons(zones.dissolve(zones.zones_to_edges(zone_table)))
+    return regions.features(classes, outlines, "dropoff_borough")

@@ -97,6 +97,20 @@ BOUNDARY = f"""{EDGES},
     )"""
 
 
+OUTLINE = f"""{BOUNDARY},
+    outline as (
+        with recursive walk(borough, k, x, y, qx, qy) as (
+            select borough, 0, x1, y1, x2, y2 from boundary b
+            where (x1, y1) = (select (x1, y1) from boundary c where c.borough = b.borough order by x1, y1 limit 1)
+            union all
+            select w.borough, k + 1, x1, y1, x2, y2
+            from walk w join boundary b on b.borough = w.borough and x1 = qx and y1 = qy
+            where k < (select count(*) from boundary c where c.borough = w.borough)
+        )
+        select borough, k, x, y from walk
+    )"""
+
+
 def located(points: str, key: str, x: str, y: str, name: str) -> str:
     """A table of (key, borough) for points strictly inside a boundary."""
     return f"""
@@ -310,6 +324,8 @@ ALL = {
         points as (select row_number() over (order by x, y) as p, * from places),
         {edges_where("r_name = 'AFRICA'")}, {in_some_zone("points", "p", "x", "y")}
         select x, y, borough from held join points using (p)""",
+    "borough_polygons": f"""with recursive {OUTLINE}
+        select borough, 0 as polygon, k, x, y from outline""",
     "jagged_distribution": f"""with {TRIPS},
         corners as (
             select r_name as borough, k, 0.3::double + ((k * 7919 + r_regionkey * 1049) % 1000) / 5000.0::double as reach,
@@ -381,11 +397,10 @@ ALL = {
         from od""",
     "idle_by_region": f"""with {IDLE} select * from idle""",
     "choropleth_classes": f"""with {CLASSED} select * from classed""",
-    "choropleth_geojson": f"""with {CLASSED}
-        select dropoff_borough, class, 'MultiPolygon' as geometry, polygons, coordinates
+    "choropleth_geojson": f"""with recursive {CLASSED.replace(BOUNDARY, OUTLINE)}
+        select dropoff_borough, class, 'MultiPolygon' as geometry, 1 as polygons, coordinates
         from classed join (
-            select borough, count(distinct zone)::integer as polygons, sum(x * 3 + y) as coordinates
-            from corners group by borough
+            select borough, sum((k + 1) * (x * 3 + y)) as coordinates from outline group by borough
         ) on borough = dropoff_borough""",
 }
 ALL["analysis_tables"] = f"""with {SERVED}

@@ -7,6 +7,7 @@ from curbwait import fixtures
 from curbwait.operators import locate, next_fare, regions, trips, zones
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import fit_grid
+from curbwait.operators.rings import region_polygons
 from curbwait.plans import jobs
 from curbwait.plans.analysis import analyse
 from curbwait.schemas import DROPOFF, TRIP_ORDER, TRIP_SCHEMA
@@ -176,6 +177,14 @@ def borough_boundary_edges(spark, folder):
     return zones.dissolve(_edges(spark, folder)).drop("net")
 
 
+def borough_polygons(spark, folder):
+    """The corners of each region's outline, in order."""
+    outlines = region_polygons(zones.dissolve(_edges(spark, folder)))
+    rings = outlines.select("borough", F.posexplode("polygons").alias("polygon", "rings"))
+    vertices = rings.select("borough", "polygon", F.posexplode(F.col("rings")[0]).alias("k", "v"))
+    return vertices.select("borough", "polygon", "k", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+
+
 def borough_area_overlap(spark, folder):
     """Areas where zones of two regions, stretched upwards, overlap their own."""
     edges = zones.zones_to_edges(fixtures.zones(spark, folder, taller=["AFRICA", "ASIA"]))
@@ -388,7 +397,9 @@ def choropleth_geojson(spark, folder):
         part("geometry.type").alias("geometry"),
         F.size(polygons).alias("polygons"),
         F.aggregate(
-            F.flatten(F.flatten(polygons)), F.lit(0.0), lambda total, v: total + v[0] * 3 + v[1]
+            F.transform(F.flatten(F.flatten(polygons)), lambda v, k: (k + 1) * (v[0] * 3 + v[1])),
+            F.lit(0.0),
+            lambda total, term: total + term,
         ).alias("coordinates"),
     )
 
@@ -438,6 +449,7 @@ ALL = [
     zone_area,
     borough_area,
     borough_boundary_edges,
+    borough_polygons,
     borough_area_overlap,
     dropoff_located,
     dropoff_located_shuffled,

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from curbwait.operators import zones
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import fit_grid
+from curbwait.operators.rings import region_polygons
 from curbwait.operators.locate import build_index, inside, locate, outside, regions_at
 
 SQUARE = "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))"
@@ -194,6 +195,26 @@ def test_area_is_not_told_where_zones_overlap(spark):
     assert {r.borough for r in found if r.reason} == {"B"}
 
 
+def outline(spark, *shapes):
+    edges = zones.dissolve(zones.zones_to_edges(zone_table(spark, *shapes)))
+    return region_polygons(edges).first().polygons
+
+
+def test_outlines_are_rings_in_order(spark):
+    square = [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]
+    assert outline(spark, BACKWARD) == [[square]]
+    assert outline(spark, *SEAM) == [[[[0, 0], [1, 0], [2, 0], [2, 2], [1, 2], [0, 2], [0, 0]]]]
+    assert outline(spark, TWO_PARTS) == [[square], [[[5, 5], [6, 5], [6, 6], [5, 6], [5, 5]]]]
+    assert outline(spark, HOLED) == [
+        [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [1, 3], [3, 3], [3, 1], [1, 1]]]
+    ]
+
+
+def test_outlines_that_touch_at_a_corner_stay_apart(spark):
+    found = outline(spark, SQUARE, "POLYGON ((1 1, 2 1, 2 2, 1 2, 1 1))")
+    assert [len(p[0]) for p in found] == [5, 5]
+
+
 def test_a_zone_listed_twice_is_one(spark):
     table = zone_table(spark, SQUARE).union(zone_table(spark, SQUARE))
     assert zones.zones_to_edges(table).count() == 4

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from curbwait.operators import regions, trips, zones
+from curbwait.operators.rings import region_polygons
 from curbwait.schemas import TRIP_SCHEMA
 from curbwait.sources import csv, sinks
 
@@ -194,7 +195,8 @@ def test_features_are_geojson(spark, tmp_path):
         "zone string, borough string, the_geom string",
     )
     classes = spark.createDataFrame([("B", 1.5, 0)], "name string, average_duration double, class int")
-    drawn = regions.features(classes, zones.zone_polygons(table), "name")
+    outlines = region_polygons(zones.dissolve(zones.zones_to_edges(table)))
+    drawn = regions.features(classes, outlines, "name")
     sinks.write_features(drawn, str(tmp_path / "map"))
     feature = json.loads(spark.read.text(str(tmp_path / "map")).first().value)
     assert feature["properties"] == {"name": "B", "average_duration": 1.5, "class": 0}
