@@ -109,3 +109,27 @@ def jagged_edges(spark: SparkSession, folder: str, n: int = 4000) -> DataFrame:
     )
     (x1, y1), (x2, y2) = corner("k"), corner(f"(k + 1) % {n}")
     return corners.selectExpr("zone", "borough", f"{x1} as x1", f"{y1} as y1", f"{x2} as x2", f"{y2} as y2")
+
+
+def mixed_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """A zone per nation, of six kinds in turn by its number: with a hole, of two parts,
+    one polygon, empty, of three dimensions, and with a ring that is not closed."""
+    region = table(spark, folder, "region")
+    cells = table(spark, folder, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def ring(low, high, last=True):
+        turns = [(low, low), (high, low), (high, high), (low, high)] + [(low, low)] * last
+        return ", ', ', ".join(f"string(c + {i}D), ' ', string(r + {j}D)" for i, j in turns)
+
+    square = ring(0, 1)
+    shapes = [
+        f"concat('MULTIPOLYGON (((', {square}, '), (', {ring(0.25, 0.75)}, ')))')",
+        f"concat('MULTIPOLYGON (((', {ring(0, 0.5)}, ')), ((', {ring(0.75, 1)}, ')))')",
+        f"concat('POLYGON ((', {square}, '))')",
+        "'MULTIPOLYGON EMPTY'",
+        f"concat('POLYGON Z ((', {square}, '))')",
+        f"concat('POLYGON ((', {ring(0, 1, last=False)}, '))')",
+    ]
+    kinds = " ".join(f"when {k} then {shape}" for k, shape in enumerate(shapes))
+    placed = cells.selectExpr("n_name as zone", "r_name as borough", "n_nationkey * 2D as c", "n_regionkey * 2D as r", "n_nationkey % 6 as kind")
+    return placed.selectExpr("zone", "borough", f"case kind {kinds} end as the_geom")

@@ -111,6 +111,16 @@ OUTLINE = f"""{BOUNDARY},
     )"""
 
 
+#: Rings of the mixed zones: squares from low to high, a hole the other way around.
+MIXED = """
+    mixed as (
+        select n_name as zone, n_nationkey * 2::double as c, n_regionkey * 2::double as r, poly_idx, ring_idx, low, high, way
+        from nation join (values (0, 0, 0, 0::double, 1::double, 1), (0, 0, 1, 0.25, 0.75, -1), (1, 0, 0, 0, 0.5, 1),
+                                 (1, 1, 0, 0.75, 1, 1), (2, 0, 0, 0, 1, 1)) as s(kind, poly_idx, ring_idx, low, high, way)
+             on n_nationkey % 6 = kind
+    )"""
+
+
 def located(points: str, key: str, x: str, y: str, name: str) -> str:
     """A table of (key, borough) for points strictly inside a boundary."""
     return f"""
@@ -254,8 +264,8 @@ ALL = {
                    unnest(quantile_cont(trip_in_hours, [0.25, 0.5, 0.75, 0.97])) as q
             from timed
         )""",
-    "trip_hours_quantiles_approx_ok": """
-        select p::double as probability, true as ok
+    "trip_hours_quantiles_approx_ok": f"""with {HOURS}
+        select p::double as probability, (select count(*) from timed) as rows, true as ok
         from (values (0.25), (0.5), (0.75), (0.97)) as asked(p)""",
     "plausible_trips": f"""with {HOURS} select * from plausible""",
     "zone_edges": f"""with {EDGES}
@@ -263,6 +273,16 @@ ALL = {
     "zone_area": f"""with {EDGES}
         select zone, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 9) as location_area
         from edges group by zone""",
+    "rejected_zones": """
+        select n_name as zone, r_name as borough,
+               if(n_nationkey % 6 = 4, 'not two coordinates', 'ring not closed') as fault
+        from nation join region on n_regionkey = r_regionkey where n_nationkey % 6 >= 4""",
+    "zone_edges_mixed": f"""with {MIXED}
+        select zone, poly_idx, ring_idx, 4 as edges,
+               4 * (4 * c + r) + 10 * (low + high) as starts, way * 2 * (high - low) * (high - low) as twice_area
+        from mixed""",
+    "zone_area_mixed": f"""with {MIXED}
+        select zone, sum(way * (high - low) * (high - low)) as location_area from mixed group by zone""",
     "borough_area": f"""with {EDGES}
         select borough, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 9) as location_area
         from edges group by borough""",

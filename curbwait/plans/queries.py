@@ -154,7 +154,7 @@ def trip_hours_quantiles_approx_ok(spark, folder):
     ranked = trips.quantile_ranks(rows, trips.hours_quantiles(rows, error=0.01))
     wanted, slack = F.col("probability") * F.col("rows"), 0.01 * F.col("rows")
     near = (F.col("below") <= wanted + slack) & (wanted <= F.col("upto") + slack)
-    return ranked.select("probability", near.alias("ok"))
+    return ranked.select("probability", "rows", near.alias("ok"))
 
 
 def plausible_trips(spark, folder):
@@ -169,6 +169,24 @@ def zone_area(spark, folder):
     return _rounded(zones.area(_edges(spark, folder), "zone"), location_area=9)
 
 
+def rejected_zones(spark, folder):
+    """Zones whose text cannot be used, with the reason."""
+    return zones.rejected_zones(fixtures.mixed_zones(spark, folder)).select("zone", "borough", "fault")
+
+
+def zone_edges_mixed(spark, folder):
+    """Edges of zones with holes, several parts, or none, in numbers."""
+    return zones.zones_to_edges(fixtures.mixed_zones(spark, folder)).groupBy("zone", "poly_idx", "ring_idx").agg(
+        F.count("*").alias("edges"),
+        F.sum(F.expr("x1 * 4 + y1")).alias("starts"),
+        F.sum(F.expr("x1 * y2 - x2 * y1")).alias("twice_area"),
+    )
+
+
+def zone_area_mixed(spark, folder):
+    return zones.area(zones.zones_to_edges(fixtures.mixed_zones(spark, folder)), "zone")
+
+
 def borough_area(spark, folder):
     return _rounded(zones.area(zones.dissolve(_edges(spark, folder)), "borough"), location_area=9)
 
@@ -447,6 +465,9 @@ ALL = [
     plausible_trips,
     zone_edges,
     zone_area,
+    rejected_zones,
+    zone_edges_mixed,
+    zone_area_mixed,
     borough_area,
     borough_boundary_edges,
     borough_polygons,
