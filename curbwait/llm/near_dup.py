@@ -220,11 +220,13 @@ def _verified(pairs: DataFrame, bags: DataFrame, settings: Settings) -> DataFram
 
 def _across(bags: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of nodes of different components that may be similar: they share one of
-    their rarest shingles and their sizes allow it. ``bags``: node, component, bag.
+    their rarest shingles, and their sizes and what they can share after it allow it.
+    ``bags``: node, component, bag.
 
     A similar pair shares one of the first ``size - ceil(similarity * size) + 1``
     shingles of each, in any one order; the order is by frequency among these bags.
-    Nodes of one component that share a shingle are met as a group, not in pairs.
+    Nodes of one component that share a shingle are met as a group, not in pairs, and
+    first the groups are compared by the bounds of their members.
     """
 
     def run(batches):
@@ -248,25 +250,35 @@ def _across(bags: DataFrame, settings: Settings) -> DataFrame:
     common = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared_"))
     singles = alone.join(common, "node").selectExpr("node", "all_ - shared_ as alone")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
-    need = f"size - ceil({settings.similarity} * size - 1e-9) + 1"
+    t = settings.similarity
+    need = f"size - ceil({t} * size - 1e-9) + 1"
+    # reach: what a bag can share from here on, if this is the first it shares
     prefix, prefix_path = written(
         shared.withColumn("rank", rank)
         .join(singles, "node")
         .where(f"rank + alone <= {need}")
-        .select("token", "component", "node", "size"),
+        .selectExpr("token", "component", "node", "size", "size - rank - alone + 1 as reach"),
         "prefix",
     )
-    groups = prefix.groupBy("token", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    groups = prefix.groupBy("token", "component").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("reach").alias("far")
+    )
+
+    def able(low_a, high_a, far_a, low_b, high_b, far_b):
+        return f"""{high_a} >= {t}D * {low_b} - 1e-9D and {high_b} >= {t}D * {low_a} - 1e-9D
+            and {1 + t}D * least({far_a}, {far_b}) >= {t}D * ({low_a} + {low_b}) - 1e-9D"""
+
     met = (
-        groups.toDF("token", "ca", "low_a", "high_a")
-        .join(groups.toDF("token", "cb", "low_b", "high_b"), "token")
-        .where(f"ca < cb and high_a >= {settings.similarity} * low_b and high_b >= {settings.similarity} * low_a")
-        .select("token", "ca", "cb")
+        groups.toDF("token", "ca", "low_a", "high_a", "far_a")
+        .join(groups.toDF("token", "cb", "low_b", "high_b", "far_b"), "token")
+        .where(f"ca < cb and {able('low_a', 'high_a', 'far_a', 'low_b', 'high_b', 'far_b')}")
+        .select("token", "ca", "cb", "low_b", "high_b", "far_b")
     )
     found = (
-        met.join(prefix.toDF("token", "ca", "a", "size_a"), ["token", "ca"])
-        .join(prefix.toDF("token", "cb", "b", "size_b"), ["token", "cb"])
-        .where(f"least(size_a, size_b) >= {settings.similarity} * greatest(size_a, size_b)")
+        met.join(prefix.toDF("token", "ca", "a", "size_a", "reach_a"), ["token", "ca"])
+        .where(able("size_a", "size_a", "reach_a", "low_b", "high_b", "far_b"))
+        .join(prefix.toDF("token", "cb", "b", "size_b", "reach_b"), ["token", "cb"])
+        .where(able("size_a", "size_a", "reach_a", "size_b", "size_b", "reach_b"))
         .select("a", "b")
         .distinct()
     )
