@@ -27,10 +27,12 @@ _CHUNK = 12
 
 @dataclass(frozen=True)
 class Settings:
-    """Similarity, and the fewest distinct words of a line that is looked at."""
+    """Similarity, the fewest distinct words of a line that is looked at, and how many
+    candidates of a set are verified before the rest of them."""
 
     similarity: float = 0.8
     least: int = 3
+    most: int = 16
 
 
 @dataclass(frozen=True)
@@ -147,12 +149,19 @@ def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, rarity: np.ndarray, settings: Settings) -> DataFrame:
-    """The rarest words of every set: ``token``, the set's ``s1``, ``s2`` and ``size``,
-    the word's ``place`` in the order by rarity, and a bit map ``b1``, ``b2``.
+def postings(
+    docs: DataFrame,
+    rarity: np.ndarray,
+    settings: Settings,
+    sets: Bitmap | None = None,
+    tokens: Bitmap | None = None,
+) -> DataFrame:
+    """The rarest words of every set: ``token``, the set's ``id`` and ``size``, where a
+    line with it is (``doc_id``, ``line``), the word's ``place`` in the order by rarity,
+    and a bit map ``b1``, ``b2``; of some sets or tokens only, if bitmaps are given.
 
     A word that is once in all texts has its place but no row. A set comes once from
-    each task at most, and sets that can only equal others not at all.
+    each block, its first line, and sets that can only equal others not at all.
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
     share = settings.similarity
@@ -163,61 +172,149 @@ def postings(docs: DataFrame, rarity: np.ndarray, settings: Settings) -> DataFra
                 found = lines(block)
                 size, ids = found.size, found.ids()
                 able = (size >= settings.least) & (np.floor(size / share + 1e-9) > size)
-                seen = np.unique(ids[0], return_index=True)[1]
-                once = np.zeros(len(size), bool)
-                once[seen] = True
+                if sets:
+                    able &= sets.has(ids[0])
+                doc = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()[found.row + block.first]
+                by_place = np.lexsort((found.number, doc, ids[0]))
+                again = by_place[1:][ids[0][by_place[1:]] == ids[0][by_place[:-1]]]
+                able[again] = False
                 line = np.repeat(np.arange(len(size)), size)
+                starts = found.first[:-1]
+                if not able.any():
+                    continue
                 spread = mix(found.token + np.uint64(3))
                 grade = held.value[(found.token >> np.uint64(64 - BUCKETS)).astype(np.int64)]
                 bit = np.uint64(1) << (spread & np.uint64(63))
                 high = (spread >> np.uint64(6)) & np.uint64(1) == 1
-                starts = found.first[:-1]
-                if not len(starts):
-                    continue
                 b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), starts)
                 b2 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), starts)
                 order = np.lexsort((found.token, grade, line))
                 place = np.arange(len(line)) - found.first[line]
                 prefix = size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
-                keep = (place < prefix[line]) & (able & once)[line] & (grade[order] > 0)
+                keep = (place < prefix[line]) & able[line] & (grade[order] > 0)
+                token = found.token[order].view(np.int64)
+                if tokens:
+                    keep &= tokens.has(token)
                 at = line[keep]
+                rows = pa.array(found.row[at] + block.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.token[order][keep].view(np.int64)),
+                        pa.array(token[keep]),
                         pa.array(ids[0][at]),
-                        pa.array(ids[1][at]),
-                        pa.array(size[at].astype(np.int32)),
+                        batch.column("doc_id").take(rows),
+                        pa.array(size[at] << 32 | found.number[at]),
                         pa.array(place[keep].astype(np.int32)),
                         pa.array(b1[at].view(np.int64)),
                         pa.array(b2[at].view(np.int64)),
                     ],
-                    ["token", "s1", "s2", "size", "place", "b1", "b2"],
+                    ["token", "id", "doc_id", "size_line", "place", "b1", "b2"],
                 )
 
-    return docs.select("text").mapInArrow(
-        run, "token long, s1 long, s2 long, size int, place int, b1 long, b2 long"
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+        run, "token long, id long, doc_id long, size_line long, place int, b1 long, b2 long"
     )
 
 
-def candidates(held: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of sets that pass the filters, the smaller set first."""
+def candidates(
+    held: DataFrame, settings: Settings, most: int | None, probes: Bitmap | None = None
+) -> DataFrame:
+    """Pairs (``v``, ``u``) of set ids that share a token and pass the filters, ``u``
+    standing before ``v``, each with the document it is in, and ``more``.
+
+    Of a token's sets one is compared with the first of all, then with those before it,
+    nearest first, until ``most`` have passed; ``more`` says that others are left. So
+    what a token makes is in proportion to its sets, also where all are alike. With
+    ``probes`` only those sets are ``v``. Postings of a token are read in its task one
+    after the other, as sorted, a million at a time and no fewer than a token's.
+    """
     t = settings.similarity
-    a, b = (held.toDF(*(f"{c}_{side}" for c in held.columns)) for side in ("a", "b"))
-    both = "(size_a + size_b)"
-    test = f"""token_a = token_b and size_a <= size_b and size_a >= {t}D * size_b - 1e-9D
-        and (size_a < size_b or s1_a < s1_b or (s1_a = s1_b and s2_a < s2_b))
-        and {1 + t}D * least(size_a - place_a, size_b - place_b) >= {t}D * {both} - 1e-9D
-        and {1 + t}D * ({both} - bit_count(b1_a ^ b1_b) - bit_count(b2_a ^ b2_b)) >= {2 * t}D * {both} - 1e-9D"""
-    return a.join(b, F.expr(test)).select("s1_a", "s2_a", "s1_b", "s2_b").distinct()
+    names = ["token", "id", "doc_id", "size_line", "place", "b1", "b2"]
+    last = np.iinfo(np.int64).max
+
+    def solved(rows: list[np.ndarray]) -> pa.RecordBatch:
+        token, ident, doc, size_line, place, b1, b2 = (np.concatenate(c) for c in zip(*rows, strict=True))
+        size, line = size_line >> 32, size_line & 0xFFFFFFFF
+        order = np.lexsort((ident, line, doc, token))
+        # of equal sets of a token the first
+        by_id = np.lexsort((np.argsort(order), ident, token))
+        again = np.zeros(len(token), bool)
+        again[by_id[1:]] = (token[by_id[1:]] == token[by_id[:-1]]) & (ident[by_id[1:]] == ident[by_id[:-1]])
+        order = order[~again[order]]
+        token, ident, doc, line, size, place = (c[order] for c in (token, ident, doc, line, size, place))
+        b1, b2 = b1[order].view(np.uint64), b2[order].view(np.uint64)
+        n = len(token)
+        head = np.ones(n, bool)
+        head[1:] = token[1:] != token[:-1]
+        first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        left = size - place
+        count, pairs = np.zeros(n, np.int64), []
+        active = np.flatnonzero(~head)
+        if probes:
+            active = active[probes.has(ident[active])]
+
+        def tested(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+            both = size[v] + size[u]
+            good = np.minimum(size[v], size[u]) >= t * np.maximum(size[v], size[u]) - 1e-9
+            good &= (doc[u] < doc[v]) | (line[u] < line[v])
+            good &= (1 + t) * np.minimum(left[v], left[u]) >= t * both - 1e-9
+            apart = np.bitwise_count(b1[v] ^ b1[u]).astype(np.int64) + np.bitwise_count(b2[v] ^ b2[u])
+            return good & ((1 + t) * (both - apart) >= 2 * t * both - 1e-9)
+
+        good = tested(active, first[active])
+        pairs.append((active[good], first[active[good]]))
+        back = 1
+        active = active[active - back > first[active]]
+        while len(active):
+            good = tested(active, active - back)
+            hit = active[good]
+            pairs.append((hit, hit - back))
+            count[hit] += 1
+            back += 1
+            active = active[active - back > first[active]]
+            if most is not None and len(hit):
+                active = active[count[active] < most]
+        v, u = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        more = count[v] >= (most or last)
+        docs_ = lambda k: pa.array(doc[k], mask=doc[k] == last)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ident[v]), docs_(v), pa.array(ident[u]), docs_(u), pa.array(more)],
+            ["v", "doc_v", "u", "doc_u", "more"],
+        )
+
+    def run(batches):
+        rows, waiting = [], 0
+        for batch in batches:
+            columns = [(batch.column(c).fill_null(last) if c == "doc_id" else batch.column(c)).to_numpy() for c in names]
+            token = columns[0]
+            if waiting >= 1_000_000:
+                # the rows so far, up to the last token that may go on
+                whole = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                if cut:
+                    yield solved([[c[:cut] for c in whole]])
+                rows = [[c[cut:] for c in whole]]
+                waiting = len(whole[0]) - cut
+            rows.append(columns)
+            waiting += len(token)
+        if waiting:
+            yield solved(rows)
+
+    laid = held.repartition(F.col("token")).sortWithinPartitions("token")
+    found = laid.mapInArrow(run, "v long, doc_v long, u long, doc_u long, more boolean")
+    return found.groupBy("v", "u").agg(
+        F.min("doc_v").alias("doc_v"), F.min("doc_u").alias("doc_u"), F.max("more").alias("more")
+    )
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """``s1``, ``s2`` and the words of the sets wanted, as sorted 64-bit values."""
-    held = Bitmap(wanted, "s1")
+    """``s1``, ``s2`` and the words, as sorted 64-bit values, of the sets with the ids
+    wanted. Only documents that may be named beside them are split into words."""
+    held, places = Bitmap(wanted, "id"), Bitmap(wanted, "xxhash64(doc_id)")
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            some = batch.column("text").filter(pa.array(places.has(batch.column("place").to_numpy())))
+            for block in blocks(some):
                 found = lines(block)
                 ids = found.ids()
                 hit = np.flatnonzero((found.size >= settings.least) & held.has(ids[0]))
@@ -227,33 +324,60 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFram
                     [pa.array(ids[0][hit]), pa.array(ids[1][hit]), pa.array(sets, pa.binary())], ["s1", "s2", "words"]
                 )
 
-    found = docs.select("text").mapInArrow(run, "s1 long, s2 long, words binary")
-    return found.dropDuplicates(["s1", "s2"]).join(wanted, ["s1", "s2"], "left_semi")
+    found = docs.selectExpr("text", "xxhash64(cast(doc_id as bigint)) as place").mapInArrow(
+        run, "s1 long, s2 long, words binary"
+    )
+    ids = wanted.select(F.col("id").alias("s1")).distinct()
+    return found.dropDuplicates(["s1", "s2"]).join(ids, "s1", "left_semi")
 
 
-def similar_sets(docs: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of different sets of the required similarity."""
-    pairs, pairs_path = written(candidates(postings(docs, word_rarity(docs), settings), settings), "line_pairs")
-    wanted = pairs.selectExpr("s1_a as s1", "s2_a as s2").union(pairs.selectExpr("s1_b", "s2_b")).distinct()
+def _verified(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs of sets, v and u, that are similar, compared word by word."""
+    wanted = pairs.selectExpr("v as id", "doc_v as doc_id").union(pairs.selectExpr("u", "doc_u")).distinct()
     sets = _sets_of(docs, wanted, settings)
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
+            for x, y in zip(batch.column("words_v").to_pylist(), batch.column("words_u").to_pylist(), strict=True):
                 both = np.sort(np.frombuffer(x + y, np.uint64))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(shared >= settings.similarity * (len(both) - shared) - 1e-9)
-            yield batch.select(["s1_a", "s2_a", "s1_b", "s2_b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["v", "v2", "u", "u2"]).filter(pa.array(keep, pa.bool_()))
 
-    found = (
-        pairs.join(sets.toDF("s1_a", "s2_a", "words_a"), ["s1_a", "s2_a"])
-        .join(sets.toDF("s1_b", "s2_b", "words_b"), ["s1_b", "s2_b"])
-        .mapInArrow(run, "s1_a long, s2_a long, s1_b long, s2_b long")
+    return (
+        pairs.select("v", "u")
+        .join(sets.toDF("v", "v2", "words_v"), "v")
+        .join(sets.toDF("u", "u2", "words_u"), "u")
+        .mapInArrow(run, "v long, v2 long, u long, u2 long")
     )
-    found, _ = written(found, "line_links")
-    drop_scratch(docs.sparkSession, pairs_path)
-    return found
+
+
+def similar_sets(docs: DataFrame, settings: Settings) -> DataFrame:
+    """For every set that is similar to an earlier one, such sets: (``v``, ``v2``) and
+    (``u``, ``u2``). If a set has many like it, some of them are enough.
+
+    A set none of whose first candidates was similar, and which had others, is then
+    compared with all of them.
+    """
+    spark, rarity = docs.sparkSession, word_rarity(docs)
+    pairs, path = written(candidates(postings(docs, rarity, settings), settings, settings.most), "line_pairs")
+    found, _ = written(_verified(docs, pairs, settings), "line_links")
+    open_ = pairs.where("more").select("v").distinct().join(found.select("v").distinct(), "v", "left_anti")
+    open_, open_path = written(open_, "open_lines")
+    drop_scratch(spark, path)
+    if open_.isEmpty():
+        return found
+    sets = Bitmap(open_, "v")
+    tokens = Bitmap(postings(docs, rarity, settings, sets).select("token").distinct(), "token")
+    rest = postings(docs, rarity, settings, tokens=tokens)
+    pairs, path = written(
+        candidates(rest, settings, None, sets).join(open_, "v", "left_semi"), "line_pairs"
+    )
+    more, _ = written(_verified(docs, pairs, settings), "line_links")
+    for p in (path, open_path):
+        drop_scratch(spark, p)
+    return found.union(more)
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -264,9 +388,9 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     links = similar_sets(docs, settings)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
     firsts = table.groupBy("s1", "s2").agg(F.min(place).alias("first"))
-    both = links.union(links.select("s1_b", "s2_b", "s1_a", "s2_a")).toDF("s1", "s2", "t1", "t2")
     later = (
-        both.join(firsts, ["s1", "s2"])
+        links.toDF("s1", "s2", "t1", "t2")
+        .join(firsts, ["s1", "s2"])
         .join(firsts.toDF("t1", "t2", "other"), ["t1", "t2"])
         .where("other < first")
         .select("s1", "s2", F.lit(True).alias("later"))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from helpers import AWKWARD, frame, prose
 
 from curbwait.llm import line_dedup
@@ -25,12 +26,13 @@ def expected(rows):
     return sorted(out, key=repr)
 
 
-def found(spark, rows):
-    result = line_dedup.deduped(frame(spark, rows))
+def found(spark, rows, **settings):
+    result = line_dedup.deduped(frame(spark, rows), line_dedup.Settings(**settings))
     return sorted([(r.doc_id, r.text, r.removed) for r in result.collect()], key=repr)
 
 
-def test_lines_agree_with_all_pairs(spark):
+@pytest.mark.parametrize("most", [1, 16])
+def test_lines_agree_with_all_pairs(spark, most):
     rng = random.Random(2)
     lines = prose(rng, 300).split("\n")
     rows = list(AWKWARD)
@@ -42,7 +44,8 @@ def test_lines_agree_with_all_pairs(spark):
                 parts[rng.randrange(len(parts))] = rng.choice(["new", "words", "here"])
             made.append(" ".join(parts))
         rows.append((100 + k, "\n".join(made)))
-    assert found(spark, rows) == expected(rows)
+    rows.append((130, "new\n" + lines[0]))
+    assert found(spark, rows, most=most) == expected(rows)
 
 
 def test_no_documents(spark):
