@@ -155,10 +155,12 @@ def postings(
     settings: Settings,
     sets: Bitmap | None = None,
     tokens: Bitmap | None = None,
+    places: Bitmap | None = None,
 ) -> DataFrame:
     """The rarest words of every set: ``token``, the set's ``id`` and ``size``, where a
     line with it is (``doc_id``, ``line``), the word's ``place`` in the order by rarity,
-    and a bit map ``b1``, ``b2``; of some sets or tokens only, if bitmaps are given.
+    and a bit map ``b1``, ``b2``; of some sets, tokens or documents only, if bitmaps of
+    them are given.
 
     A word that is once in all texts has its place but no row. A set comes once from
     each block, its first line, and sets that can only equal others not at all.
@@ -168,6 +170,8 @@ def postings(
 
     def run(batches):
         for batch in batches:
+            if places:
+                batch = batch.filter(pa.array(places.has(batch.column("spot").to_numpy())))
             for block in blocks(batch.column("text")):
                 found = lines(block)
                 size, ids = found.size, found.ids()
@@ -210,7 +214,8 @@ def postings(
                     ["token", "id", "doc_id", "size_line", "place", "b1", "b2"],
                 )
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+    spot = "xxhash64(cast(doc_id as bigint)) as spot"
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", spot).mapInArrow(
         run, "token long, id long, doc_id long, size_line long, place int, b1 long, b2 long"
     )
 
@@ -233,15 +238,18 @@ def candidates(
 
     def solved(rows: list[np.ndarray]) -> pa.RecordBatch:
         token, ident, doc, size_line, place, b1, b2 = (np.concatenate(c) for c in zip(*rows, strict=True))
-        size, line = size_line >> 32, size_line & 0xFFFFFFFF
-        order = np.lexsort((ident, line, doc, token))
-        # of equal sets of a token the first
-        by_id = np.lexsort((np.argsort(order), ident, token))
-        again = np.zeros(len(token), bool)
-        again[by_id[1:]] = (token[by_id[1:]] == token[by_id[:-1]]) & (ident[by_id[1:]] == ident[by_id[:-1]])
-        order = order[~again[order]]
-        token, ident, doc, line, size, place = (c[order] for c in (token, ident, doc, line, size, place))
-        b1, b2 = b1[order].view(np.uint64), b2[order].view(np.uint64)
+        # only tokens of several rows, and of equal sets of a token the first
+        same = np.zeros(len(token) + 1, bool)
+        same[1:-1] = token[1:] == token[:-1]
+        held_ = np.flatnonzero(same[1:] | same[:-1])
+        order = np.lexsort((ident[held_], token[held_]))
+        t_, i_ = token[held_][order], ident[held_][order]
+        again = np.zeros(len(held_), bool)
+        again[order[1:]] = (t_[1:] == t_[:-1]) & (i_[1:] == i_[:-1])
+        kept = held_[~again]
+        token, ident, doc, place = token[kept], ident[kept], doc[kept], place[kept]
+        size, line = size_line[kept] >> 32, size_line[kept] & 0xFFFFFFFF
+        b1, b2 = b1[kept].view(np.uint64), b2[kept].view(np.uint64)
         n = len(token)
         head = np.ones(n, bool)
         head[1:] = token[1:] != token[:-1]
@@ -299,7 +307,8 @@ def candidates(
         if waiting:
             yield solved(rows)
 
-    laid = held.repartition(F.col("token")).sortWithinPartitions("token")
+    place = [F.col("doc_id").asc_nulls_last(), F.expr("size_line & 4294967295L")]
+    laid = held.repartition(F.col("token")).sortWithinPartitions("token", *place)
     found = laid.mapInArrow(run, "v long, doc_v long, u long, doc_u long, more boolean")
     return found.groupBy("v", "u").agg(
         F.min("doc_v").alias("doc_v"), F.min("doc_u").alias("doc_u"), F.max("more").alias("more")
@@ -363,13 +372,13 @@ def similar_sets(docs: DataFrame, settings: Settings) -> DataFrame:
     spark, rarity = docs.sparkSession, word_rarity(docs)
     pairs, path = written(candidates(postings(docs, rarity, settings), settings, settings.most), "line_pairs")
     found, _ = written(_verified(docs, pairs, settings), "line_links")
-    open_ = pairs.where("more").select("v").distinct().join(found.select("v").distinct(), "v", "left_anti")
+    open_ = pairs.where("more").select("v", "doc_v").join(found.select("v").distinct(), "v", "left_anti")
     open_, open_path = written(open_, "open_lines")
     drop_scratch(spark, path)
     if open_.isEmpty():
         return found
-    sets = Bitmap(open_, "v")
-    tokens = Bitmap(postings(docs, rarity, settings, sets).select("token").distinct(), "token")
+    sets, places = Bitmap(open_, "v"), Bitmap(open_, "xxhash64(doc_v)")
+    tokens = Bitmap(postings(docs, rarity, settings, sets, places=places).select("token").distinct(), "token")
     rest = postings(docs, rarity, settings, tokens=tokens)
     pairs, path = written(
         candidates(rest, settings, None, sets).join(open_, "v", "left_semi"), "line_pairs"
