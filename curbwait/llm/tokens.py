@@ -1,12 +1,16 @@
 """Token ids of texts, by a tokenizer file of the ``tokenizers`` library.
 
-The tokenizer's pre-tokenizer never joins anything across a space or line feed, so a
-text's ids are those of its words in a row. Every worker keeps the ids of words it
-has met, up to a number of them, and joins bytes instead of encoding again.
+Every worker keeps the ids of words it has met and joins them, instead of encoding
+again. That is right for tokenizers whose pre-tokenizer joins nothing across a space or
+line feed; the file is looked at, and others encode whole texts. In such a file's own
+steps a new word of Latin-1 is lowered, split into runs of letters, digits and other
+signs, and handed to the library's model; any other word takes the library's whole way.
 """
 
 import functools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -14,6 +18,13 @@ import pyarrow as pa
 
 _CACHED = 400_000
 _LONG = 100
+# The steps of a tokenizer that words can be encoded apart with.
+_NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same split for lower-case Latin-1 without white space and controls.
+_LATIN = re.compile("[!-~¡-ÿ]+")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
 def default_path() -> str:
@@ -23,38 +34,75 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids of words, as bytes; what is not there is encoded, or found among the words
+    of the generation before."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self._tokenizer, self._model, self._before = tokenizer, tokenizer.model, {}
+        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def trim(self) -> None:
+        """Bound the words held: the older generation goes."""
+        if len(self) > _CACHED:
+            self._before = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self._before.get(word)
+        if found is None:
+            found = self._new(word)
+        if len(word) <= _LONG:
+            self[word] = found
+        return found
+
+    def _new(self, word: str) -> bytes:
+        if not _LATIN.fullmatch(word) or "<|" in word:
+            return packed(self._tokenizer.encode(word, add_special_tokens=False).ids)
+        pieces = _PIECES.findall(word.lower())
+        if len(pieces) != 1 or pieces[0] != word:
+            return b"".join(map(self.__getitem__, pieces))
+        plain = word if word.isascii() else self._bytes.pre_tokenize_str(word)[0][0]
+        return packed([t.id for t in self._model.tokenize(plain)])
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.array(ids, "<u4").tobytes()
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self._known = _Known(self._tokenizer) if _by_words(json.loads(self._tokenizer.to_str())) else None
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self._known.__getitem__, parts))
-        except KeyError:
-            pass
-        known = self._known
-        if len(known) > _CACHED:
-            known.clear()
-            known[""] = b""
-        found = []
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._ids(part)
-                if len(part) <= _LONG:
-                    known[part] = ids
-            found.append(ids)
-        return b"".join(found)
+        if self._known is None:
+            return packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        self._known.trim()
+        return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _by_words(steps: dict) -> bool:
+    """Are the tokenizer's steps those that words can be encoded apart with?"""
+    before, split = steps["normalizer"] or {}, (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [(n["type"], n.get("pattern", {}).get("Regex")) for n in before.get("normalizers", [])]
+    return (
+        kinds == _NORMALIZERS
+        and len(split) == 2
+        and (split[0].get("pattern", {}).get("Regex"), split[0].get("behavior")) == (_SPLIT, "Removed")
+        and (split[1]["type"], split[1]["use_regex"]) == ("ByteLevel", False)
+        and steps["model"]["type"] == "BPE"
+        and not steps["model"]["dropout"]
+    )
 
 
 @functools.cache

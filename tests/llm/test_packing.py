@@ -22,9 +22,21 @@ def corpus():
 
 
 def test_words_encode_like_texts():
-    encode = tokens.encoder(PATH)
-    for _, text in corpus():
-        assert np.frombuffer(encode(text or ""), "<u4").tolist() == reference(text, 1)[:-1]
+    encode, whole = tokens.encoder(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    alphabet = ["a", "B", "é", "É", "ß", "x", "1", "²", "½", "'", "'s", "'Ll", ".", "!", "-", "<|", "|>", "<|endoftext|>", "µ",
+                "İ", "Σ", "ς", "日", "e\u0301", "\u0301", "\xa0", "\xad", "\x85", "\t", "\x1c", " ", " ", "\n", "×", "÷", "ÿ", "ﬁ"]
+    texts = [t or "" for _, t in corpus()] + ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(20_000)]
+    assert encode._known is not None
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = PATH.replace("word_bpe_49k", "byte_bpe_50k")
+    encode, whole = tokens.encoder(path), Tokenizer.from_file(path)
+    for text in ("", "It's  a\ntest", "x" * 300):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_cover_documents_and_fill_sequences(spark):
