@@ -203,7 +203,7 @@ def normalise(files: DataFrame, folder: str, into: str) -> DataFrame:
                         at += len(member)
                 yield pa.RecordBatch.from_pydict({"file": [new]})
 
-    spread = files.repartition(F.col("file"))
+    spread = files.repartition(max(1, files.count()))  # a task for each file, however short its name
     return written(spread.mapInArrow(run, "file string"), "warc_members")[0]
 
 
@@ -222,9 +222,10 @@ def index(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     return entries.join(files, "file", "left_semi")
 
 
-def read(entries: DataFrame, folder: str) -> DataFrame:
-    """The records at index entries, each member opened at its offset. A response's
-    bytes and digest are those of the payload read, and must agree with its header."""
+def read(entries: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """The records at index entries, each member opened at its offset, by as many tasks.
+    A response's bytes and digest are those of the payload read, and must agree with
+    its header."""
 
     def run(batches):
         store, base = _open(folder)
@@ -253,7 +254,7 @@ def read(entries: DataFrame, folder: str) -> DataFrame:
             ("refers_to", pa.int64()),
         ]
     )
-    laid = entries.repartition(F.col("file")).sortWithinPartitions("file", "offset")
+    laid = entries.repartition(max(1, tasks), "file").sortWithinPartitions("file", "offset")
     return laid.mapInArrow(run, _RECORDS)
 
 
@@ -285,4 +286,4 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages as archives below ``folder``, normalise them, and read all records."""
     raw, members = f"{folder}/raw", f"{folder}/members"
     files = normalise(write(classified(pages), raw), raw, members)
-    return read(index(pages.sparkSession, files, members), members)
+    return read(index(pages.sparkSession, files, members), members, files.count())
