@@ -37,5 +37,7 @@ def appended(
                 [*(batch.column(k) for k in at), *new],
                 schema=pa.schema([*(batch.schema.field(k) for k in at), *made]),
             )
+            del new
+            pa.default_memory_pool().release_unused()  # workers live on after the stage
 
     return frame.mapInArrow(run, schema)

@@ -23,6 +23,7 @@ from curbwait.session import drop_scratch, written
 
 BUCKETS = 24
 _CHUNK = 12
+_WORDS = 2_000_000  # counted at a time in a task
 
 
 @dataclass(frozen=True)
@@ -81,15 +82,22 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
     with one word once, and else rising with the logarithm of the count."""
 
     def run(batches):
-        counts = np.zeros(1 << BUCKETS, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for block in blocks(batch.column("text")):
                 w = words(block, WORD, LOWER[block.data])
-                np.add.at(counts, (w.hashes >> np.uint64(64 - BUCKETS)).astype(np.int64), 1)
-        some = np.flatnonzero(counts)
-        for at in np.array_split(some, max(1, len(some) >> 16)):
+                held.append((w.hashes >> np.uint64(64 - BUCKETS)).astype(np.int32))
+                if sum(map(len, held)) >= _WORDS:
+                    yield from counted(held)
+                    held = []
+        yield from counted(held)
+
+    def counted(held):
+        found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *held]), return_counts=True)
+        for k in range(0, len(found), 1 << 16):
+            at, n = found[k : k + (1 << 16)].astype(np.int64), counts[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at >> _CHUNK), pa.array(at & ((1 << _CHUNK) - 1)), pa.array(counts[at])],
+                [pa.array(at >> _CHUNK), pa.array(at & ((1 << _CHUNK) - 1)), pa.array(n)],
                 ["chunk", "at", "n"],
             )
 
