@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-_CACHED = 400_000
+_CACHED = 250_000
 _LONG = 100
 # The steps of a tokenizer that words can be encoded apart with.
 _NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
