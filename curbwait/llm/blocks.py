@@ -101,15 +101,48 @@ class Words:
 def words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None) -> Words:
     """Maximal runs of bytes for which the table ``in_word`` holds, never across
     rows. ``data``: the bytes to hash in place of the block's, as many."""
-    inside = in_word[block.data]
+    starts, ends = _spans(block, in_word[block.data])
+    hashes = ByteHash(block.data if data is None else data)(starts, ends)
+    return Words(starts, ends, hashes, np.searchsorted(starts, block.starts))
+
+
+def _spans(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where maximal runs of bytes marked ``inside`` start and end, never across rows."""
     left = np.zeros(len(inside) + 1, bool)
     left[1:] = inside
     right = np.zeros(len(inside) + 1, bool)
     right[:-1] = inside
     apart = np.zeros(len(inside) + 1, bool)
     apart[block.starts] = True
-    starts = np.flatnonzero(right & (~left | apart))
-    ends = np.flatnonzero(left & (~right | apart))
+    return np.flatnonzero(right & (~left | apart)), np.flatnonzero(left & (~right | apart))
+
+
+def cut_words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None) -> Words:
+    """As ``words``, but a run of characters of scripts written without spaces is not
+    one word: every two neighbours in it are, and one that stands alone. What else is
+    in the run are words as before."""
+    at = np.flatnonzero(block.data >= 0xE0)  # where characters of three and four bytes start
+    long = block.data[at] >= 0xF0
+    byte = lambda k: block.data[np.minimum(at + k, len(block.data) - 1)].astype(np.int32) & 63
+    code = (block.data[at].astype(np.int32) & 15) << 12 | byte(1) << 6 | byte(2)
+    code = np.where(long, (code & 0x7FFF) << 6 | byte(3), code)
+    held = np.searchsorted(_UNSPACED, code, side="right") % 2 == 1
+    at, end = at[held], (at + 3 + long)[held]
+    if not len(at):
+        return words(block, in_word, data)
+    inside = in_word[block.data]
+    for k in range(4):
+        inside[(at + k)[at + k < end]] = False
+    starts, ends = _spans(block, inside)
+    row = block.row_of(at)
+    joined = (at[1:] == end[:-1]) & (row[1:] == row[:-1])
+    alone = np.ones(len(at), bool)
+    alone[1:] &= ~joined
+    alone[:-1] &= ~joined
+    starts = np.concatenate([starts, at[:-1][joined], at[alone]])
+    ends = np.concatenate([ends, end[1:][joined], end[alone]])
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
     hashes = ByteHash(block.data if data is None else data)(starts, ends)
     return Words(starts, ends, hashes, np.searchsorted(starts, block.starts))
 
@@ -119,6 +152,15 @@ def table(inside) -> np.ndarray:
     return np.array([bool(inside(b)) for b in range(256)])
 
 
+#: Scripts written without spaces between words, from and to (exclusive): Thai to
+#: Myanmar, Khmer, Tai, Balinese, Han, kana, Bopomofo, Yi, Javanese, Cham.
+_UNSPACED = np.array(
+    [
+        0x0E00, 0x10A0, 0x1780, 0x1800, 0x1950, 0x1A00, 0x1A20, 0x1AB0, 0x1B00, 0x1B80, 0x2E80, 0x2FE0, 0x3005, 0x3008,
+        0x3021, 0x302A, 0x3031, 0x3036, 0x3040, 0x3130, 0x31A0, 0x31C0, 0x31F0, 0x3200, 0x3400, 0x4DC0, 0x4E00, 0xA4D0,
+        0xA980, 0xAAE0, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1AFF0, 0x1B170, 0x20000, 0x40000,
+    ]
+)
 #: Bytes of words split at ASCII white space.
 NOT_SPACE = table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 #: ASCII letters and digits, and every byte of other characters.

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from curbwait.llm.arrow import appended, fresh
 from curbwait.llm.bitmap import Bitmap
-from curbwait.llm.blocks import LOWER, WORD, Block, blocks, mix, words
+from curbwait.llm.blocks import LOWER, WORD, Block, blocks, cut_words, mix
 from curbwait.session import drop_scratch, written
 
 BUCKETS = 24
@@ -60,8 +60,9 @@ class Lines:
 
 def lines(block: Block) -> Lines:
     """Words are runs of ASCII letters and digits and of all other characters, in
-    lower case; lines end at line feeds."""
-    w = words(block, WORD, LOWER[block.data])
+    lower case, and in scripts written without spaces two neighbouring characters;
+    lines end at line feeds."""
+    w = cut_words(block, WORD, LOWER[block.data])
     row = w.rows
     feeds = np.concatenate([[0], np.cumsum(block.data == 0x0A)])
     number = feeds[w.starts] - feeds[block.starts[row]]
@@ -85,7 +86,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
         held: list[np.ndarray] = []
         for batch in batches:
             for block in blocks(batch.column("text")):
-                w = words(block, WORD, LOWER[block.data])
+                w = cut_words(block, WORD, LOWER[block.data])
                 held.append((w.hashes >> np.uint64(64 - BUCKETS)).astype(np.int32))
                 if sum(map(len, held)) >= _WORDS:
                     yield from counted(held)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from helpers import AWKWARD, frame, prose
@@ -50,3 +51,41 @@ def test_lines_agree_with_all_pairs(spark, most):
 
 def test_no_documents(spark):
     assert found(spark, []) == []
+
+
+def pieces(line):
+    """Words, but two neighbouring characters of Han, kana or Thai in place of a run."""
+    script = "\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\U00020000-\U0002a6df"
+    out = set()
+    for run in re.findall(rf"[{script}]+|(?:(?![{script}])[a-z0-9\x80-\U0010ffff])+", line.lower()):
+        if re.match(f"[{script}]", run):
+            out |= {run[k : k + 2] for k in range(max(1, len(run) - 1))}
+        else:
+            out.add(run)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 16])
+def test_lines_without_spaces(spark, most):
+    rng = random.Random(5)
+    scripts = ["".join(map(chr, range(0x4E00, 0x4E60))), "".join(map(chr, range(0x3041, 0x3090))), "กขคงจฉชซญณดตถทธน\U00020000\U00020001"]
+    lines = ["".join(rng.choices(s, k=rng.randint(1, 40))) for s in scripts for _ in range(12)]
+    rows = [(1, "日本語\n日本語"), (1, "東京都に住む人々\nabc東京都def。大阪 x"), (2, "東京都に住む人々\nabc東京都def。大阪 x")]
+    for k in range(40):
+        made = []
+        for line in rng.sample(lines, 5):
+            at = rng.randrange(len(line))
+            made.append(line[:at] + rng.choice(["", "新", " ", "é"]) + line[at + 1 :] if rng.random() < 0.4 else line)
+        rows.append((10 + k, "\n".join(made)))
+    held = [((d, k), pieces(x)) for d, t in rows for k, x in enumerate(t.split("\n"))]
+    wanted = []
+    for d, t in rows:
+        gone = [
+            k
+            for k, x in enumerate(t.split("\n"))
+            if len(w := pieces(x)) >= 3 and any(p < (d, k) and len(w & v) >= 0.8 * len(w | v) for p, v in held)
+        ]
+        wanted.append((d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), gone))
+    result = found(spark, rows, most=most)
+    assert result == sorted(wanted, key=repr)
+    assert sum(len(gone) for _, _, gone in result) > 60
