@@ -1,9 +1,10 @@
 """Personal data in texts, plain and disguised, with offsets into the source.
 
 Plain identifiers are found by pattern in the text as it is. For disguised ones the
-text passes through transducers that undo look-alike characters, invisible ones,
-spelled digits and written-out or bracketed ``at`` and ``dot``, and note for every
-character they emit which source characters it stands for. The same detectors run on
+text passes through transducers, each over what the one before made, that undo
+look-alike characters and invisible ones, bracketed ``at`` and ``dot``, written-out
+ones, and spelled digits, and note for every character they emit which source
+characters it stands for. The same detectors run on
 their output, and what they find there is mapped back.
 """
 
@@ -100,34 +101,32 @@ _DIGIT_WORDS = {
 _AT, _DOT = r"(?:at|arroba|arobase|chez|@)", r"(?:dot|punkt|punto|point|\.)"
 
 _NUMBER = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + "|[0-9])"
+_WORDED = _NUMBER.replace("|[0-9]", "")
+_OCTET = rf"(?:[0-9]{{1,3}}|{_WORDED}(?:[\s-]+{_WORDED}){{0,2}})"
 _BRACKETED = re.compile(rf"(?<!\s)\s*[\[({{<]\s*(?:(?P<at>{_AT})|(?P<dot>{_DOT}))\s*[\])}}>]\s*", re.I)
-_WRITTEN = re.compile(
-    r"(?<![\w@.])[\w%+-]+(?:(?:\s+dot\s+|\.)[\w%+-]+)*\s+at\s+[\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*?\s+dot\s+[a-z]{2,}(?!\w)"
-    r"|(?<![\w.])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w)",
-    re.I,
-)
-_SIGN = re.compile(r"\s+(?:(?P<at>at)|(?P<dot>dot))\s+", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:plus\s+|\+\s*)?{_NUMBER}(?:[\s,.-]+{_NUMBER}){{6,}}(?!\w)", re.I)
 _SPELLED_ONE = re.compile(rf"(?P<plus>plus|\+)|{_NUMBER}", re.I)
+_SPELLED_IP = re.compile(rf"(?<![\w.]){_OCTET}(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.){_OCTET}){{3}}(?!\w)", re.I)
+_IP_ONE = re.compile(rf"(?P<dot>{_DOT})|{_NUMBER}", re.I)
+#: The words for signs outside brackets that go together: for at, and for dot.
+_FAMILIES = (("at|arroba|arobase", "dot"), ("at|ät", "punkt"), ("arroba", "punto"), ("arobase|chez", "point"))
+#: "look at example.org" is as good a text as "jane at example.org": where at is the only
+#: word, the words that come before the name of a site, and the last parts a name may have.
+_NO_NAMES = set(
+    "a and are available be blog book call check contact details download email find found from he her here him home "
+    "hosted info information is it join like listed live look looked looking mail me more now of online or order out "
+    "page posted published read register sale see seen sell she shop shopping sign site sold store that the them then "
+    "there they this to up us video visit was we website were work worked working works write you".split()
+)
+_ENDS = re.compile(r"\.(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|app|dev|online|site|mail)\Z")
 _STRANGE = re.compile("[" + "".join(map(chr, _ALIKE)).replace("-", r"\-").replace("]", r"\]").replace("\\", r"\\") + _UNSEEN + "]")
 
 
-def _edits(text: str) -> list[tuple[int, int, str]]:
-    """What to replace in the text: (start, end, by), in order and not overlapping. A
-    replacement of several characters stands for its source as a whole."""
-    found: list[tuple[int, int, str]] = []
-    if "[" in text or "(" in text or "{" in text or "<" in text:
-        found += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in text or re.search(r"\sdot\s", text, re.I):
-        for m in _WRITTEN.finditer(text):
-            found += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SIGN.finditer(text, m.start(), m.end())]
-    for m in _SPELLED.finditer(text):
-        if re.search(r"[^\W\d_]", m[0]):  # at least one digit is a word
-            last = m.start()
-            for s in _SPELLED_ONE.finditer(text, m.start(), m.end()):
-                by = "+" if s["plus"] else _DIGIT_WORDS.get(s[0].lower(), s[0])
-                found.append((last, s.end(), by))
-                last = s.end()
+Edits = list[tuple[int, int, str]]
+
+
+def _kept(found: Edits) -> Edits:
+    """The edits in order, without those that overlap an earlier one."""
     out, done = [], 0
     for start, end, by in sorted(found):
         if start >= done:
@@ -136,27 +135,110 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _brackets(text: str, wide) -> Edits:
+    """Signs in brackets, written out or not."""
+    if not any(c in text for c in "[({<"):
+        return []
+    return _kept([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)])
+
+
+class _Written:
+    """Addresses with some signs written out, by the words for at and for dot."""
+
+    def __init__(self, at: str, dot: str):
+        sep = rf"(?:\s++{dot}\s++|\.)"
+        self.any = re.compile(rf"\s{dot}\s|\s(?:{at})\s+[\w-]++\.[\w-]", re.I)
+        self.local = re.compile(rf"(?<![\w@.%+-])[\w%+-]++(?:{sep}[\w%+-]++)*+", re.I)
+        self.at = re.compile(rf"\s++(?P<word>{at})\s++|@", re.I)
+        self.domain = re.compile(rf"[\w-]++(?:{sep}[\w-]++)*{sep}[a-z]{{2,}}(?!\w)", re.I)
+        self.dot = re.compile(rf"\s+{dot}\s+", re.I)
+        self.plain = dot == "dot"
+
+    def edits(self, text: str, wide) -> Edits:
+        found: Edits = []
+        place = 0
+        while m := self.local.search(text, place):
+            place = m.end()
+            at = self.at.match(text, m.end())
+            name = at and self.domain.match(text, at.end())
+            if not name or not self.taken(text, m, at, name, wide):
+                continue
+            found += [(d.start(), d.end(), ".") for d in self.dot.finditer(text, m.start(), m.end())]
+            if at["word"]:
+                found.append((at.start(), at.end(), "@"))
+            found += [(d.start(), d.end(), ".") for d in self.dot.finditer(text, at.end(), name.end())]
+            place = name.end()
+        return found
+
+    def taken(self, text: str, local, at, name, wide) -> bool:
+        """Is it an address, not words that happen to stand so?"""
+        if self.dot.search(text, at.end(), name.end()):
+            return True
+        word = (at["word"] or "").lower()
+        if not self.plain:
+            return word in ("arroba", "arobase")
+        if not word:
+            return bool(self.dot.search(text, local.start(), local.end()))
+        if word != "at" or any(wide(k) for k in range(at.end(), name.end()) if text[k] == "."):
+            return True
+        return local[0].lower() not in _NO_NAMES and bool(_ENDS.search(name[0]))
+
+
+_WRITTEN = [_Written(at, dot) for at, dot in _FAMILIES]
+
+
+def _signs(text: str, wide) -> Edits:
+    """Signs written out without brackets, also beside real ones."""
+    return _kept([e for way in _WRITTEN if way.any.search(text) for e in way.edits(text, wide)])
+
+
+def _numbers(text: str, wide) -> Edits:
+    """Spelled digits: of IP addresses with their dots, and of long numbers."""
+    found: Edits = []
+    for m in _SPELLED_IP.finditer(text):
+        last = m.start()
+        for s in _IP_ONE.finditer(text, m.start(), m.end()):
+            found.append((last, s.end(), "." if s["dot"] else _DIGIT_WORDS.get(s[0].lower(), s[0])))
+            last = s.end()
+    done = {(a, b) for a, b, _ in found}
+    for m in _SPELLED.finditer(text):
+        if re.search(r"[^\W\d_]", m[0]):  # at least one digit is a word
+            last = m.start()
+            for s in _SPELLED_ONE.finditer(text, m.start(), m.end()):
+                by = "+" if s["plus"] else _DIGIT_WORDS.get(s[0].lower(), s[0])
+                if (last, s.end()) not in done:
+                    found.append((last, s.end(), by))
+                last = s.end()
+    return [e for e in _kept(found) if e[1] - e[0] > 1 or text[e[0]] != e[2]]
+
+
 def normalised(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text undisguised, and for each of its characters the source characters it
-    stands for, from and to; None if there is nothing to undo."""
-    strange = not text.isascii() and _STRANGE.search(text)
-    if strange:
-        at = [k for k, c in enumerate(text) if c not in _UNSEEN]
-        seen = "".join([text[k] for k in at]).translate(_ALIKE)
-        ends = [k + 1 for k in at]
-    else:
-        at, ends, seen = None, None, text
-    edits = _edits(seen)
-    if not strange and not edits:
-        return None
-    at, ends = at or list(range(len(seen))), ends or list(range(1, len(seen) + 1))
-    out, starts_, ends_, done = [], [], [], 0
-    for start, end, by in [*edits, (len(seen), len(seen), "")]:
-        out.append(seen[done:start] + by)
-        starts_ += at[done:start] + [at[start]] * len(by) if start < len(at) else at[done:start]
-        ends_ += ends[done:start] + [ends[end - 1]] * len(by) if by else ends[done:start]
-        done = end
-    return "".join(out), starts_, ends_
+    stands for, from and to; None if there is nothing to undo.
+
+    Strange characters, brackets, written-out signs and spelled digits are undone one
+    after the other, each in what the one before made. What replaces several
+    characters stands for them as a whole."""
+    seen, starts, ends = text, None, None
+    if not text.isascii() and _STRANGE.search(text):
+        starts = [k for k, c in enumerate(text) if c not in _UNSEEN]
+        seen = "".join([text[k] for k in starts]).translate(_ALIKE)
+        ends = [k + 1 for k in starts]
+    wide = lambda k: starts is not None and ends[k] - starts[k] > 1
+    for step in (_brackets, _signs, _numbers):
+        edits = step(seen, wide)
+        if not edits:
+            continue
+        if starts is None:
+            starts, ends = list(range(len(seen))), list(range(1, len(seen) + 1))
+        out, starts_, ends_, done = [], [], [], 0
+        for start, end, by in edits:
+            out.append(seen[done:start] + by)
+            starts_ += starts[done:start] + [starts[start]] * len(by)
+            ends_ += ends[done:start] + [ends[end - 1]] * len(by)
+            done = end
+        seen, starts, ends = "".join(out) + seen[done:], starts_ + starts[done:], ends_ + ends[done:]
+    return None if starts is None else (seen, starts, ends)
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
@@ -167,9 +249,9 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         return []
     clear, starts, ends = seen
     found = plain(clear)
-    for m in re.finditer(r"(?<![0-9+])[0-9]{10,13}(?![0-9])", clear):
-        # ten or more digits in a row, some of them spelled: a number to call
-        if any(e - s > 1 for s, e in zip(starts[m.start() : m.end()], ends[m.start() : m.end()], strict=True)):
+    for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", clear):
+        # ten to fifteen digits in a row, some of them spelled: a number to call, if not of a card
+        if (m.start(), m.end(), "card") not in found and any(e - s > 1 for s, e in zip(starts[m.start() : m.end()], ends[m.start() : m.end()], strict=True)):
             found.append((m.start(), m.end(), "phone"))
     out = []
     for a, b, kind in found:

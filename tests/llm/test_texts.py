@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -110,6 +111,47 @@ def test_disguises(text, kind, part):
     assert (text.index(part), text.index(part) + len(part), kind) in spans
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("jane (at) example dot org", "email"),
+        ("jane at example [dot] org", "email"),
+        ("jane@example dot org", "email"),
+        ("jane at example.org", "email"),
+        ("jane dot roe [at] mail.example dot org", "email"),
+        ("jane at mail dot example dot org", "email"),
+        ("jane arroba example punto org", "email"),
+        ("jane arobase example.org", "email"),
+        ("jane chez example point org", "email"),
+        ("jane at example punkt org", "email"),
+        ("j\u200bane (at) ｅxample dot org", "email"),
+        ("one nine two dot one six eight dot one dot seven", "ip"),
+        ("one nine two [dot] one six eight dot 1.seven", "ip"),
+        ("192 dot 168.1 [.] 7", "ip"),
+        ("four nine one five one two three four five six seven eight nine one", "phone"),
+        ("four nine one five one two three four five six seven eight nine one two", "phone"),
+    ],
+)
+def test_mixed_disguises(text, kind):
+    base, spans = pii.find(f"ask: {text}, or not")
+    assert base == [] and spans == [(5, 5 + len(text), kind)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["look at example.org", "he came at noon.Then he left", "they looked at one point last year", "one. two. three. four."],
+)
+def test_clean_signs_stay_clean(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_disguises_in_time():
+    for text in ("a dot " * 40_000, "a-" * 100_000 + " dot at b.c", "a at b dot " * 20_000, "1 dot " * 40_000, " " * 200_000 + " dot "):
+        start = time.process_time()
+        pii.find(text)
+        assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize("text", ["meet me at noon", "one two three", "(at) last", "the dot at the end", "1 2 3 4 5 6 7"])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
