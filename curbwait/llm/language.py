@@ -38,11 +38,10 @@ _PLAIN = np.array(
 class Settings:
     """``documents`` bounds the training documents of a language, picked by a hash of
     the text; ``contexts`` bounds the strings of four symbols kept for each language,
-    the most frequent ones; ``languages`` bounds the languages, likewise."""
+    the most frequent ones. Every language is learned."""
 
     documents: int = 3_000
     contexts: int = 100_000
-    languages: int = 64
 
 
 @dataclass(frozen=True)
@@ -73,12 +72,9 @@ def _sample(docs: DataFrame, text: str, lang: str, settings: Settings) -> DataFr
     spread = F.pmod(F.xxhash64(F.lit(11), text), F.lit(1 << 30)) / float(1 << 30)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), spread.alias("spread"))
     labelled = labelled.where("text is not null and lang is not null")
-    many = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages)
-    shares = {r["lang"]: settings.documents / r["n"] for r in many.collect()}
-    wanted = F.lit(False)
-    for name, share in shares.items():
-        wanted = wanted | ((F.col("lang") == name) & (F.col("spread") < share))
-    return labelled.where(wanted).select("text", "lang")
+    many = labelled.groupBy("lang").agg((F.lit(settings.documents) / F.count(F.lit(1))).alias("share"))
+    # a row for each language, as in the model
+    return labelled.join(F.broadcast(many), "lang").where("spread < share").select("text", "lang")
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
@@ -116,59 +112,91 @@ def train(docs: DataFrame, settings: Settings = Settings(), text: str = "text",
     counted = (
         sample.mapInArrow(grams_of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
-    counts = []
-    for name in languages:
-        rows = counted.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(settings.contexts).toPandas()
-        rows = rows.sort_values("gram")
-        counts.append((rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
+
+    def most(key, table):
+        grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        kept = np.sort(grams[np.lexsort((grams, -n))[: settings.contexts]])
+        order = np.argsort(grams)
+        held = n[order[np.searchsorted(grams, kept, sorter=order)]]
+        return pa.table({"lang": [key[0].as_py()], "grams": [kept.astype(np.int32).tobytes()], "counts": [held.tobytes()]})
+
+    # a language has at most _SYMBOLS ** 4 strings, and one row here
+    rows = counted.groupBy("lang").applyInArrow(most, "lang string, grams binary, counts binary").collect()
+    languages, counts = [], []
+    for r in sorted(rows, key=lambda r: r["lang"]):
+        languages.append(r["lang"])
+        counts.append((np.frombuffer(r["grams"], np.int32), np.frombuffer(r["counts"], np.int64)))
     return Model(languages, symbols, counts)
 
 
+@dataclass(frozen=True)
+class Order:
+    """Strings of ``size`` symbols that a language has, sorted, and their code lengths;
+    their contexts, and what an escape from each costs."""
+
+    size: int
+    strings: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+    def over(self, grams: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Code lengths in this order, from those in the shorter one."""
+        s = grams & (_SYMBOLS**self.size - 1)
+        at, known = _place(self.strings, s)
+        context, met = _place(self.contexts, s >> 6)
+        return np.where(known, self.bits[at], shorter + np.where(met, self.escapes[context], np.float32(0)))
+
+
+def _place(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values wanted are in a sorted array, and whether they are."""
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return at, held[at] == wanted
+
+
+def _order(size: int, grams: np.ndarray, n: np.ndarray) -> Order:
+    strings, which = np.unique(grams & (_SYMBOLS**size - 1), return_inverse=True)
+    counts = np.bincount(which, weights=n)
+    contexts, which = np.unique(strings >> 6, return_inverse=True)
+    total, kinds = np.bincount(which, weights=counts), np.bincount(which)
+    bits = -np.log2(counts / (total + kinds)[which])
+    escapes = -np.log2(kinds / (total + kinds))
+    return Order(
+        size, strings.astype(np.int32), bits.astype(np.float32), contexts.astype(np.int32), escapes.astype(np.float32)
+    )
+
+
 class Costs:
-    """Code lengths in bits: of known strings of four symbols for every language, and
-    for others an escape from the context and the cost in the shorter one."""
+    """Code lengths in bits, for every language from the strings it has: of known ones,
+    and for others an escape from the context and the cost in the shorter one. A
+    language takes memory by its contexts."""
 
     def __init__(self, model: Model):
-        k = len(model.languages)
-        shapes = [_SYMBOLS**n for n in (1, 2, 3, 4)]
-        lower = np.full((1, k), np.log2(_SYMBOLS), np.float64)
-        lower = np.repeat(lower, _SYMBOLS, axis=0)
-        for order in range(ORDER):
-            size = shapes[order]
-            costs = np.empty((size, k))
-            for lang, (grams, n) in enumerate(model.counts):
-                counts = np.bincount(grams % size, weights=n, minlength=size).reshape(-1, _SYMBOLS)
-                total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-                below = lower[:, lang].reshape(-1, _SYMBOLS) if order else lower[:, lang].reshape(1, -1)
-                below = np.tile(below, (counts.shape[0] // below.shape[0], 1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    seen = -np.log2(counts / (total + kinds))
-                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                costs[:, lang] = np.where(counts > 0, seen, escape + below).ravel()
-            lower = costs
-        self.short = lower.astype(np.float32)
-        known = np.unique(np.concatenate([g for g, _ in model.counts] or [np.zeros(0, np.int64)]))
-        self.row = np.zeros(shapes[3], np.int32)
-        self.row[known] = np.arange(1, len(known) + 1)
-        self.escape = np.zeros((shapes[2], k), np.float32)
-        self.full = np.zeros((len(known) + 1, k), np.float32)
-        for lang, (grams, n) in enumerate(model.counts):
-            context = grams // _SYMBOLS
-            total = np.bincount(context, weights=n, minlength=shapes[2])
-            kinds = np.bincount(context, minlength=shapes[2])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.escape[:, lang] = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            self.full[1:, lang] = self.escape[known // _SYMBOLS, lang] + self.short[known % shapes[2], lang]
-            self.full[self.row[grams], lang] = -np.log2(n / (total + kinds)[context])
+        self.orders = [[_order(k + 1, g, n) for k in range(ORDER + 1)] for g, n in model.counts]
+
+    def bits(self, grams: np.ndarray, lang: int) -> np.ndarray:
+        """Code lengths of the last symbols of strings in a language."""
+        found = np.full(len(grams), np.log2(_SYMBOLS), np.float32)
+        for order in self.orders[lang]:
+            found = order.over(grams, found)
+        return found
 
     def lengths(self, grams: np.ndarray) -> np.ndarray:
-        """Code lengths of every byte in every language."""
-        row = self.row[grams]
-        found = self.full[row]
-        new = np.flatnonzero(row == 0)
-        at = grams[new]
-        found[new] = self.escape[at // _SYMBOLS] + self.short[at % _SYMBOLS**3]
+        """Code lengths of strings in every language."""
+        grams = grams.astype(np.int32)
+        return np.stack([self.bits(grams, k) for k in range(len(self.orders))], axis=1)
+
+    def totals(self, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Code lengths of texts, which start at ``starts``, in every language. Each
+        different string is looked up once for a language."""
+        number = np.zeros(_SYMBOLS ** (ORDER + 1), np.int32)
+        number[grams] = 1
+        different = np.flatnonzero(number).astype(np.int32)
+        number[different] = np.arange(len(different), dtype=np.int32)
+        which = number[grams]
+        found = np.empty((len(starts), len(self.orders)))
+        for k in range(len(self.orders)):
+            found[:, k] = np.add.reduceat(self.bits(different, k)[which], starts, dtype=np.float64)
         return found
 
 
@@ -208,9 +236,8 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None, text
                 letter[r] = bool(held_text) and any(map(str.isalpha, held_text))
             total = np.zeros((block.rows, len(languages)))
             if len(block.data) and languages:
-                bits = costs.lengths(_grams(block, model.symbols))
                 has = np.flatnonzero(np.diff(block.starts))
-                total[has] = np.add.reduceat(bits, block.starts[has], axis=0, dtype=np.float64)
+                total[has] = costs.totals(_grams(block, model.symbols), block.starts[has])
             if languages:
                 over = total - total.min(axis=1, keepdims=True)
                 score = 1 / np.exp2(-np.minimum(over, 1000)).sum(axis=1)

@@ -24,6 +24,19 @@ def test_language_on_documents_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    made = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(6)] for k in range(80)}
+    text = lambda name: " ".join(rng.choices(made[name], k=40))
+    # of the last languages one document only
+    docs = [(name, text(name)) for k, name in enumerate(made) for _ in range(1 if k >= 60 else 3)]
+    model = language.train(spark.createDataFrame(docs, "lang string, text string"))
+    assert model.languages == sorted(made)
+    asked = [(name, text(name)) for name in made]
+    rows = language.predicted(spark.createDataFrame(asked, "lang string, text string"), model).collect()
+    assert len(rows) == 80 and all(r.lang == r.lang_pred for r in rows)
+
+
 def test_code_lengths_follow_the_counts():
     text = "abracadabra abracadabra"
     symbols = language._PLAIN[np.frombuffer(text.encode(), np.uint8)]
