@@ -1,5 +1,8 @@
 """Documents to training sequences: five stages, each over all the one before kept."""
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,29 +11,46 @@ from curbwait.llm.queries import packed
 from curbwait.session import written
 
 
+def _columns_aside(stage: Callable) -> Callable:
+    """The stage on documents whose columns besides ``doc_id`` and ``text`` have names
+    that no operator uses; they get their own back."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        aside = [n if n in ("doc_id", "text") else f"_source_{k}" for k, n in enumerate(names)]
+        return stage(spark, docs.toDF(*aside), sf_dir).select(*aside).toDF(*names)
+
+    return run
+
+
+@_columns_aside
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the learned rules and the base rules keep."""
     rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judged(docs, rules).where("kept").select(*docs.columns)
+    return quality.judged(docs, rules).where("kept")
 
 
+@_columns_aside
 def similar_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines similar to earlier ones; those that have no word
     left are dropped."""
     found = line_dedup.deduped(docs)
     worded = F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
-    return found.where((F.size("removed") == 0) | worded).select(*docs.columns)
+    return found.where((F.size("removed") == 0) | worded)
 
 
+@_columns_aside
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return near_dup.one_of_each(docs)
 
 
+@_columns_aside
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without words that lie in benchmark windows."""
     found = decontaminate.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.cleaned(found).select(*docs.columns)
+    return decontaminate.cleaned(found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from helpers import prose
+from pyspark.sql import functions as F
 from test_line_dedup import expected as lines_expected
 from test_near_dup import expected as classes_expected
 from test_near_dup import edited
@@ -75,3 +76,17 @@ def test_stages(spark, folder):
             at += length
         assert at == n
     assert len(before[0]) > len(before[1]) > len(before[2]) > len(before[3]) > 0
+
+
+CLASHING = ["spans", "items", "n_words", "kept", "stats", "base_failed", "removed", "quality", "node", "class", "a.b"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:4])
+def test_stages_carry_clashing_columns(spark, folder, name, stage):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    named = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    found = stage(spark, named, folder)
+    assert found.columns == named.columns
+    rows = found.collect()
+    assert 0 < len(rows) <= docs.count()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
