@@ -10,24 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 24
+MOST_BITS = 27
+
+
+def bits_for(keys: int) -> int:
+    """Bits for so many keys: some sixteen for each, 2 MB to 16 MB in all."""
+    return min(max((16 * keys).bit_length(), BITS), MOST_BITS)
 
 
 class Bitmap:
-    """``frame``: rows whose 64-bit ``hash`` (in SQL) to hold."""
+    """``frame``: rows whose 64-bit ``hash`` (in SQL) to hold, in a map of 2 ** ``bits``."""
 
-    def __init__(self, frame: DataFrame, hash: str):
+    def __init__(self, frame: DataFrame, hash: str, bits: int = BITS):
+        self._mask = (1 << bits) - 1
         words = (
-            frame.selectExpr(f"({hash}) & {(1 << BITS) - 1} as spot")
+            frame.selectExpr(f"({hash}) & {self._mask} as spot")
             .selectExpr("shiftright(spot, 6) as word", "shiftleft(1L, cast(spot & 63 as int)) as bit")
             .groupBy("word")
             .agg(F.bit_or("bit").alias("bits"))
-            .toPandas()  # at most 2 ** (BITS - 6) rows
+            .toPandas()  # at most 2 ** (bits - 6) rows
         )
-        bits = np.zeros(1 << (BITS - 6), np.int64)
-        bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-        self._held = frame.sparkSession.sparkContext.broadcast(bits)
+        held = np.zeros(1 << (bits - 6), np.int64)
+        held[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        self._held = frame.sparkSession.sparkContext.broadcast(held)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the hashes may be held."""
-        spots = hashes.astype(np.int64) & np.int64((1 << BITS) - 1)
+        spots = hashes.astype(np.int64) & np.int64(self._mask)
         return (self._held.value[spots >> 6] >> (spots & 63)) & 1 == 1

@@ -111,9 +111,46 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
 from rows left join many using (payload_digest)
 """
 
+COLLOCATIONS = f"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents where text is not null
+), worded as (
+    select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces
+), totals as (
+    select lang, sum(len(w))::bigint as n from worded group by lang
+), counts as (
+    select lang, phrase, size, count(*) as f
+    from (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+          from worded, (select unnest([1, 2, 3]) as size) where len(w) >= size)
+    group by all
+), candidates as (
+    select *, string_split(phrase, ' ') as w from counts where size >= 2 and f >= 10
+), kept as (
+    select * from candidates c where not exists (
+        select 1 from candidates d
+        where d.lang = c.lang and d.size > c.size and 100 * d.f >= 50 * c.f
+          and (array_to_string(d.w[1:c.size], ' ') = c.phrase or array_to_string(d.w[2:c.size + 1], ' ') = c.phrase))
+), cuts as (
+    select lang, phrase, w, f, unnest(range(1, size)) as k from kept
+), scored as (
+    select cuts.lang, cuts.phrase, cuts.f as a, x.f as l, y.f as r, k,
+           (1000000::hugeint * cuts.f * cuts.f) // (x.f::hugeint * y.f) as score
+    from cuts
+    join counts x on x.lang = cuts.lang and x.phrase = array_to_string(cuts.w[1:k], ' ')
+    join counts y on y.lang = cuts.lang and y.phrase = array_to_string(cuts.w[k + 1:], ' ')
+), lowest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
 ALL = {
     "op6_warc": WARC,
     "op2_line_dedup": LINE_DEDUP,
     "op1_near_duplicates": NEAR_DUP,
     "op7_decontaminate": DECONTAMINATE,
+    "op13_collocations": COLLOCATIONS,
 }

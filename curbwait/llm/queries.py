@@ -5,7 +5,22 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from curbwait.llm import decontaminate, language, line_dedup, near_dup, packing, pii, quality, suffix_dedup, token_orc, tokens, warc
+from curbwait.llm import (
+    collocations,
+    decontaminate,
+    language,
+    line_dedup,
+    near_dup,
+    packing,
+    periodic_runs,
+    pii,
+    quality,
+    sim_hash,
+    suffix_dedup,
+    token_orc,
+    tokens,
+    warc,
+)
 from curbwait.llm.arrow import appended
 from curbwait.session import scratch_path
 
@@ -125,4 +140,68 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ALL = [op1_near_duplicates, op2_line_dedup, op3_suffix_dedup, op4_pack, op5_language, op6_warc, op7_decontaminate, op8_personal_data, op9_quality, op10_token_orc]
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """Doc_id and text, where one document in ten has a periodic end put in: of n words,
+    each from word a on is one of the next p words after a, over and over."""
+    marked = docs.selectExpr("doc_id", "text", "crc32(cast(cast(doc_id as string) as binary)) as h")
+    worded = marked.selectExpr(
+        "doc_id",
+        "text",
+        "h div 10 as g",
+        "if(h % 10 = 0, filter(split(text, '[ \\t-\\r]+'), w -> w <> ''), array()) as words",
+    )
+    placed = worded.selectExpr("*", "if(size(words) > 0, g % size(words), null) as a")
+    period = placed.selectExpr("*", "1 + (size(words) - a) div (3 + g % 8) as p")
+    tail = "transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)]))"
+    return period.selectExpr("doc_id", f"if(a is null, text, array_join({tail}, ' ')) as text")
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of each document, its most periodic one, and what is left without repeats."""
+    docs = _with_tails(_table(spark, folder, "documents"))
+    listed = "transform(runs, r -> concat_ws(',', string(r.start), string(r.length), string(r.period)) || '\n')"
+    first = """(x.length * y.period > y.length * x.period or (x.length * y.period = y.length * x.period
+        and (x.start < y.start or (x.start = y.start and x.period < y.period))))"""
+    best = f"reduce(runs, runs[0], (y, x) -> if({first}, x, y))"
+    return (
+        periodic_runs.collapsed(docs, keep=["doc_id"])
+        .selectExpr("*", f"if(size(runs) > 0, {best}, null) as best")
+        .selectExpr(
+            "doc_id",
+            "cast(size(runs) as bigint) as n_runs",
+            "best.start",
+            "best.length",
+            "best.period",
+            "1000 * best.length div best.period as exponent_milli",
+            f"sha2(array_join({listed}, ''), 256) as runs_sha256",
+            "sha2(collapsed, 256) as collapsed_sha256",
+        )
+    )
+
+
+def op12_sim_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of each document and the component it is in."""
+    found = sim_hash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.selectExpr("doc_id", "lpad(lower(hex(fingerprint)), 16, '0') as fingerprint", "component_id")
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first phrases of each language."""
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+ALL = [
+    op1_near_duplicates,
+    op2_line_dedup,
+    op3_suffix_dedup,
+    op4_pack,
+    op5_language,
+    op6_warc,
+    op7_decontaminate,
+    op8_personal_data,
+    op9_quality,
+    op10_token_orc,
+    op11_periodic_runs,
+    op12_sim_hash,
+    op13_collocations,
+]
