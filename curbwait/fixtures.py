@@ -93,6 +93,33 @@ def zones(spark: SparkSession, folder: str, taller: Sequence[str] = ()) -> DataF
     )
 
 
+def split_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """The zones, those in odd rows cut in two from the middle of their lower border to
+    that of the upper one, so that the rows' vertices do not match."""
+    text = F.col("the_geom")
+    corners = F.transform(
+        F.slice(F.split(F.regexp_replace(text, r"[^0-9.,E -]|^ ", ""), ","), 1, 4),
+        lambda pair: F.transform(F.split(F.trim(pair), " "), lambda n: n.cast("double")),
+    )
+    placed = zones(spark, folder).join(table(spark, folder, "nation"), F.col("zone") == F.col("n_name"))
+    whole = placed.select("zone", "borough", "the_geom", F.expr("n_nationkey div 5").alias("r"), corners.alias("v"))
+
+    def between(i, j):
+        return f"array((v[{i}][0] + v[{j}][0]) / 2, (v[{i}][1] + v[{j}][1]) / 2)"
+
+    def shape(*spots):
+        ring = ", ', ', ".join(f"concat_ws(' ', string({s}[0]), string({s}[1]))" for s in (*spots, spots[0]))
+        return f"concat('POLYGON ((', {ring}, '))')"
+
+    low, high = between(0, 1), between(3, 2)
+    left, right = shape("v[0]", low, high, "v[3]"), shape(low, "v[1]", "v[2]", high)
+    return whole.selectExpr(
+        "borough",
+        f"""inline(if(r % 2 = 0, array(struct(zone, the_geom)),
+            array(struct(zone || ' left' as zone, {left} as the_geom), struct(zone || ' right' as zone, {right} as the_geom))))""",
+    ).select("zone", "borough", "the_geom")
+
+
 def jagged_edges(spark: SparkSession, folder: str, n: int = 4000) -> DataFrame:
     """One ring of ``n`` jagged edges around a point for each region, as edges."""
 

@@ -6,6 +6,7 @@ from curbwait.operators import next_fare, regions, trips, zones
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import fit_grid
 from curbwait.operators.locate import build_index
+from curbwait.operators.union import union_areas
 from curbwait.plans import jobs
 from curbwait.sources import csv, sinks
 
@@ -38,8 +39,8 @@ def analyse(
     sinks.write_table(zones.rejected_zones(zone_table), f"{out}/rejected_zones")
     edges = kept(zones.zones_to_edges(zone_table), "edges")
     index = build_index(edges)
-    overlapping = overlaps(edges, fit_grid(edges, "borough")[0])
-    sinks.write_table(zones.region_areas(edges, overlapping), f"{out}/regions")
+    sinks.write_table(overlaps(edges, fit_grid(edges, "borough")[0]), f"{out}/overlaps")
+    sinks.write_table(union_areas(edges), f"{out}/regions")
     ends = kept(jobs.dropoff_distribution(likely, index), "dropoffs")
     unknown = regions.unknown_regions(ends, zone_table)
     sinks.write_table(unknown, f"{out}/unknown_regions")
@@ -51,5 +52,5 @@ def analyse(
     sinks.write_table(next_fare.gap_quality(paired), f"{out}/gap_quality")
     od = kept(jobs.od_gaps(next_fare.positive_gaps(paired), index), "idle_trips")
     idle = kept(regions.idle_by_region(od), "idle_by_region")
-    sinks.write_features(jobs.choropleth(idle, zone_table), f"{out}/map")
+    sinks.write_features(jobs.choropleth_of_edges(idle, edges), f"{out}/map")
     return idle

@@ -7,6 +7,7 @@ from curbwait.functions.times import whole_minutes
 from curbwait.operators import next_fare, regions, trips, zones
 from curbwait.operators.locate import RegionIndex, build_index, flagged, locate
 from curbwait.operators.rings import region_polygons
+from curbwait.operators.union import union_edges
 from curbwait.schemas import DROPOFF, NEXT_PICKUP
 
 
@@ -48,6 +49,11 @@ def idle_report(trip_table: DataFrame, index: RegionIndex, **options) -> DataFra
 def choropleth(stats: DataFrame, zone_table: DataFrame, k: int = 5) -> DataFrame:
     """The idle report as map features, coloured by classes of the mean: the outlines
     of the regions, without the borders between their zones."""
+    return choropleth_of_edges(stats, zones.zones_to_edges(zone_table), k)
+
+
+def choropleth_of_edges(stats: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """The same from the zones' edges."""
     classes = regions.quantile_classes(stats, "average_duration", k)
-    outlines = region_polygons(zones.dissolve(zones.zones_to_edges(zone_table)))
+    outlines = region_polygons(union_edges(edges))
     return regions.features(classes, outlines, "dropoff_borough")

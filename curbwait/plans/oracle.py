@@ -111,6 +111,51 @@ OUTLINE = f"""{BOUNDARY},
     )"""
 
 
+#: The regions' borders where inner ones have vertices that do not match.
+SPOTS = """
+    spots as (
+        select r_name as borough, i, j,
+               (r_regionkey + i) + (((r_regionkey + i) * 3 + j * 5) % 3 - 1) * 0.125::double as x,
+               j + (((r_regionkey + i) * 5 + j * 2) % 3 - 1) * 0.125::double as y
+        from region, range(2) as across(i), range(6) as up(j)
+    ),
+    boundary as (
+        select a.borough, a.x as x1, a.y as y1, b.x as x2, b.y as y2
+        from spots a join spots b on a.borough = b.borough
+            and (a.i = 0 and b.i = 1 and a.j = 0 and b.j = 0 or a.i = 1 and b.i = 1 and b.j = a.j + 1
+                 or a.i = 1 and b.i = 0 and a.j = 5 and b.j = 5 or a.i = 0 and b.i = 0 and b.j = a.j - 1)
+    )"""
+
+#: Area of each region by slabs between the heights at which its zones' edges end or
+#: cross; zones are convex, so each has one stretch at the middle of a slab.
+SLABS = """
+    heights as (
+        select borough, y1 as h from edges
+        union
+        select a.borough,
+               a.y1 + ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1))
+                      / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) * (a.y2 - a.y1)
+        from edges a join edges b on a.borough = b.borough and a.zone < b.zone
+            and ((a.x2 - a.x1) * (b.y1 - a.y1) - (b.x1 - a.x1) * (a.y2 - a.y1))
+                * ((a.x2 - a.x1) * (b.y2 - a.y1) - (b.x2 - a.x1) * (a.y2 - a.y1)) < 0
+            and ((b.x2 - b.x1) * (a.y1 - b.y1) - (a.x1 - b.x1) * (b.y2 - b.y1))
+                * ((b.x2 - b.x1) * (a.y2 - b.y1) - (a.x2 - b.x1) * (b.y2 - b.y1)) < 0
+    ),
+    slabs as (
+        select borough, h, lead(h) over (partition by borough order by h) as up from heights
+    ),
+    stretches as (
+        select s.borough, h, up, zone, min(x1 + ((h + up) / 2 - y1) / (y2 - y1) * (x2 - x1)) as a,
+               max(x1 + ((h + up) / 2 - y1) / (y2 - y1) * (x2 - x1)) as b
+        from slabs s join edges e on s.borough = e.borough and least(y1, y2) < (h + up) / 2 and (h + up) / 2 < greatest(y1, y2)
+        group by all
+    ),
+    reached as (
+        select *, max(b) over (partition by borough, h order by a, b rows between unbounded preceding and 1 preceding) as far
+        from stretches
+    )"""
+
+
 #: Rings of the mixed zones: squares from low to high, a hole the other way around.
 MIXED = """
     mixed as (
@@ -346,6 +391,11 @@ ALL = {
         select x, y, borough from held join points using (p)""",
     "borough_polygons": f"""with recursive {OUTLINE}
         select borough, 0 as polygon, k, x, y from outline""",
+    "borough_polygons_tjunction": f"""with recursive {OUTLINE.replace(BOUNDARY, SPOTS)}
+        select borough, 0 as polygon, k, x, y from outline""",
+    "borough_area_union": f"""with {edges_where("r_name in ('AFRICA', 'ASIA')")}, {SLABS}
+        select borough, round(sum((up - h) * greatest(0, b - greatest(a, coalesce(far, a)))), 9) as location_area
+        from reached group by borough""",
     "jagged_distribution": f"""with {TRIPS},
         corners as (
             select r_name as borough, k, 0.3::double + ((k * 7919 + r_regionkey * 1049) % 1000) / 5000.0::double as reach,

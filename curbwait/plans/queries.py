@@ -8,6 +8,7 @@ from curbwait.operators import locate, next_fare, regions, trips, zones
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import fit_grid
 from curbwait.operators.rings import region_polygons
+from curbwait.operators.union import union_areas, union_edges
 from curbwait.plans import jobs
 from curbwait.plans.analysis import analyse
 from curbwait.schemas import DROPOFF, TRIP_ORDER, TRIP_SCHEMA
@@ -195,14 +196,30 @@ def borough_boundary_edges(spark, folder):
     return zones.dissolve(_edges(spark, folder)).drop("net")
 
 
-def borough_polygons(spark, folder):
-    """The corners of each region's outline, in order."""
-    outlines = region_polygons(zones.dissolve(_edges(spark, folder)))
+def _corners(outlines):
+    """The corners of each outline, in order."""
     rings = outlines.select("borough", F.posexplode("polygons").alias("polygon", "rings"))
     vertices = rings.select("borough", "polygon", F.posexplode(F.col("rings")[0]).alias("k", "v"))
     return vertices.select("borough", "polygon", "k", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
 
 
+def borough_polygons(spark, folder):
+    """The corners of each region's outline, in order."""
+    return _corners(region_polygons(zones.dissolve(_edges(spark, folder))))
+
+
+def borough_polygons_tjunction(spark, folder):
+    """The same where the zones of a region do not share their vertices."""
+    edges = zones.zones_to_edges(fixtures.split_zones(spark, folder))
+    return _corners(region_polygons(union_edges(edges)))
+
+
+def borough_area_union(spark, folder):
+    """Areas of the regions where zones of two of them overlap their own."""
+    edges = zones.zones_to_edges(fixtures.zones(spark, folder, taller=["AFRICA", "ASIA"]))
+    return _rounded(union_areas(edges), location_area=9)
+
+
 def borough_area_overlap(spark, folder):
     """Areas where zones of two regions, stretched upwards, overlap their own."""
     edges = zones.zones_to_edges(fixtures.zones(spark, folder, taller=["AFRICA", "ASIA"]))
@@ -471,6 +488,8 @@ ALL = [
     borough_area,
     borough_boundary_edges,
     borough_polygons,
+    borough_polygons_tjunction,
+    borough_area_union,
     borough_area_overlap,
     dropoff_located,
     dropoff_located_shuffled,
