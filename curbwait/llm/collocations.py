@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -23,7 +24,7 @@ from curbwait.session import written
 LONGEST = 3
 _SEED = 42
 _SALTS = 16
-_CHUNK = 1 << 22  # bytes of text cut into words at once
+_CHUNK = 1 << 20  # bytes of text cut into words at once
 _STEP = 1 << 18  # words numbered at once
 _WORDS = 1 << 19  # words that a vocabulary holds before it is given up
 _ENTRIES = 600_000  # phrases that a task's tries hold
@@ -80,24 +81,23 @@ class _Counter:
         self.trie.add(keys, counts)
 
     def spilled(self, left: int) -> Iterator[pa.RecordBatch]:
-        """Runs of subtrees taken out of the trie, as rows."""
-        rows = list(self.trie.spill(left))
-        words = np.array(self.vocabulary.words, object)
-        for k in range(0, len(rows), 1 << 16):
-            part = np.array(rows[k : k + (1 << 16)], np.int64).reshape(-1, 2)
-            columns = [words[c] for c in unpacked(part[:, 0], self._size)]
-            phrases = columns[0] if self._size == 1 else list(map(b" ".join, zip(*columns, strict=True)))
-            yield _rows(self.lang, phrases, part[:, 1])
+        """A run of subtrees taken out of the trie, as rows."""
+        keys, counts = self.trie.spill(left)
+        words = pa.array(self.vocabulary.words, pa.binary())
+        for k in range(0, len(keys), 1 << 16):
+            columns = [words.take(pa.array(c)) for c in unpacked(keys[k : k + (1 << 16)], self._size)]
+            phrases = pc.binary_join_element_wise(*columns, b" ") if self._size > 1 else columns[0]
+            yield _rows(self.lang, phrases, counts[k : k + (1 << 16)])
 
 
 def _turned(hashes: np.ndarray) -> np.ndarray:
     return hashes << np.uint64(21) | hashes >> np.uint64(43)
 
 
-def _rows(lang: str, phrases, counts) -> pa.RecordBatch:
-    langs = pa.array([lang] * len(phrases), pa.string())
+def _rows(lang: str, phrases: pa.Array, counts) -> pa.RecordBatch:
+    langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
     return pa.RecordBatch.from_arrays(
-        [langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
+        [langs, phrases.cast(pa.string()), pa.array(counts, pa.int64())],
         names=["lang", "phrase", "n"],
     )
 
@@ -148,10 +148,11 @@ def counted(docs: DataFrame, size: int, passing: Bitmap | None = None) -> DataFr
         for counter in counters.values():
             yield from counter.spilled(0)
             if size == 1:
-                yield _rows(counter.lang, [b""], [counter.total])
+                yield _rows(counter.lang, pa.array([b""], pa.binary()), [counter.total])
 
     runs = docs.selectExpr("coalesce(lang, 'und') as lang", "text").mapInArrow(count, "lang string, phrase string, n long")
-    return runs.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # runs are counted already, so rows are dealt out as they are and merged there
+    return runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent(docs: DataFrame, least: int) -> list[DataFrame]:

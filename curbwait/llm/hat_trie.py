@@ -1,14 +1,12 @@
 """A HAT-trie of word-id strings: counts in hash containers under a shallow trie."""
 
-from collections.abc import Iterator
-
 import numpy as np
 
 BITS = 21
 #: Words that ids can number, zero left out.
 IDS = (1 << BITS) - 1
-_LOW = IDS
-_BURST = 4096
+_DIGIT = 7
+_BURST = 16_384
 
 
 def packed(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -20,78 +18,89 @@ def packed(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return keys
 
 
+def unpacked(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    """The ids of keys, a column for each place."""
+    return [keys >> BITS * (size - 1 - k) & IDS for k in range(size)]
+
+
+class _Node(dict):
+    """Containers or further nodes by the digit at ``shift``."""
+
+    def __init__(self, shift: int):
+        super().__init__()
+        self.shift = shift
+
+
 class HatTrie:
     """Counts of phrases of ``size`` words, one to three, by packed key.
 
-    Below each first word is a container, a hash of the other words; one of more than
-    4096 entries bursts into containers by the second word. A subtree is what lies below
-    a first word.
+    Ids are read as digits, three to a word. A container is a hash of all keys below a
+    prefix; one that grows beyond 16,384 entries bursts into a node with a container for
+    each next digit, so frequent first words come to have subtrees of their own.
     """
 
     def __init__(self, size: int):
-        self._rest = BITS * (size - 1)
-        self._below = (1 << self._rest) - 1
-        self._second = BITS * max(size - 2, 0)
-        self._containers: dict[int, dict[int, int]] = {}
-        self._nodes: dict[int, dict[int, dict[int, int]]] = {}
-        self._held: dict[int, int] = {}
+        self._top = BITS * size - _DIGIT
+        self._root: dict = {}
         self.entries = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add counts of different keys, in order."""
-        if not len(keys):
-            return
-        firsts = keys >> self._rest
-        cuts = np.flatnonzero(np.diff(firsts)) + 1
-        bounds = [0, *cuts.tolist(), len(keys)]
-        rests, numbers = (keys & self._below).tolist(), counts.tolist()
-        for first, a, b in zip(firsts[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True):
-            before = self._held.get(first, 0)
-            if first in self._nodes:
-                now = before + self._into_node(self._nodes[first], rests[a:b], numbers[a:b])
-            else:
-                container = self._containers.setdefault(first, {})
-                for rest, n in zip(rests[a:b], numbers[a:b], strict=True):
-                    container[rest] = container.get(rest, 0) + n
-                now = len(container)
-                if now > _BURST and self._second:
-                    node = self._nodes[first] = {}
-                    self._into_node(node, container.keys(), container.values())
-                    del self._containers[first]
-            self._held[first] = now
-            self.entries += now - before
-
-    def _into_node(self, node: dict[int, dict[int, int]], rests, counts) -> int:
-        """Counts into the containers of a burst node, and how many entries that adds."""
-        added, low = 0, (1 << self._second) - 1
-        for rest, n in zip(rests, counts, strict=True):
-            container = node.setdefault(rest >> self._second, {})
-            last = rest & low
-            if last not in container:
-                added += 1
-                container[last] = n
-            else:
-                container[last] += n
-        return added
-
-    def spill(self, left: int) -> Iterator[tuple[int, int]]:
-        """Take out whole subtrees, the largest first, until at most ``left`` entries are
-        held: keys and counts, as a sorted run for each subtree."""
-        for first, many in sorted(self._held.items(), key=lambda h: -h[1]):
-            if self.entries <= left:
-                return
-            high = first << self._rest
-            if first in self._nodes:
-                node = self._nodes.pop(first)
-                for second in sorted(node):
-                    above = high | second << self._second
-                    yield from ((above | last, n) for last, n in sorted(node[second].items()))
-            else:
-                yield from ((high | rest, n) for rest, n in sorted(self._containers.pop(first).items()))
-            del self._held[first]
-            self.entries -= many
+        if len(keys):
+            self._root = self._into(self._root, self._top, keys, counts)
 
+    def _into(self, child: dict, shift: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+        """The child, or the node it burst into, with the counts added."""
+        if isinstance(child, _Node):
+            for digit, a, b in _by_digit(keys, shift):
+                child[digit] = self._into(child.get(digit, {}), shift - _DIGIT, keys[a:b], counts[a:b])
+            return child
+        before, held = len(child), child.get
+        for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+            child[key] = held(key, 0) + n
+        self.entries += len(child) - before
+        return _burst(child, shift) if len(child) > _BURST and shift >= 0 else child
 
-def unpacked(keys: np.ndarray, size: int) -> list[np.ndarray]:
-    """The ids of keys, a column for each place."""
-    return [keys >> BITS * (size - 1 - k) & _LOW for k in range(size)]
+    def _leaves(self, node: dict, place: tuple) -> list[tuple]:
+        if not isinstance(node, _Node):
+            return [(len(node), place)]
+        return [leaf for digit in node for leaf in self._leaves(node[digit], (node, digit))]
+
+    def spill(self, left: int) -> tuple[np.ndarray, np.ndarray]:
+        """Take out whole containers, the largest first, until at most ``left`` entries are
+        held: their keys and counts as one sorted run."""
+        taken = []
+        if not isinstance(self._root, _Node):
+            if self.entries > left:
+                taken, self._root = [self._root], {}
+        else:
+            over = self.entries - left
+            for many, (node, digit) in sorted(self._leaves(self._root, ()), key=lambda leaf: -leaf[0]):
+                if over <= 0:
+                    break
+                taken.append(node.pop(digit))
+                over -= many
+            if left <= 0:
+                self._root = {}
+        self.entries -= sum(map(len, taken))
+        keys = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(c, np.int64, len(c)) for c in taken)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(c.values(), np.int64, len(c)) for c in taken)])
+        order = np.argsort(keys)
+        return keys[order], counts[order]
+
+
+def _by_digit(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """Digits at the shift, and from where to where in the sorted keys each is."""
+    digits = keys >> shift & ((1 << _DIGIT) - 1)
+    bounds = [0, *(np.flatnonzero(np.diff(digits)) + 1).tolist(), len(keys)]
+    return list(zip(digits[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True))
+
+
+def _burst(container: dict[int, int], shift: int) -> _Node:
+    keys = np.fromiter(container, np.int64, len(container))
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.fromiter(container.values(), np.int64, len(container))[order]
+    node = _Node(shift)
+    for digit, a, b in _by_digit(keys, shift):
+        node[digit] = dict(zip(keys[a:b].tolist(), counts[a:b].tolist(), strict=True))
+    return node

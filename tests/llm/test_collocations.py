@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import AWKWARD, prose
 
@@ -103,22 +104,19 @@ def test_trie_bursts_and_spills_in_order():
     rng = random.Random(9)
     trie, wanted = hat_trie.HatTrie(3), Counter()
     for _ in range(30):
-        keys = sorted({rng.randrange(1, 4) << 42 | rng.randrange(1, 90) << 21 | rng.randrange(1, 90) for _ in range(2000)})
+        keys = sorted({rng.randrange(1, 4) << 42 | rng.randrange(1, 900) << 21 | rng.randrange(1, 90) for _ in range(2000)})
         numbers = [rng.randint(1, 5) for _ in keys]
-        trie.add(hat_trie.np.array(keys), hat_trie.np.array(numbers))
+        trie.add(np.array(keys), np.array(numbers))
         for k, n in zip(keys, numbers, strict=True):
             wanted[k] += n
-    assert trie.entries == len(wanted) > 3 * 4096 and trie._nodes
-    first = list(trie.spill(len(wanted) // 2))
-    assert trie.entries <= len(wanted) // 2
-    rest = list(trie.spill(0))
-    assert trie.entries == 0
-    assert Counter(dict(first)) + Counter(dict(rest)) == wanted and len(first) + len(rest) == len(wanted)
-    for run in (first, rest):
-        heads = [k >> 42 for k, _ in run]
-        for head in set(heads):
-            own = [k for k, _ in run if k >> 42 == head]
-            assert own == sorted(own)
+    assert trie.entries == len(wanted) > 2 * 16_384 and isinstance(trie._root, hat_trie._Node)
+    got = Counter()
+    for left in (len(wanted) // 2, 10, 0):
+        keys, counts = (x.tolist() for x in trie.spill(left))
+        assert trie.entries <= left and keys == sorted(keys) and not got.keys() & set(keys)
+        got.update(dict(zip(keys, counts, strict=True)))
+    assert got == wanted
+    assert [len(x) for x in trie.spill(0)] == [0, 0]
 
 
 def test_tasks_and_spark_hash_phrases_alike(spark):
