@@ -93,6 +93,35 @@ def zones(spark: SparkSession, folder: str, taller: Sequence[str] = ()) -> DataF
     )
 
 
+def tall_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """A thin triangle per nation, side by side, each as tall as all of them."""
+    region = table(spark, folder, "region")
+    nations = table(spark, folder, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    left = "n_nationkey * 0.21875D"
+    ring = [(left, 0), (f"{left} + 0.1875D", 0), (f"{left} + 0.09375D", 5), (left, 0)]
+    text = ", ', ', ".join(f"string({x}), ' {y}'" for x, y in ring)
+    return nations.selectExpr("n_name as zone", "r_name as borough", f"concat('POLYGON ((', {text}, '))') as the_geom")
+
+
+def vast_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """A triangle per region with corners of 52 bits, all from the same corner."""
+    ring = [("0", "0"), ("4503599627370495 - 1000003 * r_regionkey", "2251799813685249 + 77777 * r_regionkey"), ("0", "4503599627370495"), ("0", "0")]
+    text = ", ', ', ".join(f"string({x}), ' ', string({y})" for x, y in ring)
+    return table(spark, folder, "region").selectExpr(
+        "r_name as zone", "r_name as borough", f"concat('POLYGON ((', {text}, '))') as the_geom"
+    )
+
+
+def border_places(spark: SparkSession, folder: str) -> DataFrame:
+    """A place per event on the lower border of one of the triangles, cut to whole
+    numbers, or one above or below it."""
+    return table(spark, folder, "events").selectExpr(
+        "event_id as place_id",
+        "double((4503599627370495 - 1000003 * (event_id % 5)) * (event_id % 1000) div 1000) as x",
+        "double((2251799813685249 + 77777 * (event_id % 5)) * (event_id % 1000) div 1000 + event_id div 5 % 3 - 1) as y",
+    )
+
+
 def split_zones(spark: SparkSession, folder: str) -> DataFrame:
     """The zones, those in odd rows cut in two from the middle of their lower border to
     that of the upper one, so that the rows' vertices do not match."""

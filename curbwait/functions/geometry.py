@@ -79,18 +79,58 @@ def turn(e: str, x: str, y: str) -> str:
     return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({x} - {e}.x1) * ({e}.y2 - {e}.y1))"
 
 
+#: Of the size of its two products, how far a turn in doubles may be off.
+_DOUBT = 3.3306690738754716e-16
+
+
+def side(e: str, x: str, y: str) -> str:
+    """The sign of ``turn`` in exact arithmetic. Doubles decide where they surely can, and
+    else the six products that a turn is made of, each as a sum of two doubles without
+    error, are added up without error. Coordinates are below 1e150 in size."""
+    first, second = f"({e}.x2 - {e}.x1) * ({y} - {e}.y1)", f"({x} - {e}.x1) * ({e}.y2 - {e}.y1)"
+    doubt = f"{_DOUBT!r}D * (abs({first}) + abs({second}))"
+    products = [(f"{e}.x2", y), (f"{e}.y1", x), (f"{e}.x1", f"{e}.y2"), (f"{e}.y1", f"-{e}.x2"), (y, f"-{e}.x1"), (f"{e}.y2", f"-{x}")]
+    return f"""case when {first} - {second} > {doubt} then 1 when {second} - {first} > {doubt} then -1
+                    else {_sign_of_sum([term for a, b in products for term in _product(a, b)])} end"""
+
+
+def _product(a: str, b: str) -> tuple[str, str]:
+    """A product in doubles, and what it is off by: from halves of 26 bits."""
+
+    def high(v: str) -> str:
+        return f"(134217729D * ({v}) - (134217729D * ({v}) - ({v})))"
+
+    def low(v: str) -> str:
+        return f"(({v}) - {high(v)})"
+
+    whole = f"(({a}) * ({b}))"
+    rest = f"((({whole} - {high(a)} * {high(b)}) - {low(a)} * {high(b)}) - {high(a)} * {low(b)})"
+    return whole, f"({low(a)} * {low(b)} - {rest})"
+
+
+def _sign_of_sum(terms: list[str]) -> str:
+    """The sign of a sum of doubles. They are added one by one to a list of doubles that
+    do not overlap, least first, whose sum is exact; the last of them that is not zero
+    has the sign."""
+    error = "(acc.q - (acc.q + v - (acc.q + v - acc.q))) + (v - (acc.q + v - acc.q))"
+    grown = f"""aggregate(held, named_struct('q', t, 'done', cast(array() as array<double>)),
+        (acc, v) -> named_struct('q', acc.q + v, 'done', concat(acc.done, array({error}))),
+        acc -> concat(acc.done, array(acc.q)))"""
+    whole = f"aggregate(array({', '.join(terms)}), cast(array() as array<double>), (held, t) -> {grown})"
+    return f"int(signum(coalesce(try_element_at(filter({whole}, v -> v <> 0), -1), 0D)))"
+
+
 def contains(edges: str, x: str, y: str, beyond: str = "0") -> str:
     """Is the point inside the edges' shape?
 
     The winding number: a ray to the right adds the weight ``w`` of every upward edge
     it crosses. ``beyond`` is the number where the ray ends, for edges that are only
     those near the point. Zones that overlap add up, so a point is inside if the number
-    is not zero; on an edge, if it is not zero on any side of it. With no tolerance, no
-    division, and every edge taken lower end first, a point beside a border shared by
-    two shapes is on the same side of it for both.
+    is not zero; on an edge, if it is not zero on any side of it. Sides are exact, without
+    tolerance.
     """
-    side, on = turn("e", x, y), _passes(x, y)
-    crosses = f"e.y1 <= {y} and {y} < e.y2 and {side} > 0"
+    on = _passes(x, y)
+    crosses = f"e.y1 <= {y} and {y} < e.y2 and {side('e', x, y)} > 0"
     start = f"aggregate(filter({edges}, e -> {crosses}), cast({beyond} as bigint), (n, e) -> n + e.w)"
     return f"""case when exists({edges}, e -> {on}) then forall({windings(edges, x, y, beyond)}, n -> n <> 0)
                     else {start} <> 0 end"""
@@ -98,15 +138,15 @@ def contains(edges: str, x: str, y: str, beyond: str = "0") -> str:
 
 def _passes(x: str, y: str) -> str:
     """Is the point on the edge?"""
-    return f"""(e.y1 <= {y} and {y} <= e.y2 and {turn("e", x, y)} = 0
-                 and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2))"""
+    return f"""(e.y1 <= {y} and {y} <= e.y2 and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2)
+                 and {side("e", x, y)} = 0)"""
 
 
 def windings(edges: str, x: str, y: str, beyond: str = "0") -> str:
     """The winding numbers of the sectors around a point: the first lies just above the
     ray to the right, and each edge that leaves the point, counter-clockwise, adds or
     takes its weight. Angles are told apart to twelve digits."""
-    crosses = f"e.y1 <= {y} and {y} < e.y2 and {turn('e', x, y)} > 0"
+    crosses = f"e.y1 <= {y} and {y} < e.y2 and {side('e', x, y)} > 0"
     start = f"aggregate(filter({edges}, e -> {crosses}), cast({beyond} as bigint), (n, e) -> n + e.w)"
 
     def ray(end: str, weight: str) -> str:

@@ -1,12 +1,11 @@
 """Which regions a point lies in: an exact spatial join on equi-keys.
 
-A grid is laid over the regions. A cell no border passes through lies as a whole
-inside or outside each region, so its points need one hash lookup. Along a band
-of the grid, cells with borders form runs. A point in a run is decided by the
-edges of that run, the only ones a ray to the right can meet before it reaches
-the cell beyond, and by each region's winding number in that cell. Cells and runs
-are found for edges and points by the same monotonic floor, and borders claim cells
-with a margin, so the shortcut never changes an answer.
+Cells are laid over the regions' borders: bands, and columns of each band. A point finds
+its band by a search in the bands' limits, its column by one in the limits that a first
+lookup brings, and a second lookup brings its cell. There the few edges of the cell say
+how often each region's border goes around the point, starting from a place in the cell
+for which that is known. Edges and points find bands and columns by the same search, so
+the shortcut never changes an answer.
 
 A region may be without a name; inside the index regions are structs, never null.
 """
@@ -17,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbwait.functions.geometry import contains
-from curbwait.operators.grid import Grid, border_runs, fit_grid
+from curbwait.operators.cells import Cells, cell_key, fit_cells, from_known
+from curbwait.operators.grid import upward
 from curbwait.operators.zones import dissolve
 from curbwait.session import written
 
@@ -27,15 +27,10 @@ APART = 1 << 20
 
 @dataclass(frozen=True)
 class RegionIndex:
-    """``cells``: cell, the regions it surely lies in, and its run, null if no
-    border passes through. ``runs``: run and its parts, each with region, edges
-    and beyond. ``small``: both are proven to fit a broadcast.
-    """
+    """``small``: both of the tables are proven to fit a broadcast."""
 
     by: str
-    grid: Grid
-    cells: DataFrame
-    runs: DataFrame
+    held: Cells
     small: bool
 
     def shuffled(self) -> "RegionIndex":
@@ -54,39 +49,12 @@ def build_index(
     overlap, share borders, or come in pieces.
 
     The index is written below the shared folder, as several jobs read it: those jobs
-    then plan on bare tables, and a job that looks up twice broadcasts once.
+    then plan on bare tables, and a job that looks up twice broadcasts once. Its rows
+    grow with the edges as n log n at most, whatever their shape; its size is measured.
     """
-    grid, size = fit_grid(zone_edges, by, columns, bands)
-    edges = dissolve(zone_edges, by).selectExpr("*", f"{by} as region")
-    borders, _ = written(border_runs(edges, grid), "borders")
-    cells, _ = written(_cells(borders, grid), "cells")
-    runs, _ = written(_runs(borders, grid), "runs")
-    return RegionIndex(by, grid, cells, runs, size <= broadcast_limit)
-
-
-def _runs(borders: DataFrame, grid: Grid) -> DataFrame:
-    return (
-        borders.groupBy("band", "run")
-        .agg(F.expr("collect_list(struct(struct(region) as of, beyond, edges)) as parts"))
-        .selectExpr(f"{grid.cell('run', 'band')} as _run", "parts as _parts")
-    )
-
-
-def _cells(borders: DataFrame, grid: Grid) -> DataFrame:
-    key = grid.cell("run", "band")
-    on_border = f"""transform(sequence(run, run_end),
-        c -> named_struct('column', c, 'at', {key}, 'of', cast(null as struct<region:string>)))"""
-    between = f"""transform(sequence(run_end + 1, next_run - 1),
-        c -> named_struct('column', c, 'at', cast(null as bigint), 'of', struct(region)))"""
-    wide = "beyond <> 0 and next_run > run_end + 1"
-    return (
-        borders.selectExpr(
-            "band", f"inline_outer(concat({on_border}, if({wide}, {between}, array())))"
-        )
-        .groupBy("band", "column")
-        .agg(F.expr("max(at) as at"), F.expr("collect_set(of) as sure"))
-        .selectExpr(f"{grid.cell('column', 'band')} as _cell", "at as _run", "sure as _sure")
-    )
+    edges = upward(dissolve(zone_edges, by).selectExpr("*", f"{by} as region"), "region")
+    held = fit_cells(written(edges, "borders")[0], bands, columns)
+    return RegionIndex(by, held, held.bytes <= broadcast_limit)
 
 
 def regions_at(
@@ -101,38 +69,35 @@ def regions_at(
 
 
 def _structs_at(points: DataFrame, x: str, y: str, index: RegionIndex, found: str) -> DataFrame:
-    grid = index.grid
-    cell = grid.cell(grid.column(x), grid.band(y))
-    keyed = points.selectExpr("*", f"if({grid.covers(x, y)}, {cell}, null) as _cell")
-    in_cell = _lookup(keyed, index, index.cells, "_cell", x, y)
-    in_run = _lookup(in_cell, index, index.runs, "_run", x, y)
-    tested = f"filter(_parts, p -> {contains('p.edges', x, y, 'p.beyond')})"
-    hits = f"""case when _parts is not null
-                    then array_distinct(concat(_sure, transform({tested}, p -> p.of)))
-                    else coalesce(_sure, array()) end"""
-    return in_run.selectExpr(*[f"`{c}`" for c in points.columns], f"{hits} as {found}")
-
-
-def _lookup(
-    points: DataFrame, index: RegionIndex, table: DataFrame, key: str, x: str, y: str
-) -> DataFrame:
+    held = index.held
+    keyed = points.selectExpr("*", f"if({held.bands.covers(x, y)}, {held.bands.band(y)}, null) as _band")
+    in_band = _lookup(keyed, index, held.layout, "_band")
+    column = f"if(_limits is null, null, {cell_key('_band', held.column(x))})"
+    in_cell = _lookup(in_band.selectExpr("*", f"{column} as _cell"), index, held.cells, "_cell")
+    inside = contains("p.edges", x, y, from_known("p", y))
+    hits = f"transform(filter(coalesce(_parts, array()), p -> {inside}), p -> p.of)"
+    return in_cell.selectExpr(*[f"`{c}`" for c in points.columns], f"{hits} as {found}")
+
+
+def _lookup(points: DataFrame, index: RegionIndex, table: DataFrame, key: str) -> DataFrame:
     """Left join with one of the index's tables on its key.
 
-    If that cannot be broadcast, every row of it is there once for each salt, and a
-    point's place picks the salt, so the points of a busy cell spread over tasks.
-    Points without a key, which find nothing, get one of their own for the join.
+    If that cannot be broadcast, every row of it is there once for each salt, and points
+    pick theirs by all their columns and the partition they are in, so those of a busy
+    place, equal ones too, spread over tasks. Points without a key, which find nothing,
+    get one of their own for the join.
     """
     if index.small:
         return points.join(F.broadcast(table), key, "left")
-    place = f"xxhash64({x}, {y})"
-    salted = points.withColumns(
+    own = f"xxhash64({', '.join(f'`{c}`' for c in points.columns if c != '_limits')}, spark_partition_id())"
+    salted = points.withColumn("_own", F.expr(own)).withColumns(
         {
-            "_salt": F.expr(f"cast(pmod({place}, {SALTS}) as int)"),
-            key: F.expr(f"coalesce({key}, -1 - pmod({place}, {APART}))"),
+            "_salt": F.expr(f"cast(pmod(_own, {SALTS}) as int)"),
+            key: F.expr(f"coalesce({key}, cast(-1 - pmod(_own, {APART}) as {'int' if key == '_band' else 'bigint'}))"),
         }
     )
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    return salted.join(repeated, [key, "_salt"], "left").drop("_salt", "_own")
 
 
 def locate(points: DataFrame, x: str, y: str, index: RegionIndex, name: str | None = None) -> DataFrame:

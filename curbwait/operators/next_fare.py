@@ -20,8 +20,7 @@ def sessions_layout(
     Slices cut drivers with very many trips, such as a placeholder licence, as the
     data are; what a task must hold is a driver's trips of one slice.
     """
-    keyed = trips.withColumn("slice", F.floor(F.col("pickup_datetime") / seconds))
-    return keyed.repartition(DRIVER, "slice").sortWithinPartitions(DRIVER, "slice", *order)
+    return with_slice(trips, seconds).repartition(DRIVER, "slice").sortWithinPartitions(DRIVER, "slice", *order)
 
 
 def next_fare(
@@ -37,25 +36,46 @@ def next_fare(
     of the driver's next slice: those, one row per slice, combined before they are
     shuffled, are paired by a window of their own and joined.
     """
-    laid = sessions_layout(trips, seconds, order)
+    led = led_in_slices(sessions_layout(trips, seconds, order), order)
+    return stitched(led, turns(firsts(with_slice(trips, seconds), order)))
+
+
+def with_slice(trips: DataFrame, seconds: int = SLICE_SECONDS) -> DataFrame:
+    return trips.withColumn("slice", F.floor(F.col("pickup_datetime") / seconds))
+
+
+def led_in_slices(sliced: DataFrame, order: Sequence[str] = TRIP_ORDER) -> DataFrame:
+    """Trips with the columns of the driver's next one in the same slice."""
     window = Window.partitionBy(DRIVER, "slice").orderBy(*order)
-    led = laid.withColumns(
+    return sliced.withColumns(
         {name: F.lead(c).over(window) for name, c in zip(_LEADS, ("pickup_datetime", *PICKUP), strict=True)}
     )
-    firsts = (
-        trips.withColumn("slice", F.floor(F.col("pickup_datetime") / seconds))
-        .groupBy(DRIVER, "slice")
-        .agg(F.min(F.struct(*order)).alias("first"))
-    )
+
+
+def firsts(sliced: DataFrame, order: Sequence[str] = TRIP_ORDER) -> DataFrame:
+    """A driver's first trip of each slice, as the struct ``first``."""
+    return sliced.groupBy(DRIVER, "slice").agg(F.min(F.struct(*order)).alias("first"))
+
+
+def turns(first_trips: DataFrame) -> DataFrame:
+    """For each driver's slice the first trip of the next one, ``_next``."""
     onward = F.lead("first").over(Window.partitionBy(DRIVER).orderBy("slice"))
-    following = firsts.select(F.col(DRIVER).alias("_driver"), F.col("slice").alias("_slice"), onward.alias("_next"))
-    same = led[DRIVER].eqNullSafe(following["_driver"]) & led["slice"].eqNullSafe(following["_slice"])
+    return first_trips.select(F.col(DRIVER).alias("_driver"), F.col("slice").alias("_slice"), onward.alias("_next"))
+
+
+def stitched(led: DataFrame, following: DataFrame, null_safe: bool = True) -> DataFrame:
+    """Trips led in their slices, the last of each with the first of the driver's next
+    slice, and the gaps; without ``slice``."""
+    if null_safe:
+        same = led[DRIVER].eqNullSafe(following["_driver"]) & led["slice"].eqNullSafe(following["_slice"])
+    else:
+        same = (led[DRIVER] == following["_driver"]) & (led["slice"] == following["_slice"])
     last = F.col("lead_pickup_datetime").isNull()
-    stitched = {
+    columns = {
         name: F.when(last, F.col(f"_next.{c}")).otherwise(F.col(name))
         for name, c in zip(_LEADS, ("pickup_datetime", *PICKUP), strict=True)
     }
-    joined = led.join(following, same, "left").withColumns(stitched)
+    joined = led.join(following, same, "left").withColumns(columns)
     return _gap(joined.drop("slice", "_driver", "_slice", "_next"))
 
 

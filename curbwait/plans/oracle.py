@@ -334,6 +334,33 @@ ALL = {
     "borough_boundary_edges": f"""with {BOUNDARY} select * from boundary""",
     "dropoff_located": f"""with {ENDS}
         select trip_id, hack_license, borough from trips join ends using (trip_id)""",
+    "dropoff_located_exact": """
+        with corners as (
+            select r_name as borough, 4503599627370495::hugeint - 1000003 * r_regionkey as px,
+                   2251799813685249::hugeint + 77777 * r_regionkey as py, 4503599627370495::hugeint as cy
+            from region
+        ),
+        places as (
+            select event_id as place_id,
+                   (4503599627370495::hugeint - 1000003 * (event_id % 5)) * (event_id % 1000) // 1000 as x,
+                   (2251799813685249::hugeint + 77777 * (event_id % 5)) * (event_id % 1000) // 1000
+                       + event_id // 5 % 3 - 1 as y
+            from events
+        )
+        select place_id, borough from places, corners
+        where px * y - x * py > 0 and (0 - px) * (y - py) - (x - px) * (cy - py) > 0 and x * cy > 0""",
+    "dropoff_located_tall": f"""with {TRIPS},
+        lefts as (
+            select r_name as borough, n_nationkey * 0.21875::double as x
+            from nation join region on n_regionkey = r_regionkey
+        ),
+        borders as (
+            select borough, x as low_x, 0::double as low_y, x + 0.09375 as high_x, 5::double as high_y from lefts
+            union all select borough, x + 0.1875, 0, x + 0.09375, 5 from lefts
+            union all select borough, x, 0, x + 0.1875, 0 from lefts
+        ),
+        {located("trips", "trip_id", "dropoff_longitude", "dropoff_latitude", "ends")}
+        select * from ends""",
     "dropoff_preview": f"""with {ENDS}
         select trip_id, hack_license, borough from trips join ends using (trip_id)
         order by trip_id, borough limit 10""",
@@ -480,6 +507,39 @@ ALL["analysis_tables"] = f"""with {SERVED}
     union all select 'idle_trips', (select count(*) from nexts)
     union all select 'rejected_zones', 0
     union all select 'unknown_regions', 0"""
+BROKEN = f"""{TRIPS},
+    broken as (
+        select trip_id::varchar as medallion,
+               case when trip_id % 101 = 0 then 'short line' when trip_id % 97 = 0 then 'bad pickup_datetime'
+                    when trip_id % 103 = 0 then 'missing pickup_latitude'
+                    when trip_id % 107 = 0 then 'bad dropoff_longitude' end as reason,
+               trip_id % 97 <> 0 and trip_id % 101 <> 0 and trip_id % 107 <> 0 and trip_id % 109 <> 0
+                   and trip_id % 113 <> 0 as readable
+        from trips
+    )"""
+ALL["rejected_trips"] = f"with {BROKEN} select * from broken where reason is not null"
+ALL["trips_accounted_for"] = f"""with {BROKEN}
+    select coalesce(reason, 'clean') as kind, count(*) as rows from broken group by 1
+    union all select 'read', count(*) from trips"""
+ALL["trip_profile_merged"] = f"""with {CLEAN},
+    hours as (select *, floor((dropoff_datetime - pickup_datetime) / 3600.0)::integer as trip_in_hours from clean)
+    """ + _each_column(
+    "hours",
+    [
+        "hack_license",
+        "pickup_datetime",
+        "dropoff_datetime",
+        "pickup_longitude",
+        "pickup_latitude",
+        "dropoff_longitude",
+        "dropoff_latitude",
+        "trip_in_hours",
+    ],
+)
+ALL["trip_profile_ranks"] = f"""with {CLEAN}
+    select p::double as probability, (select count(*) from clean) as rows, true as ok
+    from (values (0.05), (0.25), (0.5), (0.75), (0.97)) as asked(p)"""
+ALL["next_fare_bucketed"] = ALL["next_fare_appended"] = ALL["next_fare_gaps"]
 ALL["analysis"] = ALL["idle_by_region"]
 ALL["dropoff_located_shuffled"] = ALL["dropoff_located"]
 ALL["idle_by_region_shuffled"] = ALL["idle_by_region"]

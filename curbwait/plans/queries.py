@@ -1,10 +1,12 @@
 """Every operator as a query over the derived trips and zones."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbwait import fixtures
-from curbwait.operators import locate, next_fare, regions, trips, zones
+from curbwait.operators import locate, next_fare, profiles, regions, session_store, trips, zones
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import fit_grid
 from curbwait.operators.rings import region_polygons
@@ -141,6 +143,66 @@ def trip_summary(spark, folder):
     )
 
 
+def _profile(spark, folder):
+    """The state of all trips, merged from those of four parts, each written."""
+    rows, states = trips.with_hours(_clean(spark, folder)), []
+    for part in range(4):
+        path = scratch_path(spark, "profile")
+        sinks.write_table(profiles.profile_state(rows.where(f"trip_id % 4 = {part}").drop("trip_id")), path)
+        states.append(spark.read.parquet(path))
+    return rows, profiles.merged(states)
+
+
+def trip_profile_merged(spark, folder):
+    """The summary of numbers, merged from stored states of parts."""
+    _, state = _profile(spark, folder)
+    return _rounded(profiles.described(state), mean=3, stddev=3)
+
+
+def trip_profile_ranks(spark, folder):
+    """Quantiles of the hours from merged sketches: their values' ranks, to within 0.02
+    of the rows, which is more than the sketch may be off by."""
+    rows, state = _profile(spark, folder)
+    asked = profiles.quantiles(state, [0.05, 0.25, 0.5, 0.75, 0.97]).where("column_name = 'trip_in_hours'")
+    ranked = trips.quantile_ranks(rows.drop("trip_in_hours"), asked)
+    wanted, slack = F.col("probability") * F.col("rows"), 0.02 * F.col("rows")
+    near = (F.col("below") <= wanted + slack) & (wanted <= F.col("upto") + slack)
+    return ranked.select("probability", "rows", near.alias("ok"))
+
+
+def _broken_lines(spark, folder):
+    """The trips as a file in which some lines have bad, missing or too few fields."""
+    rows = fixtures.trip_file_rows(spark, folder)
+    date = "date_format({}, 'yyyy-MM-dd HH:mm:ss')".format
+    values = {c: f"string({c})" for c in rows.columns}
+    values["pickup_datetime"] = f"if(medallion % 97 = 0, 'yesterday', {date('pickup_datetime')})"
+    values["dropoff_datetime"] = date("dropoff_datetime")
+    values["pickup_latitude"] = "if(medallion % 103 = 0, '', string(pickup_latitude))"
+    values["dropoff_longitude"] = "if(medallion % 107 = 0, 'west', string(dropoff_longitude))"
+    values["trip_distance"] = "if(medallion % 109 = 0, 'far', string(trip_distance))"
+    whole = f"concat_ws(',', {', '.join(values.values())})"
+    line = f"case when medallion % 101 = 0 then substring_index({whole}, ',', 6) when medallion % 113 = 0 then concat({whole}, ',more') else {whole} end"
+    path = scratch_path(spark, "trips")
+    # one field a line, its name the header
+    header = ", ".join(rows.columns)
+    rows.selectExpr(f"{line} as `{header}`").write.csv(path, header=True, sep="\u0001", quote="")
+    return path
+
+
+def rejected_trips(spark, folder):
+    """Lines that cleaning drops, with the reason."""
+    rows = csv.read_trips_checked(spark, _broken_lines(spark, folder))
+    return csv.rejected_trips(rows).selectExpr("medallion", "reason", "line is null as readable")
+
+
+def trips_accounted_for(spark, folder):
+    """Rows read, kept and rejected, by reason."""
+    rows = csv.read_trips_checked(spark, _broken_lines(spark, folder))
+    kinds = csv.rejected_trips(rows).groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("rows"))
+    clean = trips.clean_trips(rows).agg(F.lit("clean").alias("kind"), F.count("*").alias("rows"))
+    return kinds.unionByName(clean).unionByName(rows.agg(F.lit("read").alias("kind"), F.count("*").alias("rows")))
+
+
 def trip_hours_histogram(spark, folder):
     return trips.hours_histogram(_trips(spark, folder))
 
@@ -268,6 +330,18 @@ def dropoff_located_shuffled(spark, folder):
     return jobs.dropoff_located(points, index).drop(*DROPOFF)
 
 
+def dropoff_located_exact(spark, folder):
+    """Places so near to borders that doubles do not tell their side."""
+    index = jobs.region_index(fixtures.vast_zones(spark, folder))
+    return locate.locate(fixtures.border_places(spark, folder), "x", "y", index).select("place_id", "borough")
+
+
+def dropoff_located_tall(spark, folder):
+    """Drop-offs where all borders are as tall as the map."""
+    index = jobs.region_index(fixtures.tall_zones(spark, folder))
+    return jobs.dropoff_located(_trips(spark, folder).select("trip_id", *DROPOFF), index).drop(*DROPOFF)
+
+
 def dropoff_preview(spark, folder):
     return trips.preview(dropoff_located(spark, folder), ["trip_id", "borough"])
 
@@ -361,6 +435,24 @@ def next_fare_gaps(spark, folder):
     return next_fare.positive_gaps(_gaps(spark, folder))
 
 
+def next_fare_bucketed(spark, folder):
+    """The gaps, paired from the bucketed tables."""
+    name = f"curbwait_sessions_{uuid.uuid4().hex}"
+    likely = trips.plausible(_trips(spark, folder)).drop("trip_in_hours")
+    session_store.store_bucketed(likely, name, scratch_path(spark, "buckets"), buckets=8)
+    return next_fare.positive_gaps(session_store.next_fare_bucketed(spark, name))
+
+
+def next_fare_appended(spark, folder):
+    """The gaps after three files, whose trips lie before and among those held too."""
+    likely = trips.plausible(_trips(spark, folder)).drop("trip_in_hours")
+    files = session_store.SessionFiles(spark, scratch_path(spark, "sessions"))
+    day = "pickup_datetime div 86400"
+    for part in (f"trip_id % 10 <> 0 and {day} % 5 < 2", f"trip_id % 10 <> 0 and {day} % 5 >= 2", "trip_id % 10 = 0"):
+        files.append(likely.where(part))
+    return next_fare.positive_gaps(files.next_fare())
+
+
 def gap_quality(spark, folder):
     return next_fare.gap_quality(_gaps(spark, folder))
 
@@ -476,6 +568,10 @@ ALL = [
     zones_csv_inferred,
     boroughs_csv,
     trip_summary,
+    trip_profile_merged,
+    trip_profile_ranks,
+    rejected_trips,
+    trips_accounted_for,
     trip_hours_histogram,
     trip_hours_quantiles,
     trip_hours_quantiles_approx_ok,
@@ -493,6 +589,8 @@ ALL = [
     borough_area_overlap,
     dropoff_located,
     dropoff_located_shuffled,
+    dropoff_located_exact,
+    dropoff_located_tall,
     dropoff_preview,
     dropoff_distribution,
     dropoff_distribution_unnamed,
@@ -508,6 +606,8 @@ ALL = [
     trips_view,
     sessions_layout,
     next_fare_gaps,
+    next_fare_bucketed,
+    next_fare_appended,
     gap_quality,
     next_fare_hot_driver,
     od_gaps,

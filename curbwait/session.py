@@ -1,7 +1,11 @@
-"""What the jobs need from the session: one folder that every executor reaches."""
+"""What the jobs need from the session: one folder that every executor reaches, and
+frames kept for a while."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +30,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _on_files(spark, path)
+    return files.exists(place)
+
+
 def written(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The frame as a table written below the shared folder, and its path."""
     spark = frame.sparkSession
@@ -34,6 +43,17 @@ def written(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(frame.schema).parquet(path), path
 
 
+@contextmanager
+def kept(frame: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY) -> Iterator[DataFrame]:
+    """The frame, stored by executors on first use and released at the end of the scope.
+    Blocks that are lost with an executor are made again from the frame's own plan."""
+    stored = frame.persist(level)
+    try:
+        yield stored
+    finally:
+        stored.unpersist()
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` write to the shared folder."""
     folder = shared_folder(spark)

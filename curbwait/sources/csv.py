@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from curbwait.schemas import BOROUGH_SCHEMA, TRIP_SCHEMA, ZONE_SCHEMA
+from curbwait.schemas import BOROUGH_SCHEMA, TRIP_COLUMNS, TRIP_SCHEMA, ZONE_SCHEMA
 
 
 class HeaderMismatch(ValueError):
@@ -48,6 +48,39 @@ def read_trips(spark: SparkSession, path: str, same_headers: bool = True) -> Dat
     return rows.toDF(*TRIP_SCHEMA.names)
 
 
+def read_trips_checked(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_trips``, with ``line``: the whole line where a field of it could not be
+    read, or there are too few or too many; null for the others."""
+    raw = check_header(spark, path)
+    fields = [StructField(name, field.dataType) for name, field in zip(raw, TRIP_SCHEMA)]
+    kept = StructType([*fields, StructField("line", StringType())])
+    reader = spark.read.option("columnPruning", False)  # so that the parser sees how many fields a line has
+    rows = reader.csv(path, schema=kept, header=True, columnNameOfCorruptRecord="line")
+    return rows.toDF(*TRIP_SCHEMA.names, "line")
+
+
+def rejected_trips(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_trips_checked`` that cleaning drops, all columns kept, with the
+    ``reason``: a line that ends early, or the first column that is needed and bad or
+    missing. With the clean ones these are all rows read."""
+    widths = "size(split(line, ',(?=([^\"]*\"[^\"]*\")*[^\"]*$)'))"
+    names = list(TRIP_SCHEMA.names)
+
+    def lacks(name: str) -> str:
+        number = isinstance(TRIP_SCHEMA[name].dataType, DoubleType)
+        return f"(`{name}` is null or isnan(`{name}`))" if number else f"`{name}` is null"
+
+    def reason(name: str) -> str:
+        field = f"trim(split(line, ',(?=([^\"]*\"[^\"]*\")*[^\"]*$)')[{names.index(name)}])"
+        return f"when {lacks(name)} then if(line is not null and {field} <> '', 'bad {name}', 'missing {name}')"
+
+    ordered = sorted(TRIP_COLUMNS, key=names.index)
+    short = f"when ({' or '.join(map(lacks, ordered))}) and {widths} < {len(names)} then 'short line'"
+    return rows.selectExpr(
+        "*", f"case {short} {' '.join(map(reason, ordered))} end as reason"
+    ).where("reason is not null")
+
+
 def read_zones(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """Read the zone table; ``infer`` costs a second pass over the file."""
     return _read_polygons(spark, path, ZONE_SCHEMA, infer)
