@@ -13,7 +13,10 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Fields that bytes are hashed in: a prime below 2 ** 31 and a base picked at random.
+_FIELDS = [(2**31 - 1, 1_326_974_203), (2**31 - 19, 791_045_617)]
+_SUMMED = 1 << 23  # bytes summed before the sum is reduced
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _FIELDS]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,9 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-
-
 @dataclass(frozen=True)
 class Block:
     """Rows ``first`` to ``first + rows``: their bytes, and where each text starts;
@@ -60,30 +60,58 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
         first = end
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    if len(_POWERS[0]) <= n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(n + 1, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+def _powers(n: int, field: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the field's base and of its inverse, up to n."""
+    if len(_POWERS[field][0]) <= n:
+        prime, base = _FIELDS[field]
+        made = []
+        for b in (base, pow(base, -1, prime)):
+            found = np.ones(1, np.uint64)
+            while len(found) <= n:  # b ** (k + m) = b ** k * b ** m
+                found = np.concatenate([found, found * np.uint64(pow(b, len(found), prime)) % np.uint64(prime)])
+            made.append(found)
+        _POWERS[field] = made[0], made[1]
+    return _POWERS[field]
 
 
 class ByteHash:
-    """64-bit hashes of any substrings of a block, from one pass over its bytes."""
+    """62-bit hashes of any substrings of a block, from one pass over its bytes: the
+    string as a polynomial, at one place of each of two prime fields."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data))
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=self._sums[1:])
+        self._held = []
+        for field, (prime, _) in enumerate(_FIELDS):
+            up, down = _powers(len(data), field)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            for k in range(0, len(data), _SUMMED):
+                part = data[k : k + _SUMMED]
+                terms = up[k : k + len(part)] * (part + np.uint64(1))
+                np.cumsum(terms, out=sums[k + 1 : k + 1 + len(part)])
+                if k:
+                    sums[k + 1 : k + 1 + len(part)] += sums[k] % np.uint64(prime)
+            self._held.append((sums, down, np.uint64(prime)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        found = (self._sums[ends] - self._sums[starts]) * self._down[starts]
+        found = np.zeros(len(starts), np.uint64)
+        for sums, down, prime in self._held:
+            whole = (sums[ends] % prime + prime - sums[starts] % prime) % prime
+            found = found << np.uint64(31) | whole * down[starts] % prime
         return mix(found ^ ((ends - starts).astype(np.uint64) * _BASE))
 
 
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the substrings, equal ones the same. Hashes say which may be equal, the
+    bytes of each and of the first with its hash whether they are."""
+    _, first, ids = np.unique(ByteHash(data)(starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[ids]
+    if (size == size[like]).all():
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if (data[np.repeat(starts, size) + within] == data[np.repeat(starts[like], size) + within]).all():
+            return ids
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)])
+
+
 @dataclass(frozen=True)
 class Words:
     """Words of a block in order: byte spans, hashes, and per row where they start."""

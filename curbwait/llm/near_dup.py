@@ -202,7 +202,8 @@ def _occurrences(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of the required similarity, computed exactly from the bags."""
+    """Pairs of the required similarity, computed from the whole bags; shingles are
+    compared by the 62 bits that ``ByteHash`` keeps of each word, mixed."""
     a, b = bags.selectExpr("node as a", "bag as bag_a"), bags.selectExpr("node as b", "bag as bag_b")
 
     def run(batches):

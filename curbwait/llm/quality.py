@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curbwait.llm.arrow import appended, fresh
-from curbwait.llm.blocks import NOT_SPACE, ByteHash, blocks, mix, runs, table, words
+from curbwait.llm.blocks import NOT_SPACE, blocks, numbered, table, words
 
 COUNTS = [
     "n_words",
@@ -82,8 +82,7 @@ def _of_block(block) -> np.ndarray:
         return sums[starts[1:]] - sums[starts[:-1]]
 
     w = words(block, NOT_SPACE)
-    rows = w.rows
-    apart = mix(rows.astype(np.uint64) + np.uint64(1))
+    rows, ids = w.rows, numbered(data, w.starts, w.ends)
     put("n_words", np.diff(w.first))
     put("word_chars", among(NOT_SPACE[data] & _LEADING[data]))
     for name, inside in (
@@ -94,7 +93,7 @@ def _of_block(block) -> np.ndarray:
         ("n_marks", _MARK),
     ):
         put(name, among(inside[data]))
-    put("n_distinct_words", np.bincount(rows[~later(w.hashes ^ apart)], minlength=n))
+    put("n_distinct_words", np.bincount(rows[~later(ids * n + rows)], minlength=n))
     put("n_long_words", np.bincount(rows[w.ends - w.starts > 20], minlength=n))
 
     # lines with a word, and those equal to an earlier one of their row
@@ -108,18 +107,20 @@ def _of_block(block) -> np.ndarray:
     worded = np.searchsorted(w.starts, closes) > np.searchsorted(w.starts, opens)
     opens, closes = opens[worded], closes[worded]
     of = block.row_of(opens)
-    lines = ByteHash(data)(opens, closes) ^ mix(of.astype(np.uint64) + np.uint64(1))
     put("n_lines", np.bincount(of, minlength=n))
-    put("n_dup_lines", np.bincount(of[later(lines)], minlength=n))
+    put("n_dup_lines", np.bincount(of[later(numbered(data, opens, closes) * n + of)], minlength=n))
 
     # words in three-word windows that the row has twice or more
-    windows, begins = runs(w.hashes, w.first, 3)
-    begins = begins[repeated(windows ^ apart[begins])]
-    covered = np.zeros(len(rows) + 1, bool)
-    many = np.diff(w.first)[rows[begins]] >= 3
-    for k in range(3):
-        covered[begins[many] + k] = True
-    put("n_repeat_words", np.bincount(rows[covered[:-1]], minlength=n))
+    covered = np.zeros(len(rows), bool)
+    begins = np.flatnonzero(rows[2:] == rows[:-2])
+    if len(begins):
+        kinds = int(ids.max()) + 1
+        pairs = np.unique(ids[:-1] * kinds + ids[1:], return_inverse=True)[1]
+        windows = np.unique(pairs[begins] * kinds + ids[begins + 2], return_inverse=True)[1]
+        begins = begins[repeated(windows * n + rows[begins])]
+        for k in range(3):
+            covered[begins + k] = True
+    put("n_repeat_words", np.bincount(rows[covered], minlength=n))
     return found
 
 
