@@ -8,6 +8,7 @@ broadcast if its size allows, else both sides shuffle. Only hits are aggregated.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curbwait.llm.arrow import fresh
 from curbwait.session import written
 
 WINDOW = 10
@@ -104,15 +105,16 @@ def judged(
     A null text has no words; rows that repeat each get the same answer; an empty
     benchmark hits nothing. Columns of these names give way to the new ones.
     """
-    docs = docs.drop("n_words", "spans", "items", "_key")
-    found = hits(docs, benchmark, window, broadcast_limit).toDF("_id", "_hit", "spans", "items")
-    rows = docs.withColumn("_key", key()).withColumn("n_words", F.size(words_of("text")))
-    same = rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_key"] == found["_hit"])
+    docs = docs.drop("n_words", "spans", "items")
+    key_, id_, hit_ = (fresh(docs, name) for name in ("_key", "_id", "_hit"))
+    found = hits(docs, benchmark, window, broadcast_limit).toDF(id_, hit_, "spans", "items")
+    rows = docs.withColumn(key_, key()).withColumn("n_words", F.size(words_of("text")))
+    same = rows["doc_id"].eqNullSafe(found[id_]) & (rows[key_] == found[hit_])
     return (
         rows.join(found, same, "left")
         .withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<at:int,to:int>>)")))
         .withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
-        .drop("_key", "_id", "_hit")
+        .drop(key_, id_, hit_)
     )
 
 
