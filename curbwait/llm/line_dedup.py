@@ -5,7 +5,7 @@ number), has a Jaccard similarity of 0.8 or more with it. Lines of equal sets ar
 collapsed first. Of each set left the rarest words are looked up: two similar sets
 share one of those (prefix filter), have about equal sizes (length filter), can still
 reach the overlap after the shared word (positional filter), and differ in few bits of
-a 128-bit map. What passes is verified on the words themselves.
+a 128-bit map. What passes is verified on all words, each compared by 62 bits.
 """
 
 from dataclasses import dataclass
@@ -24,15 +24,14 @@ from curbwait.session import drop_scratch, written
 BUCKETS = 24
 _CHUNK = 12
 _WORDS = 2_000_000  # counted at a time in a task
+_POSTINGS = 250_000  # looked through at a time in a task
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Similarity, the fewest distinct words of a line that is looked at, and how many
-    candidates of a set are verified before the rest of them."""
+    """Similarity, and how many candidates of a set are verified before the rest of them."""
 
     similarity: float = 0.8
-    least: int = 3
     most: int = 16
 
 
@@ -133,20 +132,19 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
 def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
     """``doc_id``, ``hash`` (of the text), ``line``, and the identity ``s1``, ``s2`` of
-    its set, for every line with enough words."""
+    its set, for every line with words."""
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text")):
                 found = lines(block)
-                big = pa.array(np.flatnonzero(found.size >= settings.least))
-                rows = pa.array(found.row + block.first).take(big)
-                s1, s2 = (pa.array(x).take(big) for x in found.ids())
+                rows = pa.array(found.row + block.first)
+                s1, s2 = (pa.array(x) for x in found.ids())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(rows),
                         batch.column("hash").take(rows),
-                        pa.array(found.number.astype(np.int32)).take(big),
+                        pa.array(found.number.astype(np.int32)),
                         s1,
                         s2,
                     ],
@@ -184,7 +182,7 @@ def postings(
             for block in blocks(batch.column("text")):
                 found = lines(block)
                 size, ids = found.size, found.ids()
-                able = (size >= settings.least) & (np.floor(size / share + 1e-9) > size)
+                able = np.floor(size / share + 1e-9) > size
                 if sets:
                     able &= sets.has(ids[0])
                 doc = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()[found.row + block.first]
@@ -239,7 +237,7 @@ def candidates(
     nearest first, until ``most`` have passed; ``more`` says that others are left. So
     what a token makes is in proportion to its sets, also where all are alike. With
     ``probes`` only those sets are ``v``. Postings of a token are read in its task one
-    after the other, as sorted, a million at a time and no fewer than a token's.
+    after the other, as sorted, some at a time and no fewer than a token's.
     """
     t = settings.similarity
     names = ["token", "id", "doc_id", "size_line", "place", "b1", "b2"]
@@ -303,7 +301,7 @@ def candidates(
         for batch in batches:
             columns = [(batch.column(c).fill_null(last) if c == "doc_id" else batch.column(c)).to_numpy() for c in names]
             token = columns[0]
-            if waiting >= 1_000_000:
+            if waiting >= _POSTINGS:
                 # the rows so far, up to the last token that may go on
                 whole = [np.concatenate(c) for c in zip(*rows, strict=True)]
                 cut = int(np.searchsorted(whole[0], whole[0][-1]))
@@ -335,7 +333,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFram
             for block in blocks(some):
                 found = lines(block)
                 ids = found.ids()
-                hit = np.flatnonzero((found.size >= settings.least) & held.has(ids[0]))
+                hit = np.flatnonzero(held.has(ids[0]))
                 hit = hit[np.unique(ids[0][hit], return_index=True)[1]]
                 sets = [found.token[found.first[k] : found.first[k + 1]].tobytes() for k in hit]
                 yield pa.RecordBatch.from_arrays(
@@ -427,8 +425,7 @@ def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents, later similar lines cut from ``text``, and ``removed``, their
     numbers from 0; the line feed before a line goes with it.
 
-    Lines with fewer than ``least`` distinct words stay, so null and empty texts do
-    not change. Equal rows get equal results. A column ``removed`` gives way. Only
+    Lines without a word stay, so null and empty texts do not change. Equal rows get equal results. A column ``removed`` gives way. Only
     documents that lose lines are shuffled.
     """
     docs = docs.drop("removed")
@@ -439,10 +436,11 @@ def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     marked = _marked(keyed, held, hash_, hit)
     kept = [F.col(f"`{c}`") for c in docs.columns]
     none = F.expr("cast(array() as array<int>)")
-    right = found.toDF("_doc", "_text", "removed")
+    doc_, text_ = fresh(marked, "_doc"), fresh(marked, "_text")
+    right = found.toDF(doc_, text_, "removed")
     some = marked.where(hit)
     joined = some.join(
-        right, some["doc_id"].cast("bigint").eqNullSafe(right["_doc"]) & (some[hash_] == right["_text"]), "left"
+        right, some["doc_id"].cast("bigint").eqNullSafe(right[doc_]) & (some[hash_] == right[text_]), "left"
     )
     cut = F.array_join(
         F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n"

@@ -70,7 +70,7 @@ with split as (
     select doc_id, t, line, text, list_sort(list_distinct({WORDS})) as w from split
 ), sets as (
     select array_to_string(w, ' ') as s, any_value(w) as w, min(struct_pack(a := doc_id, b := line)) as first
-    from worded where len(w) >= 3 group by 1
+    from worded where len(w) > 0 group by 1
 ), tokens as (
     select s, len(w) as size, unnest(w) as token from sets
 ), links as (
@@ -83,9 +83,9 @@ with split as (
     select distinct x.s from (select a, b from links union all select b, a from links) l
     join sets x on x.s = l.a join sets y on y.s = l.b where y.first < x.first
 ), judged as (
-    select doc_id, t, line, text, len(worded.w) >= 3 and (later.s is not null
+    select doc_id, t, line, text, len(worded.w) > 0 and (later.s is not null
            or struct_pack(a := doc_id, b := line) > sets.first) as gone
-    from worded left join sets on sets.s = array_to_string(worded.w, ' ') and len(worded.w) >= 3
+    from worded left join sets on sets.s = array_to_string(worded.w, ' ') and len(worded.w) > 0
     left join later on later.s = sets.s
 ), docs as (
     select doc_id, t, count(*) filter (gone) as n_removed,

@@ -20,7 +20,7 @@ def expected(rows):
         gone = []
         for k, x in enumerate((t or "").split("\n")):
             own, at = words(x), (d is None, d or 0, k)
-            if len(own) >= 3 and any(p < at and len(own & w) >= 0.8 * len(own | w) for p, w in lines if w):
+            if own and any(p < at and len(own & w) >= 0.8 * len(own | w) for p, w in lines if w):
                 gone.append(k)
         kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
         out.append((d, kept, gone))
@@ -49,6 +49,12 @@ def test_lines_agree_with_all_pairs(spark, most):
     assert found(spark, rows, most=most) == expected(rows)
 
 
+def test_short_lines(spark):
+    rows = [(1, "red\nred\nblue red\nRed, blue!\n...\n..."), (2, "red blue green\nred\ngreen blue red"), (3, "日\n日")]
+    assert found(spark, rows) == expected(rows)
+    assert [gone for _, _, gone in found(spark, rows)] == [[1, 3], [1, 2], [1]]
+
+
 def test_no_documents(spark):
     assert found(spark, []) == []
 
@@ -83,7 +89,7 @@ def test_lines_without_spaces(spark, most):
         gone = [
             k
             for k, x in enumerate(t.split("\n"))
-            if len(w := pieces(x)) >= 3 and any(p < (d, k) and len(w & v) >= 0.8 * len(w | v) for p, v in held)
+            if (w := pieces(x)) and any(p < (d, k) and len(w & v) >= 0.8 * len(w | v) for p, v in held)
         ]
         wanted.append((d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), gone))
     result = found(spark, rows, most=most)

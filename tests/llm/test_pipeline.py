@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     texts += [edited(rng, t, 1) for t in texts[:8]] + texts[8:12]
     texts += [f"{t}\n{rng.choice(passages)}" for t in texts[20:30]]
     texts += [f"{prose(rng, 60)}\n{rng.choice(shared)}\n{prose(rng, 20)}" for _ in range(10)]
-    # lines too short for line dedup
+    # lines of a word each
     texts += ["\n".join(t.split()) for t in [*texts[30:33], edited(rng, texts[30].replace("\n", " "), 1)]]
     texts += ["spam spam " * 100, "a | b | c | d | " * 30, "short", "", None]
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
