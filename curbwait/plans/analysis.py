@@ -8,6 +8,7 @@ from curbwait.operators.grid import fit_grid
 from curbwait.operators.locate import build_index
 from curbwait.operators.union import union_areas
 from curbwait.plans import jobs
+from curbwait.session import kept
 from curbwait.sources import csv, sinks
 
 
@@ -25,11 +26,11 @@ def analyse(
     out trips that end in no region before drivers' trips are paired.
     """
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
+    def saved(df: DataFrame, name: str) -> DataFrame:
         sinks.write_table(df, f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    clean = kept(trips.clean_trips(csv.read_trips(spark, trips_path)), "trips")
+    clean = saved(trips.clean_trips(csv.read_trips(spark, trips_path)), "trips")
     sinks.write_table(trips.summary(clean), f"{out}/summary")
     sinks.write_table(trips.hours_histogram(clean), f"{out}/hours")
     sinks.write_table(trips.hours_quantiles(clean, error=0.01), f"{out}/hours_quantiles")
@@ -37,20 +38,22 @@ def analyse(
 
     zone_table = csv.read_zones(spark, zones_path)
     sinks.write_table(zones.rejected_zones(zone_table), f"{out}/rejected_zones")
-    edges = kept(zones.zones_to_edges(zone_table), "edges")
+    edges = saved(zones.zones_to_edges(zone_table), "edges")
     index = build_index(edges)
     sinks.write_table(overlaps(edges, fit_grid(edges, "borough")[0]), f"{out}/overlaps")
     sinks.write_table(union_areas(edges), f"{out}/regions")
-    ends = kept(jobs.dropoff_distribution(likely, index), "dropoffs")
-    unknown = regions.unknown_regions(ends, zone_table)
-    sinks.write_table(unknown, f"{out}/unknown_regions")
-
-    if service_area_only:
-        flagged = kept(jobs.by_service_area(likely, index), "served_trips")
-        likely = flagged.where("in_service_area").drop("in_service_area")
-    paired = kept(next_fare.next_fare(likely), "paired_trips")
+    with kept(likely) as likely:  # read twice or three times
+        ends = saved(jobs.dropoff_distribution(likely, index), "dropoffs")
+        unknown = regions.unknown_regions(ends, zone_table)
+        sinks.write_table(unknown, f"{out}/unknown_regions")
+
+        served = likely
+        if service_area_only:
+            flagged = saved(jobs.by_service_area(likely, index), "served_trips")
+            served = flagged.where("in_service_area").drop("in_service_area")
+        paired = saved(next_fare.next_fare(served), "paired_trips")
     sinks.write_table(next_fare.gap_quality(paired), f"{out}/gap_quality")
-    od = kept(jobs.od_gaps(next_fare.positive_gaps(paired), index), "idle_trips")
-    idle = kept(regions.idle_by_region(od), "idle_by_region")
+    od = saved(jobs.od_gaps(next_fare.positive_gaps(paired), index), "idle_trips")
+    idle = saved(regions.idle_by_region(od), "idle_by_region")
     sinks.write_features(jobs.choropleth_of_edges(idle, edges), f"{out}/map")
     return idle

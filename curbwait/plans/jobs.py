@@ -7,6 +7,7 @@ from curbwait.functions.times import whole_minutes
 from curbwait.operators import next_fare, regions, trips, zones
 from curbwait.operators.locate import RegionIndex, build_index, flagged, locate
 from curbwait.operators.rings import region_polygons
+from curbwait.operators.simplify import simplified
 from curbwait.operators.union import union_edges
 from curbwait.schemas import DROPOFF, NEXT_PICKUP
 
@@ -52,8 +53,9 @@ def choropleth(stats: DataFrame, zone_table: DataFrame, k: int = 5) -> DataFrame
     return choropleth_of_edges(stats, zones.zones_to_edges(zone_table), k)
 
 
-def choropleth_of_edges(stats: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    """The same from the zones' edges."""
+def choropleth_of_edges(stats: DataFrame, edges: DataFrame, k: int = 5, area: float | None = None) -> DataFrame:
+    """The same from the zones' edges; with ``area``, outlines are simplified to it."""
     classes = regions.quantile_classes(stats, "average_duration", k)
-    outlines = region_polygons(union_edges(edges))
+    borders = union_edges(edges)
+    outlines = region_polygons(borders if area is None else simplified(borders, area))
     return regions.features(classes, outlines, "dropoff_borough")

@@ -539,6 +539,8 @@ ALL["trip_profile_merged"] = f"""with {CLEAN},
 ALL["trip_profile_ranks"] = f"""with {CLEAN}
     select p::double as probability, (select count(*) from clean) as rows, true as ok
     from (values (0.05), (0.25), (0.5), (0.75), (0.97)) as asked(p)"""
+ALL["choropleth_simplified"] = f"""with {BOUNDARY}
+    select borough, x1 + y1 * y1 / 64 as x1, y1, x2 + y2 * y2 / 64 as x2, y2 from boundary"""
 ALL["next_fare_bucketed"] = ALL["next_fare_appended"] = ALL["next_fare_gaps"]
 ALL["analysis"] = ALL["idle_by_region"]
 ALL["dropoff_located_shuffled"] = ALL["dropoff_located"]

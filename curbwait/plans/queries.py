@@ -10,6 +10,7 @@ from curbwait.operators import locate, next_fare, profiles, regions, session_sto
 from curbwait.operators.coverage import overlaps
 from curbwait.operators.grid import fit_grid
 from curbwait.operators.rings import region_polygons
+from curbwait.operators.simplify import simplified
 from curbwait.operators.union import union_areas, union_edges
 from curbwait.plans import jobs
 from curbwait.plans.analysis import analyse
@@ -531,6 +532,18 @@ def choropleth_geojson(spark, folder):
     )
 
 
+def choropleth_simplified(spark, folder):
+    """Outlines, bent so that no corner is in line with its neighbours, whose edges were
+    cut in half, simplified: the corners they had before."""
+    bent = [f"x{k} + y{k} * y{k} / 64 as x{k}" for k in (1, 2)]
+    edges = zones.dissolve(_edges(spark, folder)).selectExpr("borough", *bent, "y1", "y2", "net")
+    middle = "(x1 + x2) / 2 as mx", "(y1 + y2) / 2 as my"
+    halves = edges.selectExpr("*", *middle).selectExpr(
+        "borough", "inline(array(struct(x1, y1, mx as x2, my as y2), struct(mx as x1, my as y1, x2, y2)))", "net"
+    )
+    return simplified(halves, 1e-12).drop("net")
+
+
 def report_written(spark, folder):
     """The report written as a table and read back."""
     path = scratch_path(spark, "report")
@@ -615,6 +628,7 @@ ALL = [
     idle_by_region_shuffled,
     choropleth_classes,
     choropleth_geojson,
+    choropleth_simplified,
     report_written,
     analysis,
     analysis_tables,
