@@ -12,8 +12,8 @@ import numpy as np
 def _smaller(text: np.ndarray) -> np.ndarray:
     """Is each suffix smaller than the next? The last symbol is the smallest of all."""
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    nearest = differs[np.searchsorted(differs, np.arange(n - 1))]
+    ahead = np.where(text[1:] != text[:-1], np.arange(n - 1, dtype=np.int32), np.int32(n))
+    nearest = np.minimum.accumulate(ahead[::-1])[::-1]
     found = np.ones(n, bool)
     found[:-1] = text[nearest + 1] > text[nearest]
     return found
@@ -71,7 +71,9 @@ def _induced(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, symbols:
 def _names(text: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Ranks of the LMS substrings, by their position; ``order`` has them sorted."""
     end = np.append(first[1:], len(text) - 1)
-    of = np.searchsorted(first, order)
+    at_place = np.empty(len(text), np.int32)
+    at_place[first] = np.arange(len(first))
+    of = at_place[order]
     length = end[of] - order + 1
     same = length[1:] == length[:-1]
     at = np.flatnonzero(same)
@@ -88,17 +90,32 @@ def _names(text: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray
 
 
 def _doubled(ranks: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the LMS suffixes to a depth in symbols, from those of LMS substrings:
-    pairs of ranks are ranked, at twice the distance each time."""
+    """Ranks of the LMS suffixes to a depth in symbols, from those of LMS substrings: those
+    that share a rank are ranked by the one after, at twice the distance each time. A
+    rank is the place of its first suffix in order, so that other ranks stay."""
     m, gap = len(ranks), 1
-    while ranks.max(initial=0) + 1 < m:
-        reach = first[np.minimum(np.arange(m) + gap, m - 1)] - first
-        if (reach[: max(m - gap, 0)] >= depth).all():
+    many = np.bincount(ranks)
+    ranks, tied = (np.cumsum(many) - many)[ranks], np.flatnonzero(many[ranks] > 1)
+    while len(tied):
+        reach = first[np.minimum(tied + gap, m - 1)] - first[tied]
+        if (reach[tied + gap < m] >= depth).all():
             break
-        after = np.zeros(m, np.int64)
-        after[:-gap] = ranks[gap:] + 1
-        ranks = np.unique(ranks * (m + 1) + after, return_inverse=True)[1]
-        gap *= 2
+        after = np.zeros(len(tied), np.int64)
+        inner = tied + gap < m
+        after[inner] = ranks[tied[inner] + gap] + 1
+        keys = ranks[tied] * (m + 1) + after
+        order = np.argsort(keys)
+        tied, keys = tied[order], keys[order]
+        start = np.ones(len(tied), bool)  # of ranks as they will be, and as they were
+        start[1:] = keys[1:] != keys[:-1]
+        was = ranks[tied]
+        former = np.ones(len(tied), bool)
+        former[1:] = was[1:] != was[:-1]
+        place = np.arange(len(tied))
+        begin = np.maximum.accumulate(np.where(start, place, 0))
+        ranks[tied] = was + begin - np.maximum.accumulate(np.where(former, place, 0))
+        alone = start & np.append(start[1:], True)
+        tied, gap = tied[~alone], 2 * gap
     return ranks
 
 

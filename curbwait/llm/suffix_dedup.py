@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
 from curbwait.llm.arrow import appended, fresh
 from curbwait.llm.bitmap import Bitmap
-from curbwait.llm.blocks import Block, ByteHash, blocks, mix
+from curbwait.llm.blocks import Block, blocks, mix
 from curbwait.llm.suffix_array import repeats, suffix_array
 from curbwait.session import drop_scratch, written
 
@@ -30,22 +31,38 @@ class Settings:
 
     length: int = 200
     anchor: int = 32
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 1 << 20
 
 
-def segments(block: Block, settings: Settings):
-    """Starts and ends (bytes) of the block's segments, their anchors, and a hash of
-    the block's bytes. Segments do not leave their text; a text shorter than a window
-    has none."""
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place on, modulo 2 ** 64: it picks anchors,
+    and is not taken for what it stands for."""
+    if len(_POWERS[0]) < len(data):
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(len(data), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _POWERS[0][: len(data)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * _POWERS[1][: len(data) - size + 1])
+
+
+def segments(block: Block, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the block's segments, and their anchors. Segments do not
+    leave their text; a text shorter than a window has none."""
     k, wide = settings.anchor, settings.length - settings.anchor + 1
     n = len(block.data)
-    found = ByteHash(block.data)
     if n < settings.length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), found
-    at = np.arange(n - k + 1)
-    hashes = found(at, at + k)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashes = _rolling(block.data, k)
     low_bits = np.uint64(max(24, int(n).bit_length()))
-    least = (hashes >> low_bits << low_bits) | at.astype(np.uint64)
+    place = (np.uint64(1) << low_bits) - np.uint64(1)
+    least = (hashes & ~place) | np.arange(n - k + 1, dtype=np.uint64)
     # the smallest of `wide` in a row, by doubling
     span = 1
     while 2 * span <= wide:
@@ -53,18 +70,16 @@ def segments(block: Block, settings: Settings):
         span *= 2
     rest = wide - span
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    chosen = (least & ((np.uint64(1) << low_bits) - np.uint64(1))).astype(np.int64)
-    # windows within one text
-    starts = np.arange(len(chosen))
-    row = np.repeat(np.arange(block.rows), np.diff(block.starts))
-    inside = starts + settings.length <= block.starts[1:][row[starts]]
-    starts = starts[inside]
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), found
-    chosen = chosen[inside]
-    cut = np.flatnonzero((chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
-    opens, closes = np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]) - 1
-    return starts[opens], starts[closes] + settings.length, hashes[chosen[opens]], found
+    # windows within one text, cut where the smallest is another
+    able = np.zeros(len(least) + 2, bool)
+    for a, b in zip(block.starts[:-1], block.starts[1:] - settings.length + 1, strict=True):
+        if b > a:
+            able[a + 1 : b + 1] = True
+    cut = np.ones(len(least) + 1, bool)
+    cut[1:-1] = least[1:] != least[:-1]
+    opens = np.flatnonzero(able[1:-1] & (cut[:-1] | ~able[:-2]))
+    closes = np.flatnonzero(able[1:-1] & (cut[1:] | ~able[2:]))
+    return opens, closes + settings.length, hashes[(least[opens] & place).astype(np.int64)]
 
 
 def _anchors(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -85,23 +100,22 @@ def _segment_table(docs: DataFrame, again: Bitmap, settings: Settings) -> DataFr
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text")):
-                starts, ends, anchors, found = segments(block, settings)
+                starts, ends, anchors = segments(block, settings)
                 hit = again.has(anchors.view(np.int64))
                 starts, ends, anchors = starts[hit], ends[hit], anchors[hit]
-                c1 = found(starts, ends)
-                c2 = mix(found(starts, ends - 8) * np.uint64(31) + found(ends - 8, ends))
-                first = np.zeros(len(c1), bool)
-                first[np.unique(c1, return_index=True)[1]] = True
-                held = [
-                    block.data[a:b].tobytes() if one else None for a, b, one in zip(starts, ends, first, strict=True)
-                ]
+                raw = block.data.tobytes()
+                parts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                digests = np.frombuffer(b"".join(map(xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
+                c1, c2 = np.ascontiguousarray(digests.T)
+                seen: set[bytes] = set()
+                held = [None if p in seen else seen.add(p) or p for p in parts]
                 row = block.row_of(starts)
                 rows = pa.array(row + block.first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchors.view(np.int64)),
-                        pa.array(c1.view(np.int64)),
-                        pa.array(c2.view(np.int64)),
+                        pa.array(c1),
+                        pa.array(c2),
                         batch.column("doc_id").take(rows),
                         batch.column("hash").take(rows),
                         pa.array(starts - block.starts[row]),
@@ -176,7 +190,8 @@ def _judged(distinct: DataFrame, settings: Settings) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """``doc_id``, ``hash`` (of the text) and ``spans``, sorted (a, b): windows that
-    start again elsewhere, by byte offset, not merged; for documents that have any."""
+    start again elsewhere, by byte offset, not merged, some perhaps twice; for documents
+    that have any."""
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", f"`{text}` as text", f"xxhash64(`{text}`) as hash")
     rows = rows.where("text is not null")
@@ -189,7 +204,7 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings(), text: str =
         .join(spans, ["anchor", "c1", "c2"])
         .select("doc_id", "hash", F.expr("transform(spans, s -> struct(start + s.a as a, start + s.b as b))").alias("spans"))
         .groupBy("doc_id", "hash")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
     found, _ = written(found, "repeated_spans")
     for p in (path, spans_path):
@@ -226,17 +241,18 @@ def deduped(docs: DataFrame, settings: Settings = Settings(), text: str = "text"
     keyed = docs.withColumn(hash_, F.xxhash64(text))
     mark = lambda batch: [pa.array(held.has(batch.column(batch.schema.get_field_index(hash_)).to_numpy()))]
     marked = appended(keyed, [T.StructField(hit, T.BooleanType())], mark)
-    right = found.toDF("_doc", "_text", "_spans")
+    doc_, text_, spans_ = (fresh(marked, name) for name in ("_doc", "_text", "_spans"))
+    right = found.toDF(doc_, text_, spans_)
     some = marked.where(hit)
-    same = some["doc_id"].cast("bigint").eqNullSafe(right["_doc"]) & (some[hash_] == right["_text"])
-    plain = marked.where(~F.col(hit)).withColumn("_spans", F.lit(None).cast(right.schema["_spans"].dataType))
-    both = some.join(right, same, "left").drop("_doc", "_text").unionByName(plain)
+    same = some["doc_id"].cast("bigint").eqNullSafe(right[doc_]) & (some[hash_] == right[text_])
+    plain = marked.where(~F.col(hit)).withColumn(spans_, F.lit(None).cast(right.schema[spans_].dataType))
+    both = some.join(right, same, "left").drop(doc_, text_).unionByName(plain)
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         removed, kept = [], []
         for t, spans in zip(
             batch.column(batch.schema.get_field_index(text)).to_pylist(),
-            batch.column(batch.schema.get_field_index("_spans")).to_pylist(),
+            batch.column(batch.schema.get_field_index(spans_)).to_pylist(),
             strict=True,
         ):
             raw, done, parts = (t or "").encode(), 0, []
