@@ -25,6 +25,9 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = re.compile("[!-~¡-ÿ]+")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+# Signs beyond Latin-1; a full stop or comma before a space that a sign is joined to.
+_BEYOND = re.compile("[^\0-ÿ]")
+_JOINED = re.compile(f"[^ {_LETTERS}{_NUMBERS}][.,] ")
 
 
 def default_path() -> str:
@@ -43,7 +46,9 @@ class _Known(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer, self._model, self._before = tokenizer, tokenizer.model, {}
-        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._id_bytes = [packed([k]) for k in range(tokenizer.get_vocab_size())]
+        to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._byte_signs = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
 
     def trim(self) -> None:
         """Bound the words held: the older generation goes."""
@@ -60,13 +65,19 @@ class _Known(dict):
         return found
 
     def _new(self, word: str) -> bytes:
-        if not _LATIN.fullmatch(word) or "<|" in word:
-            return packed(self._tokenizer.encode(word, add_special_tokens=False).ids)
-        pieces = _PIECES.findall(word.lower())
-        if len(pieces) != 1 or pieces[0] != word:
-            return b"".join(map(self.__getitem__, pieces))
-        plain = word if word.isascii() else self._bytes.pre_tokenize_str(word)[0][0]
-        return packed([t.id for t in self._model.tokenize(plain)])
+        if not (word.isascii() and word.isalpha()):
+            if not _LATIN.fullmatch(word) or "<|" in word:
+                return packed(self._tokenizer.encode(word, add_special_tokens=False).ids)
+            if word[-1] in ".,:;!?" and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            pieces = _PIECES.findall(word.lower())
+            if len(pieces) != 1:
+                return b"".join(map(self.__getitem__, pieces))
+        low = word.lower()
+        if low != word:
+            return self[low]
+        plain = word if word.isascii() else word.translate(self._byte_signs)
+        return b"".join([self._id_bytes[t.id] for t in self._model.tokenize(plain)])
 
 
 def packed(ids: list[int]) -> bytes:
@@ -88,7 +99,16 @@ class Encoder:
         if self._known is None:
             return packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
         self._known.trim()
-        return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self._known.__getitem__, _parted(text.replace("\n", " ")).split(" ")))
+
+
+def _parted(text: str) -> str:
+    """A text of Latin-1 in lower case, with its full stops and commas as words, so that
+    fewer words are new; any other text as it is."""
+    if "<|" in text or _BEYOND.search(text):
+        return text
+    text = text.lower()
+    return text if _JOINED.search(text) else text.replace(". ", " . ").replace(", ", " , ")
 
 
 def _by_words(steps: dict) -> bool:
