@@ -1,7 +1,7 @@
 """Texts of an Arrow batch as flat byte arrays, and what numpy finds in them.
 
 A block holds a run of rows of bounded size, so that the arrays derived from it
-(some 40 bytes for each byte of text) stay small; one text longer than the bound
+(40 to 100 bytes for each byte of text) stay small; one text longer than the bound
 is a block of its own.
 """
 
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Fields that bytes are hashed in: a prime below 2 ** 31 and a base picked at random.
 _FIELDS = [(2**31 - 1, 1_326_974_203), (2**31 - 19, 791_045_617)]

@@ -134,7 +134,7 @@ def text_stats(docs: DataFrame, keep: list[str] | None = None, text: str = "text
 
     def find(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(batch.schema.get_field_index(text))
-        parts = [_of_block(b) for b in blocks(texts)]
+        parts = [_of_block(b) for b in blocks(texts, 1 << 18)]
         counts = np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *parts])
         return [pa.StructArray.from_arrays([pa.array(c) for c in counts.T.copy()], COUNTS)]
 

@@ -27,11 +27,13 @@ from curbwait.session import drop_scratch, written
 
 @dataclass(frozen=True)
 class Settings:
-    """Window, anchor length, and the bytes of segments that one suffix array takes."""
+    """Window, anchor length, the bytes of segments that one suffix array takes, and the
+    bytes of texts among which equal segments are moved once."""
 
     length: int = 200
     anchor: int = 32
     shard_bytes: int = 1 << 20
+    block_bytes: int = 1 << 20
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -85,7 +87,7 @@ def segments(block: Block, settings: Settings) -> tuple[np.ndarray, np.ndarray,
 def _anchors(docs: DataFrame, settings: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), settings.block_bytes):
                 found, many = np.unique(segments(block, settings)[2].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many)], ["anchor", "n"])
 
@@ -99,7 +101,7 @@ def _segment_table(docs: DataFrame, again: Bitmap, settings: Settings) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), settings.block_bytes):
                 starts, ends, anchors = segments(block, settings)
                 hit = again.has(anchors.view(np.int64))
                 starts, ends, anchors = starts[hit], ends[hit], anchors[hit]
