@@ -1,5 +1,7 @@
 """Arrow batches in and out of tasks."""
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +18,23 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that gives its worker's free memory back when its
+    task is done: Spark takes its workers in turn and keeps all of them, and what they
+    hold counts beside the executor's own."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # in glibc
+                trim(0)
+
+    return task
+
+
 def appended(
     frame: DataFrame,
     fields: list[T.StructField],
@@ -40,4 +59,4 @@ def appended(
             del new
             pa.default_memory_pool().release_unused()  # workers live on after the stage
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(released(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbwait.llm.arrow import appended
+from curbwait.llm.arrow import appended, released
 from curbwait.llm.bitmap import Bitmap
 from curbwait.llm.blocks import LOWER, WORD, Block, blocks, mix, runs, words
 from curbwait.llm.components import components
@@ -162,7 +162,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, settings: Settings) -> DataFrame:
             )
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(released(run), "a binary, b binary")
 
 
 def _bag_table(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -190,7 +190,7 @@ def _bag_table(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFra
         docs.where("text is not null")
         .selectExpr("text", f"{node()} as node")
         .selectExpr("text", "node", "xxhash64(node) as hash")
-        .mapInArrow(run, "node binary, bag binary")
+        .mapInArrow(released(run), "node binary, bag binary")
     )
     return found.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
@@ -203,7 +203,7 @@ def _occurrences(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _verified(pairs: DataFrame, bags: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of the required similarity, computed from the whole bags; shingles are
-    compared by the 62 bits that ``ByteHash`` keeps of each word, mixed."""
+    compared by the 64-bit hashes of their words, mixed."""
     a, b = bags.selectExpr("node as a", "bag as bag_a"), bags.selectExpr("node as b", "bag as bag_b")
 
     def run(batches):
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, settings: Settings) -> DataFram
                 keep.append(shared >= settings.similarity * (len(both) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(released(run), "a binary, b binary")
 
 
 def _across(bags: DataFrame, settings: Settings) -> DataFrame:
@@ -241,7 +241,7 @@ def _across(bags: DataFrame, settings: Settings) -> DataFrame:
                 )
 
     tokens, path = written(
-        bags.select("node", "component", "bag").mapInArrow(run, "node binary, component binary, size long, token long"),
+        bags.select("node", "component", "bag").mapInArrow(released(run), "node binary, component binary, size long, token long"),
         "tokens",
     )
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from curbwait.llm.arrow import appended
+from curbwait.llm.arrow import appended, released
 from curbwait.llm.cutting_stock import patterns
 from curbwait.llm.tokens import encoded, lists
 from curbwait.session import written
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 1, sequence: int = SEQUEN
                     names=["doc_id", "start", "length", "doc_tokens", "part", "size", "rank_in_part", "ids"],
                 )
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, _PIECES), "pieces")[0]
+    return written(docs.select("doc_id", "text").mapInArrow(released(run), _PIECES), "pieces")[0]
 
 
 def pack(
@@ -183,7 +183,7 @@ def _end_to_end(rest: DataFrame, lengths: list, sequence: int, first: int) -> Da
         [*rest.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kind.fields])
-    return rest.mapInArrow(run, kind)
+    return rest.mapInArrow(released(run), kind)
 
 
 def _slots(chosen) -> tuple[np.ndarray, ...]:
