@@ -1,7 +1,7 @@
 """Texts of an Arrow batch as flat byte arrays, and what numpy finds in them.
 
 A block holds a run of rows of bounded size, so that the arrays derived from it
-(40 to 100 bytes for each byte of text) stay small; one text longer than the bound
+(10 to 70 bytes for each byte of text) stay small; one text longer than the bound
 is a block of its own.
 """
 
@@ -16,7 +16,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Fields that bytes are hashed in: a prime below 2 ** 31 and a base picked at random.
 _FIELDS = [(2**31 - 1, 1_326_974_203), (2**31 - 19, 791_045_617)]
 _SUMMED = 1 << 23  # bytes summed before the sum is reduced
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _FIELDS]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint32), np.ones(1, np.uint32)) for _ in _FIELDS]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,9 +66,10 @@ def _powers(n: int, field: int) -> tuple[np.ndarray, np.ndarray]:
         prime, base = _FIELDS[field]
         made = []
         for b in (base, pow(base, -1, prime)):
-            found = np.ones(1, np.uint64)
+            found = np.ones(1, np.uint32)
             while len(found) <= n:  # b ** (k + m) = b ** k * b ** m
-                found = np.concatenate([found, found * np.uint64(pow(b, len(found), prime)) % np.uint64(prime)])
+                more = found[: n + 1 - len(found)] * np.uint64(pow(b, len(found), prime)) % np.uint64(prime)
+                found = np.concatenate([found, more.astype(np.uint32)])
             made.append(found)
         _POWERS[field] = made[0], made[1]
     return _POWERS[field]
@@ -99,6 +100,46 @@ class ByteHash:
         return mix(found ^ ((ends - starts).astype(np.uint64) * _BASE))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 64  # bytes of a word whose hash is taken from sums over the whole block
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, the same in every block. Up to eight bytes are one number, and
+    unlike words of one length never equal; longer ones are polynomials with a
+    coefficient for every three bytes, at one place of each of two prime fields."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+    size = ends - starts
+    found = eights[starts] & _MASKS[np.minimum(size, 8)]
+    some = np.flatnonzero((size > 8) & (size <= _LONG))
+    sums = [np.zeros(len(some), np.uint64) for _ in _FIELDS]
+    at, left = starts[some], size[some]
+    for done in range(0, int(left.max(initial=0)), 3):
+        more = np.flatnonzero(left > done)
+        part = (eights[at[more] + done] & _MASKS[np.minimum(left[more] - done, 3)]) + np.uint64(1)
+        for held, (prime, base) in zip(sums, _FIELDS, strict=True):
+            held[more] = (held[more] * np.uint64(base) + part) % np.uint64(prime)
+    found[some] = sums[0] << np.uint64(31) | sums[1]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        found[long] = ByteHash(data)(starts[long], ends[long])
+    return mix(found ^ mix(size.astype(np.uint64) * _BASE))
+
+
+def order_by(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by group, small numbers from 0, and then by 64-bit value: one sort of
+    both in 64 bits, unless values differ only in those that this cuts off."""
+    bits = np.uint64(max(int(group.max(initial=0)).bit_length(), 1))
+    joint = group.astype(np.uint64) << (np.uint64(64) - bits) | values >> bits
+    order = np.argsort(joint)
+    joint, values_ = joint[order], values[order]
+    if ((joint[1:] == joint[:-1]) & (values_[1:] < values_[:-1])).any():
+        return np.lexsort((values, group))
+    return order
+
+
 def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers of the substrings, equal ones the same. Hashes say which may be equal, the
     bytes of each and of the first with its hash whether they are."""
@@ -130,7 +171,7 @@ def words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None) ->
     """Maximal runs of bytes for which the table ``in_word`` holds, never across
     rows. ``data``: the bytes to hash in place of the block's, as many."""
     starts, ends = _spans(block, in_word[block.data])
-    hashes = ByteHash(block.data if data is None else data)(starts, ends)
+    hashes = word_hashes(block.data if data is None else data, starts, ends)
     return Words(starts, ends, hashes, np.searchsorted(starts, block.starts))
 
 
@@ -171,7 +212,7 @@ def cut_words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None)
     ends = np.concatenate([ends, end[1:][joined], end[alone]])
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    hashes = ByteHash(block.data if data is None else data)(starts, ends)
+    hashes = word_hashes(block.data if data is None else data, starts, ends)
     return Words(starts, ends, hashes, np.searchsorted(starts, block.starts))
 
 

@@ -5,7 +5,7 @@ number), has a Jaccard similarity of 0.8 or more with it. Lines of equal sets ar
 collapsed first. Of each set left the rarest words are looked up: two similar sets
 share one of those (prefix filter), have about equal sizes (length filter), can still
 reach the overlap after the shared word (positional filter), and differ in few bits of
-a 128-bit map. What passes is verified on all words, each compared by 62 bits.
+a 128-bit map. What passes is verified on all words, each compared by 64 bits.
 """
 
 from dataclasses import dataclass
@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbwait.llm.arrow import appended, fresh
+from curbwait.llm.arrow import appended, fresh, released
 from curbwait.llm.bitmap import Bitmap
-from curbwait.llm.blocks import LOWER, WORD, Block, blocks, cut_words, mix
+from curbwait.llm.blocks import LOWER, WORD, Block, blocks, cut_words, mix, order_by
 from curbwait.session import drop_scratch, written
 
 BUCKETS = 24
 _CHUNK = 12
-_WORDS = 2_000_000  # counted at a time in a task
-_POSTINGS = 250_000  # looked through at a time in a task
+_WORDS = 1_000_000  # counted at a time in a task
+_POSTINGS = 100_000  # looked through at a time in a task
 
 
 @dataclass(frozen=True)
@@ -63,12 +63,12 @@ def lines(block: Block) -> Lines:
     lines end at line feeds."""
     w = cut_words(block, WORD, LOWER[block.data])
     row = w.rows
-    feeds = np.concatenate([[0], np.cumsum(block.data == 0x0A)])
-    number = feeds[w.starts] - feeds[block.starts[row]]
+    feeds = np.flatnonzero(block.data == 0x0A)
+    number = np.searchsorted(feeds, w.starts) - np.searchsorted(feeds, block.starts)[row]
     fresh_line = np.ones(len(row), bool)
     fresh_line[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
     line = np.cumsum(fresh_line) - 1
-    order = np.lexsort((w.hashes, line))
+    order = order_by(line, w.hashes)
     line_, token = line[order], w.hashes[order]
     distinct = np.ones(len(token), bool)
     distinct[1:] = (line_[1:] != line_[:-1]) | (token[1:] != token[:-1])
@@ -109,10 +109,10 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
     graded = (
         docs.select("text")
-        .mapInArrow(run, "chunk long, at long, n long")
+        .mapInArrow(released(run), "chunk long, at long, n long")
         .groupBy("chunk", "at")
         .agg(F.sum("n").alias("n"))
-        .mapInArrow(grade, "chunk long, at long, grade short")
+        .mapInArrow(released(grade), "chunk long, at long, grade short")
         .groupBy("chunk")
         .agg(F.collect_list(F.struct("at", "grade")).alias("held"))  # at most 2 ** _CHUNK
     )
@@ -125,7 +125,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([dense.tobytes()])], ["chunk", "held"])
 
     found = np.zeros(1 << BUCKETS, np.uint8)
-    for r in graded.mapInArrow(pack, "chunk long, held binary").collect():  # 2 ** BUCKETS bytes at most
+    for r in graded.mapInArrow(released(pack), "chunk long, held binary").collect():  # 2 ** BUCKETS bytes at most
         found[r["chunk"] << _CHUNK : (r["chunk"] + 1) << _CHUNK] = np.frombuffer(r["held"], np.uint8)
     return found
 
@@ -152,7 +152,7 @@ def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
                 )
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "xxhash64(text) as hash").mapInArrow(
-        run, "doc_id long, hash long, line int, s1 long, s2 long"
+        released(run), "doc_id long, hash long, line int, s1 long, s2 long"
     )
 
 
@@ -199,7 +199,7 @@ def postings(
                 high = (spread >> np.uint64(6)) & np.uint64(1) == 1
                 b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), starts)
                 b2 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), starts)
-                order = np.lexsort((found.token, grade, line))
+                order = order_by(line << 8 | grade, found.token)
                 place = np.arange(len(line)) - found.first[line]
                 prefix = size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
                 keep = (place < prefix[line]) & able[line] & (grade[order] > 0)
@@ -223,7 +223,7 @@ def postings(
 
     spot = "xxhash64(cast(doc_id as bigint)) as spot"
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", spot).mapInArrow(
-        run, "token long, id long, doc_id long, size_line long, place int, b1 long, b2 long"
+        released(run), "token long, id long, doc_id long, size_line long, place int, b1 long, b2 long"
     )
 
 
@@ -316,7 +316,7 @@ def candidates(
 
     place = [F.col("doc_id").asc_nulls_last(), F.expr("size_line & 4294967295L")]
     laid = held.repartition(F.col("token")).sortWithinPartitions("token", *place)
-    found = laid.mapInArrow(run, "v long, doc_v long, u long, doc_u long, more boolean")
+    found = laid.mapInArrow(released(run), "v long, doc_v long, u long, doc_u long, more boolean")
     return found.groupBy("v", "u").agg(
         F.min("doc_v").alias("doc_v"), F.min("doc_u").alias("doc_u"), F.max("more").alias("more")
     )
@@ -341,7 +341,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFram
                 )
 
     found = docs.selectExpr("text", "xxhash64(cast(doc_id as bigint)) as place").mapInArrow(
-        run, "s1 long, s2 long, words binary"
+        released(run), "s1 long, s2 long, words binary"
     )
     ids = wanted.select(F.col("id").alias("s1")).distinct()
     return found.dropDuplicates(["s1", "s2"]).join(ids, "s1", "left_semi")
@@ -365,7 +365,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFram
         pairs.select("v", "u")
         .join(sets.toDF("v", "v2", "words_v"), "v")
         .join(sets.toDF("u", "u2", "words_u"), "u")
-        .mapInArrow(run, "v long, v2 long, u long, u2 long")
+        .mapInArrow(released(run), "v long, v2 long, u long, u2 long")
     )
 
 

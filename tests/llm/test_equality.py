@@ -1,11 +1,15 @@
 """Texts that are unlike but have equal sums of bytes times powers of any odd number,
 modulo 2 ** 64: equal is what has equal bytes."""
 
+import random
+import tracemalloc
+
 import numpy as np
-from helpers import frame
+import pyarrow as pa
+from helpers import frame, prose
 
 from curbwait.llm import line_dedup, near_dup, quality, suffix_dedup
-from curbwait.llm.blocks import ByteHash, numbered
+from curbwait.llm.blocks import ByteHash, blocks, numbered, order_by, word_hashes
 
 MORSE = "".join("ab"[k.bit_count() % 2] for k in range(1024))
 OTHER = "".join("ba"[k.bit_count() % 2] for k in range(1024))
@@ -26,6 +30,36 @@ def test_numbers_do_not_rest_on_hashes(monkeypatch):
     assert numbered(data, starts, ends).tolist() == [0, 1, 0, 2, 1]
 
 
+def test_hashes_of_words():
+    rng = random.Random(1)
+    made = [bytes(rng.choices(b"ab", k=rng.choice([1, 7, 8, 9, 10, 11, 12, 63, 64, 65, 200]))) for _ in range(5000)]
+    for spread in (made, made[::-1]):
+        ends = np.cumsum([len(w) + 1 for w in spread]) - 1
+        starts = ends - [len(w) for w in spread]
+        hashes = word_hashes(np.frombuffer(b" ".join(spread), np.uint8), starts, ends).tolist()
+        known = dict(zip(spread, hashes, strict=True)) if spread is made else known
+        assert [known[w] for w in spread] == hashes
+    assert len(set(known.values())) == len(known)
+
+
+def test_order_of_values_alike_in_their_first_bits():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 300, 5000))
+    for values in (rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(0, 9, 5000).astype(np.uint64)):
+        order = order_by(group, values)
+        assert (np.diff(group[order]) >= 0).all()
+        assert (values[order] == values[np.lexsort((values, group))]).all()
+
+
+def test_memory_of_a_block_of_lines():
+    block = next(blocks(pa.array([prose(random.Random(1), 90_000)])))
+    tracemalloc.start()
+    line_dedup.lines(block)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < len(block.data) and most < 30 * len(block.data)
+
+
 def test_sums_of_long_blocks():
     data = np.tile(np.random.default_rng(1).integers(0, 256, 1 << 20, np.uint8), 20)
     starts = np.array([5, 5 + (1 << 20), 5 + (18 << 20)])
