@@ -260,6 +260,13 @@ def test_hits_agree_with_all_windows(spark):
             assert set(map(str, found[repr((doc, text))])) == {str(wanted)}
 
 
+def test_words_are_found_by_a_table(spark):
+    assert not re.search("[^\\\\]-|\\\\x..-", decontaminate._OTHER)
+    texts = ["".join(chr(c) + "aZ" for c in range(0x180)), "x" * 20_000 + "-" * 20_000 + "y", "\U0001f600[K]", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(decontaminate.words_of("text"))
+    assert [r[0] for r in rows.collect()] == [words_of(t) for t in texts]
+
+
 def test_cleaned_texts_lose_the_passage_only(spark):
     passage = " ".join(WORDS)
     benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
