@@ -28,6 +28,7 @@ from curbwait.llm.components import components
 from curbwait.session import drop_scratch, written
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_POINTS = 1 << 15  # drawn at a time, or one of each process
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,7 @@ def bag_min_hash(
         going = time < latest[row]
         row, count, low, width, seed, time = (x[going] for x in (row, count, low, width, seed, time))
         done += steps
-        steps = 1 if len(row) > 100_000 else 32
+        steps = max(1, min(32, _POINTS // max(len(row), 1)))
     out = (mix(earliest.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     return out.reshape(n, length)
 

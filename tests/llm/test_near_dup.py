@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -81,3 +82,16 @@ def test_signatures_estimate_weighted_jaccard():
     found = near_dup.bag_min_hash(rows, np.concatenate([base, base]), np.concatenate([a, b]), 2, 4096)
     wanted = np.minimum(a, b).sum() / np.maximum(a, b).sum()
     assert abs((found[0] == found[1]).mean() - wanted) < 0.03
+
+
+def test_signatures_of_many_shingles_take_little_memory(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, hashes = np.sort(rng.integers(0, 200, 80_000)), rng.integers(0, 1 << 63, 80_000).astype(np.uint64)
+    counts = rng.integers(1, 4, 80_000)
+    tracemalloc.start()
+    found = near_dup.bag_min_hash(rows, hashes, counts, 200, 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000 * 8 * 60
+    monkeypatch.setattr(near_dup, "_POINTS", 1 << 22)  # the points drawn at a time change nothing
+    assert (near_dup.bag_min_hash(rows, hashes, counts, 200, 128) == found).all()
