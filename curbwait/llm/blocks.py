@@ -102,6 +102,7 @@ class ByteHash:
 
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 64  # bytes of a word whose hash is taken from sums over the whole block
+_SIZES = mix(np.arange(_LONG + 1, dtype=np.uint64) * _BASE)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -125,7 +126,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     long = np.flatnonzero(size > _LONG)
     if len(long):
         found[long] = ByteHash(data)(starts[long], ends[long])
-    return mix(found ^ mix(size.astype(np.uint64) * _BASE))
+    spread = _SIZES[np.minimum(size, _LONG)]
+    if len(long):
+        spread[long] = mix(size[long].astype(np.uint64) * _BASE)
+    return mix(found ^ spread)
 
 
 def order_by(group: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -170,20 +174,19 @@ class Words:
 def words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None) -> Words:
     """Maximal runs of bytes for which the table ``in_word`` holds, never across
     rows. ``data``: the bytes to hash in place of the block's, as many."""
-    starts, ends = _spans(block, in_word[block.data])
+    starts, ends = _spans(block, looked_up(in_word, block.data))
     hashes = word_hashes(block.data if data is None else data, starts, ends)
     return Words(starts, ends, hashes, np.searchsorted(starts, block.starts))
 
 
 def _spans(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where maximal runs of bytes marked ``inside`` start and end, never across rows."""
-    left = np.zeros(len(inside) + 1, bool)
-    left[1:] = inside
-    right = np.zeros(len(inside) + 1, bool)
-    right[:-1] = inside
-    apart = np.zeros(len(inside) + 1, bool)
-    apart[block.starts] = True
-    return np.flatnonzero(right & (~left | apart)), np.flatnonzero(left & (~right | apart))
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[block.starts] = True
+    at = np.flatnonzero(edge)  # what lies between two of them is all inside or all outside
+    within = np.flatnonzero(inside[at[:-1]])
+    return at[within], at[within + 1]
 
 
 def cut_words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None) -> Words:
@@ -199,7 +202,7 @@ def cut_words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None)
     at, end = at[held], (at + 3 + long)[held]
     if not len(at):
         return words(block, in_word, data)
-    inside = in_word[block.data]
+    inside = looked_up(in_word, block.data).copy()
     for k in range(4):
         inside[(at + k)[at + k < end]] = False
     starts, ends = _spans(block, inside)
@@ -216,6 +219,11 @@ def cut_words(block: Block, in_word: np.ndarray, data: np.ndarray | None = None)
     return Words(starts, ends, hashes, np.searchsorted(starts, block.starts))
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` for bytes and a table of 256 of them, read only."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def table(inside) -> np.ndarray:
     """A table over the 256 byte values from a test of one."""
     return np.array([bool(inside(b)) for b in range(256)])

@@ -18,13 +18,19 @@ from pyspark.sql import types as T
 
 from curbwait.llm.arrow import appended, fresh, released
 from curbwait.llm.bitmap import Bitmap
-from curbwait.llm.blocks import LOWER, WORD, Block, blocks, cut_words, mix, order_by
+from curbwait.llm.blocks import LOWER, WORD, Block, blocks, cut_words, looked_up, mix, order_by
 from curbwait.session import drop_scratch, written
 
 BUCKETS = 24
-_CHUNK = 12
+_CHUNK = 14
 _WORDS = 1_000_000  # counted at a time in a task
+_HELD = 200_000  # postings dealt out at a time in a task
 _POSTINGS = 100_000  # looked through at a time in a task
+_LAST = np.iinfo(np.int64).max  # in place of a null doc_id
+#: A row for a word of a set, see ``postings``.
+_POSTING = np.dtype(
+    [(n, "<i8") for n in ("token", "id", "doc_id", "size_line")] + [("b1", "<u8"), ("b2", "<u8"), ("place", "<i4")]
+)
 
 
 @dataclass(frozen=True)
@@ -56,270 +62,334 @@ class Lines:
         parts = [np.add.reduceat(mix(self.token + np.uint64(k)), self.first[:-1]) for k in (1, 2)]
         return mix(np.array(parts)).view(np.int64)
 
+    def some(self, which: np.ndarray) -> "Lines":
+        """The lines marked."""
+        size = self.size
+        first = np.append(0, np.cumsum(size[which]))
+        return Lines(self.row[which], self.number[which], self.token[np.repeat(which, size)], first)
+
 
 def lines(block: Block) -> Lines:
     """Words are runs of ASCII letters and digits and of all other characters, in
     lower case, and in scripts written without spaces two neighbouring characters;
     lines end at line feeds."""
-    w = cut_words(block, WORD, LOWER[block.data])
-    row = w.rows
-    feeds = np.flatnonzero(block.data == 0x0A)
-    number = np.searchsorted(feeds, w.starts) - np.searchsorted(feeds, block.starts)[row]
-    fresh_line = np.ones(len(row), bool)
-    fresh_line[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    line = np.cumsum(fresh_line) - 1
+    w = cut_words(block, WORD, looked_up(LOWER, block.data))
+    n, feeds = len(w.starts), np.flatnonzero(block.data == 0x0A)
+    begins = np.zeros(n + 1, bool)
+    begins[w.first] = True
+    begins[np.searchsorted(w.starts, feeds)] = True
+    at = np.flatnonzero(begins[:n])
+    row = np.searchsorted(w.first, at, side="right") - 1
+    number = np.searchsorted(feeds, w.starts[at]) - np.searchsorted(feeds, block.starts)[row]
+    line = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
     order = order_by(line, w.hashes)
-    line_, token = line[order], w.hashes[order]
-    distinct = np.ones(len(token), bool)
-    distinct[1:] = (line_[1:] != line_[:-1]) | (token[1:] != token[:-1])
-    at = np.flatnonzero(fresh_line)
-    first = np.searchsorted(line_[distinct], np.arange(len(at) + 1))
-    return Lines(row[at], number[at], token[distinct], first)
+    token = w.hashes[order]  # and the line of each is as before
+    distinct = np.ones(n, bool)
+    distinct[1:] = token[1:] != token[:-1]
+    distinct[at] = True
+    return Lines(row, number, token[distinct], np.append(0, np.cumsum(distinct))[np.append(at, n)])
+
 
+def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id``, ``hash`` (of the text), ``line``, and the identity ``s1``, ``s2`` of
+    its set, for every line with words; and rows with a ``chunk`` of the hash buckets
+    of words and ``counts``, how many lines have words of each."""
 
-def word_rarity(docs: DataFrame) -> np.ndarray:
-    """How often words are in all texts, by hash bucket: a byte each, 0 for a bucket
-    with one word once, and else rising with the logarithm of the count."""
+    def table(part: dict) -> pa.RecordBatch:
+        n = len(next(iter(part.values())))
+        return pa.RecordBatch.from_arrays([part.get(f.name, pa.nulls(n, f.type)) for f in made], schema=made)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        chunks, first = np.unique(found >> _CHUNK, return_index=True)
+        pairs = np.empty(len(found), _COUNT)
+        pairs["at"], pairs["n"] = found & ((1 << _CHUNK) - 1), n
+        return table({"chunk": pa.array(chunks.astype(np.int32)), "counts": _binaries(pairs, first)})
 
     def run(batches):
         held: list[np.ndarray] = []
         for batch in batches:
             for block in blocks(batch.column("text")):
-                w = cut_words(block, WORD, LOWER[block.data])
-                held.append((w.hashes >> np.uint64(64 - BUCKETS)).astype(np.int32))
+                found = lines(block)
+                held.append((found.token >> np.uint64(64 - BUCKETS)).astype(np.int32))
                 if sum(map(len, held)) >= _WORDS:
-                    yield from counted(held)
+                    yield counted(held)
                     held = []
-        yield from counted(held)
-
-    def counted(held):
-        found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *held]), return_counts=True)
-        for k in range(0, len(found), 1 << 16):
-            at, n = found[k : k + (1 << 16)].astype(np.int64), counts[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at >> _CHUNK), pa.array(at & ((1 << _CHUNK) - 1)), pa.array(n)],
-                ["chunk", "at", "n"],
-            )
+                rows = pa.array(found.row + block.first)
+                s1, s2 = (pa.array(x) for x in found.ids())
+                yield table(
+                    {
+                        "doc_id": batch.column("doc_id").take(rows),
+                        "hash": batch.column("hash").take(rows),
+                        "line": pa.array(found.number.astype(np.int32)),
+                        "s1": s1,
+                        "s2": s2,
+                    }
+                )
+        if sum(map(len, held)):
+            yield counted(held)
 
-    def grade(batches):
-        for batch in batches:
-            n = np.log2(batch.column("n").to_numpy())
-            grades = np.minimum(np.ceil(n * 8), 255).astype(np.int16)
-            yield batch.select(["chunk", "at"]).append_column("grade", pa.array(grades))
-
-    graded = (
-        docs.select("text")
-        .mapInArrow(released(run), "chunk long, at long, n long")
-        .groupBy("chunk", "at")
-        .agg(F.sum("n").alias("n"))
-        .mapInArrow(released(grade), "chunk long, at long, grade short")
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("at", "grade")).alias("held"))  # at most 2 ** _CHUNK
+    kinds = {"doc_id": pa.int64(), "hash": pa.int64(), "line": pa.int32(), "s1": pa.int64(), "s2": pa.int64()}
+    made = pa.schema(kinds | {"chunk": pa.int32(), "counts": pa.binary()})
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "xxhash64(text) as hash").mapInArrow(
+        released(run), "doc_id long, hash long, line int, s1 long, s2 long, chunk int, counts binary"
     )
 
-    def pack(batches):
-        for batch in batches:
-            for chunk, held in zip(batch.column("chunk").to_pylist(), batch.column("held"), strict=True):
-                dense = np.zeros(1 << _CHUNK, np.uint8)
-                dense[held.values.field("at").to_numpy()] = held.values.field("grade").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([dense.tobytes()])], ["chunk", "held"])
 
-    found = np.zeros(1 << BUCKETS, np.uint8)
-    for r in graded.mapInArrow(released(pack), "chunk long, held binary").collect():  # 2 ** BUCKETS bytes at most
-        found[r["chunk"] << _CHUNK : (r["chunk"] + 1) << _CHUNK] = np.frombuffer(r["held"], np.uint8)
-    return found
+_COUNT = np.dtype([("at", "<u2"), ("n", "<u4")])
 
 
-def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id``, ``hash`` (of the text), ``line``, and the identity ``s1``, ``s2`` of
-    its set, for every line with words."""
+def _binaries(rows: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Rows as bytes, in pieces that begin at ``first``."""
+    offsets = np.append(first, len(rows)).astype(np.int64) * rows.itemsize
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]
+    ).cast(pa.binary())
 
-    def run(batches):
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                found = lines(block)
-                rows = pa.array(found.row + block.first)
-                s1, s2 = (pa.array(x) for x in found.ids())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(rows),
-                        batch.column("hash").take(rows),
-                        pa.array(found.number.astype(np.int32)),
-                        s1,
-                        s2,
-                    ],
-                    ["doc_id", "hash", "line", "s1", "s2"],
-                )
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "xxhash64(text) as hash").mapInArrow(
-        released(run), "doc_id long, hash long, line int, s1 long, s2 long"
-    )
+def _groups(batches, key: str, held: str, kind: np.dtype):
+    """Of batches sorted by ``key``: each key, and the rows in all its pieces."""
+    now, parts = None, []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        pieces = batch.column(held)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if keys[i] != now and parts:
+                yield now, np.concatenate(parts)
+                parts = []
+            now = keys[i]
+            parts += [np.frombuffer(x.as_buffer(), kind).copy() for x in pieces[i:j]]
+    if parts:
+        yield now, np.concatenate(parts)
+
+
+def word_rarity(table: DataFrame) -> tuple[np.ndarray, int]:
+    """How many lines of the ``line_table`` have a word, by hash bucket: a byte each, 0 for
+    a bucket with one word once, and else rising with the logarithm of the count; and how
+    many words lines have in all."""
+
+    def pack(batches):
+        for chunk, counts in _groups(batches, "chunk", "counts", _COUNT):
+            n = np.bincount(counts["at"], counts["n"], 1 << _CHUNK)  # whole numbers, exact
+            dense = np.minimum(np.ceil(np.log2(np.maximum(n, 1)) * 8), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int32()), pa.array([int(n.sum())]), pa.array([dense.tobytes()])],
+                ["chunk", "n", "held"],
+            )
+
+    laid = table.where("chunk is not null").select("chunk", "counts").repartition(F.col("chunk"))
+    graded = laid.sortWithinPartitions("chunk").mapInArrow(released(pack), "chunk int, n long, held binary")
+    found, words = np.zeros(1 << BUCKETS, np.uint8), 0
+    for r in graded.collect():  # 2 ** BUCKETS bytes at most
+        found[r["chunk"] << _CHUNK : (r["chunk"] + 1) << _CHUNK] = np.frombuffer(r["held"], np.uint8)
+        words += r["n"]
+    return found, words
 
 
 def postings(
     docs: DataFrame,
     rarity: np.ndarray,
     settings: Settings,
-    sets: Bitmap | None = None,
-    tokens: Bitmap | None = None,
-    places: Bitmap | None = None,
+    buckets: int,
 ) -> DataFrame:
     """The rarest words of every set: ``token``, the set's ``id`` and ``size``, where a
     line with it is (``doc_id``, ``line``), the word's ``place`` in the order by rarity,
-    and a bit map ``b1``, ``b2``; of some sets, tokens or documents only, if bitmaps of
-    them are given.
+    and a bit map ``b1``, ``b2``. A row has those of a ``bucket`` of tokens, of a stretch
+    of text.
 
-    A word that is once in all texts has its place but no row. A set comes once from
+    A word that is once in all texts has its place but no posting. A set comes once from
     each block, its first line, and sets that can only equal others not at all.
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
-    share = settings.similarity
+    share, shift = settings.similarity, np.uint64(64 - buckets.bit_length() + 1)
+
+    def of_block(block: Block, ids_: np.ndarray) -> np.ndarray:
+        found = lines(block)
+        able = np.floor(found.size / share + 1e-9) > found.size
+        found = found.some(able)
+        ids = found.ids()
+        doc = ids_[found.row + block.first]
+        by_place = np.lexsort((found.number, doc, ids[0]))
+        once = np.ones(len(doc), bool)
+        once[by_place[1:][ids[0][by_place[1:]] == ids[0][by_place[:-1]]]] = False
+        found, ids, doc = found.some(once), ids[0][once], doc[once]
+        if not len(ids):
+            return np.empty(0, _POSTING)
+        size, starts = found.size, found.first[:-1]
+        line = np.repeat(np.arange(len(size)), size)
+        spread = mix(found.token + np.uint64(3))
+        grade = held.value[(found.token >> np.uint64(64 - BUCKETS)).astype(np.int64)]
+        bit = np.uint64(1) << (spread & np.uint64(63))
+        high = (spread >> np.uint64(6)) & np.uint64(1) == 1
+        b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), starts)
+        b2 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), starts)
+        order = order_by(line << 8 | grade, found.token)
+        place = np.arange(len(line)) - found.first[line]
+        prefix = size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
+        kept = np.flatnonzero((place < prefix[line]) & (grade[order] > 0))
+        token = found.token[order[kept]].view(np.int64)
+        at = line[kept]
+        out = np.empty(len(kept), _POSTING)
+        out["token"], out["id"], out["doc_id"], out["place"] = token, ids[at], doc[at], place[kept]
+        out["size_line"], out["b1"], out["b2"] = size[at] << 32 | found.number[at], b1[at], b2[at]
+        return out
+
+    def dealt(rows: list[np.ndarray]) -> pa.RecordBatch:
+        whole = np.concatenate(rows)
+        bucket = (whole["token"].view(np.uint64) >> shift).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        keys, first = np.unique(bucket[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), _binaries(whole[order], first)], ["bucket", "held"])
 
     def run(batches):
+        rows: list[np.ndarray] = []
         for batch in batches:
-            if places:
-                batch = batch.filter(pa.array(places.has(batch.column("spot").to_numpy())))
+            ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
             for block in blocks(batch.column("text")):
-                found = lines(block)
-                size, ids = found.size, found.ids()
-                able = np.floor(size / share + 1e-9) > size
-                if sets:
-                    able &= sets.has(ids[0])
-                doc = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()[found.row + block.first]
-                by_place = np.lexsort((found.number, doc, ids[0]))
-                again = by_place[1:][ids[0][by_place[1:]] == ids[0][by_place[:-1]]]
-                able[again] = False
-                line = np.repeat(np.arange(len(size)), size)
-                starts = found.first[:-1]
-                if not able.any():
-                    continue
-                spread = mix(found.token + np.uint64(3))
-                grade = held.value[(found.token >> np.uint64(64 - BUCKETS)).astype(np.int64)]
-                bit = np.uint64(1) << (spread & np.uint64(63))
-                high = (spread >> np.uint64(6)) & np.uint64(1) == 1
-                b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), starts)
-                b2 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), starts)
-                order = order_by(line << 8 | grade, found.token)
-                place = np.arange(len(line)) - found.first[line]
-                prefix = size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
-                keep = (place < prefix[line]) & able[line] & (grade[order] > 0)
-                token = found.token[order].view(np.int64)
-                if tokens:
-                    keep &= tokens.has(token)
-                at = line[keep]
-                rows = pa.array(found.row[at] + block.first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(token[keep]),
-                        pa.array(ids[0][at]),
-                        batch.column("doc_id").take(rows),
-                        pa.array(size[at] << 32 | found.number[at]),
-                        pa.array(place[keep].astype(np.int32)),
-                        pa.array(b1[at].view(np.int64)),
-                        pa.array(b2[at].view(np.int64)),
-                    ],
-                    ["token", "id", "doc_id", "size_line", "place", "b1", "b2"],
-                )
-
-    spot = "xxhash64(cast(doc_id as bigint)) as spot"
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", spot).mapInArrow(
-        released(run), "token long, id long, doc_id long, size_line long, place int, b1 long, b2 long"
+                rows.append(of_block(block, ids))
+                if sum(map(len, rows)) >= _HELD:
+                    yield dealt(rows)
+                    rows = []
+        if sum(map(len, rows)):
+            yield dealt(rows)
+
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+        released(run), "bucket int, held binary"
     )
 
 
-def candidates(
-    held: DataFrame, settings: Settings, most: int | None, probes: Bitmap | None = None
-) -> DataFrame:
+def candidates(held: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (``v``, ``u``) of set ids that share a token and pass the filters, ``u``
     standing before ``v``, each with the document it is in, and ``more``.
 
     Of a token's sets one is compared with the first of all, then with those before it,
     nearest first, until ``most`` have passed; ``more`` says that others are left. So
-    what a token makes is in proportion to its sets, also where all are alike. With
-    ``probes`` only those sets are ``v``. Postings of a token are read in its task one
-    after the other, as sorted, some at a time and no fewer than a token's.
+    what a token makes is in proportion to its sets, also where all are alike. Rows
+    without a pair have the postings, ``left``, of tokens where some are left. A task
+    reads its buckets one after the other, and looks through some tokens of one at a time
+    and no fewer than one.
     """
-    t = settings.similarity
-    names = ["token", "id", "doc_id", "size_line", "place", "b1", "b2"]
-    last = np.iinfo(np.int64).max
-
-    def solved(rows: list[np.ndarray]) -> pa.RecordBatch:
-        token, ident, doc, size_line, place, b1, b2 = (np.concatenate(c) for c in zip(*rows, strict=True))
-        # only tokens of several rows, and of equal sets of a token the first
-        same = np.zeros(len(token) + 1, bool)
-        same[1:-1] = token[1:] == token[:-1]
-        held_ = np.flatnonzero(same[1:] | same[:-1])
-        order = np.lexsort((ident[held_], token[held_]))
-        t_, i_ = token[held_][order], ident[held_][order]
-        again = np.zeros(len(held_), bool)
-        again[order[1:]] = (t_[1:] == t_[:-1]) & (i_[1:] == i_[:-1])
-        kept = held_[~again]
-        token, ident, doc, place = token[kept], ident[kept], doc[kept], place[kept]
-        size, line = size_line[kept] >> 32, size_line[kept] & 0xFFFFFFFF
-        b1, b2 = b1[kept].view(np.uint64), b2[kept].view(np.uint64)
-        n = len(token)
-        head = np.ones(n, bool)
-        head[1:] = token[1:] != token[:-1]
-        first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        left = size - place
-        count, pairs = np.zeros(n, np.int64), []
-        active = np.flatnonzero(~head)
-        if probes:
-            active = active[probes.has(ident[active])]
-
-        def tested(v: np.ndarray, u: np.ndarray) -> np.ndarray:
-            both = size[v] + size[u]
-            good = np.minimum(size[v], size[u]) >= t * np.maximum(size[v], size[u]) - 1e-9
-            good &= (doc[u] < doc[v]) | (line[u] < line[v])
-            good &= (1 + t) * np.minimum(left[v], left[u]) >= t * both - 1e-9
-            apart = np.bitwise_count(b1[v] ^ b1[u]).astype(np.int64) + np.bitwise_count(b2[v] ^ b2[u])
-            return good & ((1 + t) * (both - apart) >= 2 * t * both - 1e-9)
-
-        good = tested(active, first[active])
-        pairs.append((active[good], first[active[good]]))
-        back = 1
-        active = active[active - back > first[active]]
-        while len(active):
-            good = tested(active, active - back)
-            hit = active[good]
-            pairs.append((hit, hit - back))
-            count[hit] += 1
-            back += 1
-            active = active[active - back > first[active]]
-            if most is not None and len(hit):
-                active = active[count[active] < most]
-        v, u = (np.concatenate(c) for c in zip(*pairs, strict=True))
-        more = count[v] >= (most or last)
-        docs_ = lambda k: pa.array(doc[k], mask=doc[k] == last)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ident[v]), docs_(v), pa.array(ident[u]), docs_(u), pa.array(more)],
-            ["v", "doc_v", "u", "doc_u", "more"],
-        )
 
     def run(batches):
-        rows, waiting = [], 0
+        for _, rows in _groups(batches, "bucket", "held", _POSTING):
+            rows = _laid(rows)
+            while len(rows):
+                # some rows, up to the last of a token
+                last = rows["token"][min(_POSTINGS, len(rows)) - 1]
+                cut = int(np.searchsorted(rows["token"], last, side="right"))
+                v, u, more, left = _passing(rows[:cut], settings, settings.most)
+                yield _pairs(rows, v, u, pa.array(more), pa.nulls(len(v), pa.binary()))
+                if len(left):
+                    none = np.zeros(1, np.int64)
+                    yield _pairs(rows, none, none, pa.nulls(1, pa.bool_()), pa.array([left.tobytes()]))
+                rows = rows[cut:]
+
+    sorted_ = held.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return sorted_.mapInArrow(released(run), "v long, doc_v long, u long, doc_u long, more boolean, left binary")
+
+
+def candidates_left(left: DataFrame, settings: Settings, probes: Bitmap) -> DataFrame:
+    """All such pairs in the postings ``left``, ``v`` one of the sets in ``probes``."""
+
+    def run(batches):
         for batch in batches:
-            columns = [(batch.column(c).fill_null(last) if c == "doc_id" else batch.column(c)).to_numpy() for c in names]
-            token = columns[0]
-            if waiting >= _POSTINGS:
-                # the rows so far, up to the last token that may go on
-                whole = [np.concatenate(c) for c in zip(*rows, strict=True)]
-                cut = int(np.searchsorted(whole[0], whole[0][-1]))
-                if cut:
-                    yield solved([[c[:cut] for c in whole]])
-                rows = [[c[cut:] for c in whole]]
-                waiting = len(whole[0]) - cut
-            rows.append(columns)
-            waiting += len(token)
-        if waiting:
-            yield solved(rows)
-
-    place = [F.col("doc_id").asc_nulls_last(), F.expr("size_line & 4294967295L")]
-    laid = held.repartition(F.col("token")).sortWithinPartitions("token", *place)
-    found = laid.mapInArrow(released(run), "v long, doc_v long, u long, doc_u long, more boolean")
-    return found.groupBy("v", "u").agg(
-        F.min("doc_v").alias("doc_v"), F.min("doc_u").alias("doc_u"), F.max("more").alias("more")
-    )
+            for x in batch.column("left"):
+                rows = np.frombuffer(x.as_buffer(), _POSTING)
+                v, u, _, _ = _passing(rows, settings, None, probes)
+                yield _pairs(rows, v, u)
+
+    return left.mapInArrow(released(run), "v long, doc_v long, u long, doc_u long")
+
+
+def _pairs(rows: np.ndarray, v: np.ndarray, u: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    ident, doc = rows["id"], rows["doc_id"]
+    docs = (pa.array(doc[k], mask=doc[k] == _LAST) for k in (v, u))
+    made = [pa.array(ident[v]), next(docs), pa.array(ident[u]), next(docs), *more]
+    return pa.RecordBatch.from_arrays(made, ["v", "doc_v", "u", "doc_u", "more", "left"][: len(made)])
+
+
+def _laid(rows: np.ndarray) -> np.ndarray:
+    """Postings by token and place; no tokens of one row, and of equal sets of a token the
+    first."""
+    token = np.ascontiguousarray(rows["token"])
+    order = np.argsort(token)
+    token = token[order]
+    same = np.zeros(len(rows) + 1, bool)
+    same[1:-1] = token[1:] == token[:-1]
+    held = same[1:] | same[:-1]
+    order, token = order[held], token[held]
+    if not len(order):
+        return rows[order]
+    group = np.append(0, np.cumsum(token[1:] != token[:-1]))
+    order = order[_by_place(group, rows["doc_id"][order], rows["size_line"][order] & 0xFFFFFFFF)]
+    ident = rows["id"][order].view(np.uint64)
+    by_set = order_by(group, ident)
+    g, i = group[by_set], ident[by_set]
+    begins = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])))
+    return rows[order[np.sort(np.minimum.reduceat(by_set, begins))]]
+
+
+def _passing(
+    rows: np.ndarray, settings: Settings, most: int | None, probes: Bitmap | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that pass the filters, v after u; whether others of that v are left;
+    and the rows of tokens where some are."""
+    t = settings.similarity
+    token, doc = (np.ascontiguousarray(rows[c]) for c in ("token", "doc_id"))
+    size, line = rows["size_line"] >> 32, rows["size_line"] & 0xFFFFFFFF
+    b1, b2 = (np.ascontiguousarray(rows[c]) for c in ("b1", "b2"))
+    n = len(token)
+    head = np.ones(n, bool)
+    head[1:] = token[1:] != token[:-1]
+    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    # similar sets have (1 + t) * reach >= t * (sum of their sizes), for the reach of each
+    most_, own = (1 + t) * (size - rows["place"]) - t * size + 1e-9, t * size
+    count, pairs = np.zeros(n, np.int64), []
+    active = np.flatnonzero(~head)
+    if probes:
+        active = active[probes.has(rows["id"][active])]
+
+    def tested(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Where v and u may be similar; a filter has what those before let through."""
+        at = np.flatnonzero((most_[v] >= own[u]) & (most_[u] >= own[v]))
+        v, u = v[at], u[at]
+        both = size[v] + size[u]
+        apart = np.bitwise_count(b1[v] ^ b1[u]).astype(np.int64) + np.bitwise_count(b2[v] ^ b2[u])
+        some = np.flatnonzero((1 + t) * (both - apart) >= 2 * t * both - 1e-9)
+        at, v, u = at[some], v[some], u[some]
+        return at[(doc[u] < doc[v]) | (line[u] < line[v])]
+
+    good = tested(active, first[active])
+    pairs.append((active[good], first[active[good]]))
+    back, stopped = 1, np.zeros(n, bool)
+    active = active[active - back > first[active]]
+    while len(active):
+        good = tested(active, active - back)
+        hit = active[good]
+        pairs.append((hit, hit - back))
+        count[hit] += 1
+        back += 1
+        active = active[active - back > first[active]]
+        if most is not None and len(hit):
+            full = count[active] >= most
+            stopped[active[full]] = True
+            active = active[~full]
+    v, u = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    marked = np.zeros(n, bool)
+    marked[first[stopped]] = True
+    return v, u, stopped[v], rows[marked[first]]
+
+
+def _by_place(group: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by group, document and line: one sort if they have 63 bits in all."""
+    known, doc_ = np.unique(doc, return_inverse=True)
+    bits = [int(line.max()).bit_length(), len(known).bit_length()]
+    if int(group.max()).bit_length() + sum(bits) > 63:
+        return np.lexsort((line, doc, group))
+    return np.argsort((group << bits[1] | doc_) << bits[0] | line)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -369,29 +439,33 @@ def _verified(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFram
     )
 
 
-def similar_sets(docs: DataFrame, settings: Settings) -> DataFrame:
+def similar_sets(docs: DataFrame, table: DataFrame, settings: Settings) -> DataFrame:
     """For every set that is similar to an earlier one, such sets: (``v``, ``v2``) and
     (``u``, ``u2``). If a set has many like it, some of them are enough.
 
     A set none of whose first candidates was similar, and which had others, is then
     compared with all of them.
     """
-    spark, rarity = docs.sparkSession, word_rarity(docs)
-    pairs, path = written(candidates(postings(docs, rarity, settings), settings, settings.most), "line_pairs")
+    spark, (rarity, words) = docs.sparkSession, word_rarity(table)
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(least, words >> 20).bit_length()  # a hundred thousand postings or two in each
+    held = postings(docs, rarity, settings, buckets)
+    made, made_path = written(candidates(held, settings), "line_candidates")
+    docs_ = F.min("doc_v").alias("doc_v"), F.min("doc_u").alias("doc_u")
+    pairs = made.where("left is null").groupBy("v", "u").agg(*docs_, F.max("more").alias("more"))
+    pairs, path = written(pairs, "line_pairs")
     found, _ = written(_verified(docs, pairs, settings), "line_links")
     open_ = pairs.where("more").select("v", "doc_v").join(found.select("v").distinct(), "v", "left_anti")
     open_, open_path = written(open_, "open_lines")
     drop_scratch(spark, path)
     if open_.isEmpty():
+        drop_scratch(spark, made_path)
         return found
-    sets, places = Bitmap(open_, "v"), Bitmap(open_, "xxhash64(doc_v)")
-    tokens = Bitmap(postings(docs, rarity, settings, sets, places=places).select("token").distinct(), "token")
-    rest = postings(docs, rarity, settings, tokens=tokens)
-    pairs, path = written(
-        candidates(rest, settings, None, sets).join(open_, "v", "left_semi"), "line_pairs"
-    )
+    rest = candidates_left(made.where("left is not null").select("left"), settings, Bitmap(open_, "v"))
+    rest = rest.join(open_.select("v"), "v", "left_semi").groupBy("v", "u").agg(*docs_)
+    pairs, path = written(rest, "line_pairs")
     more, _ = written(_verified(docs, pairs, settings), "line_links")
-    for p in (path, open_path):
+    for p in (path, open_path, made_path):
         drop_scratch(spark, p)
     return found.union(more)
 
@@ -401,7 +475,8 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     for documents that have such. Documents without a doc_id come last; lines at one
     (doc_id, number), of repeated ids, are not later than one another."""
     table, _ = written(line_table(docs, settings), "lines")
-    links = similar_sets(docs, settings)
+    links = similar_sets(docs, table, settings)
+    table = table.where("chunk is null").drop("chunk", "counts")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
     firsts = table.groupBy("s1", "s2").agg(F.min(place).alias("first"))
     later = (

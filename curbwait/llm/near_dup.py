@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from curbwait.llm.arrow import appended, released
 from curbwait.llm.bitmap import Bitmap
-from curbwait.llm.blocks import LOWER, WORD, Block, blocks, mix, runs, words
+from curbwait.llm.blocks import LOWER, WORD, Block, blocks, looked_up, mix, runs, words
 from curbwait.llm.components import components
 from curbwait.session import drop_scratch, written
 
@@ -51,7 +51,7 @@ def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Distinct shingles of a block: row, hash, count; sorted by both. Words are runs
     of ASCII letters and digits and of all other characters, in lower case; a text
     of fewer words, but not none, is one shingle."""
-    w = words(block, WORD, LOWER[block.data])
+    w = words(block, WORD, looked_up(LOWER, block.data))
     found, begins = runs(w.hashes, w.first, size)
     rows = w.rows[begins]
     order = np.lexsort((found, rows))

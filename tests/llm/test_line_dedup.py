@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import AWKWARD, frame, prose
 
@@ -95,3 +96,42 @@ def test_lines_without_spaces(spark, most):
     result = found(spark, rows, most=most)
     assert result == sorted(wanted, key=repr)
     assert sum(len(gone) for _, _, gone in result) > 60
+
+
+def test_postings_are_moved_in_large_rows(spark):
+    rng = random.Random(7)
+    docs = frame(spark, [(k, prose(rng, 400)) for k in range(-5, 25)]).select("doc_id", "text").repartition(2)
+    settings = line_dedup.Settings()
+    rarity, n = line_dedup.word_rarity(line_dedup.line_table(docs, settings))
+    lines = [words(x) for r in docs.collect() for x in r.text.split("\n")]
+    assert n == sum(map(len, lines))
+    rows = line_dedup.postings(docs, np.maximum(rarity, 1), settings, 8).collect()
+    assert len(rows) <= 2 * 8
+    held = np.concatenate([np.frombuffer(r.held, line_dedup._POSTING) for r in rows])
+    assert len(held) == sum(len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1 for x in lines)
+    assert {r.bucket for r in rows} == set((held["token"].view(np.uint64) >> np.uint64(61)).tolist())
+
+
+def test_texts_are_not_read_again_for_candidates_left(spark, monkeypatch):
+    dealt, left = [], []
+    monkeypatch.setattr(line_dedup, "postings", lambda *a, f=line_dedup.postings: dealt.append(1) or f(*a))
+    monkeypatch.setattr(line_dedup, "candidates_left", lambda *a, f=line_dedup.candidates_left: left.append(1) or f(*a))
+    # 170 of 200 words in common, the rarest among them: unlike, but all filters let them through
+    rng = random.Random(8)
+    base, pool = [f"b{k}" for k in range(170)], [f"p{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.sample(pool, 50))) for k in range(150)]
+    rows += [(200 + k, " ".join(base + rng.sample(pool, 30))) for k in range(12)]
+    rows += [(300, rows[-8][1].replace("b7 ", "z "))]
+    assert found(spark, rows, most=1) == expected(rows)
+    assert (len(dealt), len(left)) == (1, 1)
+
+
+def test_order_by_place():
+    rng = np.random.default_rng(3)
+    for docs in ([-(2**63), -1, 0, 5, 2**63 - 1], range(1000)):
+        group, line = np.sort(rng.integers(0, 50, 3000)), rng.integers(0, 2**32, 3000)
+        doc = rng.choice(np.array(docs, np.int64), 3000)
+        for line_ in (line, line % 10, np.full(3000, 2**60) + line):
+            order = line_dedup._by_place(group, doc, line_)
+            want = sorted(zip(group.tolist(), doc.tolist(), line_.tolist(), strict=True))
+            assert list(zip(group[order].tolist(), doc[order].tolist(), line_[order].tolist(), strict=True)) == want
