@@ -18,6 +18,38 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
+class Kept:
+    """What ``make`` returns, kept by a worker from task to task, until one of ``released``
+    makes no use of it."""
+
+    all: list["Kept"] = []
+
+    def __init__(self, make: Callable):
+        self._held, self._used = functools.cache(make), False
+        Kept.all.append(self)
+        functools.update_wrapper(self, make)
+
+    def __call__(self, *args):
+        self._used = True
+        return self._held(*args)
+
+    def __reduce__(self) -> str:
+        return self.__qualname__  # the worker's own, by name
+
+    def task_over(self) -> None:
+        if not self._used:
+            self._held.cache_clear()
+        self._used = False
+
+
+def _give_back() -> None:
+    for kept in Kept.all:
+        kept.task_over()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # in glibc
+        trim(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for ``mapInArrow`` that gives its worker's free memory back when its
     task is done: Spark takes its workers in turn and keeps all of them, and what they
@@ -28,9 +60,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # in glibc
-                trim(0)
+            _give_back()
 
     return task
 

@@ -24,7 +24,7 @@ from curbwait.session import drop_scratch, written
 BUCKETS = 24
 _CHUNK = 14
 _WORDS = 1_000_000  # counted at a time in a task
-_HELD = 200_000  # postings dealt out at a time in a task
+_HELD = 100_000  # postings dealt out at a time in a task
 _POSTINGS = 100_000  # looked through at a time in a task
 _LAST = np.iinfo(np.int64).max  # in place of a null doc_id
 #: A row for a word of a set, see ``postings``.

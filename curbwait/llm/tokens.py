@@ -7,7 +7,6 @@ steps a new word of Latin-1 is lowered, split into runs of letters, digits and o
 signs, and handed to the library's model; any other word takes the library's whole way.
 """
 
-import functools
 import json
 import os
 import re
@@ -16,6 +15,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from curbwait.llm.arrow import Kept
+
 _CACHED = 250_000
 _LONG = 100
 # The steps of a tokenizer that words can be encoded apart with.
@@ -125,7 +126,7 @@ def _by_words(steps: dict) -> bool:
     )
 
 
-@functools.cache
+@Kept
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file."""
     return Encoder(path)

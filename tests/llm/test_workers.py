@@ -3,6 +3,7 @@
 from pathlib import Path
 
 from curbwait.llm.arrow import released
+from curbwait.llm.tokens import default_path, encoder
 
 
 def resident():
@@ -24,3 +25,23 @@ def test_free_memory_is_given_back():
     stopped = released(lambda batches: (b for b in batches))(iter([1, 2]))
     assert next(stopped) == 1
     stopped.close()
+
+
+def test_the_tokenizer_goes_when_a_task_does_not_use_it(spark):
+    def use(batches):
+        yield id(encoder(default_path()))
+
+    first = list(released(use)([])) + list(released(use)([]))
+    assert first[0] == first[1]
+    assert encoder._held.cache_info().currsize == 1
+    assert list(released(iter)([1])) == [1]
+    assert encoder._held.cache_info().currsize == 0
+
+    def sizes(batches):
+        from curbwait.llm import tokens
+
+        tokens.encoder(default_path())
+        yield from batches
+        assert tokens.encoder._held.cache_info().currsize == 1 and encoder is tokens.encoder
+
+    assert spark.range(3).coalesce(1).mapInArrow(released(sizes), "id long").count() == 3
