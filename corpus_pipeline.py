@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbwait.llm import decontaminate, line_dedup, near_dup, quality
+from curbwait.llm.arrow import bounded
 from curbwait.llm.queries import packed
 from curbwait.session import written
 
@@ -58,12 +59,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
+def _in_small_batches(stage: Callable) -> Callable:
+    """The stage with its workers' batches bounded, until its result is written too."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", similar_lines),
-    ("near duplicates", near_duplicates),
-    ("benchmark passages", benchmark_passages),
-    ("packing", pack),
+    ("quality rules", _in_small_batches(quality_rules)),
+    ("line dedup", _in_small_batches(similar_lines)),
+    ("near duplicates", _in_small_batches(near_duplicates)),
+    ("benchmark passages", _in_small_batches(benchmark_passages)),
+    ("packing", _in_small_batches(pack)),
 ]
 
 #: The learned rules and the packing have no SQL form.

@@ -5,11 +5,22 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Have Spark send workers some 4 MB at a time, unless the session has a bound of its
+    own. A batch is up to 10,000 rows otherwise, whatever their texts' length, and is held
+    by the executor on its way out and back and by the worker."""
+    if spark.conf.get(_BATCH[0], None) is None:
+        spark.conf.set(*_BATCH)
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, lengthened until no column of the frame has it, in any case."""
     taken = {c.lower() for c in frame.columns}

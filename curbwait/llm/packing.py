@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from curbwait.llm.arrow import appended, released
+from curbwait.llm.arrow import released
 from curbwait.llm.cutting_stock import patterns
 from curbwait.llm.tokens import encoded, lists
 from curbwait.session import written
@@ -122,30 +122,26 @@ def pack(
     over, _ = written(over, "left_over")
     rest = cut.join(F.broadcast(over), _KEY)  # at most a pattern's pieces for each size
     lengths = rest.select(*_KEY, "length").collect()
-    rest = derive(_end_to_end(rest, lengths, sequence, sequences))
+    # written, as a task that made and derived them would need two workers
+    rest = derive(written(_end_to_end(rest, lengths, sequence, sequences), "end_to_end")[0])
     columns = [c for c in whole.columns if c not in _KEY]
     return whole.select(columns).unionByName(rest.select(columns))
 
 
 def _in_patterns(rows: DataFrame, chosen: list, used: np.ndarray) -> DataFrame:
-    """The pieces that patterns use, with the sequence and offset of their rank."""
-    sizes, firsts, starts, each, slots = _slots(chosen)
-    shift = np.int64(1) << np.int64(44)
-    fields = [T.StructField("sequence_id", T.LongType()), T.StructField("slot", T.LongType())]
-
-    def find(batch: pa.RecordBatch) -> list[pa.Array]:
-        size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("size", "rank"))
-        mine = rank < used[size]
-        at = np.searchsorted(sizes * shift + firsts, size * shift + rank, side="right")[mine] - 1
-        nth = rank[mine] - firsts[at]
-        found = np.full((2, len(rank)), -1, np.int64)
-        found[:, mine] = starts[at] + nth // each[at], slots[at] + nth % each[at]
-        return [pa.array(x) for x in found]
-
+    """The pieces that patterns use, with the sequence and offset of their rank. A join, as
+    ``derive`` may have a worker in the same task already."""
+    named = "_size int, _first long, _end long, _sequence long, _each long, _slot long"
+    ranges = F.broadcast(rows.sparkSession.createDataFrame(_slots(chosen, used), named))  # some for each size
     keep = [c for c in rows.columns if c not in ("rank", "base")]
+    placed = rows.join(ranges, F.expr("size = _size and rank >= _first and rank < _end")).selectExpr(
+        *(f"`{c}`" for c in keep),
+        "_sequence + (rank - _first) div _each as sequence_id",
+        "_slot + (rank - _first) % _each as slot",
+    )
     within = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(within), F.lit(0))
-    return appended(rows, fields, find, keep).where("slot >= 0").withColumn("offset", offset).drop("slot")
+    return placed.withColumn("offset", offset).drop("slot")
 
 
 def _end_to_end(rest: DataFrame, lengths: list, sequence: int, first: int) -> DataFrame:
@@ -186,15 +182,16 @@ def _end_to_end(rest: DataFrame, lengths: list, sequence: int, first: int) -> Da
     return rest.mapInArrow(released(run), kind)
 
 
-def _slots(chosen) -> tuple[np.ndarray, ...]:
-    """For ranges of ranks of a size, sorted: size, first rank, first sequence, pieces
-    of the size in a sequence, and the first one's place there."""
-    rows, used, sequence = [], {}, 0
+def _slots(chosen: list, used: np.ndarray) -> list[tuple[int, ...]]:
+    """For ranges of ranks of a size: size, first rank, the one after the last, first
+    sequence, pieces of the size in a sequence, and the first one's place there."""
+    rows, before, sequence = [], {}, 0
     for pattern, times in chosen:
         slot = 0
         for size, each in sorted(pattern.items(), reverse=True):
-            rows.append((size, used.get(size, 0), sequence, each, slot))
-            used[size] = used.get(size, 0) + each * times
+            first = before.get(size, 0)
+            before[size] = first + each * times
+            rows.append((size, first, min(before[size], int(used[size])), sequence, each, slot))
             slot += each
         sequence += times
-    return tuple(np.array(sorted(rows), np.int64).reshape(-1, 5).T)
+    return rows
