@@ -14,24 +14,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from curbwait.llm.arrow import appended, fresh, released
-from curbwait.llm.bitmap import Bitmap
+from curbwait.llm.arrow import fresh, released
+from curbwait.llm.bitmap import Bitmap, held_by
 from curbwait.llm.blocks import LOWER, WORD, Block, blocks, cut_words, looked_up, mix, order_by
 from curbwait.session import drop_scratch, written
 
 BUCKETS = 24
 _CHUNK = 14
 _WORDS = 1_000_000  # counted at a time in a task
-_HELD = 100_000  # postings dealt out at a time in a task
+_HELD = 100_000  # postings or lines dealt out at a time in a task
 _POSTINGS = 100_000  # looked through at a time in a task
+_COMPARED = 1_000_000  # words of pairs compared at a time in a task
 _LAST = np.iinfo(np.int64).max  # in place of a null doc_id
 #: A row for a word of a set, see ``postings``.
 _POSTING = np.dtype(
     [(n, "<i8") for n in ("token", "id", "doc_id", "size_line")] + [("b1", "<u8"), ("b2", "<u8"), ("place", "<i4")]
 )
 
+#: A row for a line: its set, and its place; of no doc_id, ``doc_id`` is 0 and ``last`` 1.
+_LINE = np.dtype([(n, "<i8") for n in ("s1", "s2", "doc_id", "hash")] + [("line", "<i4"), ("last", "i1")])
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -43,8 +46,9 @@ class Settings:
 
 @dataclass(frozen=True)
 class Lines:
-    """Lines of a block with words: row, number, and their distinct words sorted by
-    line; ``first`` has where each line's begin, and one entry more."""
+    """Lines of a block with words: row, number, and their distinct words by line, in
+    the order ``lines`` gives them; ``first`` has where each line's begin, and one entry
+    more."""
 
     row: np.ndarray
     number: np.ndarray
@@ -69,10 +73,11 @@ class Lines:
         return Lines(self.row[which], self.number[which], self.token[np.repeat(which, size)], first)
 
 
-def lines(block: Block) -> Lines:
+def lines(block: Block, rarity: np.ndarray | None = None) -> Lines:
     """Words are runs of ASCII letters and digits and of all other characters, in
     lower case, and in scripts written without spaces two neighbouring characters;
-    lines end at line feeds."""
+    lines end at line feeds. A line's words are in the order of their hashes, or of
+    ``rarity`` and then those."""
     w = cut_words(block, WORD, looked_up(LOWER, block.data))
     n, feeds = len(w.starts), np.flatnonzero(block.data == 0x0A)
     begins = np.zeros(n + 1, bool)
@@ -82,7 +87,8 @@ def lines(block: Block) -> Lines:
     row = np.searchsorted(w.first, at, side="right") - 1
     number = np.searchsorted(feeds, w.starts[at]) - np.searchsorted(feeds, block.starts)[row]
     line = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
-    order = order_by(line, w.hashes)
+    group = line if rarity is None else line << 8 | rarity[_bucket(w.hashes)]
+    order = order_by(group, w.hashes)
     token = w.hashes[order]  # and the line of each is as before
     distinct = np.ones(n, bool)
     distinct[1:] = token[1:] != token[:-1]
@@ -90,10 +96,18 @@ def lines(block: Block) -> Lines:
     return Lines(row, number, token[distinct], np.append(0, np.cumsum(distinct))[np.append(at, n)])
 
 
+def _bucket(token: np.ndarray) -> np.ndarray:
+    """The hash buckets of words that are counted."""
+    return (token >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
 def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id``, ``hash`` (of the text), ``line``, and the identity ``s1``, ``s2`` of
-    its set, for every line with words; and rows with a ``chunk`` of the hash buckets
-    of words and ``counts``, how many lines have words of each."""
+    """All lines with words. Those after an equal set among the lines dealt out with them
+    have ``doc_id``, ``hash`` (of the text) and ``line``; the others are in ``held``, in
+    a row for each ``bucket`` of sets. And rows with a ``chunk`` of the hash buckets of
+    words and ``counts``, how many lines have words of each."""
+    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shift = np.uint64(64 - max(least, 1023).bit_length())
 
     def table(part: dict) -> pa.RecordBatch:
         n = len(next(iter(part.values())))
@@ -106,36 +120,81 @@ def line_table(docs: DataFrame, settings: Settings) -> DataFrame:
         pairs["at"], pairs["n"] = found & ((1 << _CHUNK) - 1), n
         return table({"chunk": pa.array(chunks.astype(np.int32)), "counts": _binaries(pairs, first)})
 
+    def dealt(found: list[np.ndarray]):
+        whole = np.concatenate(found)
+        first = _at_first(whole)
+        yield table(_places(whole[~first]))
+        whole = whole[first]
+        keys, rows = _dealt(whole, whole["s1"], shift)
+        yield table({"bucket": keys, "held": rows})
+
     def run(batches):
         held: list[np.ndarray] = []
+        laid: list[np.ndarray] = []
         for batch in batches:
+            docs_ = batch.column("doc_id")
+            last, doc = docs_.is_null().to_numpy(zero_copy_only=False), docs_.fill_null(0).to_numpy()
+            texts = batch.column("hash").to_numpy()
             for block in blocks(batch.column("text")):
                 found = lines(block)
-                held.append((found.token >> np.uint64(64 - BUCKETS)).astype(np.int32))
+                held.append(_bucket(found.token).astype(np.int32))
                 if sum(map(len, held)) >= _WORDS:
                     yield counted(held)
                     held = []
-                rows = pa.array(found.row + block.first)
-                s1, s2 = (pa.array(x) for x in found.ids())
-                yield table(
-                    {
-                        "doc_id": batch.column("doc_id").take(rows),
-                        "hash": batch.column("hash").take(rows),
-                        "line": pa.array(found.number.astype(np.int32)),
-                        "s1": s1,
-                        "s2": s2,
-                    }
-                )
+                row, out = found.row + block.first, np.empty(len(found.row), _LINE)
+                out["s1"], out["s2"] = found.ids()
+                out["doc_id"], out["hash"], out["last"] = doc[row], texts[row], last[row]
+                out["line"] = found.number
+                laid.append(out)
+                if sum(map(len, laid)) >= _HELD:
+                    yield from dealt(laid)
+                    laid = []
         if sum(map(len, held)):
             yield counted(held)
+        if sum(map(len, laid)):
+            yield from dealt(laid)
 
-    kinds = {"doc_id": pa.int64(), "hash": pa.int64(), "line": pa.int32(), "s1": pa.int64(), "s2": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "hash": pa.int64(), "line": pa.int32(), "bucket": pa.int32(), "held": pa.binary()}
     made = pa.schema(kinds | {"chunk": pa.int32(), "counts": pa.binary()})
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "xxhash64(text) as hash").mapInArrow(
-        released(run), "doc_id long, hash long, line int, s1 long, s2 long, chunk int, counts binary"
+        released(run), "doc_id long, hash long, line int, bucket int, held binary, chunk int, counts binary"
     )
 
 
+def _at_first(rows: np.ndarray) -> np.ndarray:
+    """Which lines are at the first place that their set is at among them."""
+    found = np.ones(len(rows), bool)
+    s1 = np.ascontiguousarray(rows["s1"])
+    order = np.argsort(s1)
+    same = np.zeros(len(rows) + 1, bool)
+    same[1:-1] = s1[order[1:]] == s1[order[:-1]]
+    some = order[same[1:] | same[:-1]]
+    if len(some):
+        keys = [rows[c][some] for c in ("line", "doc_id", "last", "s2", "s1")]
+        by_set = np.lexsort(keys)
+        *place, s2, s1 = (k[by_set] for k in keys)
+        begins = np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(s1)), 0))
+        found[some[by_set]] = np.logical_and.reduce([c == c[first] for c in place])
+    return found
+
+
+def _places(rows: np.ndarray) -> dict[str, pa.Array]:
+    return {
+        "doc_id": pa.array(rows["doc_id"], mask=rows["last"] == 1),
+        "hash": pa.array(rows["hash"]),
+        "line": pa.array(rows["line"]),
+    }
+
+
+def _dealt(rows: np.ndarray, values: np.ndarray, shift: np.uint64) -> tuple[pa.Array, pa.Array]:
+    """The buckets by the upper bits of ``values``, and the rows of each."""
+    bucket = (values.view(np.uint64) >> shift).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    keys, first = np.unique(bucket[order], return_index=True)
+    return pa.array(keys), _binaries(rows[order], first)
+
+
 _COUNT = np.dtype([("at", "<u2"), ("n", "<u4")])
 
 
@@ -207,7 +266,7 @@ def postings(
     share, shift = settings.similarity, np.uint64(64 - buckets.bit_length() + 1)
 
     def of_block(block: Block, ids_: np.ndarray) -> np.ndarray:
-        found = lines(block)
+        found = lines(block, held.value)
         able = np.floor(found.size / share + 1e-9) > found.size
         found = found.some(able)
         ids = found.ids()
@@ -221,16 +280,15 @@ def postings(
         size, starts = found.size, found.first[:-1]
         line = np.repeat(np.arange(len(size)), size)
         spread = mix(found.token + np.uint64(3))
-        grade = held.value[(found.token >> np.uint64(64 - BUCKETS)).astype(np.int64)]
         bit = np.uint64(1) << (spread & np.uint64(63))
         high = (spread >> np.uint64(6)) & np.uint64(1) == 1
         b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), starts)
         b2 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), starts)
-        order = order_by(line << 8 | grade, found.token)
         place = np.arange(len(line)) - found.first[line]
         prefix = size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
-        kept = np.flatnonzero((place < prefix[line]) & (grade[order] > 0))
-        token = found.token[order[kept]].view(np.int64)
+        kept = np.flatnonzero(place < prefix[line])
+        kept = kept[held.value[_bucket(found.token[kept])] > 0]
+        token = found.token[kept].view(np.int64)
         at = line[kept]
         out = np.empty(len(kept), _POSTING)
         out["token"], out["id"], out["doc_id"], out["place"] = token, ids[at], doc[at], place[kept]
@@ -239,10 +297,7 @@ def postings(
 
     def dealt(rows: list[np.ndarray]) -> pa.RecordBatch:
         whole = np.concatenate(rows)
-        bucket = (whole["token"].view(np.uint64) >> shift).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        keys, first = np.unique(bucket[order], return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), _binaries(whole[order], first)], ["bucket", "held"])
+        return pa.RecordBatch.from_arrays([*_dealt(whole, whole["token"], shift)], ["bucket", "held"])
 
     def run(batches):
         rows: list[np.ndarray] = []
@@ -395,12 +450,11 @@ def _by_place(group: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarra
 def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """``s1``, ``s2`` and the words, as sorted 64-bit values, of the sets with the ids
     wanted. Only documents that may be named beside them are split into words."""
-    held, places = Bitmap(wanted, "id"), Bitmap(wanted, "xxhash64(doc_id)")
+    held = Bitmap(wanted, "id")
 
     def run(batches):
         for batch in batches:
-            some = batch.column("text").filter(pa.array(places.has(batch.column("place").to_numpy())))
-            for block in blocks(some):
+            for block in blocks(batch.column("text")):
                 found = lines(block)
                 ids = found.ids()
                 hit = np.flatnonzero(held.has(ids[0]))
@@ -410,9 +464,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFram
                     [pa.array(ids[0][hit]), pa.array(ids[1][hit]), pa.array(sets, pa.binary())], ["s1", "s2", "words"]
                 )
 
-    found = docs.selectExpr("text", "xxhash64(cast(doc_id as bigint)) as place").mapInArrow(
-        released(run), "s1 long, s2 long, words binary"
-    )
+    named = held_by(docs, "xxhash64(cast(doc_id as bigint))", wanted, "xxhash64(doc_id)")
+    found = named.select("text").mapInArrow(released(run), "s1 long, s2 long, words binary")
     ids = wanted.select(F.col("id").alias("s1")).distinct()
     return found.dropDuplicates(["s1", "s2"]).join(ids, "s1", "left_semi")
 
@@ -424,12 +477,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFram
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("words_v").to_pylist(), batch.column("words_u").to_pylist(), strict=True):
-                both = np.sort(np.frombuffer(x + y, np.uint64))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared >= settings.similarity * (len(both) - shared) - 1e-9)
-            yield batch.select(["v", "v2", "u", "u2"]).filter(pa.array(keep, pa.bool_()))
+            shared, both = _shared(batch.column("words_v"), batch.column("words_u"))
+            keep = shared >= settings.similarity * (both - shared) - 1e-9
+            yield batch.select(["v", "v2", "u", "u2"]).filter(pa.array(keep))
 
     return (
         pairs.select("v", "u")
@@ -439,6 +489,33 @@ def _verified(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFram
     )
 
 
+def _shared(v: pa.Array, u: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sets, each as 64-bit words, how many words they share and have in all."""
+    (first_v, words_v), (first_u, words_u) = _words_of(v), _words_of(u)
+    both = np.diff(first_v) + np.diff(first_u)
+    shared, ends = np.zeros(len(both), np.int64), np.cumsum(both)
+    i = 0
+    while i < len(both):  # some pairs, and no fewer than one
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - both[i] + _COMPARED, side="right")))
+        sizes = np.append(np.diff(first_v[i : j + 1]), np.diff(first_u[i : j + 1]))
+        pair = np.repeat(np.append(np.arange(j - i), np.arange(j - i)), sizes)
+        word = np.append(words_v[first_v[i] : first_v[j]], words_u[first_u[i] : first_u[j]])
+        order = order_by(pair, word)
+        pair, word = pair[order], word[order]
+        same = (word[1:] == word[:-1]) & (pair[1:] == pair[:-1])
+        shared[i:j] = np.bincount(pair[1:][same], minlength=j - i)
+        i = j
+    return shared, both
+
+
+def _words_of(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each set's words start, and one entry more, and the words."""
+    sets = sets.cast(pa.large_binary())
+    first = np.frombuffer(sets.buffers()[1], np.int64)[sets.offset : sets.offset + len(sets) + 1] // 8
+    held = sets.buffers()[2]
+    return first, np.frombuffer(held, np.uint64, int(first[-1])) if held is not None else np.zeros(0, np.uint64)
+
+
 def similar_sets(docs: DataFrame, table: DataFrame, settings: Settings) -> DataFrame:
     """For every set that is similar to an earlier one, such sets: (``v``, ``v2``) and
     (``u``, ``u2``). If a set has many like it, some of them are enough.
@@ -476,26 +553,47 @@ def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     (doc_id, number), of repeated ids, are not later than one another."""
     table, _ = written(line_table(docs, settings), "lines")
     links = similar_sets(docs, table, settings)
-    table = table.where("chunk is null").drop("chunk", "counts")
+    rest, _ = written(_resolved(table, links), "line_places")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    firsts = table.groupBy("s1", "s2").agg(F.min(place).alias("first"))
+    firsts = rest.where("s1 is not null")
+    places = firsts.select("s1", "s2", place.alias("first")).distinct()
     later = (
         links.toDF("s1", "s2", "t1", "t2")
-        .join(firsts, ["s1", "s2"])
-        .join(firsts.toDF("t1", "t2", "other"), ["t1", "t2"])
+        .join(places, ["s1", "s2"])
+        .join(places.toDF("t1", "t2", "other"), ["t1", "t2"])
         .where("other < first")
-        .select("s1", "s2", F.lit(True).alias("later"))
+        .select("s1", "s2")
         .distinct()
     )
-    verdict = firsts.join(later, ["s1", "s2"], "left")
+    gone = ["doc_id", "hash", "line"]
     return (
-        table.join(verdict, ["s1", "s2"])
-        .where(F.coalesce("later", F.lit(False)) | (place > F.col("first")))
+        table.where("line is not null").select(*gone)
+        .union(rest.where("s1 is null").select(*gone))
+        .union(firsts.join(later, ["s1", "s2"], "left_semi").select(*gone))
         .groupBy("doc_id", "hash")
         .agg(F.array_sort(F.collect_set("line")).alias("removed"))
     )
 
 
+def _resolved(table: DataFrame, links: DataFrame) -> DataFrame:
+    """Of the lines held in the ``line_table``: ``doc_id``, ``hash`` and ``line`` of those
+    after an equal set, and with ``s1`` and ``s2`` of the first ones of sets in ``links``."""
+    linked = Bitmap(links.selectExpr("v as id").union(links.select("u")), "id")
+
+    def run(batches):
+        for _, rows in _groups(batches, "bucket", "held", _LINE):
+            first = _at_first(rows)
+            kept = ~first | linked.has(rows["s1"])
+            rows, first = rows[kept], first[kept]
+            sets = {c: pa.array(rows[c], mask=~first) for c in ("s1", "s2")}
+            yield pa.RecordBatch.from_pydict(_places(rows) | sets)
+
+    held = table.where("bucket is not null").select("bucket", "held").repartition(F.col("bucket"))
+    return held.sortWithinPartitions("bucket").mapInArrow(
+        released(run), "doc_id long, hash long, line int, s1 long, s2 long"
+    )
+
+
 def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents, later similar lines cut from ``text``, and ``removed``, their
     numbers from 0; the line feed before a line goes with it.
@@ -505,15 +603,13 @@ def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     docs = docs.drop("removed")
     found, _ = written(removed_lines(docs, settings), "removed")
-    hash_, hit = fresh(docs, "_hash"), fresh(docs, "_hit")
-    held = Bitmap(found, "hash")
+    hash_ = fresh(docs, "_hash")
     keyed = docs.withColumn(hash_, F.xxhash64("text"))
-    marked = _marked(keyed, held, hash_, hit)
     kept = [F.col(f"`{c}`") for c in docs.columns]
     none = F.expr("cast(array() as array<int>)")
-    doc_, text_ = fresh(marked, "_doc"), fresh(marked, "_text")
+    doc_, text_ = fresh(keyed, "_doc"), fresh(keyed, "_text")
     right = found.toDF(doc_, text_, "removed")
-    some = marked.where(hit)
+    some, others = (held_by(keyed, hash_, found, "hash", how) for how in ("left_semi", "left_anti"))
     joined = some.join(
         right, some["doc_id"].cast("bigint").eqNullSafe(right[doc_]) & (some[hash_] == right[text_]), "left"
     )
@@ -522,11 +618,6 @@ def deduped(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     joined = joined.withColumn("text", F.when(F.col("removed").isNotNull(), cut).otherwise(F.col("text")))
     joined = joined.withColumn("removed", F.coalesce("removed", none))
-    return marked.where(~F.col(hit)).select(*kept, none.alias("removed")).unionByName(
+    return others.select(*kept, none.alias("removed")).unionByName(
         joined.select(*kept, "removed")
     )
-
-
-def _marked(docs: DataFrame, held: Bitmap, hash_: str, name: str) -> DataFrame:
-    find = lambda batch: [pa.array(held.has(batch.column(batch.schema.get_field_index(hash_)).to_numpy()))]
-    return appended(docs, [T.StructField(name, T.BooleanType())], find)

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, frame, prose
 
 from curbwait.llm import line_dedup
+from curbwait.llm.bitmap import held_by
 
 
 def words(line):
@@ -135,3 +137,63 @@ def test_order_by_place():
             order = line_dedup._by_place(group, doc, line_)
             want = sorted(zip(group.tolist(), doc.tolist(), line_.tolist(), strict=True))
             assert list(zip(group[order].tolist(), doc[order].tolist(), line_[order].tolist(), strict=True)) == want
+
+
+def test_lines_are_moved_in_large_rows(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 400) for _ in range(30)]
+    rows = [(k, texts[k] + "\n" + texts[0]) for k in range(30)] + [(None, texts[1])]
+    docs = frame(spark, rows).select("doc_id", "text").coalesce(1)
+    table = line_dedup.line_table(docs, line_dedup.Settings()).where("chunk is null").collect()
+    held = [np.frombuffer(r.held, line_dedup._LINE) for r in table if r.held is not None]
+    assert len({r.bucket for r in table if r.held is not None}) == len(held)
+    held = np.concatenate(held)
+    wanted, seen, later = set(), {}, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        for k, x in enumerate(t.split("\n")):
+            if seen.setdefault(words(x), (d, k)) == (d, k):
+                wanted.add((d is None, d or 0, k))
+            else:
+                later.append((d, k))
+    assert {(r["last"] == 1, r["doc_id"], r["line"]) for r in held} == wanted
+    found = [(r.doc_id, r.line) for r in table if r.line is not None]
+    assert sorted(found, key=repr) == sorted(later, key=repr) and len(later) > 30
+
+
+def test_at_first():
+    rng = np.random.default_rng(4)
+    rows = np.zeros(3000, line_dedup._LINE)
+    for name, n in (("s1", 400), ("s2", 2), ("doc_id", 5), ("line", 4), ("last", 2)):
+        rows[name] = rng.integers(0, n, len(rows))
+    place = [(r["last"], r["doc_id"], r["line"]) for r in rows]
+    least = {}
+    for r, p in zip(rows, place, strict=True):
+        key = r["s1"], r["s2"]
+        least[key] = min(least.get(key, p), p)
+    wanted = [p == least[r["s1"], r["s2"]] for r, p in zip(rows, place, strict=True)]
+    assert line_dedup._at_first(rows).tolist() == wanted
+    assert not len(line_dedup._at_first(rows[:0]))
+
+
+@pytest.mark.parametrize("most", [1, 50, 1_000_000])
+def test_words_shared(most, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_COMPARED", most)
+    rng = np.random.default_rng(6)
+    sets = [[np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in rng.integers(1, 30, 200)] for _ in range(2)]
+    v, u = (pa.array([x.tobytes() for x in side], pa.binary()) for side in sets)
+    for cut in (slice(0, 200), slice(7, 150), slice(0, 0)):
+        some = [side[cut] for side in sets]
+        shared, both = line_dedup._shared(v[cut], u[cut])
+        assert shared.tolist() == [len(np.intersect1d(x, y)) for x, y in zip(*some, strict=True)]
+        assert both.tolist() == [len(x) + len(y) for x, y in zip(*some, strict=True)]
+
+
+def test_texts_are_not_looked_up_in_python(spark, capsys):
+    rows = [(1, "red blue green"), (2, "red blue green\nwhite"), (None, None)]
+    line_dedup.deduped(frame(spark, rows).select("doc_id", "text")).explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    docs, keys = spark.range(-500, 500).toDF("_map_word"), spark.range(0, 40).toDF("k")
+    some, others = (
+        {r[0] for r in held_by(docs, "_map_word", keys, "k", how).collect()} for how in ("left_semi", "left_anti")
+    )
+    assert some == set(range(40)) and some | others == set(range(-500, 500)) and not some & others
