@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round a node takes the smallest label among its neighbours, then the
     label of its label, so a star settles at once and a chain in a logarithmic
     number of rounds. Labels are written each round; only the number that changed
-    comes to the driver. Self links and repeated links do no harm.
+    comes to the driver. Self links and repeated links do no harm. The links are read
+    twice, once for each direction, and must be the same both times.
     """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     both, both_path = written(both, "links")

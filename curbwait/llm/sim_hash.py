@@ -16,7 +16,7 @@ from curbwait.llm import vantage
 from curbwait.llm.arrow import fresh
 from curbwait.llm.components import components
 from curbwait.llm.fingerprints import SHINGLE, fingerprinted
-from curbwait.session import written
+from curbwait.session import drop_scratch, written
 
 REACH = 2
 #: Fingerprints that a leaf holds by itself, and how many at most are looked at to
@@ -36,6 +36,8 @@ def links(points: DataFrame, reach: int = REACH, leaf: int = LEAF, sample: int =
     point with it.
     Of a pair in two leaves the one in the lesser leaf visits the other. A point has at
     most 64 + 2016 others within two bits, so a leaf's pairs grow with its points.
+    A leaf sorts its points, as which of many links a forest has depends on their order,
+    and a shuffle's rows come in another one each time they are read.
     """
     wanted = -(-points.count() // leaf)
     size = min(sample, _PER_LEAF * wanted)
@@ -61,11 +63,11 @@ def links(points: DataFrame, reach: int = REACH, leaf: int = LEAF, sample: int =
     def search(shard: pa.Table) -> pa.Table:
         own = shard.column("point").to_numpy().view(np.uint64)
         home = shard.column("home").to_numpy(zero_copy_only=False)
-        data = own[home]
-        root = forest(np.concatenate([data, own[~home]]), len(data), reach)
-        nodes = np.concatenate([data, own[~home]]).view(np.int64)
+        data = np.sort(own[home])
+        nodes = np.concatenate([data, np.sort(own[~home])])
+        root = forest(nodes, len(data), reach)
         apart = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": nodes[root[apart]], "b": nodes[apart]})
+        return pa.table({"a": nodes[root[apart]].view(np.int64), "b": nodes[apart].view(np.int64)})
 
     dealt = points.select("point").mapInArrow(deal, "shard int, point long, home boolean")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
@@ -115,7 +117,9 @@ def near_duplicates(
         rows.groupBy(F.col(mark).alias("point")).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("many")),
         "points",
     )
-    linked = components(links(points, reach, leaf, sample))
+    found_links, links_path = written(links(points, reach, leaf, sample), "links")  # read twice
+    linked = components(found_links)
+    drop_scratch(docs.sparkSession, links_path)
     joined = points.join(linked, points["point"] == linked["node"], "left").selectExpr(
         "point", "low", "many", "coalesce(component, point) as component"
     )

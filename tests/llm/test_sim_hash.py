@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, frame, prose
 from pyspark.sql import functions as F
@@ -128,3 +129,35 @@ def test_links_join_what_pairs_join(spark):
     assert all((points[place[r.a]] ^ points[place[r.b]]) for r in got)
     assert len(got) < 3 * len(points)
     assert roots([(place[r.a], place[r.b]) for r in got]) == roots(all_pairs(points, 2))
+
+
+def mixed(points):
+    """The points, in another order each time they are read, as shuffled rows are on a cluster."""
+
+    def mix(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng().permutation(batch.num_rows)))
+
+    return points.select("point").coalesce(1).mapInArrow(mix, "point long")
+
+
+def test_links_are_the_same_in_any_order_of_rows(spark):
+    points = clustered(np.random.default_rng(4))
+    rows = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "point long")
+    found = sim_hash.links(mixed(rows), leaf=500)
+    first, second = (sorted(map(tuple, found.collect())) for _ in range(2))
+    assert len(first) > 1000
+    assert first == second
+
+
+def test_components_when_rows_come_in_another_order_each_time(spark, monkeypatch):
+    rows = [*AWKWARD, *((100 + k, t) for k, t in enumerate(near(random.Random(8), 150)))]
+    links = sim_hash.links
+    monkeypatch.setattr(sim_hash, "links", lambda points, *limits: links(mixed(points), *limits))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # or both reads are of one shuffle, in one order
+    try:
+        found = sim_hash.near_duplicates(frame(spark, rows), keep=["doc_id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    got = [(r.doc_id, f"{r.fingerprint % (1 << 64):016x}", r.component_id) for r in found]
+    assert sorted(got, key=repr) == expected(rows)
